@@ -23,25 +23,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _long_form(df: DataFrame, value_cols: list[str], group_cols: list[str]) -> DataFrame:
+def _long_form(df: DataFrame, value_cols: list[str], group_cols: list[str],
+               weight_col: str | None = None) -> DataFrame:
     items = F.array(*[F.struct(F.lit(c).alias("column"),
                                F.col(c).cast("double").alias("_v")) for c in value_cols])
-    return (df.select(*group_cols, F.explode(items).alias("_s"))
-              .select(*group_cols, "_s.column", "_s._v")
+    w = (F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")).alias("_w")
+    return (df.select(*group_cols, w, F.explode(items).alias("_s"))
+              .select(*group_cols, "_s.column", "_s._v", "_w")
               .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
 
 
 def exact_quantiles(df: DataFrame, value_cols: list[str], probs: list[float],
                     group_cols: list[str] | None = None,
-                    num_partitions: int | None = None) -> DataFrame:
-    """Long result: ``group_cols…, column, prob, value`` (value NULL for an empty group)."""
+                    num_partitions: int | None = None,
+                    weight_col: str | None = None) -> DataFrame:
+    """Long result: ``group_cols…, column, prob, value`` (value NULL for an empty group).
+
+    ``weight_col`` (integer) counts each row that many times.
+    """
     group_cols = list(group_cols or [])
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = group_cols + ["column"]
 
-    hist = _long_form(df, value_cols, group_cols).groupBy(*keys, "_v").agg(
-        F.count(F.lit(1)).alias("_c"))
+    hist = _long_form(df, value_cols, group_cols, weight_col).groupBy(*keys, "_v").agg(
+        F.sum("_w").alias("_c"))
     ranged = (hist.repartitionByRange(n, *keys, "_v")
                   .withColumn("_pid", F.spark_partition_id()))
     w_slice = (Window.partitionBy("_pid", *keys).orderBy("_v")

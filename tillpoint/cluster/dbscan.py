@@ -214,11 +214,12 @@ def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples
     labels = core_cl.unionByName(border)
 
     # back to the rows: every row of an equal point shares its label
-    point_lab = pts.select(*keys, "pid", *xcols).join(labels, keys + ["pid"], "left")
+    point_lab = pts.join(labels, keys + ["pid"], "left").select(
+        *[F.col(k).alias(f"_pk_{k}") for k in keys],
+        *[F.col(f"x{i}").alias(f"_px{i}") for i in range(d)], F.col("cl").alias("_cl"))
     rows = df.withColumns({f"_x{i}": F.col(c).cast("double") for i, c in enumerate(feature_cols)})
-    cond = [rows[k] == point_lab[k] for k in keys] + \
-           [rows[f"_x{i}"] == point_lab[f"x{i}"] for i in range(d)]
+    cond = [F.col(k) == F.col(f"_pk_{k}") for k in keys] + \
+           [F.col(f"_x{i}") == F.col(f"_px{i}") for i in range(d)]
     out = rows.join(point_lab, cond, "left")
-    out = out.select(*[rows[c] for c in df.columns],
-                     F.coalesce(point_lab["cl"], F.lit(-1)).cast("int").alias(out_col))
-    return out
+    return out.select(*[F.col(f"`{c}`") for c in df.columns],
+                      F.coalesce(F.col("_cl"), F.lit(-1)).cast("int").alias(out_col))

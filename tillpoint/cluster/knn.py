@@ -94,11 +94,13 @@ def k_distance_rows(df: DataFrame, feature_cols: list[str], k: int = 5,
                     id_col: str = "row_idx", keys: list[str] | None = None) -> DataFrame:
     """Every input row with its ``kdist`` (equal points share one value)."""
     keys = list(keys or [])
-    kd = k_distance(df, feature_cols, k, id_col, keys)
+    kd = k_distance(df, feature_cols, k, id_col, keys).select(
+        *[F.col(kk).alias(f"_pk_{kk}") for kk in keys],
+        *[F.col(f"x{i}").alias(f"_px{i}") for i in range(len(feature_cols))], "kdist")
     rows = df.withColumns({f"_x{i}": F.col(c).cast("double") for i, c in enumerate(feature_cols)})
-    cond = [rows[kk] == kd[kk] for kk in keys] + \
-           [rows[f"_x{i}"] == kd[f"x{i}"] for i in range(len(feature_cols))]
-    return rows.join(kd, cond, "left").select(*[rows[c] for c in df.columns], kd["kdist"])
+    cond = [F.col(kk) == F.col(f"_pk_{kk}") for kk in keys] + \
+           [F.col(f"_x{i}") == F.col(f"_px{i}") for i in range(len(feature_cols))]
+    return rows.join(kd, cond, "left").select(*[F.col(f"`{c}`") for c in df.columns], "kdist")
 
 
 def k_distance_curve(kd: DataFrame, points: int | None = None) -> DataFrame:

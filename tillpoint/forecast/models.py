@@ -70,11 +70,13 @@ def _strategy(frac: float, n_features: int) -> str:
 
 
 def tune_gbt(train: DataFrame, features: list[str], target: str, n_draws: int = N_DRAWS,
-             n_folds: int = N_FOLDS, seed: int = SEARCH_SEED, parallelism: int = 4):
+             n_folds: int = N_FOLDS, seed: int = SEARCH_SEED, parallelism: int | None = None):
     """M5 + M6 + W8: random search by cross-validated MSE; returns
     (best PipelineModel, best params dict, table of draws with mean CV MSE)."""
     spark = train.sparkSession
     asm = VectorAssembler(inputCols=features, outputCol="_features")
+    # the candidates are independent: evaluate them concurrently (boosting
+    # keeps its periodic checkpoints, which bound the lineage of long runs)
     gbt = GBTRegressor(featuresCol="_features", labelCol=target, seed=seed, lossType="squared")
     pipe = Pipeline(stages=[asm, gbt])
     draws = random_param_draws(n_draws, seed)
@@ -85,7 +87,7 @@ def tune_gbt(train: DataFrame, features: list[str], target: str, n_draws: int =
                      gbt.featureSubsetStrategy: _strategy(dr["colsample"], len(features))})
     ev = RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName="mse")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, numFolds=n_folds,
-                        seed=seed, parallelism=parallelism)
+                        seed=seed, parallelism=parallelism or min(len(maps), 16))
     cvm = cv.fit(train)
     scores = [float(s) for s in cvm.avgMetrics]
     best = min(range(len(scores)), key=lambda i: scores[i])

@@ -205,3 +205,53 @@ def q_dbscan_report_summary(spark, sf_dir):
 def q_dbscan_report_counts(spark, sf_dir):
     """Clusters and noise rows per batch."""
     return bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS))["counts"]
+
+
+def _dbscan_sql(eps: float, min_samples: int) -> str:
+    """DuckDB twin of batched DBSCAN type 2: per-batch standardisation, ε-pairs
+    by a band join, core points, label propagation over core–core edges
+    (recursive CTE keyed by point), clusters numbered by their lowest row,
+    border points → lowest neighbouring cluster, the rest −1."""
+    feats = bt.TYPE2_FEATURES
+    z = ", ".join(
+        f"({c} - avg({c}) OVER w) / CASE WHEN coalesce(stddev_pop({c}) OVER w, 0) = 0 THEN 1 "
+        f"ELSE stddev_pop({c}) OVER w END AS z{i}" for i, c in enumerate(feats))
+    d2 = " + ".join(f"(p.z{i} - q.z{i}) * (p.z{i} - q.z{i})" for i in range(len(feats)))
+    head = with_sales(
+        f"ix AS (SELECT *, row_number() OVER (ORDER BY {KEYS_SQL}) - 1 AS row_idx FROM sales)",
+        f"bt AS (SELECT *, CAST(floor(row_idx / {bt.BATCH_SIZE}) + 1 AS INTEGER) AS batch_number FROM ix)",
+        "nn AS (SELECT * FROM bt WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in feats) + ")",
+        f"p AS MATERIALIZED (SELECT batch_number AS b, row_idx AS id, {z} FROM nn WINDOW w AS (PARTITION BY batch_number))",
+        f"nb AS MATERIALIZED (SELECT p.b, p.id AS a, q.id AS c FROM p JOIN p q ON p.b = q.b "
+        f"AND q.z0 BETWEEN p.z0 - {eps} AND p.z0 + {eps} AND {d2} <= {eps * eps})",
+        f"core AS MATERIALIZED (SELECT b, a AS id FROM nb GROUP BY 1, 2 HAVING count(*) >= {min_samples})",
+        "ce AS MATERIALIZED (SELECT b, a, c FROM nb WHERE a <> c AND (b, a) IN (SELECT b, id FROM core) "
+        "AND (b, c) IN (SELECT b, id FROM core))")
+    return head.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+lab(b, id, l) USING KEY (b, id) AS (
+  SELECT b, id, id FROM core
+  UNION
+  SELECT ce.b, ce.c, min(lab.l) FROM lab JOIN ce ON ce.b = lab.b AND ce.a = lab.id
+  JOIN recurring.lab r ON r.b = ce.b AND r.id = ce.c
+  GROUP BY ce.b, ce.c HAVING min(lab.l) < min(r.l)
+),
+cl AS (SELECT b, id, CAST(dense_rank() OVER (PARTITION BY b ORDER BY l) - 1 AS INTEGER) AS k FROM lab),
+border AS (SELECT nb.b, nb.a AS id, min(cl.k) AS k FROM nb JOIN cl ON nb.b = cl.b AND nb.c = cl.id
+           WHERE (nb.b, nb.a) NOT IN (SELECT b, id FROM core) GROUP BY 1, 2)
+SELECT p.b AS batch_number, p.id AS row_idx, CAST(coalesce(cl.k, border.k, -1) AS INTEGER) AS Cluster
+FROM p LEFT JOIN cl ON p.b = cl.b AND p.id = cl.id LEFT JOIN border ON p.b = border.b AND p.id = border.id"""
+
+
+@query("dbscan_type2_labels", _dbscan_sql(bt.EPS, bt.MIN_SAMPLES))
+def q_dbscan_type2_labels(spark, sf_dir):
+    """G5/G7 exact check: batched DBSCAN type 2 labels (ε 0.5, min 5) per
+    (batch, row) over the whole table."""
+    return bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS).select(
+        "batch_number", "row_idx", "Cluster")
+
+
+@query("dbscan_type2_fine_labels", _dbscan_sql(0.1, bt.MIN_SAMPLES))
+def q_dbscan_type2_fine_labels(spark, sf_dir):
+    """G5 with ε 0.1: hundreds of clusters, border points and noise per batch."""
+    return bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS, eps=0.1).select(
+        "batch_number", "row_idx", "Cluster")

@@ -196,9 +196,13 @@ def q_gbt_daily_metrics(spark, sf_dir):
     """Features → split → random search (10 draws × 5 folds) on quantity
     → revenue model with the same parameters and a validation curve →
     predictions (M7) → M9 for both targets."""
-    data = _daily_features(spark, sf_dir)
+    from tillpoint.session import cut_lineage
+    data = cut_lineage(_daily_features(spark, sf_dir), "persist")
     tr = random_holdout(data.where("split = 'train'").drop("split"), ["InvoiceDate"])
-    train, val = tr.where("split = 'train'"), tr.where("split = 'val'")
+    # one row per day: a small, bounded table — one partition keeps each
+    # boosting iteration to a single task
+    train = cut_lineage(tr.where("split = 'train'").coalesce(1), "persist")
+    val = tr.where("split = 'val'")
     test = data.where("split = 'test'")
     q_feats = ["daily_sells", "day_of_week", "daily_total"]
     t_feats = ["daily_sells", "day_of_week", "daily"]

@@ -180,9 +180,13 @@ def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples
     confirmed = (open_pairs.join(PA, keys + ["a"]).join(PB, keys + ["b"])
                  .where(_dist2("p", "q", d) <= F.lit(eps * eps))
                  .select(*keys, F.col("a").alias("u"), F.col("b").alias("v")).distinct())
-    edges = comp0.select(*keys, F.col("node").alias("u"), F.col("component").alias("v")) \
-                 .where(F.col("u") != F.col("v")).unionByName(confirmed)
-    comp = connected_components(edges, nodes, keys)
+    confirmed = cut_lineage(confirmed, "persist")
+    if confirmed.limit(1).count() == 0:
+        comp = comp0
+    else:
+        edges = comp0.select(*keys, F.col("node").alias("u"), F.col("component").alias("v")) \
+                     .where(F.col("u") != F.col("v")).unionByName(confirmed)
+        comp = connected_components(edges, nodes, keys)
 
     # 5. cluster numbers by lowest row position per key
     core_lab = (core.select(*keys, "pid", *lcell)

@@ -88,3 +88,14 @@ def fit_gmm(df: DataFrame, feature_cols: list[str], k: int = 3, seed: int = 0,
     out = model.transform(vec).withColumn("probability", vector_to_array("_prob")) \
                               .drop("_features", "_prob")
     return model, out
+
+
+def fit_bisecting(df: DataFrame, feature_cols: list[str], k: int, seed: int = 42,
+                  out_col: str = "Cluster"):
+    """G10 (the menu's hierarchical clustering, which has no body in the
+    original): divisive bisecting K-Means; returns (model, labelled rows)."""
+    from pyspark.ml.clustering import BisectingKMeans
+
+    vec = assemble(df, feature_cols, "_features").persist(StorageLevel.MEMORY_AND_DISK)
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="_features", predictionCol=out_col).fit(vec)
+    return model, model.transform(vec).drop("_features")

@@ -255,3 +255,28 @@ def q_dbscan_type2_fine_labels(spark, sf_dir):
     """G5 with ε 0.1: hundreds of clusters, border points and noise per batch."""
     return bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS, eps=0.1).select(
         "batch_number", "row_idx", "Cluster")
+
+
+@query("bisecting_kmeans_sizes")
+def q_bisecting_kmeans_sizes(spark, sf_dir):
+    """G10 + A7: divisive (bisecting) K-Means, k = 3, on standardised
+    Quantity/UnitPrice; cluster sizes."""
+    from tillpoint.cluster.mixture import fit_bisecting
+    z = scale(cleaned_sales(spark, sf_dir), _FEATS, "standard", suffix="_z")
+    _, out = fit_bisecting(z, ["Quantity_z", "UnitPrice_z"], 3)
+    return agg.cluster_sizes(out, "Cluster")
+
+
+@query("dbscan_report_country")
+def q_dbscan_report_country(spark, sf_dir):
+    """Country × (batch, cluster) counts of the type-2 results."""
+    return bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS))["country"]
+
+
+@query("dbscan_type1_scatter")
+def q_dbscan_type1_scatter(spark, sf_dir):
+    """C3 for the type-1 results: Quantity × UnitPrice bin counts per (batch, cluster)."""
+    from tillpoint.operators.charts import scatter_bins
+    out = bt.dbscan_type1(sales_from_tables(spark, sf_dir), ORDER_KEYS)
+    return scatter_bins(out.withColumn("Cluster", F.concat_ws(":", "batch_number", "Cluster")),
+                        "Quantity", "UnitPrice", 5.0, 10.0, "Cluster")

@@ -212,3 +212,21 @@ def q_gbt_daily_metrics(spark, sf_dir):
     a = mt.regression_metrics(pred, "daily", "predicted_quantity").withColumn("target", F.lit("daily"))
     b = mt.regression_metrics(pred, "daily_total", "predicted_total").withColumn("target", F.lit("daily_total"))
     return a.unionByName(b)
+
+
+@query("prophet_frame", with_sales(*CLEAN_CTES, _DAILY) + f"""
+SELECT Date AS ds, Sales AS y, CASE WHEN Date <= DATE '{SPLIT_DATE}' THEN 'train' ELSE 'test' END AS split FROM d""")
+def q_prophet_frame(spark, sf_dir):
+    """F8: the additive model's input frame — ``Date``→``ds``, ``Sales``→``y``."""
+    return daily_split(spark, sf_dir).withColumnsRenamed({"Date": "ds", "Sales": "y"})
+
+
+@query("forest_regression_daily")
+def q_forest_regression_daily(spark, sf_dir):
+    """M14 (menu entry without a body in the original): random forest on the
+    daily features; test metrics (M9)."""
+    from tillpoint.forecast.models import fit_simple
+    data = _daily_features(spark, sf_dir)
+    feats = ["daily_sells", "day_of_week", "daily_total"]
+    m = fit_simple(data.where("split = 'train'"), feats, "daily", "forest")
+    return mt.regression_metrics(m.transform(data.where("split = 'test'")), "daily", "prediction")

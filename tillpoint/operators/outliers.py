@@ -1,8 +1,10 @@
 """Outlier removal (O1 quartile rule, O2 mean ± t·std).
 
-Bounds come from one aggregate per column, a single row that is broadcast
-and cross-joined (one-row build side, size fixed by construction) into the
-filter, so the whole step stays one lazy plan.
+Bounds come from one aggregate pass per step, a single row (two numbers
+per column) that is read back and applied as literal predicates. The
+returned plan is then a plain filter over the input — no nested copies of
+the input's plan, and raw columns get Parquet predicate pushdown. For the
+chained mode the input is persisted first, so its k + 1 passes read it once.
 
 ``mode``:
   * ``first``   – only the first column is treated (what the original loop does);
@@ -17,17 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.operators.quantiles import exact_quantiles
+from tillpoint.session import cut_lineage
 
 MODES = ("first", "chained", "joint")
 
 
 def _apply(df: DataFrame, bounds: DataFrame, cols: list[str]) -> DataFrame:
-    cond = None
+    row = bounds.first()
+    cond = F.lit(True)
     for c in cols:
-        t = F.col(c).between(F.col(f"_lo_{c}"), F.col(f"_hi_{c}"))
-        cond = t if cond is None else cond & t
-    joined = df.crossJoin(F.broadcast(bounds)).where(cond)
-    return joined.drop(*[f"_lo_{c}" for c in cols], *[f"_hi_{c}" for c in cols])
+        lo, hi = row[f"_lo_{c}"], row[f"_hi_{c}"]
+        if lo is None or hi is None:  # no non-missing values: nothing survives
+            return df.where(F.lit(False))
+        cond = cond & F.col(c).between(F.lit(float(lo)), F.lit(float(hi)))
+    return df.where(cond)
 
 
 def threshold_bounds(df: DataFrame, cols: list[str], threshold: float) -> DataFrame:
@@ -50,7 +55,8 @@ def quartile_bounds(df: DataFrame, cols: list[str], factor: float = 1.5) -> Data
     return q.agg(*aggs)
 
 
-def _remove(df: DataFrame, cols: list[str], mode: str, bounds_fn) -> DataFrame:
+def _remove(df: DataFrame, cols: list[str], mode: str, bounds_fn,
+            materialize: str = "persist") -> DataFrame:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     cols = list(cols)
@@ -60,7 +66,8 @@ def _remove(df: DataFrame, cols: list[str], mode: str, bounds_fn) -> DataFrame:
         return _apply(df, bounds_fn(df, cols[:1]), cols[:1])
     if mode == "joint":
         return _apply(df, bounds_fn(df, cols), cols)
-    out = df
+    base = cut_lineage(df, materialize) if len(cols) > 1 else df
+    out = base
     for c in cols:
         out = _apply(out, bounds_fn(out, [c]), [c])
     return out

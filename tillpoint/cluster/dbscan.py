@@ -13,7 +13,9 @@ Plan (after Gunawan 2013 and Gan & Tao 2015, grid DBSCAN):
 2. *core grid*, side ε/√d: a cell's points are all mutual neighbours, so a
    cell weighing ≥ min_samples makes all of them core with no distance
    work; points of lighter cells count their neighbours by an equi-join
-   on neighbouring cells plus a distance filter;
+   on neighbouring cells: a cell whose bounding box lies wholly inside the
+   ε-ball adds its weight at once, only straddling cells are opened point
+   by point;
 3. *link grid*, side ε/√(d+3): points of one cell are mutual neighbours
    and face-adjacent cells are always within ε; every pair of core cells
    in reach is decided by its core bounding boxes when possible (the
@@ -65,19 +67,35 @@ def _dist2(a: str, b: str, d: int) -> Column:
     return e
 
 
-def _neighbour_pairs(left: DataFrame, right: DataFrame, keys: list[str], d: int,
-                     cell_prefix: str, offsets, eps: float, lp: str, rp: str) -> DataFrame:
-    """Pairs (left point, right point) within ε, via offsets on cell ids.
+def _box_gap_far(d: int, px: str, lo: str, hi: str) -> tuple[Column, Column]:
+    """Squared distance from a point to the nearest and to the farthest corner of a box."""
+    gap = far = None
+    for i in range(d):
+        x = F.col(f"{px}{i}")
+        g = F.greatest(F.col(f"{lo}{i}") - x, x - F.col(f"{hi}{i}"), F.lit(0.0))
+        f = F.greatest(x - F.col(f"{lo}{i}"), F.col(f"{hi}{i}") - x)
+        gap = g * g if gap is None else gap + g * g
+        far = f * f if far is None else far + f * f
+    return gap, far
+
+
+def _cell_probe(left: DataFrame, cells: DataFrame, keys: list[str], d: int, offsets,
+                eps: float) -> DataFrame:
+    """Left points × occupied neighbour cells, tagged ``whole`` (every point of the
+    cell within ε), ``part`` (cell straddles the ε-ball) or dropped (none within ε).
 
-    ``left``/``right`` have ``keys…, {p}id, {p}x0…, cell ids``.
+    ``left``: ``keys…, apid, ax…, ac…``; ``cells``: ``keys…, bc…, lo…, hi…, …``.
     """
     offs = F.array(*[F.array(*[F.lit(k) for k in o]) for o in offsets])
     probe = left.withColumn("_o", F.explode(offs)).withColumns(
-        {f"_t{i}": F.col(f"{lp}{cell_prefix}{i}") + F.col("_o")[i] for i in range(d)}).drop("_o")
-    cond = [probe[k] == right[k] for k in keys] + \
-           [probe[f"_t{i}"] == right[f"{rp}{cell_prefix}{i}"] for i in range(d)]
-    j = probe.join(right, cond).drop(*[right[k] for k in keys])
-    return j.where(_dist2(lp, rp, d) <= F.lit(eps * eps))
+        {f"_t{i}": F.col(f"ac{i}") + F.col("_o")[i] for i in range(d)}).drop("_o")
+    cond = [probe[k] == cells[k] for k in keys] + \
+           [probe[f"_t{i}"] == cells[f"bc{i}"] for i in range(d)]
+    j = probe.join(cells, cond).drop(*[cells[k] for k in keys])
+    gap, far = _box_gap_far(d, "ax", "lo", "hi")
+    e2 = F.lit(eps * eps)
+    return (j.where(gap <= e2)
+             .withColumn("_whole", far <= e2))
 
 
 def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples: int = 5,
@@ -112,14 +130,27 @@ def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples
 
     reach_core = math.ceil(eps / side_core)
     offs_core = _offsets(d, reach_core, side_core, eps)
-    L = light.select(*keys, F.col("pid").alias("apid"), F.col("w").alias("aw"),
+    L = light.select(*keys, F.col("pid").alias("apid"),
                      *[F.col(f"x{i}").alias(f"ax{i}") for i in range(d)],
                      *[F.col(f"c{i}").alias(f"ac{i}") for i in range(d)])
+    # per occupied core cell: weight and bounding box. A neighbour cell wholly
+    # inside p's ε-ball adds its weight with no point pairs; only cells that
+    # straddle the ball boundary are opened point by point.
+    cstat = pts.groupBy(*keys, *[F.col(f"c{i}").alias(f"bc{i}") for i in range(d)]).agg(
+        F.sum("w").alias("cw"),
+        *[F.min(f"x{i}").alias(f"lo{i}") for i in range(d)],
+        *[F.max(f"x{i}").alias(f"hi{i}") for i in range(d)])
+    tagged = _cell_probe(L, cstat, keys, d, offs_core, eps)
+    whole = tagged.where("_whole").groupBy(*keys, "apid").agg(F.sum("cw").alias("n"))
     R = pts.select(*keys, F.col("pid").alias("bpid"), F.col("w").alias("bw"),
                    *[F.col(f"x{i}").alias(f"bx{i}") for i in range(d)],
                    *[F.col(f"c{i}").alias(f"bc{i}") for i in range(d)])
-    near = _neighbour_pairs(L, R, keys, d, "c", offs_core, eps, "a", "b")
-    counted = near.groupBy(*keys, "apid").agg(F.sum("bw").alias("n"))
+    part = tagged.where(~F.col("_whole")).select(
+        *keys, "apid", *[f"ax{i}" for i in range(d)], *[f"bc{i}" for i in range(d)])
+    partial = (part.join(R, keys + [f"bc{i}" for i in range(d)])
+                   .where(_dist2("a", "b", d) <= F.lit(eps * eps))
+                   .groupBy(*keys, "apid").agg(F.sum("bw").alias("n")))
+    counted = whole.unionByName(partial).groupBy(*keys, "apid").agg(F.sum("n").alias("n"))
     light_core = counted.where(F.col("n") >= min_samples).select(
         *keys, F.col("apid").alias("pid"), F.lit(True).alias("core"))
     core_ids = dense.unionByName(light_core)
@@ -204,7 +235,8 @@ def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples
                       .select(*keys, "pid", F.col("cl").cast("int").alias("cl"))
     core_cl = cut_lineage(core_cl, "persist")
 
-    # border points: minimum cluster over core neighbours
+    # border points: minimum cluster over core neighbours (whole cells by their
+    # minimum core label, straddling cells point by point)
     nonc = pts.where(~F.col("core")).select(
         *keys, F.col("pid").alias("apid"), *[F.col(f"x{i}").alias(f"ax{i}") for i in range(d)],
         *[F.col(f"c{i}").alias(f"ac{i}") for i in range(d)])
@@ -212,8 +244,18 @@ def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples
                .select(*keys, F.col("pid").alias("bpid"), F.col("cl").alias("bcl"),
                        *[F.col(f"x{i}").alias(f"bx{i}") for i in range(d)],
                        *[F.col(f"c{i}").alias(f"bc{i}") for i in range(d)]))
-    border = (_neighbour_pairs(nonc, corepts, keys, d, "c", offs_core, eps, "a", "b")
-              .groupBy(*keys, "apid").agg(F.min("bcl").alias("cl"))
+    ccstat = corepts.groupBy(*keys, *[f"bc{i}" for i in range(d)]).agg(
+        F.min("bcl").alias("cmin"),
+        *[F.min(f"bx{i}").alias(f"lo{i}") for i in range(d)],
+        *[F.max(f"bx{i}").alias(f"hi{i}") for i in range(d)])
+    btag = _cell_probe(nonc, ccstat, keys, d, offs_core, eps)
+    bwhole = btag.where("_whole").select(*keys, "apid", F.col("cmin").alias("cl"))
+    bpart = (btag.where(~F.col("_whole"))
+                 .select(*keys, "apid", *[f"ax{i}" for i in range(d)], *[f"bc{i}" for i in range(d)])
+                 .join(corepts, keys + [f"bc{i}" for i in range(d)])
+                 .where(_dist2("a", "b", d) <= F.lit(eps * eps))
+                 .select(*keys, "apid", F.col("bcl").alias("cl")))
+    border = (bwhole.unionByName(bpart).groupBy(*keys, "apid").agg(F.min("cl").alias("cl"))
               .select(*keys, F.col("apid").alias("pid"), "cl"))
     labels = core_cl.unionByName(border)
 

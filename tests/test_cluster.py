@@ -87,6 +87,21 @@ def test_kmeans_and_gmm_invariants(spark):
     assert gm.groupBy("cluster").count().toPandas()["count"].sum() == 300
 
 
+def test_gmm_weighted_collapse(spark):
+    """EM over weighted distinct points: every copy of a point gets the same
+    label, sizes add up to all rows, and a rerun gives the same labels."""
+    x = np.repeat(blobs(120, 2, 11), 4, axis=0)
+    df = _frame(spark, x)
+    model, gm = fit_gmm(df, ["f0", "f1"], 3, seed=0)
+    assert abs(sum(model.weights) - 1) < 1e-9
+    p = gm.toPandas().sort_values("row_idx")
+    assert len(p) == 480
+    assert (p.groupby(["f0", "f1"])["cluster"].nunique() == 1).all()
+    _, again = fit_gmm(df, ["f0", "f1"], 3, seed=0)
+    q = again.toPandas().sort_values("row_idx")
+    assert (q["cluster"].to_numpy() == p["cluster"].to_numpy()).all()
+
+
 def test_elbow_k1_is_total_squared_deviation(spark):
     x = blobs(90, 2, 9)
     df = _frame(spark, x)

@@ -81,12 +81,25 @@ def elbow(df: DataFrame, feature_cols: list[str], max_k: int = 10, seed: int = 4
 
 def fit_gmm(df: DataFrame, feature_cols: list[str], k: int = 3, seed: int = 0,
             max_iter: int = 100, tol: float = 1e-3, out_col: str = "cluster"):
-    """Gaussian mixture (full covariances) + hard label = most probable component."""
-    vec = assemble(df, feature_cols, "_features").persist(StorageLevel.MEMORY_AND_DISK)
+    """Gaussian mixture (full covariances) + hard label = most probable component.
+
+    EM runs over the *distinct* feature points weighted by their row counts
+    (``weightCol``): each E/M step is a weighted sum, so equal rows contribute
+    exactly as one point of their total weight, and every iteration scans the
+    (much smaller) distinct set instead of all rows. The collapse is a groupBy
+    with map-side partial aggregation, so one hot point does not make a hot
+    task. MLlib caches the weighted instances itself (input left unpersisted);
+    the points are sorted inside their partitions so the seeded initial sample
+    is the same on every run. Labels come from one map-only pass over the rows.
+    """
+    pts = (df.groupBy(*feature_cols).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+             .sortWithinPartitions(*feature_cols))
+    vec = assemble(pts, feature_cols, "_features").select("_features", "_w")
     model = GaussianMixture(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_features",
-                            predictionCol=out_col, probabilityCol="_prob").fit(vec)
-    out = model.transform(vec).withColumn("probability", vector_to_array("_prob")) \
-                              .drop("_features", "_prob")
+                            weightCol="_w", predictionCol=out_col, probabilityCol="_prob").fit(vec)
+    out = model.transform(assemble(df, feature_cols, "_features")) \
+               .withColumn("probability", vector_to_array("_prob")) \
+               .drop("_features", "_prob")
     return model, out
 
 

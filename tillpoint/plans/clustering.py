@@ -195,19 +195,9 @@ def q_dbscan_type2(spark, sf_dir):
     return bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS)
 
 
-@query("dbscan_report_summary")
-def q_dbscan_report_summary(spark, sf_dir):
-    """Per (batch, cluster) summary without noise."""
-    return bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS))["summary"]
-
-
-@query("dbscan_report_counts")
-def q_dbscan_report_counts(spark, sf_dir):
-    """Clusters and noise rows per batch."""
-    return bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS))["counts"]
 
 
-def _dbscan_sql(eps: float, min_samples: int) -> str:
+def _dbscan_ctes(eps: float, min_samples: int) -> str:
     """DuckDB twin of batched DBSCAN type 2: per-batch standardisation, ε-pairs
     by a band join, core points, label propagation over core–core edges
     (recursive CTE keyed by point), clusters numbered by their lowest row,
@@ -237,9 +227,17 @@ lab(b, id, l) USING KEY (b, id) AS (
 ),
 cl AS (SELECT b, id, CAST(dense_rank() OVER (PARTITION BY b ORDER BY l) - 1 AS INTEGER) AS k FROM lab),
 border AS (SELECT nb.b, nb.a AS id, min(cl.k) AS k FROM nb JOIN cl ON nb.b = cl.b AND nb.c = cl.id
-           WHERE (nb.b, nb.a) NOT IN (SELECT b, id FROM core) GROUP BY 1, 2)
-SELECT p.b AS batch_number, p.id AS row_idx, CAST(coalesce(cl.k, border.k, -1) AS INTEGER) AS Cluster
-FROM p LEFT JOIN cl ON p.b = cl.b AND p.id = cl.id LEFT JOIN border ON p.b = border.b AND p.id = border.id"""
+           WHERE (nb.b, nb.a) NOT IN (SELECT b, id FROM core) GROUP BY 1, 2),
+res AS (SELECT p.b AS batch_number, p.id AS row_idx, CAST(coalesce(cl.k, border.k, -1) AS INTEGER) AS Cluster
+  FROM p LEFT JOIN cl ON p.b = cl.b AND p.id = cl.id LEFT JOIN border ON p.b = border.b AND p.id = border.id),
+rep AS (SELECT bt.*, res.Cluster, res.batch_number AS BatchNumber
+  FROM res JOIN bt ON bt.batch_number = res.batch_number AND bt.row_idx = res.row_idx)
+"""
+
+
+def _dbscan_sql(eps: float, min_samples: int) -> str:
+    """Labels per (batch, row) of batched DBSCAN type 2."""
+    return _dbscan_ctes(eps, min_samples) + "SELECT batch_number, row_idx, Cluster FROM res"
 
 
 @query("dbscan_type2_labels", _dbscan_sql(bt.EPS, bt.MIN_SAMPLES))
@@ -267,7 +265,29 @@ def q_bisecting_kmeans_sizes(spark, sf_dir):
     return agg.cluster_sizes(out, "Cluster")
 
 
-@query("dbscan_report_country")
+# G8 reports over the exact type-2 labels; the oracles reuse the label SQL above.
+@query("dbscan_report_summary", _dbscan_ctes(bt.EPS, bt.MIN_SAMPLES) + f"""
+SELECT BatchNumber, Cluster, {r('avg(Quantity)')} AS Quantity_mean, min(Quantity) AS Quantity_min,
+  max(Quantity) AS Quantity_max, count(Quantity) AS Quantity_count, {r('avg(UnitPrice)')} AS UnitPrice_mean,
+  {r('min(UnitPrice)')} AS UnitPrice_min, {r('max(UnitPrice)')} AS UnitPrice_max,
+  count(DISTINCT CustomerID) AS CustomerID_nunique
+FROM rep WHERE Cluster <> -1 GROUP BY 1, 2""")
+def q_dbscan_report_summary(spark, sf_dir):
+    """Per (batch, cluster) summary without noise."""
+    return rounded(bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS))["summary"])
+
+
+@query("dbscan_report_counts", _dbscan_ctes(bt.EPS, bt.MIN_SAMPLES) + """
+SELECT BatchNumber, count(DISTINCT CASE WHEN Cluster <> -1 THEN Cluster END) AS n_clusters,
+  count_if(Cluster = -1)::BIGINT AS n_noise
+FROM rep GROUP BY 1""")
+def q_dbscan_report_counts(spark, sf_dir):
+    """Clusters and noise rows per batch."""
+    return bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS))["counts"]
+
+
+@query("dbscan_report_country", _dbscan_ctes(bt.EPS, bt.MIN_SAMPLES)
+       + "SELECT Country, BatchNumber, Cluster, count(*) AS count FROM rep GROUP BY 1, 2, 3")
 def q_dbscan_report_country(spark, sf_dir):
     """Country × (batch, cluster) counts of the type-2 results."""
     return bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS))["country"]

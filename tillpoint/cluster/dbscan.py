@@ -1,5 +1,8 @@
 """Exact DBSCAN as DataFrame joins on a grid (G5), optionally per partition key.
 
+The ε-neighbourhood self-join (J3) is an equi-join on neighbouring grid cells
+with a distance residual; it is never a cross product.
+
 Semantics (those of the usual library implementation): the ε-neighbourhood
 uses distance ≤ ε and counts the point itself; a core point has at least
 ``min_samples`` points in it; clusters are the connected components of core
@@ -259,7 +262,8 @@ def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples
               .select(*keys, F.col("apid").alias("pid"), "cl"))
     labels = core_cl.unionByName(border)
 
-    # back to the rows: every row of an equal point shares its label
+    # J1, back to the rows: every row of an equal point shares its label, and
+    # every input column is kept (no positional alignment)
     point_lab = pts.join(labels, keys + ["pid"], "left").select(
         *[F.col(k).alias(f"_pk_{k}") for k in keys],
         *[F.col(f"x{i}").alias(f"_px{i}") for i in range(d)], F.col("cl").alias("_cl"))

@@ -143,12 +143,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask_
 
 def remove_spans(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the removed spans cut out of their texts; ``found`` is ``dedup``'s result on the same frame."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    text = F.col(names[docs.columns.index(text_col)])
+    numbered = docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id())
     spans = found.where("removed_spans != ''").select(F.col("row").alias("_row"), F.col("removed_spans").alias("_gone"))
-    parts = F.filter(F.concat(F.array(F.lit("0:0")), F.split("_gone", ",")), lambda s: s != "")
+    parts = F.concat(F.array(F.lit("0:0")), F.split("_gone", ","))
+    edge = lambda s, i: F.split(s, ":")[i].cast("int")
     kept = F.transform(parts, lambda s, i: F.substring(
-        F.col(text_col), F.split(s, ":")[1].cast("int") + 1,
-        F.coalesce(F.split(F.get(parts, i + 1), ":")[0].cast("int"), F.length(text_col)) - F.split(s, ":")[1].cast("int")))
+        text, edge(s, 1) + 1, F.coalesce(edge(F.get(parts, i + 1), 0), F.length(text)) - edge(s, 1)))
+    new = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, ""))
     return (numbered.join(spans, "_row", "left")
-                    .withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "")))
-                    .select(*docs.columns))
+                    .select(*(new.alias(n) if c == text_col else F.col(n) for n, c in zip(names, docs.columns)))
+                    .toDF(*docs.columns))

@@ -37,7 +37,7 @@ EPOCHS = 12
 BATCH = 64
 RATE = 0.01
 UNDECIDED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # letters, and numerals like ² that are none
 
 
 @dataclass
@@ -208,6 +208,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(samples) if samples else None
 
 
+def _has_letter(text: str | None) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text or ""))
+
+
 def _predict(column: pa.Array, scorer: Scorer | None) -> tuple[list[str], list[float]]:
     if scorer is None:
         return [UNDECIDED] * len(column), [0.0] * len(column)
@@ -219,7 +223,7 @@ def _predict(column: pa.Array, scorer: Scorer | None) -> tuple[list[str], list[f
         langs += [scorer.net.languages[k] for k in best.tolist()]
         scores += prob[np.arange(len(best)), best].tolist()
     for i, t in enumerate(column):
-        if not _LETTER.search(t.as_py() or ""):
+        if not _has_letter(t.as_py()):
             langs[i], scores[i] = UNDECIDED, 0.0
     return langs, [min(1.0, max(0.0, s)) for s in scores]
 
@@ -248,7 +252,7 @@ def keep_identified(docs: DataFrame, net: ByteNet | None, text_col: str = "text"
         for batch in batches:
             column = batch.column(place)
             if scorer is None:
-                keep = [bool(_LETTER.search(t.as_py() or "")) for t in column]
+                keep = [_has_letter(t.as_py()) for t in column]
             else:
                 langs, scores = _predict(column, scorer)
                 keep = [lang != UNDECIDED and s >= min_score for lang, s in zip(langs, scores)]

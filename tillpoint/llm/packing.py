@@ -272,9 +272,10 @@ def merge_round(members: DataFrame, tasks: int, capacity: int) -> DataFrame:
     """Best-fit the root bins dealt to each task; members follow their root."""
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
+        table = pa.Table.from_batches(got)
         m = {c: table.column(c).to_numpy() for c in ("bin", "root", "shift", "fill")}
         roots, first, member = np.unique(m["root"], return_index=True, return_inverse=True)
         bins, offsets, fill = best_fit(m["fill"][first], capacity)
@@ -295,7 +296,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     under = (local.where(F.col("fill") < capacity - slack).groupBy("bin").agg(F.first("fill").alias("fill"))
                   .select("bin", F.col("bin").alias("root"), F.lit(0).cast("long").alias("shift"), "fill"))
     open_bins = stored(under, "packing-open")
-    left, tasks, done = open_bins.count(), local.rdd.getNumPartitions() * fan_in, []
+    left, tasks, done = open_bins.count(), local.select(F.shiftright("bin", 36)).distinct().count() * fan_in, []
     while left > 1:
         tasks = max(1, -(-left // share), tasks // fan_in)
         packed = stored(merge_round(open_bins, tasks, capacity), "packing-round")

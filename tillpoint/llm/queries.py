@@ -32,9 +32,28 @@ def remainder(modulus: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
-@_query("op1_decontamination")
+_WORDS = ("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+_OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+p AS (SELECT DISTINCT item_id, least(10, len(w)) AS m, list_slice(w, i, i + least(10, len(w)) - 1) AS k
+      FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT m FROM p),
+dw AS (SELECT rid, m, i, list_slice(w, i, i + m - 1) AS k FROM d, lengths, unnest(range(1, len(w) - m + 2)) AS t(i)),
+hits AS (SELECT rid, item_id, dw.m AS m, i FROM dw JOIN p ON dw.k = p.k AND dw.m = p.m),
+covered AS (SELECT rid, count(DISTINCT pos) AS n FROM hits, unnest(range(i, i + m)) AS t(pos) GROUP BY rid),
+found AS (SELECT rid, count(DISTINCT item_id) AS n, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids
+          FROM hits GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, covered.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid)
+"""
+
+
+@_query("op1_decontamination", _OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
 _OP2_SQL = """

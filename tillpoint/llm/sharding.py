@@ -78,8 +78,8 @@ def first_map(slots: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def grown_map(slots: DataFrame, current: DataFrame, shards: int) -> DataFrame:
-    """The map with one more shard, number ``shards``: it takes slots, largest first, from shards above the
-    new mean until it has its share; no other slot moves."""
+    """The map with one more shard, number ``shards``: it takes slots, largest first, that leave their shard at
+    the new mean or above, until it has its share; no other slot moves."""
     have = slots.join(F.broadcast(current), "virtual_slot")
     loads = have.groupBy("shard").agg(F.sum("n_bytes").alias("b")).agg(
         F.map_from_entries(F.collect_list(F.struct("shard", "b"))).alias("by_shard"), (F.sum("b") / (shards + 1)).alias("mean"))
@@ -87,7 +87,7 @@ def grown_map(slots: DataFrame, current: DataFrame, shards: int) -> DataFrame:
                .crossJoin(loads)  # one row each
 
     def choose(now, x):
-        moves = ((F.get(now, F.lit(shards)) + x["n_bytes"] <= F.col("mean")) & (F.get(now, x["shard"]) > F.col("mean"))
+        moves = ((F.get(now, F.lit(shards)) + x["n_bytes"] <= F.col("mean")) & (F.get(now, x["shard"]) - x["n_bytes"] >= F.col("mean"))
                  & (x["n_bytes"] > 0))
         return F.when(moves, F.lit(shards)).otherwise(x["shard"])
 

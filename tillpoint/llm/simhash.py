@@ -44,6 +44,7 @@ SEED = 42
 LEAVES = 4096
 LEAF_ROWS = 4096
 FIRST_LEVELS, NEXT_LEVELS = 12, 6
+HOT_SHARE = 1000
 CHUNK = 1 << 16
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
@@ -321,15 +322,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     max_bits: int = MAX_BITS, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """``doc_id, fingerprint, component_id``, one row per document. A null doc_id counts as the largest id."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-fingerprints")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     distinct = prints.select("fp").distinct()
     edges = stored(links(distinct, max_bits, leaves, leaf_rows), "simhash-links")
-    labels = connected_components(edges).select(F.col("node").alias("fp"), "component")
+    labels = connected_components(edges, checkpoint_every=1).select(F.col("node").alias("fp"), "component")
     smallest = labels.join(first, "fp").groupBy("component").agg(F.min("first_id").alias("reached"))
-    linked = stored(labels.join(smallest, "component").select("fp", "reached"), "simhash-components")
-    of = first.join(linked, "fp", "left").select("fp", F.coalesce("reached", "first_id").alias("component_id"))
-    return prints.join(of, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    linked = labels.join(smallest, "component").select("fp", "reached")
+    of = stored(first.join(linked, "fp", "left").select("fp", F.coalesce("reached", "first_id").alias("component_id"), "n"),
+                "simhash-components")
+    # fingerprints of over a thousandth of the rows, at most a thousand, are broadcast; the others meet by shuffle
+    hot = F.col("n") > max(1, prints.count() // HOT_SHARE)
+    rows = prints.join(F.broadcast(of.where(hot).select("fp", F.struct("component_id").alias("_of"))), "fp", "left")
+    found = rows.where(F.col("_of").isNotNull()).select("doc_id", "fp", "_of.component_id").unionByName(
+        rows.where(F.col("_of").isNull()).drop("_of").join(of.where(~hot).drop("n"), "fp").select("doc_id", "fp", "component_id"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

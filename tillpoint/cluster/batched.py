@@ -69,4 +69,5 @@ def cluster_report(results: DataFrame, merge_batches: bool = False) -> dict[str,
            "summary": agg.cluster_summary(results, "Cluster", keys)}
     if "Country" in results.columns:
         rep["country"] = agg.country_cluster_counts(results, "Cluster", keys)
+        rep["country_filled"] = agg.country_cluster_counts(results, "Cluster", keys, filled=True)
     return rep

@@ -12,6 +12,8 @@ only compared within equal keys. Node ids are longs.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +44,7 @@ def _small_star(e: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
-                         keys: list[str] | None = None, max_rounds: int = 64,
-                         checkpoint_every: int = 2) -> DataFrame:
+                         keys: list[str] | None = None, checkpoint_every: int = 2) -> DataFrame:
     """Return ``keys…, node, component`` with component = smallest node id of the component.
 
     ``edges`` has columns ``keys…, u, v``; ``nodes`` (``keys…, node``) adds
@@ -54,7 +55,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
              .where(F.col("u") != F.col("v"))
     e = cut_lineage(e, "persist")
     prev_sig = None
-    for i in range(max_rounds):
+    for i in count():  # until a round changes nothing
         e = _small_star(_large_star(e, keys), keys)
         if (i + 1) % checkpoint_every == 0:
             e = cut_lineage(e, "checkpoint")
@@ -65,8 +66,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
         if sig == prev_sig:
             break
         prev_sig = sig
-    else:
-        raise RuntimeError("connected components did not converge")
     # converged: every edge points from a node to its component minimum
     labels = e.groupBy(*keys, F.col("u").alias("node")).agg(F.min("v").alias("component"))
     roots = labels.select(*keys, F.col("component").alias("node"), "component").distinct()

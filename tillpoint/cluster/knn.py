@@ -1,20 +1,24 @@
 """Exact k-distance (G4): distance of every point to its k-th nearest point,
 the point itself counted first (query points = fitted points).
 
-Grid search with widening rings, all as DataFrame joins:
+Grid search with growing cells, all as DataFrame joins:
 
 * equal points collapse to one weighted point;
-* cell side h is chosen so an average cell holds about k points;
-* round r: each unresolved point is joined with the points of the
-  (2r+1)^d cells around its own; the k-th smallest candidate distance is
-  final when it is ≤ r·h (nothing outside the block can be nearer) or when
-  the block already holds every point of the partition key; otherwise the
-  point goes to the next round with r doubled.
+* the first cell side is small enough that the fullest cell holds at most
+  ``MOST_IN_CELL`` points, however far outliers stretch the range: dense
+  regions are settled with small cells;
+* each round joins the unsettled points with the points of the 3^d cells
+  around their own (the cells are keys of an equi-join, only occupied ones
+  meet). The k-th smallest candidate distance is final when it is ≤ the cell
+  side (nothing outside the block can be nearer) or when the block holds
+  every point of the partition key; the other points, which have few points
+  about them, go to the next round with cells of twice the side.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +27,8 @@ from tillpoint.operators.quantiles import exact_quantiles
 from tillpoint.operators.rowindex import with_row_index
 from tillpoint.session import cut_lineage
 
+MOST_IN_CELL = 64
+
 
 def _dist2(d: int) -> Column:
     e = None
@@ -32,9 +38,25 @@ def _dist2(d: int) -> Column:
     return e
 
 
+def _first_cell(pts: DataFrame, xs: list[str], k: int) -> float:
+    """A cell side at which no cell holds over ``MOST_IN_CELL`` distinct points: halved from an average of about
+    k points a cell until the fullest cell is small enough."""
+    st = pts.agg(F.count(F.lit(1)).alias("n"),
+                 *[(F.max(x) - F.min(x)).alias(f"r{i}") for i, x in enumerate(xs)]).first()
+    ranges = [float(st[f"r{i}"]) for i in range(len(xs)) if st[f"r{i}"]]
+    if not ranges:
+        return 1.0
+    cell = (math.prod(ranges) * k / st["n"]) ** (1.0 / len(ranges))
+    while cell > max(ranges) * 1e-12:
+        grid = pts.groupBy(*[F.floor(F.col(x) / F.lit(cell)) for x in xs]).count()
+        if (grid.agg(F.max("count")).first()[0] or 0) <= MOST_IN_CELL:
+            break
+        cell /= 2
+    return cell
+
+
 def k_distance(df: DataFrame, feature_cols: list[str], k: int = 5, id_col: str = "row_idx",
-               keys: list[str] | None = None, cell: float | None = None,
-               max_rounds: int = 40) -> DataFrame:
+               keys: list[str] | None = None, cell: float | None = None) -> DataFrame:
     """Per distinct point: ``keys…, pid, x0…, w, kdist`` (``w`` = rows at that point)."""
     keys = list(keys or [])
     d = len(feature_cols)
@@ -43,29 +65,18 @@ def k_distance(df: DataFrame, feature_cols: list[str], k: int = 5, id_col: str =
                      *[F.col(c).cast("double").alias(x) for c, x in zip(feature_cols, xs)])
              .groupBy(*keys, *xs).agg(F.count(F.lit(1)).alias("w"), F.min("_id").alias("pid")))
     pts = cut_lineage(pts, "persist")
-    if cell is None:
-        st = pts.agg(F.count(F.lit(1)).alias("n"),
-                     *[(F.max(x) - F.min(x)).alias(f"r{i}") for i, x in enumerate(xs)]).first()
-        n = max(int(st["n"]), 1)
-        vol = 1.0
-        for i in range(d):
-            vol *= max(float(st[f"r{i}"] or 0.0), 1e-12)
-        cell = max((vol * k / n) ** (1.0 / d), 1e-9)
+    cell = cell or _first_cell(pts, xs, k)
     total = pts.groupBy(*keys).agg(F.sum("w").alias("_tot"))
-    pts = pts.withColumns({f"g{i}": F.floor(F.col(x) / F.lit(cell)).cast("long") for i, x in enumerate(xs)})
     pts = cut_lineage(pts.join(total, keys) if keys else pts.crossJoin(F.broadcast(total)), "persist")
-
-    B = pts.select(*keys, F.col("w").alias("bw"), *[F.col(x).alias(f"b{x}") for x in xs],
-                   *[F.col(f"g{i}").alias(f"bg{i}") for i in range(d)])
-    todo = pts
-    done = None
-    r = 1
-    for _ in range(max_rounds):
-        offs = F.array(*[F.array(*[F.lit(v) for v in o])
-                         for o in itertools.product(range(-r, r + 1), repeat=d)])
-        A = todo.select(*keys, "pid", "_tot", *[F.col(x).alias(f"a{x}") for x in xs],
-                        *[(F.col(f"g{i}")).alias(f"ag{i}") for i in range(d)])
-        probe = A.withColumn("_o", F.explode(offs)).withColumns(
+    offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in itertools.product((-1, 0, 1), repeat=d)])
+
+    todo, done = pts, None
+    while True:  # until no point is left: at last one block holds them all
+        grid = [F.floor(F.col(x) / F.lit(cell)).cast("long") for x in xs]
+        B = pts.select(*keys, F.col("w").alias("bw"), *[F.col(x).alias(f"b{x}") for x in xs],
+                       *[g.alias(f"bg{i}") for i, g in enumerate(grid)])
+        probe = todo.select(*keys, "pid", "_tot", *[F.col(x).alias(f"a{x}") for x in xs],
+                            *[g.alias(f"ag{i}") for i, g in enumerate(grid)], F.explode(offs).alias("_o")).withColumns(
             {f"_t{i}": F.col(f"ag{i}") + F.col("_o")[i] for i in range(d)}).drop("_o")
         cond = [probe[kk] == B[kk] for kk in keys] + [probe[f"_t{i}"] == B[f"bg{i}"] for i in range(d)]
         cand = probe.join(B, cond).drop(*[B[kk] for kk in keys]) \
@@ -75,8 +86,7 @@ def k_distance(df: DataFrame, feature_cols: list[str], k: int = 5, id_col: str =
         per = cum.groupBy(*keys, "pid").agg(
             F.min(F.when(F.col("_cum") >= k, F.col("dist"))).alias("kdist"),
             F.sum("bw").alias("_seen"), F.first("_tot").alias("_tot"))
-        ok = (F.col("kdist").isNotNull() & (F.col("kdist") <= F.lit(r * cell))) | \
-             (F.col("_seen") >= F.col("_tot"))
+        ok = (F.col("kdist").isNotNull() & (F.col("kdist") <= F.lit(cell))) | (F.col("_seen") >= F.col("_tot"))
         per = cut_lineage(per.withColumn("_ok", ok), "persist")
         fin = per.where("_ok").select(*keys, "pid", "kdist")
         done = fin if done is None else done.unionByName(fin)
@@ -84,9 +94,7 @@ def k_distance(df: DataFrame, feature_cols: list[str], k: int = 5, id_col: str =
         if left.limit(1).count() == 0:
             break
         todo = pts.join(left, keys + ["pid"], "left_semi")
-        r *= 2
-    else:
-        raise RuntimeError("k-distance did not converge")
+        cell *= 2
     return pts.select(*keys, "pid", *xs, "w").join(done, keys + ["pid"], "left")
 
 

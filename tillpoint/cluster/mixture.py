@@ -8,9 +8,11 @@ index on ties.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,25 +62,50 @@ def fit_kmeans(df: DataFrame, feature_cols: list[str], k: int, seed: int = 42,
 
 def inertia_k1(df: DataFrame, feature_cols: list[str]) -> DataFrame:
     """Inertia for one cluster: Σ squared deviation from the mean (MLlib rejects k = 1)."""
-    e = None
-    for c in feature_cols:
-        t = F.var_pop(c) * F.count(c)
-        e = t if e is None else e + t
-    return df.agg(F.lit(1).alias("k"), e.alias("inertia"))
+    stats = Summarizer.metrics("count", "variance").summary(F.col("_features"))
+    one = assemble(df, feature_cols, "_features").agg(stats.alias("s"))  # sample variances, of vector columns too
+    squares = F.aggregate(vector_to_array("s.variance"), F.lit(0.0), lambda a, v: a + v)
+    return one.select(F.lit(1).alias("k"), (squares * (F.col("s.count") - 1)).alias("inertia"))
 
 
-def elbow(df: DataFrame, feature_cols: list[str], max_k: int = 10, seed: int = 42) -> DataFrame:
-    """``k, inertia`` for k = 1 … max_k − 1 on one cached vector frame."""
+def elbow(df: DataFrame, feature_cols: list[str], max_k: int = 10, seed: int = 42,
+          max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
+    """``k, inertia`` for k = 1 … max_k − 1 on one cached vector frame, fitted as G1 fits."""
     spark = df.sparkSession
     vec = assemble(df, feature_cols, "_features").select("_features").persist(StorageLevel.MEMORY_AND_DISK)
     rows = [(1, float(inertia_k1(df, feature_cols).first()["inertia"]))]
     for k in range(2, max_k):
-        m = KMeans(k=k, seed=seed, featuresCol="_features").fit(vec)
+        m = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_features").fit(vec)
         rows.append((k, float(m.summary.trainingCost)))
     vec.unpersist()
     return spark.createDataFrame(rows, "k int, inertia double")
 
 
+def mixture_log_density(cols: list[str], weight: float, mean: list[float], cov: list[list[float]]) -> Column:
+    """log(weight · N(x; mean, cov)) as a column expression (constants from the small matrix on the driver)."""
+    precision = np.linalg.inv(np.array(cov, dtype=float))
+    d = len(cols)
+    const = float(np.log(weight) - 0.5 * (d * np.log(2 * np.pi) + np.linalg.slogdet(np.array(cov, dtype=float))[1]))
+    form = F.lit(0.0)
+    for i in range(d):
+        for j in range(d):
+            form = form + (F.col(cols[i]) - F.lit(float(mean[i]))) * (F.col(cols[j]) - F.lit(float(mean[j]))) \
+                * F.lit(float(precision[i, j]))
+    return F.lit(const) - F.lit(0.5) * form
+
+
+def assign_mixture(df: DataFrame, cols: list[str], weights: list[float], means: list[list[float]],
+                   covs: list[list[list[float]]], out_col: str = "cluster") -> DataFrame:
+    """G3 assignment with fixed parameters: the most probable component (first on ties) and its probability."""
+    logs = [mixture_log_density(cols, *p) for p in zip(weights, means, covs)]
+    names = [f"_l{k}" for k in range(len(logs))]
+    top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
+    total = sum((F.exp(F.col(n) - top) for n in names), F.lit(0.0))
+    return (df.withColumns(dict(zip(names, logs)))
+              .withColumn(out_col, (F.array_position(F.array(*names), top) - 1).cast("int"))
+              .withColumn("probability", 1 / total).drop(*names))
+
+
 def fit_gmm(df: DataFrame, feature_cols: list[str], k: int = 3, seed: int = 0,
             max_iter: int = 100, tol: float = 1e-3, out_col: str = "cluster"):
     """Gaussian mixture (full covariances) + hard label = most probable component.

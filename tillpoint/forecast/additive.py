@@ -7,8 +7,9 @@ features built in Spark:
   (t − sⱼ)₊ at ``n_changepoints`` points spread over the first 80 % of the
   training span (a piecewise-linear trend, ridge-penalised);
 * weekly seasonality: Fourier terms of order 3 (period 7 days);
-* yearly seasonality: Fourier terms of order 10 (period 365.25 days) when
-  the training span covers at least two years.
+* yearly seasonality: Fourier terms of order 10 (period 365.25 days):
+  ``yearly`` True, False, or 'auto' (each series whose training span covers
+  ``YEARLY_DAYS`` days).
 
 Coefficients per series come from grouped normal equations
 (``forecast.linear``); forecasts are column expressions. The interval is
@@ -26,6 +27,7 @@ from tillpoint.forecast.linear import fit_least_squares, linear_prediction
 from tillpoint.session import cut_lineage
 
 Z80 = 1.2815515655446004
+YEARLY_DAYS = 730  # two years
 
 
 def _features(df: DataFrame, date_col: str, span: DataFrame, keys: list[str],
@@ -55,7 +57,7 @@ def _features(df: DataFrame, date_col: str, span: DataFrame, keys: list[str],
 def additive_forecast(df: DataFrame, date_col: str = "Date", value_col: str = "Sales",
                       split_col: str = "split", keys: list[str] | None = None,
                       n_changepoints: int = 25, weekly_order: int = 3, yearly_order: int = 10,
-                      ridge: float = 1e-3) -> DataFrame:
+                      ridge: float = 1e-3, yearly: bool | str = "auto") -> DataFrame:
     """Fit on rows with ``split = 'train'``; return every row with ``yhat``,
     ``trend``, ``weekly``, ``yearly``, ``yhat_lower``, ``yhat_upper``."""
     keys = list(keys or [])
@@ -64,7 +66,7 @@ def additive_forecast(df: DataFrame, date_col: str = "Date", value_col: str = "S
     train = df.where(F.col(split_col) == "train")
     span = train.groupBy(*keys).agg(F.min(date_col).alias("_start"), F.max(date_col).alias("_end")) \
                 .withColumn("_len", F.datediff("_end", "_start")) \
-                .withColumn("_yearly", F.when(F.col("_len") >= 730, F.lit(1.0)).otherwise(F.lit(0.0)))
+                .withColumn("_yearly", (F.col("_len") >= YEARLY_DAYS if yearly == "auto" else F.lit(bool(yearly))).cast("double"))
     feat_df, feats, groups = _features(df, date_col, span, keys, n_changepoints, weekly_order, yearly_order)
     coefs = cut_lineage(fit_least_squares(feat_df.where(F.col(split_col) == "train"), feats, value_col,
                                           keys, ridge=ridge, penalise=[c for c in feats if c != "t"]),

@@ -5,8 +5,7 @@ Hannan–Rissanen regression, all fits by grouped normal equations:
 
 1. difference the series once (d = 1) and fit a long AR(m) on the lags;
 2. its residuals stand in for the innovations; regress Δy on p lags of Δy
-   and q lags of the residuals (plus optional exogenous / seasonal-lag
-   columns);
+   and q lags of the residuals;
 3. forecast recursively: only the last max(p, q, m) observations of each
    series take part, in a small pandas step per series key.
 
@@ -19,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,25 +27,23 @@ from tillpoint.operators.windows import add_position, lag_columns
 from tillpoint.session import cut_lineage
 
 
-def _stabilise(phi: np.ndarray) -> np.ndarray:
-    """Shrink AR coefficients until all roots of 1 − Σφᵢzⁱ lie outside the unit circle."""
-    if len(phi) == 0:
-        return phi
-    for _ in range(60):
-        roots = np.roots(np.r_[-phi[::-1], 1.0])
-        if len(roots) == 0 or np.min(np.abs(roots)) > 1.0 + 1e-6:
-            return phi
-        phi = phi * 0.95
-    return phi
+def _shrinkage(phi: np.ndarray) -> float:
+    """The factor s ≤ 1 with which φᵢsⁱ is stable: it divides the roots of 1 − Σφᵢzⁱ, which must lie outside
+    the unit circle."""
+    roots = np.abs(np.roots(np.r_[-phi[::-1], 1.0])) if len(phi) else np.zeros(0)
+    least = roots.min() if len(roots) else np.inf
+    return 1.0 if least > 1.0 + 1e-6 else float(least / 1.001)
 
 
 def arima_forecast(df: DataFrame, date_col: str = "Date", value_col: str = "Sales",
                    split_col: str = "split", keys: list[str] | None = None,
                    p: int = 12, q: int = 12, long_ar: int | None = None,
-                   ridge: float = 1e-4) -> DataFrame:
+                   ridge: float = 1e-4, stabilise: bool = True) -> DataFrame:
     """Fit on ``split = 'train'`` rows, forecast every ``test`` row.
 
-    Returns ``keys…, date, step, actual, forecast``.
+    Returns ``keys…, date, step, actual, forecast, shrinkage``. With
+    ``stabilise`` an explosive fit is used with coefficients φᵢsⁱ;
+    ``shrinkage`` is s, 1 for the fit as it is.
     """
     keys = list(keys or [])
     m = long_ar or max(p, q) * 2
@@ -54,8 +51,7 @@ def arima_forecast(df: DataFrame, date_col: str = "Date", value_col: str = "Sale
     df = cut_lineage(df, "persist")
     train = add_position(df.where(F.col(split_col) == "train").select(*keys, date_col, value_col),
                          date_col, keys, "pos")
-    w = Window.partitionBy(*keys).orderBy("pos")
-    train = train.withColumn("dy", F.col(value_col) - F.lag(value_col, 1).over(w))
+    train = lag_columns(train, value_col, [1], "pos", keys).withColumnRenamed("diff_1", "dy").drop("lag_1")
     lagged = lag_columns(train, "dy", list(range(1, m + 1)), "pos", keys, diff=False, prefix="l")
     ar_feats = [f"l_{i}" for i in range(1, m + 1)]
     lagged = cut_lineage(lagged, "persist")
@@ -68,9 +64,9 @@ def arima_forecast(df: DataFrame, date_col: str = "Date", value_col: str = "Sale
 
     # tails: last observations per series, for the recursion
     tail_n = max(p, q, m) + 1
-    wdesc = Window.partitionBy(*keys).orderBy(F.desc("pos"))
-    tail = (res.withColumn("_back", F.row_number().over(wdesc)).where(F.col("_back") <= tail_n)
-               .select(*keys, "pos", value_col, "dy", "e"))
+    last = res.groupBy(*keys).agg(F.max("pos").alias("_last"))
+    tail = ((res.join(last, keys) if keys else res.crossJoin(F.broadcast(last)))
+            .where(F.col("pos") > F.col("_last") - tail_n).select(*keys, "pos", value_col, "dy", "e"))
     test = add_position(df.where(F.col(split_col) == "test").select(*keys, date_col, value_col),
                         date_col, keys, "step")
     horizon = test.groupBy(*keys).agg(F.max("step").alias("_h"))
@@ -78,13 +74,15 @@ def arima_forecast(df: DataFrame, date_col: str = "Date", value_col: str = "Sale
         tail.crossJoin(F.broadcast(c2.drop("n"))).crossJoin(F.broadcast(horizon))
     key_fields = [f for f in df.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [T.StructField("step", T.IntegerType()),
-                                        T.StructField("forecast", T.DoubleType())])
+                                        T.StructField("forecast", T.DoubleType()),
+                                        T.StructField("shrinkage", T.DoubleType())])
 
     def recurse(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         coef = np.asarray(pdf["coef"].iloc[0], dtype=float)
         h = int(pdf["_h"].iloc[0]) + 1
-        c, phi, theta = coef[0], _stabilise(coef[1:1 + p]), coef[1 + p:1 + p + q]
+        shrink = _shrinkage(coef[1:1 + p]) if stabilise else 1.0
+        c, phi, theta = coef[0], coef[1:1 + p] * shrink ** np.arange(1, p + 1), coef[1 + p:1 + p + q]
         dy = list(pdf["dy"].fillna(0.0).to_numpy())
         e = list(pdf["e"].fillna(0.0).to_numpy())
         level = float(pdf[value_col].iloc[-1])
@@ -98,10 +96,10 @@ def arima_forecast(df: DataFrame, date_col: str = "Date", value_col: str = "Sale
             level += step
             out.append(level)
         base = {k_: pdf[k_].iloc[0] for k_ in keys}
-        return pd.DataFrame([{**base, "step": k, "forecast": v} for k, v in enumerate(out)],
-                            columns=keys + ["step", "forecast"])
+        return pd.DataFrame([{**base, "step": k, "forecast": v, "shrinkage": shrink} for k, v in enumerate(out)],
+                            columns=keys + ["step", "forecast", "shrinkage"])
 
     grouped = pack.groupBy(*keys) if keys else pack.withColumn("_k", F.lit(0)).groupBy("_k")
     fc = grouped.applyInPandas(recurse, schema)
     return (test.join(fc, keys + ["step"])
-                .select(*keys, date_col, "step", F.col(value_col).alias("actual"), "forecast"))
+                .select(*keys, date_col, "step", F.col(value_col).alias("actual"), "forecast", "shrinkage"))

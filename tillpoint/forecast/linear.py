@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Numbers a task holds before it emits its partial sums (8 bytes each).
+PARTIAL_ENTRIES = 4_000_000
+
 
 def fit_least_squares(df: DataFrame, features: list[str], target: str,
                       keys: list[str] | None = None, ridge: float = 1e-6,
@@ -26,9 +29,9 @@ def fit_least_squares(df: DataFrame, features: list[str], target: str,
     default, never the intercept).
 
     Each partition folds its rows into one partial (XᵀX, Xᵀy, n) per key
-    with numpy; the partials (at most one per partition and key) are summed
-    element-wise per key on the JVM side and solved in one small pandas call
-    per key.
+    with numpy, entry by entry; Spark sums the entries (partial sums before the
+    shuffle) and each key's are solved in one small pandas call. A key without
+    a complete row has no coefficients and no row.
     """
     keys = list(keys or [])
     cols = list(features)
@@ -40,10 +43,14 @@ def fit_least_squares(df: DataFrame, features: list[str], target: str,
                        F.col(target).cast("double").alias("_y"))
     key_fields = [f for f in data.schema.fields if f.name in keys]
     part_schema = T.StructType(key_fields + [
-        T.StructField("g", T.ArrayType(T.DoubleType())), T.StructField("b", T.ArrayType(T.DoubleType())),
-        T.StructField("n", T.LongType())])
+        T.StructField("i", T.IntegerType()), T.StructField("v", T.DoubleType())])
     fcols = [f"_f{i}" for i in range(len(cols))]
 
+    def rows_of(acc: dict) -> pd.DataFrame:
+        """One row per key and entry of (XᵀX, Xᵀy, n), so that Spark sums them with partial sums."""
+        rows = [[*k, i, float(v)] for k, m in acc.items() for i, v in enumerate(m)]
+        return pd.DataFrame(rows, columns=keys + ["i", "v"])
+
     def partial(batches):
         acc: dict = {}
         for pdf in batches:
@@ -54,18 +61,19 @@ def fit_least_squares(df: DataFrame, features: list[str], target: str,
                 if intercept:
                     X = np.hstack([np.ones((len(X), 1)), X])
                 y = g["_y"].to_numpy(dtype=float)
-                G, b, n = acc.get(k, (np.zeros((d, d)), np.zeros(d), 0))
-                acc[k] = (G + X.T @ X, b + X.T @ y, n + len(X))
-        rows = [list(k) + [G.ravel().tolist(), b.tolist(), n] for k, (G, b, n) in acc.items()]
-        yield pd.DataFrame(rows, columns=keys + ["g", "b", "n"])
-
-    def add(col: str, size: int):
-        zero = F.array_repeat(F.lit(0.0), size)
-        return F.aggregate(F.collect_list(col), zero, lambda a, x: F.zip_with(a, x, lambda u, v: u + v))
+                m = np.concatenate([(X.T @ X).ravel(), X.T @ y, [len(X)]])
+                acc[k] = acc[k] + m if k in acc else m
+                if len(acc) * len(m) > PARTIAL_ENTRIES:
+                    yield rows_of(acc)
+                    acc = {}
+        if acc:
+            yield rows_of(acc)
 
     parts = data.mapInPandas(partial, part_schema)
-    gram = parts.groupBy(*keys).agg(add("g", d * d).alias("g"), add("b", d).alias("b"),
-                                    F.sum("n").alias("n"))
+    entries = parts.groupBy(*keys, "i").agg(F.sum("v").alias("v"))
+    # d * d + d + 1 numbers for each key
+    gram = entries.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("m")) \
+                  .select(*keys, F.col("m.v").alias("m")).where(F.size("m") > 0)
     pen = set(penalise if penalise is not None else features)
     pen_idx = [i + (1 if intercept else 0) for i, c in enumerate(cols) if c in pen]
     out_schema = T.StructType(key_fields + [
@@ -74,13 +82,13 @@ def fit_least_squares(df: DataFrame, features: list[str], target: str,
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for _, r in pdf.iterrows():
-            G = np.array(r["g"], dtype=float).reshape(d, d)
-            b = np.asarray(r["b"], dtype=float)
+            m = np.array(r["m"], dtype=float)
+            G, b, n = m[:d * d].reshape(d, d), m[d * d:-1], m[-1]
             lam = ridge * (np.trace(G) / d if d else 0.0)
             for i in pen_idx:
                 G[i, i] += lam
             coef = np.linalg.lstsq(G, b, rcond=None)[0]
-            rows.append([r[k] for k in keys] + [coef.tolist(), int(r["n"])])
+            rows.append([r[k] for k in keys] + [coef.tolist(), int(n)])
         return pd.DataFrame(rows, columns=keys + ["coef", "n"])
 
     if keys:

@@ -98,33 +98,6 @@ def tune_gbt(train: DataFrame, features: list[str], target: str, n_draws: int =
     return cvm.bestModel, draws[best], table
 
 
-def tune_gbt_holdout(train: DataFrame, val: DataFrame, features: list[str], target: str,
-                     n_draws: int = N_DRAWS, seed: int = SEARCH_SEED,
-                     parallelism: int | None = None):
-    """M6 scored on a fixed validation frame instead of k folds: every seeded
-    draw is fitted once on ``train`` and scored (MSE) on ``val``; the fits run
-    concurrently. Returns (best PipelineModel, best params, draw table)."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    spark = train.sparkSession
-    draws = random_param_draws(n_draws, seed)
-    ev = RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName="mse")
-
-    def run(i: int):
-        model, _ = fit_gbt(train, features, target, draws[i], seed=seed)
-        return i, model, float(ev.evaluate(model.transform(val)))
-
-    with ThreadPoolExecutor(max_workers=parallelism or min(len(draws), 16)) as pool:
-        results = sorted(pool.map(run, range(len(draws))))
-    best = min(results, key=lambda t: t[2])
-    table = spark.createDataFrame(
-        [(i, draws[i]["maxIter"], float(draws[i]["stepSize"]), draws[i]["maxDepth"],
-          float(draws[i]["subsamplingRate"]), float(draws[i]["colsample"]), mse)
-         for i, _, mse in results],
-        "draw int, trees int, rate double, depth int, subsample double, colsample double, val_mse double")
-    return best[1], draws[best[0]], table
-
-
 def fit_gbt(train: DataFrame, features: list[str], target: str, params: dict,
             val: DataFrame | None = None, seed: int = SEARCH_SEED):
     """M5 second model: given parameters; with a validation frame, also the
@@ -172,7 +145,3 @@ def save_model(model: PipelineModel, path: str) -> None:
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
-
-def residuals(df: DataFrame, actual: str, pred: str) -> DataFrame:
-    """Residual against prediction."""
-    return df.select(F.col(pred).alias("predicted"), (F.col(actual) - F.col(pred)).alias("residual"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.functions.dates import weekday_monday0
-from tillpoint.functions.numeric import line_amount
+from tillpoint.functions.numeric import line_amount, round_half_even
 from tillpoint.operators.quantiles import exact_quantiles
 
 
@@ -26,7 +26,7 @@ def daily_sales(df: DataFrame, ts_col: str = "InvoiceDate", keys: list[str] | No
     """
     keys = list(keys or [])
     daily = (df.groupBy(*keys, F.to_date(ts_col).alias("Date"))
-               .agg(F.bround(F.sum(line_amount(qty, price)), 2).alias("Sales")))
+               .agg(round_half_even(F.sum(line_amount(qty, price))).alias("Sales")))
     if fill_days:
         span = daily.groupBy(*keys).agg(F.min("Date").alias("_a"), F.max("Date").alias("_b"))
         grid = span.select(*keys, F.explode(F.sequence("_a", "_b")).alias("Date"))
@@ -100,12 +100,20 @@ def cluster_summary(df: DataFrame, cluster_col: str = "Cluster",
 
 def country_cluster_counts(df: DataFrame, cluster_col: str = "Cluster",
                            keys: list[str] | None = None, labels: list[int] | None = None,
-                           wide: bool = False) -> DataFrame:
+                           wide: bool = False, filled: bool = False) -> DataFrame:
     """Country × Cluster row counts. Long form by default (any number of
-    labels); ``wide=True`` pivots to one column per label, zero-filled."""
+    labels); ``filled`` adds the zero cells of the table (every country with every
+    label of the same ``keys``), ``wide=True`` pivots to one column per label, zero-filled."""
     keys = list(keys or [])
     long = (df.groupBy("Country", *keys, cluster_col)
               .agg(F.count(F.lit(1)).alias("count")))
+    if filled and not wide:
+        seen = long.groupBy(*keys).agg(F.collect_set(cluster_col).alias("_labels"))
+        rows = long.select("Country", *keys).distinct()
+        grid = (rows.join(seen, keys) if keys else rows.crossJoin(F.broadcast(seen))) \
+            .select("Country", *keys, F.explode("_labels").alias(cluster_col))
+        return grid.join(long, ["Country", *keys, cluster_col], "left") \
+                   .select("Country", *keys, cluster_col, F.coalesce("count", F.lit(0)).alias("count"))
     if not wide:
         return long
     piv = (long.groupBy("Country", *keys)

@@ -22,11 +22,6 @@ def keep_non_negative(df: DataFrame, cols=("Quantity", "UnitPrice")) -> DataFram
     return df.where(cond)
 
 
-def select_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    """F2."""
-    return df.select(*cols)
-
-
 def drop_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """drop the listed columns (missing names are ignored)."""
     return df.drop(*cols)
@@ -59,21 +54,6 @@ def drop_missing(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     return df.where(cond) if cond is not None else df
 
 
-def exclude_noise(df: DataFrame, cluster_col: str = "Cluster") -> DataFrame:
-    """F12."""
-    return df.where(F.col(cluster_col) != -1)
-
-
-def viewport(df: DataFrame, x: str, y: str, x_range, y_range) -> DataFrame:
-    """rows inside a chart's zoom window, bounds inclusive."""
-    return df.where(F.col(x).between(*x_range) & F.col(y).between(*y_range))
-
-
 # The zoom windows of the mixture-model charts.
 ZOOM_SCALED = ((-0.5, 3.5), (0.0, 35.0))
 ZOOM_PCA = ((-5.0, 5.0), (0.0, 20.0))
-
-
-def has_column(df: DataFrame, name: str) -> bool:
-    """F15."""
-    return name in df.columns

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tillpoint.operators.rowindex import with_row_index
 
-# Guard for one-hot: categories become columns, so their list is schema.
-MAX_ONE_HOT = 1000
-
 
 def label_codes(df: DataFrame, col: str, out_col: str | None = None) -> DataFrame:
     """T5: codes 0…m−1 by sorted distinct value (``LabelEncoder``).
@@ -25,13 +22,9 @@ def label_codes(df: DataFrame, col: str, out_col: str | None = None) -> DataFram
     return df.join(codes, col, "left")
 
 
-def categories(df: DataFrame, col: str, limit: int = MAX_ONE_HOT) -> list:
-    """Sorted distinct values; refuses more than ``limit`` (they become columns)."""
-    vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct()
-            .orderBy(col).limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise ValueError(f"{col} has more than {limit} categories; use label_codes")
-    return vals
+def categories(df: DataFrame, col: str) -> list:
+    """Sorted distinct values. They become columns of ``one_hot``, hence schema; ``one_hot_vector`` needs no list."""
+    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
 
 
 def one_hot(df: DataFrame, col: str, drop_first: bool = True,
@@ -45,6 +38,23 @@ def one_hot(df: DataFrame, col: str, drop_first: bool = True,
     return df.withColumns(dummies).drop(col) if dummies else df.drop(col)
 
 
+def one_hot_vector(df: DataFrame, col: str, out_col: str | None = None, drop_first: bool = True) -> DataFrame:
+    """T6 for any number of categories: one sparse vector column, without the first category in sorted order
+    (the last of the descending index). Null rows give the zero vector."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    out_col = out_col or f"{col}_vector"
+    indexed = StringIndexer(inputCol=col, outputCol="_index", stringOrderType="alphabetDesc",
+                            handleInvalid="skip").fit(df)
+    known, missing = df.where(F.col(col).isNotNull()), df.where(F.col(col).isNull())
+    hot = OneHotEncoder(inputCol="_index", outputCol=out_col, dropLast=drop_first).fit(indexed.transform(known))
+    out = hot.transform(indexed.transform(known)).drop("_index")
+    size = max(0, len(indexed.labels) - int(drop_first))
+    zero = F.lit(None).cast("array<double>") if not size else F.array_repeat(F.lit(0.0), size)
+    from pyspark.ml.functions import array_to_vector
+    return out.unionByName(missing.withColumn(out_col, array_to_vector(zero)))
+
+
 def assemble(df: DataFrame, cols: list[str], out_col: str = "features") -> DataFrame:
     """Vector column for MLlib (sparse where it pays)."""
     from pyspark.ml.feature import VectorAssembler
@@ -56,10 +66,7 @@ def kmeans_design(df: DataFrame, categorical: str = "Country", coded: str = "Sto
                   drop=("InvoiceNo", "StockCode", "Description", "InvoiceDate", "CustomerID"),
                   numeric=("Quantity", "UnitPrice")) -> tuple[DataFrame, list[str]]:
     """The K-Means design — numeric columns, country dummies (first
-    dropped), stock-code label; returns the frame and the feature names."""
-    enc = label_codes(df, coded, f"{coded}_encoded")
-    vals = categories(enc, categorical)
-    enc = one_hot(enc, categorical, values=vals)
-    dummy_cols = [f"{categorical}_{v}" for v in vals[1:]]
-    feats = list(numeric) + dummy_cols + [f"{coded}_encoded"]
-    return enc.drop(*[c for c in drop if c in enc.columns]), feats
+    dropped, one sparse vector), stock-code label; returns the frame and the feature names."""
+    enc = one_hot_vector(label_codes(df, coded, f"{coded}_encoded"), categorical, f"{categorical}_dummies")
+    feats = list(numeric) + [f"{categorical}_dummies", f"{coded}_encoded"]
+    return enc.drop(*[c for c in (*drop, categorical) if c in enc.columns]), feats

@@ -7,7 +7,9 @@ single reducer. Here the work is spread instead:
 1. histogram ``(group, column, value) -> count`` (partial aggregation
    before the shuffle, so equal values collapse map-side);
 2. the histogram is range-partitioned on ``(group, column, value)`` — a hot
-   group is cut into several partitions;
+   group is cut into several partitions — and checkpointed: range bounds are
+   sampled anew for every shuffle, so slices and ranks must come from one
+   materialised cut, whatever Spark reuses;
 3. a running count inside each (partition, group) slice plus the counts of
    the group's earlier slices gives every value its rank interval;
 4. only the values whose interval holds the two ranks around
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillpoint.session import cut_lineage
+
 
 def _long_form(df: DataFrame, value_cols: list[str], group_cols: list[str],
                weight_col: str | None = None) -> DataFrame:
@@ -48,8 +52,8 @@ def exact_quantiles(df: DataFrame, value_cols: list[str], probs: list[float],
 
     hist = _long_form(df, value_cols, group_cols, weight_col).groupBy(*keys, "_v").agg(
         F.sum("_w").alias("_c"))
-    ranged = (hist.repartitionByRange(n, *keys, "_v")
-                  .withColumn("_pid", F.spark_partition_id()))
+    ranged = cut_lineage(hist.repartitionByRange(n, *keys, "_v")
+                             .withColumn("_pid", F.spark_partition_id()), "checkpoint")
     w_slice = (Window.partitionBy("_pid", *keys).orderBy("_v")
                .rowsBetween(Window.unboundedPreceding, -1))
     ranged = ranged.withColumn("_before_local",
@@ -85,19 +89,3 @@ def exact_quantiles(df: DataFrame, value_cols: list[str], probs: list[float],
     return picked.select(*keys, "prob",
                          (F.col("_v0") + frac * (F.col("_v1") - F.col("_v0"))).alias("value"))
 
-
-def quantile_row(df: DataFrame, value_cols: list[str], probs: list[float],
-                 names: list[str] | None = None,
-                 group_cols: list[str] | None = None) -> DataFrame:
-    """Wide form: one row per group, a column ``{col}_{name}`` per (column, prob)."""
-    group_cols = list(group_cols or [])
-    names = names or [f"p{int(round(p * 100))}" for p in probs]
-    q = exact_quantiles(df, value_cols, probs, group_cols)
-    label = F.concat(F.col("column"), F.lit("_"),
-                     F.element_at(F.create_map(*[x for p, nm in zip(probs, names)
-                                                 for x in (F.lit(float(p)), F.lit(nm))]),
-                                  F.col("prob")))
-    wanted = [f"{c}_{nm}" for c in value_cols for nm in names]
-    agg = F.first("value") if group_cols else F.first("value")
-    wide = q.withColumn("_label", label).groupBy(*group_cols).pivot("_label", wanted).agg(agg)
-    return wide

@@ -9,9 +9,9 @@ single-partition window:
    unique);
 2. ``monotonically_increasing_id`` then encodes (partition, local position);
 3. one row per partition is counted, and the running partition offsets are
-   turned into a map literal (its size is the partition count, a config
-   value, never the data size);
-4. position = offset[partition] + local position — a plain projection.
+   turned into an array literal by partition number (its size is the partition
+   count, a config value, never the data size);
+4. position = offsets[partition] + local position — one array access a row.
 
 The indexed frame is materialised (persist or checkpoint) before it is
 counted, so a recomputed partition cannot renumber rows.
@@ -54,10 +54,9 @@ def with_row_index(df: DataFrame, order_keys, col: str = "row_idx",
                     ranged.groupBy(part.alias("p")).count().collect())
     if not counts:
         return ranged.withColumn(col, local).drop("_tp_mid")
-    starts = [0] + list(accumulate(c for _, c in counts))[:-1]
-    offset_map = F.create_map(*[x for (p, _), s in zip(counts, starts)
-                                for x in (F.lit(p), F.lit(s))])
-    return (ranged.withColumn(col, F.element_at(offset_map, part) + local)
+    rows = dict(counts)
+    offsets = F.lit(list(accumulate((rows.get(p, 0) for p in range(max(rows))), initial=0))).cast("array<bigint>")
+    return (ranged.withColumn(col, F.get(offsets, part.cast("int")) + local)
                   .drop("_tp_mid"))
 
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillpoint.operators.rowindex import with_row_index
+
 DEFAULT_BLOCK = 100_000
 
 
@@ -28,10 +30,12 @@ def _blocked(df: DataFrame, pos_col: str, halo: int, block: int) -> DataFrame:
 
 
 def add_position(df: DataFrame, order_col: str, keys: list[str], pos_col: str = "_pos") -> DataFrame:
-    """Dense 0-based position per series. Series here are daily (one row per
-    day and key), so a window per key is bounded by the number of days."""
-    w = Window.partitionBy(*keys).orderBy(order_col) if keys else Window.orderBy(order_col)
-    return df.withColumn(pos_col, F.row_number().over(w) - 1)
+    """Dense 0-based position per series, by the distributed row index: no window gathers a series."""
+    ranked = with_row_index(df, [*keys, order_col], col="_ix")
+    if not keys:
+        return ranked.withColumnRenamed("_ix", pos_col).withColumn(pos_col, F.col(pos_col).cast("int"))
+    first = ranked.groupBy(*keys).agg(F.min("_ix").alias("_ix0"))
+    return ranked.join(first, keys).withColumn(pos_col, (F.col("_ix") - F.col("_ix0")).cast("int")).drop("_ix", "_ix0")
 
 
 def sliding_sequences(df: DataFrame, value_col: str, length: int, pos_col: str,

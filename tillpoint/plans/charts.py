@@ -12,11 +12,13 @@ from tillpoint.forecast.models import load_model, save_model
 from tillpoint.operators import aggregates as agg
 from tillpoint.operators import charts as ch
 from tillpoint.operators import scale as sc
-from tillpoint.operators.cleaning import ZOOM_SCALED
+from tillpoint.operators.pca import fit_pca
+from tillpoint.operators.cleaning import ZOOM_PCA, ZOOM_SCALED
 from tillpoint.plans import clustering as qc
 from tillpoint.plans.common import CLEAN_CTES, r, rounded, with_sales
 from tillpoint.plans.forecasting import _NAIVE, naive_pairs, scaled_split
 from tillpoint.plans.registry import query
+from tillpoint.plans.transforms import TEST_RANGE
 from tillpoint.session import scratch_path
 from tillpoint.sources.sales import read_sales_csv, sales_from_tables, write_csv
 from tillpoint.streaming.batches import run_file_batches
@@ -46,6 +48,42 @@ def q_scatter_bins_zoom(spark, sf_dir):
                            ZOOM_SCALED[0], ZOOM_SCALED[1])
 
 
+def _pca_scatter(spark, sf_dir, labelled, zoom: bool):
+    z = sc.scale(labelled, ["Quantity", "UnitPrice"], "standard")
+    scores = rounded(fit_pca(z, ["Quantity", "UnitPrice"], 2).transform(z), 4)
+    window = ZOOM_PCA if zoom else (None, None)
+    return ch.scatter_bins(scores, "pc1", "pc2", Z_BIN, Z_BIN, "Cluster", *window)
+
+
+def _pca_scatter_sql(src: str, zoom: bool) -> tuple[list[str], str]:
+    inside = (f"WHERE pc1 BETWEEN {ZOOM_PCA[0][0]} AND {ZOOM_PCA[0][1]} AND pc2 BETWEEN {ZOOM_PCA[1][0]} AND {ZOOM_PCA[1][1]}"
+              if zoom else "")
+    ctes = [f"pst AS (SELECT avg(Quantity) AS amq, stddev_pop(Quantity) AS asq, avg(UnitPrice) AS amp, stddev_pop(UnitPrice) AS asp FROM {src})",
+            f"pz AS (SELECT (Quantity - amq) / asq AS z1, (UnitPrice - amp) / asp AS z2, Cluster FROM {src}, pst)",
+            "pc AS (SELECT sign(corr(z1, z2)) AS s FROM pz)",
+            f"ps AS (SELECT {r('(z1 + s * z2) / sqrt(2)', 4)} AS pc1, {r('(z1 - s * z2) / sqrt(2)', 4)} AS pc2, Cluster FROM pz, pc)"]
+    return ctes, f"""SELECT CAST(floor(pc1 / {Z_BIN}) AS BIGINT) AS x_bin, CAST(floor(pc2 / {Z_BIN}) AS BIGINT) AS y_bin,
+  Cluster AS Cluster, count(*) AS count FROM ps {inside} GROUP BY 1, 2, 3"""
+
+
+def _register_pca_scatters() -> None:
+    kinds = {"assigned": (qc._ASSIGN_CTES, "asg", qc.quantile_seeded, "K-Means assignment"),
+             "mixture": (qc._MIXTURE_CTES, "mix", lambda s, d: qc._fixed_mixture(s, d).withColumnRenamed("cluster", "Cluster"),
+                         "mixture assignment")}
+    for kind, (ctes, src, labelled, what) in kinds.items():
+        for zoom in (False, True):
+            extra, body = _pca_scatter_sql(src, zoom)
+
+            def run(spark, sf_dir, labelled=labelled, zoom=zoom):
+                return _pca_scatter(spark, sf_dir, labelled(spark, sf_dir), zoom)
+
+            run.__doc__ = f"C3 in PCA space for the {what}" + (", F13: zoomed (x −5…5, y 0…20)." if zoom else ".")
+            query(f"pca_scatter_{kind}" + "_zoom" * zoom, with_sales(*CLEAN_CTES, *ctes, *extra) + body)(run)
+
+
+_register_pca_scatters()
+
+
 @query("residuals_naive", _NAIVE + f"""
 SELECT forecast AS predicted, {r('actual - forecast', 2)} AS residual FROM pr""")
 def q_residuals_naive(spark, sf_dir):
@@ -74,7 +112,7 @@ def q_streaming_daily_sales(spark, sf_dir):
     base = scratch_path(spark, f"stream_{uuid.uuid4().hex}")
     src, sink, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
     sales = sales_from_tables(spark, sf_dir, with_keys=False)
-    sales.repartition(4).write.parquet(src)
+    sales.write.parquet(src)
 
     def per_batch(batch, number):
         return batch.groupBy(F.to_date("InvoiceDate").alias("Date")).agg(
@@ -99,6 +137,14 @@ def q_summary_csv_roundtrip(spark, sf_dir):
     return spark.read.schema(summary.schema).option("header", True).csv(path)
 
 
+@query("model_roundtrip_diff", with_sales(*CLEAN_CTES) + f"""
+SELECT count(DISTINCT CAST(InvoiceDate AS DATE)) AS days, 0.0::DOUBLE AS largest_diff FROM clean
+WHERE InvoiceDate >= TIMESTAMP '{TEST_RANGE[0]}' AND InvoiceDate < TIMESTAMP '{TEST_RANGE[1]}' + INTERVAL 1 DAY""")
+def q_model_roundtrip_diff(spark, sf_dir):
+    """S6, exact part: the reloaded model predicts every test day as the original does."""
+    return q_model_roundtrip(spark, sf_dir).agg(F.count("InvoiceDate").alias("days"), F.max("diff").alias("largest_diff"))
+
+
 @query("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
     """A fitted pipeline (forest on the daily features) saved, loaded and

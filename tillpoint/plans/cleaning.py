@@ -59,6 +59,18 @@ def q_sales_csv_roundtrip(spark, sf_dir):
     return read_sales_csv(spark, path, encoding="latin1", schema=schema)
 
 
+@query("sales_csv_float_ids", with_sales() + f"SELECT {_BUSINESS_SQL}, {EXTRA_KEYS_SQL}, 0::BIGINT AS n_malformed FROM sales")
+def q_sales_csv_float_ids(spark, sf_dir):
+    """Customer ids with gaps, written as floats (``17850.0``) and quoted line feeds allowed, come back whole."""
+    path = scratch_path(spark, f"sales_csv_{uuid.uuid4().hex}")
+    sales = sales_from_tables(spark, sf_dir)
+    write_csv(sales.withColumns({"CustomerID": F.col("CustomerID").cast("double"),
+                                 "InvoiceDate": F.date_format("InvoiceDate", "M/d/yyyy H:mm")}), path)
+    key_fields = [T.StructField(k, sales.schema[k].dataType, True) for k in EXTRA_KEYS]
+    back = read_sales_csv(spark, path, schema=T.StructType(SALES_SCHEMA.fields + key_fields), multi_line=True, malformed="_bad")
+    return back.withColumn("n_malformed", F.size("_bad").cast("long")).drop("_bad")
+
+
 # ---------------------------------------------------------------- profiling
 _PROFILE_COLS = ["Quantity", "UnitPrice", "CustomerID"]
 

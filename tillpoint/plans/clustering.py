@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.cluster import batched as bt
 from tillpoint.cluster.knn import k_distance, k_distance_curve
-from tillpoint.cluster.mixture import assign_to_centres, elbow, fit_gmm, fit_kmeans, inertia_k1
+from tillpoint.cluster.mixture import assign_mixture, assign_to_centres, elbow, fit_gmm, fit_kmeans, inertia_k1
 from tillpoint.operators import aggregates as agg
 from tillpoint.operators import cleaning as cl
 from tillpoint.operators.encode import kmeans_design
@@ -91,6 +91,47 @@ def q_assigned_country_counts(spark, sf_dir):
     return agg.country_cluster_counts(quantile_seeded(spark, sf_dir), "Cluster")
 
 
+@query("assigned_country_filled", with_sales(*CLEAN_CTES, *_ASSIGN_CTES) + """
+SELECT c.Country, k.Cluster, count(a.Country) AS count
+FROM (SELECT DISTINCT Country FROM asg) c CROSS JOIN (SELECT DISTINCT Cluster FROM asg) k
+LEFT JOIN asg a ON a.Country = c.Country AND a.Cluster = k.Cluster GROUP BY 1, 2""")
+def q_assigned_country_filled(spark, sf_dir):
+    """A9 as the original's table: every country with every cluster, zero cells too."""
+    return agg.country_cluster_counts(quantile_seeded(spark, sf_dir), "Cluster", filled=True)
+
+
+# Fixed parameters of the mixture's assignment check, on standardised columns.
+MIXTURE = ([0.5, 0.3, 0.2], [[-0.8, -0.5], [0.9, 0.2], [0.0, 1.1]],
+           [[[0.6, 0.1], [0.1, 0.9]], [[0.4, -0.1], [-0.1, 0.5]], [[1.2, 0.3], [0.3, 0.4]]])
+
+
+def _mixture_sql(k: int) -> str:
+    w, (m0, m1), ((a, b), (_, c)) = MIXTURE[0][k], MIXTURE[1][k], MIXTURE[2][k]
+    det = f"({a} * {c} - {b} * {b})"
+    x, y = f"(zq - {m0})", f"(zp - {m1})"
+    return f"ln({w}) - 0.5 * ln({det}) - 0.5 * ({c} * {x} * {x} - 2 * {b} * {x} * {y} + {a} * {y} * {y}) / {det}"
+
+
+_MIXTURE_CTES = [
+    "st AS (SELECT avg(Quantity) AS mq, stddev_pop(Quantity) AS sq, avg(UnitPrice) AS mp, stddev_pop(UnitPrice) AS sp FROM clean)",
+    "z AS (SELECT clean.*, (Quantity - mq) / sq AS zq, (UnitPrice - mp) / sp AS zp FROM clean, st)",
+    "l AS (SELECT *, " + ", ".join(f"{_mixture_sql(k)} AS l{k}" for k in range(3)) + " FROM z)",
+    "mix AS (SELECT *, CAST(CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END AS INTEGER) AS cluster, "
+    "1 / (exp(l0 - greatest(l0, l1, l2)) + exp(l1 - greatest(l0, l1, l2)) + exp(l2 - greatest(l0, l1, l2))) AS probability FROM l)",
+]
+
+
+def _fixed_mixture(spark, sf_dir):
+    z = scale(cleaned_sales(spark, sf_dir), _FEATS, "standard", suffix="_z")
+    return assign_mixture(z, ["Quantity_z", "UnitPrice_z"], *MIXTURE)
+
+
+@query("gmm_assign_fixed", with_sales(*CLEAN_CTES, *_MIXTURE_CTES) + f"SELECT {KEYS_SQL}, cluster, {r('probability')} AS probability FROM mix")
+def q_gmm_assign_fixed(spark, sf_dir):
+    """G3 assignment with fixed parameters: most probable component and its probability."""
+    return rounded(_fixed_mixture(spark, sf_dir).select(*ORDER_KEYS, "cluster", "probability"))
+
+
 @query("assigned_cluster_counts", with_sales(*CLEAN_CTES, *_ASSIGN_CTES) + """
 SELECT count(DISTINCT CASE WHEN Cluster <> -1 THEN Cluster END) AS n_clusters,
        count_if(Cluster = -1)::BIGINT AS n_noise FROM asg""")
@@ -293,6 +334,15 @@ def q_dbscan_report_country(spark, sf_dir):
     return bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS))["country"]
 
 
+@query("dbscan_report_country_filled", _dbscan_ctes(bt.EPS, bt.MIN_SAMPLES) + """
+SELECT c.Country, c.BatchNumber, k.Cluster, count(rep.Country) AS count
+FROM (SELECT DISTINCT Country, BatchNumber FROM rep) c JOIN (SELECT DISTINCT BatchNumber, Cluster FROM rep) k USING (BatchNumber)
+LEFT JOIN rep ON rep.Country = c.Country AND rep.BatchNumber = c.BatchNumber AND rep.Cluster = k.Cluster GROUP BY 1, 2, 3""")
+def q_dbscan_report_country_filled(spark, sf_dir):
+    """The same with the zero cells of each batch's table."""
+    return bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS))["country_filled"]
+
+
 @query("dbscan_type1_scatter")
 def q_dbscan_type1_scatter(spark, sf_dir):
     """C3 for the type-1 results: Quantity × UnitPrice bin counts per (batch, cluster)."""

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 from tillpoint.forecast import metrics as mt
 from tillpoint.forecast.additive import additive_forecast
 from tillpoint.forecast.autoregressive import arima_forecast
-from tillpoint.forecast.models import fit_gbt, predict_both, sequence_regression, tune_gbt_holdout
+from tillpoint.forecast.models import sequence_regression
 from tillpoint.forecast.split import random_holdout, split_at_date, split_timestamp_ranges
 from tillpoint.operators import aggregates as agg
 from tillpoint.operators import scale as sc
 from tillpoint.operators import windows as win
+from tillpoint.operators.rowindex import with_row_index
 from tillpoint.plans.cleaning import cleaned_sales
 from tillpoint.plans.common import CLEAN_CTES, r, rounded, with_sales
 from tillpoint.plans.registry import query
 from tillpoint.plans.transforms import SPLIT_DATE, TEST_RANGE, TRAIN_RANGE
+from tillpoint.sources.sales import ORDER_KEYS
 
 _DAILY = "d AS (SELECT CAST(InvoiceDate AS DATE) AS Date, round_even(sum(Quantity * UnitPrice), 2) AS Sales FROM clean GROUP BY 1)"
 SEASON = 7
@@ -156,19 +158,44 @@ def q_sarimax_forecast(spark, sf_dir):
     return arima_forecast(scaled_split(spark, sf_dir), "Date", "Sales", "split", p=12, q=12)
 
 
-def _sequences(spark, sf_dir):
-    """M4 input: min-max (fitted on train) daily sales, 30-day windows per side."""
+def _sequences(spark, sf_dir, grain: str = "day", length: int = 30):
+    """M4 input: min-max (fitted on train) sales, windows of the ``length`` values before each target.
+
+    ``grain='day'``: one value a day. ``grain='line'``: one value an invoice line (B13), in order of the row
+    keys. The first test targets have the train tail as context.
+    """
     from tillpoint.forecast.split import split_date_ranges
-    daily = agg.daily_sales(cleaned_sales(spark, sf_dir))
-    sp = split_date_ranges(daily, "Date", TRAIN_RANGE, TEST_RANGE)
+    clean = cleaned_sales(spark, sf_dir)
+    if grain == "day":
+        series = agg.daily_sales(clean)
+        placed = win.add_position(series, "Date", [], "pos")
+    elif grain == "line":
+        series = clean.select(*ORDER_KEYS, F.to_date("InvoiceDate").alias("Date"),
+                              (F.col("Quantity") * F.col("UnitPrice")).alias("Sales"))
+        placed = with_row_index(series, ORDER_KEYS, col="pos")
+    else:
+        raise ValueError("grain must be 'day' or 'line'")
+    sp = split_date_ranges(placed, "Date", TRAIN_RANGE, TEST_RANGE)
     params = sc.fit_scaler(sp.where("split = 'train'"), ["Sales"], "minmax")
-    scaled = sc.apply_scaler(sp, params, ["Sales"])
-    seqs = None
-    for side in ("train", "test"):
-        part = win.add_position(scaled.where(F.col("split") == side), "Date", [], "pos")
-        s = win.sliding_sequences(part, "Sales", 30, "pos", block=500)
-        seqs = s if seqs is None else seqs.unionByName(s)
-    return seqs, params
+    return win.sliding_sequences(sc.apply_scaler(sp, params, ["Sales"]), "Sales", length, "pos"), params
+
+
+@query("sequences_split_sizes", with_sales(*CLEAN_CTES, _DAILY,
+    f"""sp AS (SELECT Date, CASE WHEN Date BETWEEN DATE '{TRAIN_RANGE[0]}' AND DATE '{TRAIN_RANGE[1]}' THEN 'train'
+         WHEN Date BETWEEN DATE '{TEST_RANGE[0]}' AND DATE '{TEST_RANGE[1]}' THEN 'test' END AS split FROM d)""",
+    f"""ln AS (SELECT CASE WHEN CAST(InvoiceDate AS DATE) BETWEEN DATE '{TRAIN_RANGE[0]}' AND DATE '{TRAIN_RANGE[1]}' THEN 'train'
+         WHEN CAST(InvoiceDate AS DATE) BETWEEN DATE '{TEST_RANGE[0]}' AND DATE '{TEST_RANGE[1]}' THEN 'test' END AS split FROM clean)""")
+    + """SELECT 'day' AS grain, split, count(*) - CASE WHEN split = 'train' THEN 30 ELSE 0 END AS sequences
+FROM sp WHERE split IS NOT NULL GROUP BY split
+UNION ALL SELECT 'line', split, count(*) - CASE WHEN split = 'train' THEN 30 ELSE 0 END FROM ln WHERE split IS NOT NULL GROUP BY split""")
+def q_sequences_split_sizes(spark, sf_dir):
+    """Windows per side at both grains; only the series' first 30 values have none."""
+    out = None
+    for grain in ("day", "line"):
+        g = _sequences(spark, sf_dir, grain)[0].groupBy("split").agg(F.count(F.lit(1)).alias("sequences")) \
+                                             .select(F.lit(grain).alias("grain"), "split", "sequences")
+        out = g if out is None else out.unionByName(g)
+    return out
 
 
 @query("sequence_forecast")
@@ -191,28 +218,44 @@ def _daily_features(spark, sf_dir):
     return split_timestamp_ranges(z, "InvoiceDate", TRAIN_RANGE, TEST_RANGE)
 
 
-@query("gbt_daily_metrics")
-def q_gbt_daily_metrics(spark, sf_dir):
-    """Features → split → random search (the 10 seeded draws, each scored on
-    the 20 % hold-out and fitted concurrently) on quantity
-    → revenue model with the same parameters and a validation curve →
-    predictions (M7) → M9 for both targets."""
+_Q_FEATURES = ["daily_sells", "day_of_week", "daily_total"]
+_T_FEATURES = ["daily_sells", "day_of_week", "daily"]
+
+
+def _gbt(spark, sf_dir):
+    """Hold-out and search (10 draws × 5 folds) on quantity, then both models with the best draw."""
+    from tillpoint.forecast import boosting
     from tillpoint.session import cut_lineage
-    data = cut_lineage(_daily_features(spark, sf_dir), "persist")
+    data = cut_lineage(_daily_features(spark, sf_dir), "checkpoint")
     tr = random_holdout(data.where("split = 'train'").drop("split"), ["InvoiceDate"])
-    # one row per day: a small, bounded table — one partition keeps each
-    # boosting iteration to a single task
-    train = cut_lineage(tr.where("split = 'train'").coalesce(1), "persist")
-    val = tr.where("split = 'val'")
-    test = data.where("split = 'test'")
-    q_feats = ["daily_sells", "day_of_week", "daily_total"]
-    t_feats = ["daily_sells", "day_of_week", "daily"]
-    qm, best, _ = tune_gbt_holdout(train, val, q_feats, "daily")
-    tm, _ = fit_gbt(train, t_feats, "daily_total", best, val)
-    pred = predict_both(qm, tm, test, q_feats, t_feats)
-    a = mt.regression_metrics(pred, "daily", "predicted_quantity").withColumn("target", F.lit("daily"))
-    b = mt.regression_metrics(pred, "daily_total", "predicted_total").withColumn("target", F.lit("daily_total"))
-    return a.unionByName(b)
+    best = boosting.best_params(boosting.search(tr.where("split = 'train'"), _Q_FEATURES, "daily", "InvoiceDate"))
+    rows = tr.unionByName(data.where("split = 'test'"))
+    return boosting.fit_predict(rows, "split", "InvoiceDate", {"daily": (_Q_FEATURES, "daily"),
+                                                               "daily_total": (_T_FEATURES, "daily_total")}, best)
+
+
+@query("gbt_daily_metrics")
+def q_gbt_daily_metrics(spark, sf_dir):
+    """Features → split → the whole random search on quantity → revenue model
+    with the same parameters → predictions (M7) → M9 for both targets on the test days."""
+    test = _gbt(spark, sf_dir).where("split = 'test'").withColumnRenamed("name", "target")
+    return mt.regression_metrics(test, "actual", "prediction", ["target"])
+
+
+@query("gbt_validation_curve")
+def q_gbt_validation_curve(spark, sf_dir):
+    """M5: squared error on the 20 % hold-out after each tree, both models."""
+    from tillpoint.forecast import boosting
+    return boosting.validation_curve(_gbt(spark, sf_dir))
+
+
+@query("gbt_predictions")
+def q_gbt_predictions(spark, sf_dir):
+    """M7: both predictions on the test days."""
+    test = _gbt(spark, sf_dir).where("split = 'test'")
+    return test.groupBy(F.col("key").alias("InvoiceDate")).agg(
+        F.max(F.when(F.col("name") == "daily", F.col("prediction"))).alias("predicted_quantity"),
+        F.max(F.when(F.col("name") == "daily_total", F.col("prediction"))).alias("predicted_total"))
 
 
 @query("prophet_frame", with_sales(*CLEAN_CTES, _DAILY) + f"""

@@ -29,10 +29,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from tillpoint.plans import cleaning, series  # noqa: F401
-    for mod in ("transforms", "clustering", "forecasting", "charts"):
-        try:
-            __import__(f"tillpoint.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != f"tillpoint.plans.{mod}":
-                raise
+    from tillpoint.plans import charts, cleaning, clustering, forecasting, series, transforms  # noqa: F401

@@ -19,7 +19,7 @@ from tillpoint.sources.sales import ORDER_KEYS, sales_from_tables
 
 # Split dates moved into the test data's years (FIXTURES.md §B "Dates").
 SPLIT_DATE = "2001-06-30"
-TRAIN_RANGE = ("2000-12-01", "2001-06-30")
+TRAIN_RANGE = ("1995-01-01", "2001-06-30")  # from the first day: train and test are the whole series
 TEST_RANGE = ("2001-07-01", "2001-08-01")
 
 _DAILY = "d AS (SELECT CAST(InvoiceDate AS DATE) AS Date, round_even(sum(Quantity * UnitPrice), 2) AS Sales FROM clean GROUP BY 1)"

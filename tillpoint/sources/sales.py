@@ -110,12 +110,16 @@ def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def read_sales_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
                    date_format: str | None = None, strict_dates: bool = False,
-                   schema: T.StructType | None = None) -> DataFrame:
+                   schema: T.StructType | None = None, multi_line: bool = False,
+                   malformed: str | None = None) -> DataFrame:
     """Read a headered invoice-line CSV with a declared schema.
 
-    ``InvoiceDate`` is read as text and parsed with D1 (strict) or D2
-    (lenient). Quoted commas/newlines and doubled quotes are handled by the
-    multi-line CSV reader. The ``unicode_escape`` codec of the reference is
+    Cells are read as text and cast: whole numbers may be written as floats
+    (``17850.0``, as id columns with gaps are), ``InvoiceDate`` is parsed with
+    D1 (strict) or D2 (lenient). A cell that is neither empty nor a value of
+    its column becomes null; ``malformed`` names an array column that lists the
+    columns of such cells. ``multi_line`` reads quoted line feeds, at the price
+    of one task per file. The ``unicode_escape`` codec of the reference is
     read as ISO-8859-1 (SURVEY "Not built").
     """
     from tillpoint.functions.dates import parse_timestamp_lenient, parse_timestamp_strict
@@ -124,45 +128,34 @@ def read_sales_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
            "unicode_escape": "ISO-8859-1", "utf8": "UTF-8", "utf-8": "UTF-8"}.get(
         encoding.lower(), encoding)
     declared = schema or SALES_SCHEMA
-    text_schema = T.StructType([
-        T.StructField(f.name, T.StringType() if f.name == "InvoiceDate" else f.dataType, True)
-        for f in declared.fields])
-    raw = (spark.read.schema(text_schema)
+    raw = (spark.read.schema(T.StructType([T.StructField(f.name, T.StringType(), True) for f in declared.fields]))
            .option("header", True)
            .option("encoding", enc)
-           .option("multiLine", True)
+           .option("multiLine", multi_line)
            .option("escape", '"')
            .option("mode", "PERMISSIVE")
            .csv(path))
     parse = parse_timestamp_strict if strict_dates else parse_timestamp_lenient
-    if "InvoiceDate" in raw.columns:
-        raw = raw.withColumn("InvoiceDate", parse(F.col("InvoiceDate"), date_format))
-    return nan_to_null(raw)
+    cells: dict[str, Column] = {}
+    for f in declared.fields:
+        text = F.col(f"`{f.name}`")
+        if f.name == "InvoiceDate":
+            cells[f.name] = parse(text, date_format)
+        elif isinstance(f.dataType, (T.IntegerType, T.LongType)):
+            number = text.try_cast("decimal(38,10)")
+            cells[f.name] = F.when(number == F.floor(number), number.try_cast(f.dataType))
+        elif isinstance(f.dataType, T.StringType):
+            cells[f.name] = text
+        else:
+            cells[f.name] = text.try_cast(f.dataType)
+    out = [c.alias(name) for name, c in cells.items()]
+    if malformed:
+        bad = [F.when(F.col(f"`{name}`").isNotNull() & (F.trim(F.col(f"`{name}`")) != "") & c.isNull(), F.lit(name))
+               for name, c in cells.items()]
+        out.append(F.filter(F.array(*bad), lambda x: x.isNotNull()).alias(malformed))
+    return nan_to_null(raw.select(*out))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Headered CSV, no index column. Spark writes one part file per partition."""
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
-
-
-def flatten_columns(df: DataFrame, sep: str = "_") -> DataFrame:
-    """Two-level headers become ``Quantity_mean`` style names (structs flattened)."""
-    cols: list[Column] = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.StructType):
-            cols += [F.col(f"`{f.name}`.`{s.name}`").alias(f"{f.name}{sep}{s.name}")
-                     for s in f.dataType.fields]
-        else:
-            cols.append(F.col(f"`{f.name}`"))
-    return df.select(*cols)
-
-
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                partition_by: list[str] | None = None) -> None:
-    """Hand over a cleaned table as Parquet (default) for the model jobs."""
-    w = df.write.mode(mode).format(fmt)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    if fmt == "csv":
-        w = w.option("header", True)
-    w.save(path)

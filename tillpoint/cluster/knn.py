@@ -12,7 +12,7 @@ Grid search with growing cells, all as DataFrame joins:
   meet). The k-th smallest candidate distance is final when it is ≤ the cell
   side (nothing outside the block can be nearer) or when the block holds
   every point of the partition key; the other points, which have few points
-  about them, go to the next round with cells of twice the side.
+  about them, go to the next round with larger cells.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def _dist2(d: int) -> Column:
 
 
 def _first_cell(pts: DataFrame, xs: list[str], k: int) -> float:
-    """A cell side at which no cell holds over ``MOST_IN_CELL`` distinct points: halved from an average of about
+    """A cell side at which no cell holds over ``MOST_IN_CELL`` distinct points: an eighth, again and again, of an average of about
     k points a cell until the fullest cell is small enough."""
     st = pts.agg(F.count(F.lit(1)).alias("n"),
                  *[(F.max(x) - F.min(x)).alias(f"r{i}") for i, x in enumerate(xs)]).first()
@@ -51,7 +51,7 @@ def _first_cell(pts: DataFrame, xs: list[str], k: int) -> float:
         grid = pts.groupBy(*[F.floor(F.col(x) / F.lit(cell)) for x in xs]).count()
         if (grid.agg(F.max("count")).first()[0] or 0) <= MOST_IN_CELL:
             break
-        cell /= 2
+        cell /= 8
     return cell
 
 
@@ -70,7 +70,7 @@ def k_distance(df: DataFrame, feature_cols: list[str], k: int = 5, id_col: str =
     pts = cut_lineage(pts.join(total, keys) if keys else pts.crossJoin(F.broadcast(total)), "persist")
     offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in itertools.product((-1, 0, 1), repeat=d)])
 
-    todo, done = pts, None
+    todo, done, growth = pts, None, 1
     while True:  # until no point is left: at last one block holds them all
         grid = [F.floor(F.col(x) / F.lit(cell)).cast("long") for x in xs]
         B = pts.select(*keys, F.col("w").alias("bw"), *[F.col(x).alias(f"b{x}") for x in xs],
@@ -94,7 +94,8 @@ def k_distance(df: DataFrame, feature_cols: list[str], k: int = 5, id_col: str =
         if left.limit(1).count() == 0:
             break
         todo = pts.join(left, keys + ["pid"], "left_semi")
-        cell *= 2
+        growth *= 2
+        cell *= growth  # few points are left and they are far from others: ever larger steps
     return pts.select(*keys, "pid", *xs, "w").join(done, keys + ["pid"], "left")
 
 

@@ -67,3 +67,21 @@ def test_odd_rows_and_tables(spark, odd, frame):
     assert all(r.score > 0.9 for r in T.score(docs, one).collect())
     assert T.score(frame([]), index).collect() == []
     assert {r.score for r in T.score(docs, T.fit(docs, labels.where("false"))).collect()} == {0.0}
+
+
+def test_rare_words_of_the_examples_are_indexed(frame, spark):
+    docs = frame([(i, f"plain filler text {i}" + (f" slur{i // 2}" if i < 8 else "")) for i in range(60)]
+                 + [(100 + i, f"other words slur{i}") for i in range(4)] + [(200, "other words here")])
+    labels = spark.createDataFrame([(i, int(i < 8)) for i in range(60)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in T.score(docs, T.fit(docs, labels)).collect()}
+    for i in range(4):  # each such word is in two examples only
+        assert sorted(got[100 + i].evidence_ids) == [2 * i, 2 * i + 1] and got[100 + i].score > got[200].score
+    assert got[200].evidence_ids == []
+
+
+def test_document_frequencies_are_of_all_documents(frame):
+    docs = frame([(1, "a b a"), (2, "A c"), (3, None), (4, "b"), (4, "a")])
+    keys = np.sort(np.array([T.SpanHasher(lower=True).of(w) for w in (b"a", b"b", b"z")], np.uint64))
+    df, n = T.document_frequencies(docs, keys)
+    want = {T.SpanHasher(lower=True).of(w): k for w, k in ((b"a", 3), (b"b", 2), (b"z", 0))}
+    assert n == 5 and df.tolist() == [want[int(k)] for k in keys]

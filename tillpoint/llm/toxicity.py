@@ -1,27 +1,33 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over whole texts.
 
 Fit, on a bounded sample (``per_class`` labelled documents of each class, by
-hash of their id): the ``terms`` words that tell the classes apart best are
-the vocabulary (idf from the sample); the sample's unit vectors form an
-inverted index in blocks of ``BLOCK`` examples, with the largest weight of each
-term in each block.
-
-Score: a text's blocks are visited in the order of their bounds (the query
-times the block maxima); a block is skipped once its bound is below the k-th
-similarity found, so the k nearest are exact. Their votes count by similarity
-and by the class's share in the labels over its share in the sample. Raw votes
-are calibrated by isotonic regression on the sample, each example scored
-without itself. Ties go to the smaller doc_id.
-
-Texts without a vocabulary word (null and empty ones too) have no neighbours
+hash of their id): every word of the examples is indexed. A word weighs
+(1 + ln tf) * idf * z**2: idf from the document frequencies in all documents
+(one Spark aggregation), z**2 the chi-square of the word and the label in the
+sample (1 for all words where there is one class). Only words that no example
+has, and words equally frequent in both classes, weigh nothing. The unit vectors
+form an inverted index in blocks of ``BLOCK`` examples, with the largest
+weight of each word in each block where it occurs; the few words that most
+examples have are dense rows.
+
+Score: the dense rows are multiplied out, and a block's bound is its largest sum
+of them plus the block maxima of the other words. The ``FIRST`` blocks of highest
+bound are opened, then every block whose bound reaches the k-th similarity, so
+the k nearest are exact. Their votes count by similarity and by the class's
+share in the labels over its share in the sample. Raw votes are calibrated by
+isotonic regression on the sample, each example scored without itself. Ties go
+to the smaller doc_id.
+
+Texts without a word of any example (null and empty ones too) have no neighbours
 and score the share of toxic documents among such examples. Where an id has
 several labels the largest counts; where it has several texts the smallest.
-Without labels every score is 0, with one class it is that class's.
+Without labels every score is 0, with one class it is that class's. Words are
+known by a 64-bit hash.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,68 +35,110 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.llm.decontaminate import words
 from tillpoint.llm.scratch import stored
-from tillpoint.llm.text import ALNUM, LOWER, SpanHasher, slices, spans, texts
+from tillpoint.llm.text import ALNUM, LOWER, SpanHasher, ranges, slices, spans, texts
 
 PER_CLASS = 2000
-TERMS = 256
-MIN_DOCS = 5
-MIN_Z = 5.0
 BLOCK = 64
+FIRST = 8
+DENSE = 512  # words of at least 1/16 of the examples, at most so many
+CHUNK = 256  # queries searched at a time
 NEIGHBOURS = 15
 PREDICT_FROM = 0.3
 
 
+@dataclass
+class Terms:
+    """Sparse rows: ``n`` texts, and for each word of each text its row, its place in the vocabulary and its value."""
+
+    n: int
+    doc: np.ndarray  # ascending
+    term: np.ndarray
+    value: np.ndarray
+
+
 @dataclass
 class Index:
     """Block-max inverted index of the examples."""
 
     terms: list[bytes]
-    idf: np.ndarray
+    keys: np.ndarray  # hash of each word; empty where ``terms`` has the words
+    term_weight: np.ndarray
     ids: np.ndarray  # doc_id of each example, ascending
     toxic: np.ndarray
     weight: np.ndarray  # of each example's vote
-    postings: list[list[tuple[np.ndarray, np.ndarray]]]  # [block][term]: places in the block, weights
-    block_max: np.ndarray  # (terms, blocks)
+    dense_place: np.ndarray  # of each word, -1 where it has postings
+    dense: np.ndarray  # (dense words, examples)
+    runs: np.ndarray  # [word]: its first run; a run is one word's postings in one block
+    run_block: np.ndarray
+    run_max: np.ndarray
+    run_start: np.ndarray  # [run]: its first posting
+    example: np.ndarray  # [posting]
+    value: np.ndarray
     prior: float = 0.0
     empty_score: float = 0.0
     raw_steps: np.ndarray = field(default_factory=lambda: np.zeros(0))
     step_scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def nearest(self, q: np.ndarray, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, q: np.ndarray | Terms, k: int = NEIGHBOURS,
+                without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, similarities) of the k nearest of each row of unit queries; -1 and 0 where there are fewer.
 
         ``without`` names for each query one example to leave out.
         """
-        n = len(q)
-        best = np.full((n, k), -1, np.int64)
-        sims = np.zeros((n, k))
-        bounds = q @ self.block_max
-        order = np.argsort(-bounds, axis=1, kind="stable")
-        live = np.arange(n)
-        for r in range(order.shape[1]):
-            bound = bounds[live, order[live, r]]
-            live = live[(bound > 0) & (bound * (1 + 1e-9) >= sims[live, -1])]
-            if not len(live):
-                break
-            for b in np.unique(order[live, r]).tolist():
-                rows = live[order[live, r] == b]
-                size = min(BLOCK, len(self.ids) - b * BLOCK)
-                score = np.zeros((len(rows), size))
-                for t in np.flatnonzero((q[rows] != 0).any(axis=0)).tolist():
-                    at, w = self.postings[b][t]
-                    if len(at):
-                        score[:, at] += q[rows, t][:, None] * w
-                if without is not None:
-                    mine = without[rows] - b * BLOCK
-                    on = (mine >= 0) & (mine < size)
-                    score[np.flatnonzero(on), mine[on]] = 0
-                some = np.where(score > 0, np.arange(size) + b * BLOCK, -1)
-                every, ids = np.concatenate([sims[rows], score], axis=1), np.concatenate([best[rows], some], axis=1)
-                key = np.where(ids < 0, len(self.ids), ids)
-                top = np.lexsort((key, -np.round(every, 12)), axis=1)[:, :k]
-                sims[rows], best[rows] = np.take_along_axis(every, top, 1), np.take_along_axis(ids, top, 1)
+        if not isinstance(q, Terms):
+            doc, term = np.nonzero(q)
+            q = Terms(len(q), doc, term, q[doc, term])
+        best, sims = np.full((q.n, k), -1, np.int64), np.zeros((q.n, k))
+        if not len(self.ids):
+            return best, sims
+        for a in range(0, q.n, CHUNK):
+            b = min(a + CHUNK, q.n)
+            i, j = np.searchsorted(q.doc, (a, b))
+            best[a:b], sims[a:b] = self._search(Terms(b - a, q.doc[i:j] - a, q.term[i:j], q.value[i:j]), k,
+                                                None if without is None else without[a:b])
+        return best, sims
+
+    def _search(self, q: Terms, k: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        width = self.dense.shape[1]  # whole blocks
+        blocks = width // BLOCK
+        place = self.dense_place[q.term]
+        on = place >= 0
+        some = np.zeros((q.n, len(self.dense)))
+        some[q.doc[on], place[on]] = q.value[on]
+        score = some @ self.dense
+        if without is not None:
+            score[np.arange(q.n), without] = -np.inf
+        doc, term, value = q.doc[~on], q.term[~on], q.value[~on]
+        count = self.runs[term + 1] - self.runs[term]
+        run, doc, value = ranges(self.runs[term], count), np.repeat(doc, count), np.repeat(value, count)
+        block = self.run_block[run]
+        bound = np.maximum(score.reshape(q.n, blocks, BLOCK).max(axis=2), 0)
+        bound += np.bincount(doc * blocks + block, value * self.run_max[run], q.n * blocks).reshape(q.n, blocks)
+
+        def open_blocks(wanted: np.ndarray) -> None:
+            at = np.flatnonzero(wanted[doc, block])
+            size = self.run_start[run[at] + 1] - self.run_start[run[at]]
+            post = ranges(self.run_start[run[at]], size)
+            score.reshape(-1)[:] += np.bincount(np.repeat(doc[at] * width, size) + self.example[post],
+                                                np.repeat(value[at], size) * self.value[post], q.n * width)
+
+        opened = np.zeros((q.n, blocks), bool)
+        np.put_along_axis(opened, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        open_blocks(opened)
+        most = min(k, width)
+        # weights are not negative: sums so far are lower bounds
+        least = np.partition(score, width - most, axis=1)[:, [width - most]]
+        open_blocks(~opened & (bound * (1 + 1e-9) + 1e-11 >= least))
+        score = np.round(score, 12)
+        least = np.partition(score, width - most, axis=1)[:, [width - most]]
+        row, example = np.nonzero((score > 0) & (score >= least))
+        got = score[row, example]
+        order = np.lexsort((example, -got, row))
+        row, example, got = row[order], example[order], got[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        best, sims, top = np.full((q.n, k), -1, np.int64), np.zeros((q.n, k)), rank < k
+        best[row[top], rank[top]], sims[row[top], rank[top]] = example[top], got[top]
         return best, sims
 
     def raw(self, best: np.ndarray, sims: np.ndarray) -> np.ndarray:
@@ -104,9 +152,17 @@ class Index:
         return np.where(empty, self.empty_score, np.interp(raw, self.raw_steps, self.step_scores))
 
     def unit(self, tf: np.ndarray) -> np.ndarray:
-        v = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * self.idf
+        v = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * self.term_weight
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
+    def unit_terms(self, tf: Terms) -> Terms:
+        return Terms(tf.n, tf.doc, tf.term, _units(tf, self.term_weight))
+
+
+def _units(tf: Terms, term_weight: np.ndarray) -> np.ndarray:
+    v = (1 + np.log(tf.value)) * term_weight[tf.term]
+    return v / np.maximum(np.sqrt(np.bincount(tf.doc, v * v, tf.n)), 1e-12)[tf.doc]
+
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: (x at the middle of each pool, its mean), rising."""
@@ -124,34 +180,101 @@ def build(rows: list[tuple[int, int, dict[bytes, int]]], terms: list[bytes], pri
     """Index of (doc_id, toxic, term counts) examples over a vocabulary; ``prior``: share of toxic labels."""
     rows = sorted(rows, key=lambda r: r[0])
     place = {t: i for i, t in enumerate(terms)}
-    tf = np.zeros((len(rows), len(terms)))
-    for i, (_, _, counts) in enumerate(rows):
-        for t, n in counts.items():
-            if t in place:
-                tf[i, place[t]] = n
-    toxic = np.array([r[1] for r in rows], float)
-    share = toxic.mean() if len(rows) else 0.0
+    at = [(i, place[t], n) for i, (_, _, counts) in enumerate(rows) for t, n in counts.items() if t in place]
+    doc, term, n = np.array(at, np.int64).reshape(-1, 3).T
+    return _index(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float),
+                  Terms(len(rows), doc, term, n.astype(float)), np.bincount(term, minlength=len(terms)), len(rows), prior, terms=terms)
+
+
+def label_weight(toxic: np.ndarray, tf: Terms, n_terms: int) -> np.ndarray:
+    """Chi-square of each word and the label: the square of the z of its shares in both classes."""
+    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
+    if not n1 or not n0:
+        return np.ones(n_terms)
+    d1 = np.bincount(tf.term, toxic[tf.doc], n_terms)
+    d0 = np.bincount(tf.term, 1 - toxic[tf.doc], n_terms)
+    p = (d1 + d0) / (n1 + n0)
+    return (d1 / n1 - d0 / n0) ** 2 / (np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+
+
+def _index(ids: np.ndarray, toxic: np.ndarray, tf: Terms, df: np.ndarray, n_docs: int, prior: float,
+           keys: np.ndarray | None = None, terms: list[bytes] | None = None) -> Index:
+    """Index of examples in the order of their ids; ``df``: of each word, in ``n_docs`` documents."""
+    share = toxic.mean() if len(ids) else 0.0
     weight = np.where(toxic == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
-    index = Index(terms, np.log((1 + len(rows)) / (1 + (tf > 0).sum(axis=0))) + 1,
-                  np.array([r[0] for r in rows], np.int64), toxic, weight, [], np.zeros((len(terms), 0)), prior)
-    v = index.unit(tf)
-    blocks = [v[a:a + BLOCK] for a in range(0, len(rows), BLOCK)]
-    index.postings = [[(np.flatnonzero(b[:, t]), b[b[:, t] != 0, t]) for t in range(len(terms))] for b in blocks]
-    index.block_max = np.array([b.max(axis=0) for b in blocks]).T if blocks else np.zeros((len(terms), 0))
-    empty = (tf == 0).all(axis=1)
+    idf = np.log((1 + n_docs) / (1 + df)) + 1
+    term_weight = idf * label_weight(toxic, tf, len(df))
+    v = _units(tf, term_weight)
+    here = np.bincount(tf.term, minlength=len(df))
+    dense_terms = np.argsort(-here, kind="stable")[:DENSE]
+    dense_terms = dense_terms[here[dense_terms] * 16 >= max(len(ids), 1)]
+    place = np.full(len(df), -1)
+    place[dense_terms] = np.arange(len(dense_terms))
+    dense = np.zeros((len(dense_terms), -(-len(ids) // BLOCK) * BLOCK))
+    on = place[tf.term] >= 0
+    dense[place[tf.term[on]], tf.doc[on]] = v[on]
+    order = np.flatnonzero(~on)[np.lexsort((tf.doc[~on], tf.term[~on]))]
+    term, example, value = tf.term[order], tf.doc[order], v[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)
+    start = np.flatnonzero(first)
+    index = Index(terms or [], np.zeros(0, np.uint64) if keys is None else keys, term_weight, ids, toxic, weight, place, dense,
+                  np.searchsorted(term[start], np.arange(len(df) + 1)), example[start] // BLOCK,
+                  np.maximum.reduceat(value, start) if len(start) else value, np.append(start, len(order)), example, value, prior)
+    empty = np.bincount(tf.doc, minlength=len(ids)) == 0
     w = weight + 1e-12
     index.empty_score = float((w * toxic)[empty].sum() / w[empty].sum()) if empty.any() else prior
-    if len(rows) and not empty.all():
-        full = np.flatnonzero(~empty)
-        raw = np.concatenate([index.raw(*index.nearest(v[full[a:a + 1024]], without=full[a:a + 1024]))
-                              for a in range(0, len(full), 1024)])
-        index.raw_steps, index.step_scores = isotonic(raw, toxic[full], w[full])
+    if len(ids) and not empty.all():
+        raw = index.raw(*index.nearest(Terms(len(ids), tf.doc, tf.term, v), without=np.arange(len(ids))))[~empty]
+        index.raw_steps, index.step_scores = isotonic(raw, toxic[~empty], w[~empty])
     return index
 
 
+def word_hashes(column: pa.Array, hasher: SpanHasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, number of texts, text of each word, hash of each word), in slices."""
+    data, offsets = texts(column)
+    for i, j in slices(offsets):
+        sp = spans(LOWER[data[offsets[i]:offsets[j]]], offsets[i:j + 1] - offsets[i], ALNUM, hasher)
+        yield i, j - i, np.searchsorted(sp.doc, np.arange(len(sp.hash)), side="right") - 1, sp.hash
+
+
+def known_terms(column: pa.Array, hasher: SpanHasher, keys: np.ndarray) -> Iterator[Terms]:
+    """Counts of the vocabulary's words (sorted hashes) in each text, in slices."""
+    for _, n, doc, hashes in word_hashes(column, hasher):
+        if not len(keys):
+            yield Terms(n, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            continue
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == hashes)
+        pair, count = np.unique(doc[hit] * len(keys) + at[hit], return_counts=True)
+        yield Terms(n, pair // len(keys), pair % len(keys), count.astype(float))
+
+
+def document_frequencies(docs: DataFrame, keys: np.ndarray, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """(documents with each of the words, documents) over all of ``docs``: one row a word and task, summed by Spark."""
+    shared = docs.sparkSession.sparkContext.broadcast(keys)  # bounded by the sample
+
+    def counted(batches):
+        keys, hasher = shared.value, SpanHasher(lower=True)
+        n, df = 0, np.zeros(len(keys), np.int64)
+        for batch in batches:
+            n += batch.num_rows
+            for tf in known_terms(batch.column(0), hasher, keys):
+                df += np.bincount(tf.term, minlength=len(keys))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["term", "n"])
+
+    got = (docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(counted, "term long, n long")
+               .groupBy("term").agg(F.sum("n").alias("n")).toArrow())
+    term, n = (got.column(i).to_numpy() for i in range(2))
+    df = np.zeros(len(keys), np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    return df, int(n[term < 0].sum())
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        per_class: int = PER_CLASS, terms: int = TERMS) -> Index:
-    """Index of a bounded sample of the labelled documents."""
+        per_class: int = PER_CLASS) -> Index:
+    """Index of a bounded sample of the labelled documents; document frequencies of all of ``docs``."""
     labelled = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
                       .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
                       .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -166,71 +289,57 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
 
     def counted(batches):
+        # the words of each example, led by a head of count 0
+        hasher = SpanHasher(lower=True)
         for batch in batches:
-            doc, tox, term, n = [], [], [], []
-            for d, c, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for w, k in Counter(words(t)).items():
-                    doc.append(d), tox.append(c), term.append(w), n.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tox, pa.int32()), pa.array(term, pa.binary()),
-                                              pa.array(n, pa.int64())], names=["doc_id", "toxic", "term", "n"])
-
-    counts = stored(rows.mapInArrow(counted, "doc_id long, toxic int, term binary, n long"), "toxicity-terms")
-    size = {r[0]: r[1] for r in chosen.groupBy("toxic").count().collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-    p1, p0 = F.col("d1") / max(n1, 1), F.col("d0") / max(n0, 1)
-    p = (F.col("d1") + F.col("d0")) / (n1 + n0)
-    z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / max(n1, 1) + 1 / max(n0, 1)))
-    chosen_terms = (counts.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("d1"), F.count_if(F.col("toxic") == 0).alias("d0"))
-                          .where(F.col("d1") + F.col("d0") >= MIN_DOCS).withColumn("z", F.abs(z)).where(F.col("z") >= MIN_Z)
-                          .orderBy(F.desc("z"), "term").limit(terms).select("term"))
-    vocabulary = sorted(bytes(r.term) for r in chosen_terms.collect())
-    vectors: dict[int, dict[bytes, int]] = {}
-    for r in counts.where(F.col("term").isin(vocabulary)).select("doc_id", "term", "n").collect() if vocabulary else []:
-        vectors.setdefault(r.doc_id, {})[bytes(r.term)] = r.n
-    ids = [(r.doc_id, r.toxic) for r in rows.select("doc_id", "toxic").collect()]
-    return build([(d, c, vectors.get(d, {})) for d, c in ids], vocabulary, count.get(1, 0) / total)
-
-
-def term_counts(column: pa.Array, hasher: SpanHasher, keys: np.ndarray, order: np.ndarray):
-    """Counts of the vocabulary's words in each text, in slices: (documents, terms) arrays."""
-    data, offsets = texts(column)
-    for i, j in slices(offsets):
-        low = LOWER[data[offsets[i]:offsets[j]]]
-        sp = spans(low, offsets[i:j + 1] - offsets[i], ALNUM, hasher)
-        tf = np.zeros((j - i, len(keys)))
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, sp.hash), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == sp.hash)
-            np.add.at(tf, (np.searchsorted(sp.doc, hit, side="right") - 1, order[at[hit]]), 1)
-        yield tf
+            ids, toxic = (np.array(batch.column(i).to_pylist(), np.int64) for i in range(2))
+            for i, n, doc, hashes in word_hashes(batch.column(2), hasher):
+                order = np.lexsort((hashes, doc))
+                doc, hashes = doc[order], hashes[order]
+                first = np.ones(len(doc), bool)
+                first[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+                start = np.flatnonzero(first)
+                at = np.concatenate([np.arange(n), doc[start]]) + i
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[at]), pa.array(toxic[at].astype(np.int32)),
+                     pa.array(np.concatenate([np.zeros(n, np.int64), hashes[start].view(np.int64)])),
+                     pa.array(np.concatenate([np.zeros(n, np.int64), np.diff(np.append(start, len(doc)))]))],
+                    names=["doc_id", "toxic", "term", "n"])
+
+    got = rows.mapInArrow(counted, "doc_id long, toxic int, term long, n long").toArrow()
+    doc_id, toxic, term, n = (got.column(i).to_numpy() for i in range(4))
+    ids, at = np.unique(doc_id[n == 0], return_index=True)
+    toxic, word = toxic[n == 0][at].astype(float), n > 0
+    keys, place = np.unique(term[word].view(np.uint64), return_inverse=True)
+    doc = np.searchsorted(ids, doc_id[word])
+    order = np.lexsort((place, doc))
+    df, n_docs = document_frequencies(docs, keys, text_col)
+    return _index(ids, toxic, Terms(len(ids), doc[order], place[order], n[word][order].astype(float)), df, n_docs,
+                  count.get(1, 0) / total, keys=keys)
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text",
           predict_from: float = PREDICT_FROM) -> DataFrame:
     """``doc_id, score, predicted`` and the evidence: the nearest examples, their similarities and labels. Map-only."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample and the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample
     names = ["doc_id", "score", "predicted", "evidence_ids", "evidence_sims", "evidence_toxic"]
 
     def run(batches):
         index, hasher = shared.value, SpanHasher(lower=True)
-        hashes = np.array([hasher.of(t) for t in index.terms], np.uint64)
-        order = np.argsort(hashes)
         for batch in batches:
             out = [[] for _ in names[1:]]
-            for tf in term_counts(batch.column(1), hasher, hashes[order], order):
-                full = np.flatnonzero(tf.any(axis=1))
-                best, sims = index.nearest(index.unit(tf[full]))
-                raw, empty = np.zeros(len(tf)), np.ones(len(tf), bool)
-                raw[full], empty[full] = index.raw(best, sims) if len(full) else 0, False
+            for tf in known_terms(batch.column(1), hasher, index.keys):
+                best, sims = index.nearest(index.unit_terms(tf))
+                empty = np.bincount(tf.doc, minlength=tf.n) == 0
+                raw = index.raw(best, sims) if len(index.ids) else np.zeros(tf.n)
                 got = np.clip(index.calibrated(raw, empty), 0, 1)
-                near = {d: k for k, d in enumerate(full.tolist())}
                 for d, s in enumerate(got.tolist()):
-                    ok = best[near[d]] >= 0 if d in near else None
+                    ok = best[d] >= 0
                     out[0].append(s)
                     out[1].append(int(s >= predict_from))
-                    out[2].append(index.ids[best[near[d]][ok]].tolist() if d in near else [])
-                    out[3].append(sims[near[d]][ok].tolist() if d in near else [])
-                    out[4].append(index.toxic[best[near[d]][ok]].astype(int).tolist() if d in near else [])
+                    out[2].append(index.ids[best[d][ok]].tolist())
+                    out[3].append(sims[d][ok].tolist())
+                    out[4].append(index.toxic[best[d][ok]].astype(int).tolist())
             types = [pa.float64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types))], names=names)
 

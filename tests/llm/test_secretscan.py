@@ -127,3 +127,19 @@ def test_length_column_stays_true(spark):
 
 def test_empty_table(frame):
     assert S.scan(frame([])).collect() == [] and S.redact(frame([]), length_col=None).collect() == []
+
+
+@pytest.mark.parametrize("width", [64, 76, 20])
+@pytest.mark.parametrize("pack", [lambda x: x.encode(), lambda x: zlib.compress(x.encode()), lambda x: gzip.compress(x.encode())])
+def test_wrapped_lines_are_read_as_one_run(width, pack):
+    rng = random.Random(width)
+    noise = lambda n: " ".join("".join(rng.choices("ghijklmnop", k=6)) for _ in range(n))
+    for at in range(0, 12):
+        hidden = b64(pack(noise(20) + "." * at + " " + SECRET + " " + noise(20)))
+        for feed in ("\n", "\r\n", "\n  "):
+            lines = [hidden[i:i + width] for i in range(0, len(hidden), width)]
+            for head in ("", "data: ", "averyveryverylongword\n"):
+                text = head + feed.join(lines) + "\nThe end"
+                every = [(a, b) for k, a, b in S.find(text)[1] if k == "assign"]
+                assert every and all(len(head) <= a < b <= len(text) - 8 for a, b in every), (text, every)
+                assert not S.find(S.redacted(text, S.find(text)[1], "[SECRET]"))[1]

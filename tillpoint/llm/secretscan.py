@@ -10,6 +10,9 @@ the span of the original text it came from, so a finding deep inside maps
 back to the characters that hide it.
 
 Only lines that hold an escape are decoded: no finding crosses a line feed.
+Base64 is read line by line and, where lines of 16 characters or more follow
+each other, over the line breaks too: runs of lines of equal width with a shorter
+last one, with and without the line before them.
 A decompressed payload is bounded by ``max_layer`` bytes; a larger one is
 scanned up to there and counted in ``n_cut``.
 
@@ -49,6 +52,9 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _ALPHABETS = ((re.compile(r"[-_]"), re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")),
               (re.compile(r"[+/]"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")))
 
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
+_PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+
 # The same as filters for whole batches (supersets: matched documents are looked at exactly).
 _MAY_HOLD = (r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
 _MAY_WRAP = r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[0-9xX]|[A-Za-z0-9+/_-]{16}"
@@ -146,35 +152,63 @@ def _readable(raw: bytes) -> str | None:
     return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def _base64_layer(run: str, a: int, span, most: int) -> tuple[str, Map | tuple[int, int], bool] | None:
-    """(layer, its map or the one span of all its characters, cut) of one base64 run at ``a``."""
+def _base64_layer(run: str, reach, most: int) -> tuple[str, Map | tuple[int, int], bool] | None:
+    """(layer, its map or the one span of all its characters, cut) of one base64 run; ``reach(i, j)``: the span in the
+    original text of its characters i to j-1."""
     body = run.rstrip("=")
     body = body[:len(body) - (len(body) % 4 == 1)]
     raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
     got = None if raw.isascii() and raw[:3] != b"BZh" else _inflated(raw, most)
     if got is not None:
         inner = _readable(got[0])
-        return None if inner is None else (inner, span(a, a + len(run)), got[1])
+        return None if inner is None else (inner, reach(0, len(run)), got[1])
     if (inner := _readable(raw)) is None:
         return None
     origin, byte = [], 0
     for c in inner:
         n = len(c.encode())
-        origin.append(span(a + byte * 4 // 3, min(a + len(body), a + -(-(byte + n) * 4 // 3))))
+        origin.append(reach(byte * 4 // 3, min(len(body), -(-(byte + n) * 4 // 3))))
         byte += n
     return inner, origin, False
 
 
-def _base64_layers(text: str, spans: Map | None, most: int) -> Iterator[tuple[str, Map | tuple[int, int], bool]]:
+def _wrapped_runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Base64 runs that go on over line breaks: the places of their lines."""
+    for m in _WRAPPED.finditer(text):
+        lines = [p.span() for p in _PIECE.finditer(text, m.start(), m.end())]
+        width = [b - a for a, b in lines]
+        i = 0
+        while i < len(lines):
+            j = i + 1
+            while j < len(lines) and width[j] == width[i]:
+                j += 1
+            # the shorter line may be the run's last one or the first word behind it
+            for end in {j, j + (j < len(lines) and width[j] < width[i])} if width[i] >= 16 else ():
+                if end - i > 1:
+                    yield lines[i:end]
+                if i:
+                    yield lines[i - 1:end]
+            i = j
+
+
+def _base64_layers(text: str, spans: Map | tuple[int, int] | None,
+                   most: int) -> Iterator[tuple[str, Map | tuple[int, int], bool]]:
     """Layers of all base64 runs; where both alphabets mix, each one's runs are tried as well."""
-    span = (lambda i, j: (i, j)) if spans is None else (lambda i, j: (spans[i][0], spans[j - 1][1]))
+    span = ((lambda i, j: (i, j)) if spans is None else (lambda i, j: spans) if isinstance(spans, tuple)
+            else (lambda i, j: (spans[i][0], spans[j - 1][1])))
+    for lines in _wrapped_runs(text):
+        place = [i for a, b in lines for i in range(a, b)]
+        run = "".join(text[a:b] for a, b in lines)
+        if (got := _base64_layer(run, lambda i, j: span(place[i], place[j - 1] + 1), most)) is not None:  # noqa: B023
+            yield got
     for m in _BASE64.finditer(text):
-        if (got := _base64_layer(m[0], m.start(), span, most)) is not None:
+        if (got := _base64_layer(m[0], lambda i, j: span(m.start() + i, m.start() + j), most)) is not None:  # noqa: B023
             yield got
         for foreign, own in _ALPHABETS:
             if foreign.search(m[0]):
                 for part in own.finditer(m[0]):
-                    if (got := _base64_layer(part[0], m.start() + part.start(), span, most)) is not None:
+                    at = m.start() + part.start()
+                    if (got := _base64_layer(part[0], lambda i, j: span(at + i, at + j), most)) is not None:  # noqa: B023
                         yield got
 
 
@@ -189,7 +223,7 @@ def _unwrapped(text: str, spans: Map | tuple[int, int] | None, most: int) -> Ite
         for a, b in _lines(text, wanted) if any(c in text for c in signs) else ():
             if (got := _rewritten(text, a, b, at(a, b), wanted, decoded)) is not None:
                 yield got[0], (spans if flat else got[1]), False
-    for inner, origin, was_cut in _base64_layers(text, [spans] * len(text) if flat else spans, most):
+    for inner, origin, was_cut in _base64_layers(text, spans, most):
         yield inner, (spans if flat else origin), was_cut
 
 

@@ -143,3 +143,20 @@ def test_wrapped_lines_are_read_as_one_run(width, pack):
                 every = [(a, b) for k, a, b in S.find(text)[1] if k == "assign"]
                 assert every and all(len(head) <= a < b <= len(text) - 8 for a, b in every), (text, every)
                 assert not S.find(S.redacted(text, S.find(text)[1], "[SECRET]"))[1]
+
+
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress])
+def test_every_payload_is_scanned_whatever_its_characters(pack):
+    plain = f"config {SECRET} end"
+    for odd in ("\u00a0", "\u3000", "\ufeff", "\u200b", "\0", "\x07", "\x1b", "é", "日本"):
+        raws = [f"{odd}{plain}{odd}".encode()]
+        raws += [f"{odd}{plain}{odd}".encode(c) for c in ("utf-16", "utf-16-le", "utf-16-be", "utf-32-le")]
+        raws += [b"\xe9\xff " + plain.encode() + b" \xe9"]
+        for raw in raws:
+            hidden = b64(pack(raw))
+            text = f"x {hidden} y"
+            found = [(a, b) for k, a, b in S.find(text)[1] if k == "assign"]
+            assert found and all(2 <= a < b <= len(text) - 2 for a, b in found), raw
+            if pack is not gzip.compress:
+                got = base64.b64decode(text[2 + (found[0][0] - 2) // 4 * 4:2 + -(-(found[0][1] - 2) // 4) * 4])
+                assert b"hunter2hunter" in got.replace(b"\0", b"") and len(got) < len(raw)

@@ -12,7 +12,8 @@ back to the characters that hide it.
 Only lines that hold an escape are decoded: no finding crosses a line feed.
 Base64 is read line by line and, where lines of 16 characters or more follow
 each other, over the line breaks too: runs of lines of equal width with a shorter
-last one, with and without the line before them.
+last one, with and without the line before them. Every decoded payload
+is scanned, whatever characters it has and whether or not it is UTF-8.
 A decompressed payload is bounded by ``max_layer`` bytes; a larger one is
 scanned up to there and counted in ``n_cut``.
 
@@ -58,6 +59,8 @@ _PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
 # The same as filters for whole batches (supersets: matched documents are looked at exactly).
 _MAY_HOLD = (r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
 _MAY_WRAP = r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[0-9xX]|[A-Za-z0-9+/_-]{16}"
+_HOLDS = re.compile(_MAY_HOLD.replace("(?i:", "(?ai:"))
+_WRAPS = re.compile(_MAY_WRAP)
 
 Map = list[tuple[int, int]]  # for each character of a layer, its span in the original text
 
@@ -128,31 +131,42 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]] | None:
     return [(chr(code), m.start(), m.end())]
 
 
-def _inflated(raw: bytes, most: int) -> tuple[bytes, bool] | None:
-    """(payload, whether it was cut) of compressed bytes."""
+def _inflated(raw: bytes, most: int) -> tuple[bytes, bool, int] | None:
+    """(payload, whether it was cut, how many bytes it takes) of compressed bytes."""
     try:
         if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0):
             d = zlib.decompressobj(47)
             got = d.decompress(raw, most)
-            return got, bool(d.unconsumed_tail)
+            return got, bool(d.unconsumed_tail), len(raw) - len(d.unused_data)
         if raw[:3] == b"BZh" or raw[:6] == b"\xfd7zXZ\x00":
             d = bz2.BZ2Decompressor() if raw[:3] == b"BZh" else lzma.LZMADecompressor()
             got = d.decompress(raw, most)
-            return got, not d.eof and not d.needs_input
+            return got, not d.eof and not d.needs_input, len(raw) - len(d.unused_data if d.eof else b"")
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
         return None
     return None
 
 
-def _readable(raw: bytes) -> str | None:
+def _readings(raw: bytes) -> Iterator[tuple[str, Map]]:
+    """Decoded bytes as text and the bytes of each character: UTF-8, else latin-1; where there are NUL bytes (UTF-16,
+    UTF-32), also without them. What a reading holds, not how it looks, tells whether it matters."""
     try:
-        text = raw.decode()
+        text, wide = raw.decode(), True
     except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
-def _base64_layer(run: str, reach, most: int) -> tuple[str, Map | tuple[int, int], bool] | None:
+        text, wide = raw.decode("latin-1"), False
+    if not wide or len(text) == len(raw):
+        yield text, _identity(0, len(raw))
+    else:
+        places: Map = []
+        for c in text:
+            at = places[-1][1] if places else 0
+            places.append((at, at + len(c.encode())))
+        yield text, places
+    if b"\0" in raw:
+        yield raw.replace(b"\0", b"").decode("latin-1"), [(i, i + 1) for i, c in enumerate(raw) if c]
+
+
+def _base64_layer(run: str, reach, most: int) -> Iterator[tuple[str, Map | tuple[int, int], bool]]:
     """(layer, its map or the one span of all its characters, cut) of one base64 run; ``reach(i, j)``: the span in the
     original text of its characters i to j-1."""
     body = run.rstrip("=")
@@ -160,16 +174,14 @@ def _base64_layer(run: str, reach, most: int) -> tuple[str, Map | tuple[int, int
     raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
     got = None if raw.isascii() and raw[:3] != b"BZh" else _inflated(raw, most)
     if got is not None:
-        inner = _readable(got[0])
-        return None if inner is None else (inner, reach(0, len(run)), got[1])
-    if (inner := _readable(raw)) is None:
-        return None
-    origin, byte = [], 0
-    for c in inner:
-        n = len(c.encode())
-        origin.append(reach(byte * 4 // 3, min(len(body), -(-(byte + n) * 4 // 3))))
-        byte += n
-    return inner, origin, False
+        end = len(run) if got[2] == len(raw) else -(-got[2] * 4 // 3)  # a word behind the payload is not part of it
+        for inner, _ in _readings(got[0]):
+            yield inner, reach(0, end), got[1]
+        return
+    for inner, places in _readings(raw):
+        # a reading without a finding or a further layer needs no map
+        if _HOLDS.search(inner) or _WRAPS.search(inner):
+            yield inner, [reach(a * 4 // 3, min(len(body), -(-b * 4 // 3))) for a, b in places], False
 
 
 def _wrapped_runs(text: str) -> Iterator[list[tuple[int, int]]]:
@@ -199,17 +211,14 @@ def _base64_layers(text: str, spans: Map | tuple[int, int] | None,
     for lines in _wrapped_runs(text):
         place = [i for a, b in lines for i in range(a, b)]
         run = "".join(text[a:b] for a, b in lines)
-        if (got := _base64_layer(run, lambda i, j: span(place[i], place[j - 1] + 1), most)) is not None:  # noqa: B023
-            yield got
+        yield from _base64_layer(run, lambda i, j: span(place[i], place[j - 1] + 1), most)  # noqa: B023
     for m in _BASE64.finditer(text):
-        if (got := _base64_layer(m[0], lambda i, j: span(m.start() + i, m.start() + j), most)) is not None:  # noqa: B023
-            yield got
+        yield from _base64_layer(m[0], lambda i, j: span(m.start() + i, m.start() + j), most)  # noqa: B023
         for foreign, own in _ALPHABETS:
             if foreign.search(m[0]):
                 for part in own.finditer(m[0]):
                     at = m.start() + part.start()
-                    if (got := _base64_layer(part[0], lambda i, j: span(at + i, at + j), most)) is not None:  # noqa: B023
-                        yield got
+                    yield from _base64_layer(part[0], lambda i, j: span(at + i, at + j), most)  # noqa: B023
 
 
 def _unwrapped(text: str, spans: Map | tuple[int, int] | None, most: int) -> Iterator[tuple[str, Map | tuple[int, int], bool]]:

@@ -160,3 +160,28 @@ def test_every_payload_is_scanned_whatever_its_characters(pack):
             if pack is not gzip.compress:
                 got = base64.b64decode(text[2 + (found[0][0] - 2) // 4 * 4:2 + -(-(found[0][1] - 2) // 4) * 4])
                 assert b"hunter2hunter" in got.replace(b"\0", b"") and len(got) < len(raw)
+
+
+@pytest.mark.parametrize("pack", [zlib.compress, gzip.compress, bz2.compress, lzma.compress])
+def test_a_secret_behind_the_bound_is_found(pack):
+    rng = random.Random(1)
+    words = ["plain", "words", "été", "日本語", "here, and", "there."]
+    noise = lambda n: " ".join(rng.choices(words, k=n))
+    for secret in (SECRET, b64("some " + SECRET), percent(SECRET)):
+        text = b64(pack((noise(60_000) + " " + secret + " " + noise(30_000)).encode()))
+        assert [k for k, _, _ in S.find(text, max_layer=1 << 16)[1]] == ["assign"] and S.find(text, max_layer=1 << 16)[2] == 0
+    text = b64(pack(b"a" * 3_000_000 + SECRET.encode() + "é".encode() * 100_000))
+    got = S.find(text, max_layer=1 << 20)
+    assert got[1] and got[2] >= 1
+
+
+def test_pieces_lose_no_finding_at_their_ends():
+    rng = random.Random(2)
+    bits = [SECRET, "api_key  =  abcdefgh", percent("token: abcdefg"), "AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "word", "x.y", ", ",
+            "the end. ", " ", "\n", b64(SECRET), "é"]
+    for _ in range(150):
+        raw = " ".join(rng.choices(bits, k=60)).encode()
+        pieces = list(S._pieces((raw[i:i + 50] for i in range(0, len(raw), 50)), 50, 1 << 20))
+        assert "".join(p for p, _ in pieces).encode("latin-1") == raw and len(pieces) > 1
+        count = lambda t: sum(1 for _ in S.base_spans(t)) + sum(len(S.find(t)[1]) - len(S.find(t)[0]) for _ in "x")
+        assert sum(count(p) for p, _ in pieces) == count(raw.decode("latin-1"))

@@ -14,8 +14,11 @@ Base64 is read line by line and, where lines of 16 characters or more follow
 each other, over the line breaks too: runs of lines of equal width with a shorter
 last one, with and without the line before them. Every decoded payload
 is scanned, whatever characters it has and whether or not it is UTF-8.
-A decompressed payload is bounded by ``max_layer`` bytes; a larger one is
-scanned up to there and counted in ``n_cut``.
+A compressed payload is inflated in blocks of ``max_layer`` / 8 bytes and scanned
+whole, in pieces that end between words. Only a stretch of more than
+``max_layer`` characters without such an end (one huge run) is handed on in
+overlapping pieces, all of them scanned, and counted in ``n_cut``: what is wrapped
+across two such pieces may be missed.
 
 Null and empty texts have no spans. Repeated rows are scanned alike. Spans are
 code points, end exclusive; equal findings of several layers are one span.
@@ -37,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LAYER = 32 << 20
+OVERLAP = 64 << 10
 KINDS = ("assign", "access", "hex")
 
 # The kinds' patterns and their least lengths.
@@ -54,6 +58,8 @@ _ALPHABETS = ((re.compile(r"[-_]"), re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")),
               (re.compile(r"[+/]"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")))
 
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
+# Ends that no finding, escape or base64 run goes over.
+_SAFE = re.compile(r"""[^A-Za-z0-9+/_.=\-"':%\\&#;{}\s]|(?<=[G-Zg-z])\x20(?=[A-Za-z0-9])|(?<=\.)\s""", re.A)
 _PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
 
 # The same as filters for whole batches (supersets: matched documents are looked at exactly).
@@ -131,20 +137,50 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]] | None:
     return [(chr(code), m.start(), m.end())]
 
 
-def _inflated(raw: bytes, most: int) -> tuple[bytes, bool, int] | None:
-    """(payload, whether it was cut, how many bytes it takes) of compressed bytes."""
+def _inflated(raw: bytes, size: int) -> Iterator[tuple[bytes, int]]:
+    """Compressed bytes inflated in blocks of at most ``size``: (block, how many bytes were needed up to it)."""
+    data = raw
     try:
-        if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
-            got = d.decompress(raw, most)
-            return got, bool(d.unconsumed_tail), len(raw) - len(d.unused_data)
-        if raw[:3] == b"BZh" or raw[:6] == b"\xfd7zXZ\x00":
-            d = bz2.BZ2Decompressor() if raw[:3] == b"BZh" else lzma.LZMADecompressor()
-            got = d.decompress(raw, most)
-            return got, not d.eof and not d.needs_input, len(raw) - len(d.unused_data if d.eof else b"")
+        while data:
+            before = len(raw) - len(data)
+            if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0):
+                d = zlib.decompressobj(47)
+                while got := d.decompress(data, size):
+                    data = d.unconsumed_tail
+                    yield got, len(raw) - len(d.unused_data)
+            elif data[:3] == b"BZh" or data[:6] == b"\xfd7zXZ\x00":
+                d = bz2.BZ2Decompressor() if data[:3] == b"BZh" else lzma.LZMADecompressor()
+                while got := d.decompress(data, size):
+                    data = b""
+                    yield got, len(raw) - len(d.unused_data)
+                    if d.eof or d.needs_input:
+                        break
+            else:
+                return
+            if not d.eof or len(d.unused_data) >= len(raw) - before:
+                return
+            data = d.unused_data  # a further member may follow
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-    return None
+        return
+
+
+def _pieces(blocks: Iterator[bytes], size: int, most: int) -> Iterator[tuple[str, bool]]:
+    """Pieces that end where no finding or wrapping goes on: what is unfinished is carried into the next. A carry of more
+    than ``most`` characters is handed out as it is, its end once more with the next piece, and marked."""
+    text = ""
+    for block in blocks:
+        text += block.decode("latin-1")  # all findings and wrappings are ASCII
+        if len(text) < size:
+            continue
+        ends = [m.end() for m in _SAFE.finditer(text, max(0, len(text) - OVERLAP))]
+        at = ends[-1] if ends else max((m.end() for m in _SAFE.finditer(text)), default=0)
+        if at:
+            yield text[:at], False
+            text = text[at:]
+        elif len(text) > most:
+            yield text, True
+            text = text[-min(OVERLAP, most // 2):]
+    yield text, False
 
 
 def _readings(raw: bytes) -> Iterator[tuple[str, Map]]:
@@ -172,11 +208,17 @@ def _base64_layer(run: str, reach, most: int) -> Iterator[tuple[str, Map | tuple
     body = run.rstrip("=")
     body = body[:len(body) - (len(body) % 4 == 1)]
     raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-    got = None if raw.isascii() and raw[:3] != b"BZh" else _inflated(raw, most)
-    if got is not None:
-        end = len(run) if got[2] == len(raw) else -(-got[2] * 4 // 3)  # a word behind the payload is not part of it
-        for inner, _ in _readings(got[0]):
-            yield inner, reach(0, end), got[1]
+    used, nul, size = 0, False, max(most // 8, 1)
+    if not raw.isascii() or raw[:3] == b"BZh":
+        for block, used in _inflated(raw, size):
+            nul = nul or b"\0" in block
+    if used:
+        place = reach(0, len(run) if used == len(raw) else -(-used * 4 // 3))  # a word behind it is not part of the payload
+        for piece, was_cut in _pieces((block for block, _ in _inflated(raw, size)), size, most):
+            yield piece, place, was_cut
+        if nul:
+            for piece, was_cut in _pieces((block.replace(b"\0", b"") for block, _ in _inflated(raw, size)), size, most):
+                yield piece, place, was_cut
         return
     for inner, places in _readings(raw):
         # a reading without a finding or a further layer needs no map
@@ -238,12 +280,15 @@ def _unwrapped(text: str, spans: Map | tuple[int, int] | None, most: int) -> Ite
 
 def find(text: str | None, max_layer: int = MAX_LAYER, may_hold: bool = True,
          may_wrap: bool = True) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
-    """(plain findings, findings of all layers, payloads cut) of one text; the flags say what a filter has excluded."""
+    """(plain findings, findings of all layers, pieces cut) of one text; the flags say what a filter has excluded."""
     base = base_spans(text) if text and may_hold else []
     found, seen, n_cut = set(base), set(), 0
-    work = list(_unwrapped(text, None, max_layer)) if text and may_wrap else []
+    work = [_unwrapped(text, None, max_layer)] if text and may_wrap else []  # lazily: a large payload's pieces come one by one
     while work:
-        layer, spans, was_cut = work.pop()
+        if (got := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        layer, spans, was_cut = got
         n_cut += was_cut
         place = spans if isinstance(spans, tuple) else (spans[0][0], spans[-1][1]) if spans else (0, 0)
         key = (hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest(), place)
@@ -252,7 +297,7 @@ def find(text: str | None, max_layer: int = MAX_LAYER, may_hold: bool = True,
         seen.add(key)
         for kind, a, b in base_spans(layer):
             found.add((kind, *(spans if isinstance(spans, tuple) else (spans[a][0], spans[b - 1][1]))))
-        work += _unwrapped(layer, spans, max_layer)
+        work.append(_unwrapped(layer, spans, max_layer))
     return _sorted(base), _sorted(found), n_cut
 
 

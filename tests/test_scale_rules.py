@@ -199,3 +199,13 @@ def test_a_cluster_needs_a_shared_checkpoint_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_the_registered_k_distance_curve_has_every_row(spark):
+    import __spark_entry__ as E
+    from conftest import SMALL
+    kd = E.queries()["k_distance"](spark, SMALL).toPandas()
+    curve = E.queries()["k_distance_curve"](spark, SMALL).toPandas().sort_values("rank")
+    assert curve["rank"].tolist() == list(range(int(kd.w.sum())))
+    assert np.allclose(curve.distance, np.sort(np.repeat(kd.kdist, kd.w.astype(int))))
+    assert len(E.queries()["k_distance_curve_101"](spark, SMALL).collect()) == 101

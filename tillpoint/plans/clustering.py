@@ -219,7 +219,13 @@ def q_k_distance(spark, sf_dir):
 
 @query("k_distance_curve")
 def q_k_distance_curve(spark, sf_dir):
-    """The ascending k-distance curve, thinned to 101 exact quantiles."""
+    """The ascending k-distance curve, every row."""
+    return k_distance_curve(_kdist(spark, sf_dir))
+
+
+@query("k_distance_curve_101")
+def q_k_distance_curve_101(spark, sf_dir):
+    """The curve thinned to 101 exact quantiles."""
     return k_distance_curve(_kdist(spark, sf_dir), points=101)
 
 

@@ -121,3 +121,33 @@ def test_planted_passages_are_found_and_clean_texts_left_alone(frame):
     whole = dict(rows)
     assert all(texts[i] == whole[i] for i in range(0, 120, 2))
     assert sum(texts[i] != whole[i] for i in planted) == len(planted) - 15
+
+
+def test_short_copies_go_whole_and_stock_phrases_stay(frame):
+    stock = "All rights reserved by the owner."
+    rng = np.random.default_rng(5)
+    long = lambda: "".join(rng.choice(list("abcdefghij "), 400))
+    two = "first chunk of a short text, and then some more of it"  # several chunks, fewer than 100 characters
+    rows = [(1, "hi"), (2, "hi"), (3, "hi"), (4, two), (5, two), (6, "another one that is alone"), (7, None), (8, ""), (9, ""), (10, "only once"),
+            (11, long() + stock + long()), (12, long() + stock + long())]
+    df = frame(rows).coalesce(1).cache()
+    got = C.dedup(df, whole_texts=True).collect()
+    texts = dict(rows)
+    for same in ({1, 2, 3}, {4, 5}):
+        of = sorted((r for r in got if r.doc_id in same), key=lambda r: r.row)
+        assert all(r.has_repeats and r.n_shared_chunks == r.n_chunks for r in of)
+        assert [r.removed_spans for r in of] == [""] + [f"0:{len(texts[r.doc_id])}" for r in of[1:]]
+    assert not any(r.has_repeats or r.removed_spans for r in got if r.doc_id >= 6)
+    assert not any(r.has_repeats for r in C.dedup(df).collect())
+    kept = {r.doc_id: r.text for r in C.remove_spans(df, C.dedup(df, whole_texts=True)).collect()}
+    assert sorted(kept[i] for i in (1, 2, 3)) == ["", "", "hi"] and sorted(kept[i] for i in (4, 5)) == ["", two]
+    assert all(kept[i] == texts[i] for i in range(6, 13))
+
+
+def test_the_query_finds_all_exact_copies(spark):
+    from pyspark.sql import functions as F
+    from conftest import SMALL
+    from tillpoint.llm.queries import op3
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    n = docs.where("text != ''").groupBy("text").count().agg(F.sum(F.col("count") - 1)).first()[0]
+    assert op3(spark, SMALL).where("n_chars > 0 and removed_chars = n_chars").count() >= n

@@ -7,7 +7,9 @@ character. Cuts depend on content, so text that is inserted or removed shifts
 no chunk but the ones it touches. Chunks are known by a 128-bit digest. Of
 equal chunks the first (by input row, then place) stays and the others go,
 where neighbouring repeated chunks make a run of ``min_run`` characters or
-more; shorter matches, such as one stock phrase, are left alone.
+more; shorter matches, such as one stock phrase, are left alone. With
+``whole_texts`` a run that covers its whole text counts whatever its length, so
+short copies go too.
 
 The gear hash of all places is a doubling sum in numpy. Chunk rows are narrow
 (digest, doc_id, place) and written once; digests that occur once are dropped
@@ -111,7 +113,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask_bits: int = MASK_BITS,
-          least: int = LEAST, most: int = MOST, min_run: int = MIN_RUN) -> DataFrame:
+          least: int = LEAST, most: int = MOST, min_run: int = MIN_RUN, whole_texts: bool = False) -> DataFrame:
     """One row per document: its chunks, those in shared runs, those removed, and the removed spans
     (``start:end`` of merged neighbours, comma-joined)."""
     every = stored(chunks(docs, id_col, text_col, mask_bits, least, most), "chunk-digests")
@@ -121,9 +123,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask_
     again = body.join(shared, ["d1", "d2"]).select("row", "idx", "start", "end", (place != F.col("first")).alias("gone"))
     # neighbours share idx minus their rank among the text's shared chunks
     in_text = Window.partitionBy("row").orderBy("idx")
+    if whole_texts:  # a short text's head stands before its first chunk, in the same run, and tells its length
+        again = again.unionByName(every.where((F.col("idx") == -1) & F.col("end").between(1, min_run - 1))
+                                       .select("row", "idx", "start", "end", F.lit(False).alias("gone")))
+    in_run, chunk = Window.partitionBy("row", "run"), F.col("idx") >= 0
     runs = (again.withColumn("run", F.col("idx") - F.row_number().over(in_text))
-                 .withColumn("run_chars", F.sum(F.col("end") - F.col("start")).over(Window.partitionBy("row", "run")))
-                 .where(F.col("run_chars") >= min_run))
+                 .withColumn("run_chars", F.sum(F.when(chunk, F.col("end") - F.col("start"))).over(in_run))
+                 .withColumn("text_chars", F.max(F.when(~chunk, F.col("end"))).over(in_run))
+                 .where(chunk & ((F.col("run_chars") >= min_run) | F.coalesce(F.col("run_chars") == F.col("text_chars"), F.lit(False)))))
     gone_islands = (runs.withColumn("island", F.when(F.col("gone"), F.col("idx") - F.sum(F.col("gone").cast("int")).over(in_text)))
                         .groupBy("row", "gone", "island").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"),
                                                               F.max("end").alias("end")))

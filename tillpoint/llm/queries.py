@@ -89,7 +89,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op3_chunk_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunkdedup.dedup(table(spark, sf_dir, "documents")).drop("row")
+    return chunkdedup.dedup(table(spark, sf_dir, "documents"), whole_texts=True).drop("row")
 
 
 @_query("op4_secret_scan")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import (chat, chunkdedup, decontaminate, langid, packing, quality, secretscan, sharding, simhash,
+from tillpoint.llm import (centroids, chat, chunkdedup, decontaminate, langid, packing, quality, secretscan, sharding, simhash,
                            toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def _op11_sql(k: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS) -> str:
+    squared = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    parts = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS j, v AS c FROM v QUALIFY j < {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, first(vec_id) AS vec_id, first(v) AS v, min({{'d': d, 'j': j}}) AS near
+  FROM (SELECT rid, vec_id, v, j, CAST({squared} AS BIGINT) AS d FROM v, c{r}) GROUP BY rid)""")
+        if r < rounds:
+            parts.append(f"""
+m{r} AS (
+  SELECT j, list(CAST(floor_mean AS BIGINT) ORDER BY i) AS c
+  FROM (SELECT j, i, (s - ((s % n) + n) % n) // n AS floor_mean
+        FROM (SELECT near.j AS j, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY ALL))
+  GROUP BY j),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.j AS j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (j))""")
+    return ",".join(parts) + f"""
+SELECT vec_id, CAST(near.j AS INTEGER) AS cluster, near.d AS distance,
+       CAST(sum(near.d) OVER (PARTITION BY near.j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(near.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.j = near.j"""
+
+
+@_query("op11_ptolemaic_clusters", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")

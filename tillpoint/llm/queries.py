@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import (centroids, chat, chunkdedup, decontaminate, langid, packing, quality, secretscan, sharding, simhash,
-                           toxicity)
+from tillpoint.llm import (centroids, chat, chunkdedup, decontaminate, langid, packing, periodic, quality, secretscan, sharding,
+                           simhash, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -169,3 +169,64 @@ FROM a{rounds} JOIN c{rounds} ON c{rounds}.j = near.j"""
 @_query("op11_ptolemaic_clusters", _op11_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def _extended_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: where h = crc32(doc_id) ends in 0, the words from the (h / 10 mod n)th on repeat by a period."""
+    i = "((crc32(cast(cast(doc_id as string) as binary)) div 10)"
+    tail = (f"transform(array(w), w -> transform(array(struct(cast(size(w) as bigint) as n, {i} % size(w)) as a, {i} % 8) as s)), "
+            "x -> array_join(transform(w, (v, i) -> if(i < x.a, v, get(w, cast(x.a + (i - x.a) % "
+            "(1 + (x.n - x.a) div (3 + x.s)) as int)))), ' '))[0])[0]")
+    return docs.withColumn("w", quality.word_list("text")).select(
+        "doc_id", F.when((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0) & (F.size("w") > 0), F.expr(tail))
+                   .otherwise(F.col("text")).alias("text"))
+
+
+_OP13_SQL = """
+WITH bits AS (
+  SELECT n, list_reduce([n]::BIGINT[] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS x
+  FROM range(256) t(n)),
+crc_table AS (SELECT list(x ORDER BY n) AS t FROM bits),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w,
+         xor(list_reduce([4294967295]::BIGINT[] || list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM documents, crc_table),
+g AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM g),
+words AS MATERIALIZED (
+  SELECT rid, doc_id, n,
+         CASE WHEN h % 10 = 0 AND n > 0
+              THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END)
+              ELSE w END AS w
+  FROM a),
+tokens AS MATERIALIZED (SELECT rid, n, unnest(w) AS w, unnest(range(n)) AS i FROM words),
+same AS (
+  SELECT x.rid AS rid, y.i - x.i AS p, x.i AS i
+  FROM tokens x JOIN tokens y ON x.rid = y.rid AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // 4),
+islands AS (SELECT rid, p, i, i - row_number() OVER (PARTITION BY rid, p ORDER BY i) AS island FROM same),
+regions AS (
+  SELECT rid, p, min(i) AS start, count(*) + p AS length FROM islands
+  GROUP BY rid, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+runs AS MATERIALIZED (SELECT rid, start, length, min(p) AS period FROM regions GROUP BY rid, start, length),
+per AS (
+  SELECT rid, count(*) AS n_runs, min({'o': -length, 'start': start, 'period': period, 'length': length}) AS best,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+         list_distinct(flatten(list(range(start + period, start + length)))) AS gone
+  FROM runs GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+       1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w
+                       ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i - 1)) END, ' '), '')) AS collapsed_sha256
+FROM words LEFT JOIN per USING (rid)
+"""
+
+
+@_query("op13_periodic_runs", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse(_extended_tails(table(spark, sf_dir, "documents"))).withColumn("best", periodic.longest("runs"))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

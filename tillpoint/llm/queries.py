@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import (centroids, chat, chunkdedup, decontaminate, langid, packing, periodic, quality, secretscan, sharding,
-                           simhash, toxicity)
+from tillpoint.llm import (centroids, chat, chunkdedup, decontaminate, langid, mixing, packing, periodic, quality, secretscan,
+                           sharding, simhash, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -171,6 +171,73 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
 
 
+_OP12_SQL = """
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, source,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+weighed AS (
+  SELECT *, source_no % 3 + 1 AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no
+        FROM d GROUP BY source)),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW o AS (ORDER BY source_size / weight, source_no)),
+level AS (SELECT arg_min(level, (source_size / weight, source_no)) AS level FROM levels WHERE 3 * source_size >= weight * level * (1 - 1e-12)),
+sources AS MATERIALIZED (
+  SELECT *, quota_at + quota AS quota_to FROM (
+    SELECT *, coalesce(sum(quota) OVER (ORDER BY source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS quota_at
+    FROM (SELECT *, CASE WHEN blocks > 0 THEN least(floor(target / source_size * blocks + 0.5), 3 * blocks) ELSE 0 END::BIGINT AS quota
+          FROM (SELECT source, source_no, source_size, least(weight * level, 3.0 * source_size) AS target, ceil(source_size / 32)::BIGINT AS blocks
+                FROM weighed, level)))),
+size AS (
+  SELECT *, total // per_shard // 2 AS drawn_shards
+  FROM (SELECT sum(quota)::BIGINT AS total, greatest(256, floor(sqrt(sum(quota)))::BIGINT) AS per_shard FROM sources)),
+drawn AS MATERIALIZED (
+  SELECT id // per_shard AS shard, id % per_shard AS slot, source_no, quota, row_number() OVER (PARTITION BY source_no ORDER BY id) - 1 AS t
+  FROM (SELECT unnest(range(drawn_shards * per_shard)) AS id, per_shard, total FROM size)
+  JOIN sources ON ('0x' || substr(md5('12:slot:' || id), 1, 13))::BIGINT % greatest(1, total) >= quota_at
+              AND ('0x' || substr(md5('12:slot:' || id), 1, 13))::BIGINT % greatest(1, total) < quota_to),
+held AS (SELECT source_no, count(*) FILTER (t < quota) AS had FROM drawn GROUP BY source_no),
+rest AS MATERIALIZED (
+  SELECT *, coalesce(sum(n) OVER (ORDER BY source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS left_at
+  FROM (SELECT source_no, coalesce(had, 0) AS had, quota - coalesce(had, 0) AS n FROM sources LEFT JOIN held USING (source_no))),
+filled AS MATERIALIZED (
+  SELECT source_no, t FROM drawn WHERE t < quota UNION ALL SELECT source_no, unnest(range(had, had + n)) FROM rest),
+wanted AS MATERIALIZED (
+  SELECT source_no, blocks, t // blocks AS epoch, t % blocks AS i FROM filled JOIN sources USING (source_no)),
+keys AS MATERIALIZED (
+  SELECT source_no, epoch, r, ('0x' || substr(md5('12:block:' || source_no || ':' || epoch || ':' || r || ':a'), 1, 13))::BIGINT % blocks AS a,
+         ('0x' || substr(md5('12:block:' || source_no || ':' || epoch || ':' || r || ':c'), 1, 13))::BIGINT % 2147483647 AS c
+  FROM (SELECT DISTINCT source_no, epoch, blocks FROM wanted), range(1, 25) t(r)),
+shuffled AS (
+  SELECT source_no, epoch, blocks, i AS x, 0 AS r FROM wanted
+  UNION ALL
+  SELECT source_no, epoch, blocks, CASE WHEN (y * y % 2147483647) * y % 2147483647 % 2 = 1 THEN other ELSE x END, r
+  FROM (SELECT *, (greatest(x, other) % 2147483647 + c) % 2147483647 AS y
+        FROM (SELECT s.source_no, s.epoch, blocks, x, ((a - x) % blocks + blocks) % blocks AS other, c, k.r AS r
+              FROM shuffled s JOIN keys k ON k.source_no = s.source_no AND k.epoch = s.epoch AND k.r = s.r + 1))),
+times AS (SELECT source_no, x AS block, count(*) AS times FROM shuffled WHERE r = 24 GROUP BY ALL),
+number AS (SELECT floor(sqrt(greatest(1, count(*))))::BIGINT + 1 AS buckets FROM d),
+placed AS MATERIALIZED (
+  SELECT rid, doc_id, size, d.source AS source, source_size, target, source_no,
+         sum(size) OVER (PARTITION BY source_no ORDER BY ('0x' || substr(md5('12:doc:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT % buckets,
+                         doc_id NULLS FIRST, size, rid ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start
+  FROM d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source, number),
+pieces AS (
+  SELECT rid, source_no, start, size, unnest(range(start // 32, (start + size - 1) // 32 + 1)) AS block FROM placed WHERE size > 0),
+taken AS (
+  SELECT rid, sum((least(start + size, block * 32 + 32) - greatest(start, block * 32)) * times) AS taken
+  FROM pieces JOIN times USING (source_no, block) GROUP BY rid)
+SELECT doc_id, size, source, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN taken USING (rid)
+"""
+
+
+@_query("op12_source_mixing", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).taken()
+
+
 def _extended_tails(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: where h = crc32(doc_id) ends in 0, the words from the (h / 10 mod n)th on repeat by a period."""
     i = "((crc32(cast(cast(doc_id as string) as binary)) div 10)"

@@ -67,6 +67,30 @@ def test_keep_one_of_each_component(odd):
     assert ids == want
 
 
+def test_one_id_on_several_texts_loses_none(frame):
+    words = lambda n: " ".join(f"w{n}x{i}" for i in range(40))
+    rows = [(5, words("a")), (5, words("b")), (7, words("b")), (8, words("c")), (5, words("c")), (9, words("a")), (5, words("c")),
+            (None, words("d")), (None, words("d")), (None, words("a")), (3, words("e")), (3, words("f")), (3, words("e"))]
+    got = sorted((str(r.doc_id), r.text) for r in S.keep_one(frame(rows, ["fp", "n", "_h1"])).collect())
+    assert got == sorted([("5", words("a")), ("5", words("b")), ("5", words("c")), ("None", words("d")), ("3", words("e")), ("3", words("f"))])
+
+
+def test_hot_equal_rows_keep_one(frame):
+    rows = [(1, "the same row again and again")] * 900 + [(i, f"text {i} " + "x y z " * (i % 5) + f"end {i * i}") for i in range(2, 600)]
+    got = sorted((r.doc_id, r.text) for r in S.keep_one(frame(rows)).collect())
+    least = {}
+    for (d, t), (_, _, c) in zip(rows, brute(rows)):
+        if d == c:
+            least[d] = t
+    assert got == sorted(least.items())
+
+
+def test_equal_hashes_need_equal_nulls(spark):
+    df = spark.createDataFrame([(1, "a b c d", "x", None, {"k": 1}), (1, "a b c d", None, "x", {"k": 1})], "doc_id long, text string, p string, q string, m map<string,int>")
+    assert len({tuple(r) for r in df.select(*S._row_digest(df)).collect()}) == 2
+    assert S.keep_one(df).count() == 1
+
+
 def test_empty_table(frame):
     assert S.near_duplicates(frame([])).collect() == []
     assert S.keep_one(frame([])).collect() == []

@@ -31,8 +31,9 @@ import bisect
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tillpoint.cluster.components import connected_components
 from tillpoint.llm.scratch import stored
@@ -318,18 +319,26 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, leaves: int = LEAVES, l
                     .groupBy("pair").applyInArrow(descend, "u long, v long"))
 
 
+def _components(prints: DataFrame, max_bits: int, leaves: int, leaf_rows: int) -> DataFrame:
+    """``fp, component``: each distinct fingerprint with the least one (as a long) it is linked to; written once."""
+    distinct = prints.select("fp").distinct()
+    edges = stored(links(distinct, max_bits, leaves, leaf_rows), "simhash-links")
+    labels = connected_components(edges, checkpoint_every=1).select(F.col("node").alias("fp"), "component")
+    return stored(distinct.join(labels, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")),
+                  "simhash-components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """``doc_id, fingerprint, component_id``, one row per document. A null doc_id counts as the largest id."""
+    """``doc_id, fingerprint, component_id``, one row per document. A null doc_id counts as the largest id.
+
+    ``component_id`` names a component by its smallest id; where ids repeat, several components can have one name.
+    """
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-fingerprints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    distinct = prints.select("fp").distinct()
-    edges = stored(links(distinct, max_bits, leaves, leaf_rows), "simhash-links")
-    labels = connected_components(edges, checkpoint_every=1).select(F.col("node").alias("fp"), "component")
-    smallest = labels.join(first, "fp").groupBy("component").agg(F.min("first_id").alias("reached"))
-    linked = labels.join(smallest, "component").select("fp", "reached")
-    of = stored(first.join(linked, "fp", "left").select("fp", F.coalesce("reached", "first_id").alias("component_id"), "n"),
-                "simhash-components")
+    joined = first.join(_components(prints, max_bits, leaves, leaf_rows), "fp")
+    smallest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    of = stored(joined.join(smallest, "component").select("fp", "component_id", "n"), "simhash-names")
     # fingerprints of over a thousandth of the rows, at most a thousand, are broadcast; the others meet by shuffle
     hot = F.col("n") > max(1, prints.count() // HOT_SHARE)
     rows = prints.join(F.broadcast(of.where(hot).select("fp", F.struct("component_id").alias("_of"))), "fp", "left")
@@ -338,18 +347,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
+def _row_digest(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row; nulls count by their place."""
+    plain = [F.to_json(f.name) if isinstance(f.dataType, MapType) else F.col(f.name) for f in docs.schema]
+    nulls = F.concat(*[F.col(c).isNull().cast("string") for c in docs.columns])
+    return [F.xxhash64(F.lit(i), *plain, nulls).alias(f"_h{i}") for i in (1, 2)]
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS,
+             leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """``docs`` with one row of each component: one with the component's smallest id.
+
+    Components are told apart by their fingerprints, so an id that several of them share keeps one row in each. Of several
+    rows of a component with its smallest id, the one with the least hash of the whole row stays. Rows without an id stay
+    only if their whole component has none; one row of it does.
 
-    Rows that repeat that id give way to the smallest row. Rows without an id stay only
-    if their whole component has none; one row of it does.
+    The choice is made on ids, fingerprints and row hashes; texts are shuffled once, by row hash. Rows that are equal in all
+    columns share a hash; those that repeat in over a thousandth of all rows are merged before the shuffle.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
-    found = near_duplicates(plain, key, text, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    # one row for each kept id: equal keys meet in the join already, map-side partial minima come first
-    rows = plain.join(kept, plain[key].eqNullSafe(kept["_keep"]), "left_semi")
-    one = rows.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*names)).alias("_row"))
-    return one.select("_row.*").toDF(*docs.columns)
+    rows = plain.select(*names, *_row_digest(plain))
+    prints = stored(fingerprints(rows, key, text, shingle, ["_h1", "_h2"]), "simhash-rows")
+    counted = prints.groupBy("_h1", "_h2", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h1", "_h2", "n")).alias("best")
+    per_print = counted.groupBy("fp").agg(least)  # copies are one row a fingerprint before they are joined
+    kept = stored(per_print.join(_components(prints, max_bits, leaves, leaf_rows), "fp").groupBy("component").agg(F.min("best").alias("best"))
+                           .select("best._h1", "best._h2", "best.n"), "simhash-kept")
+    hot = F.col("n") > max(1, prints.count() // HOT_SHARE)  # at most a thousand
+    marked = rows.join(F.broadcast(kept.where(hot).select("_h1", "_h2", F.lit(True).alias("_hot"))), ["_h1", "_h2"], "left")
+    one = F.first(F.struct(*names)).alias("_row")  # of rows that are equal in all columns
+    cold = marked.where(F.col("_hot").isNull()).join(kept.where(~hot), ["_h1", "_h2"])
+    repeated = cold.where("n > 1").groupBy("_h1", "_h2").agg(one).unionByName(marked.where("_hot").groupBy("_h1", "_h2").agg(one))
+    return cold.where("n = 1").select(*names).unionByName(repeated.select("_row.*")).toDF(*docs.columns)

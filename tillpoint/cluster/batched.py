@@ -30,28 +30,29 @@ def batched(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE) -> DataFram
 
 
 def dbscan_type1(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE,
-                 eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
+                 eps: float = EPS, min_samples: int = MIN_SAMPLES, scaler: str = "minmax") -> DataFrame:
     """Per batch — days since the batch's first (parsable) timestamp, the
-    four features, rows with a gap dropped, min-max scaling, DBSCAN.
+    four features, rows with a gap dropped, scaling (min-max, or another kind of
+    ``scale``), DBSCAN.
     Output: the four unscaled features, ``Cluster``, ``batch_number``, ``row_idx``."""
     b = batched(df, order_keys, batch_size)
     b = b.withColumn("DaysSinceFirstPurchase",
                      days_since_group_min(F.col("InvoiceDate"), Window.partitionBy("batch_number")))
     b = drop_missing(b, TYPE1_FEATURES).select(
         "row_idx", "batch_number", *[F.col(c).cast("double").alias(c) for c in TYPE1_FEATURES])
-    scaled = scale(b, TYPE1_FEATURES, "minmax", keys=["batch_number"], suffix="_s")
+    scaled = scale(b, TYPE1_FEATURES, scaler, keys=["batch_number"], suffix="_s")
     feats = [f"{c}_s" for c in TYPE1_FEATURES]
     out = dbscan(scaled, feats, eps, min_samples, keys=["batch_number"])
     return out.drop(*feats)
 
 
 def dbscan_type2(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE,
-                 eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
+                 eps: float = EPS, min_samples: int = MIN_SAMPLES, scaler: str = "standard") -> DataFrame:
     """Per batch — rows missing Quantity/UnitPrice/CustomerID dropped,
-    standardisation, DBSCAN; every input column kept, plus ``Cluster`` and
+    standardisation (or another ``scaler``), DBSCAN; every input column kept, plus ``Cluster`` and
     ``BatchNumber``."""
     b = drop_missing(batched(df, order_keys, batch_size), TYPE2_FEATURES)
-    scaled = scale(b, TYPE2_FEATURES, "standard", keys=["batch_number"], suffix="_s")
+    scaled = scale(b, TYPE2_FEATURES, scaler, keys=["batch_number"], suffix="_s")
     feats = [f"{c}_s" for c in TYPE2_FEATURES]
     out = dbscan(scaled, feats, eps, min_samples, keys=["batch_number"])
     return out.drop(*feats).withColumn("BatchNumber", F.col("batch_number"))

@@ -43,6 +43,14 @@ def _small_star(e: DataFrame, keys: list[str]) -> DataFrame:
     return moved.unionByName(star).where(F.col("u") != F.col("v")).distinct()
 
 
+def _stars(e: DataFrame, keys: list[str]) -> bool:
+    """Whether no node has two edges to lower ones, or one while others lead to it."""
+    ends = e.select(*keys, F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        e.select(*keys, F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    node = ends.groupBy(*keys, "n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return node.where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).isEmpty()
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
                          keys: list[str] | None = None, checkpoint_every: int = 2) -> DataFrame:
     """Return ``keys…, node, component`` with component = smallest node id of the component.
@@ -51,23 +59,16 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
     isolated nodes.
     """
     keys = list(keys or [])
-    e = edges.select(*keys, F.col("u").cast("long"), F.col("v").cast("long")) \
-             .where(F.col("u") != F.col("v"))
+    e = edges.select(*keys, F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")) \
+             .where(F.col("u") != F.col("v")).distinct()
     e = cut_lineage(e, "persist")
-    prev_sig = None
-    for i in count():  # until a round changes nothing
-        e = _small_star(_large_star(e, keys), keys)
-        if (i + 1) % checkpoint_every == 0:
-            e = cut_lineage(e, "checkpoint")
-        else:
-            e = cut_lineage(e, "persist")
-        sig = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*keys, "u", "v"))).first()
-        sig = (sig[0], sig[1])
-        if sig == prev_sig:
+    for i in count():  # until every edge leads from a node to its star's least one
+        if _stars(e, keys):
             break
-        prev_sig = sig
+        e = _small_star(_large_star(e, keys), keys)
+        e = cut_lineage(e, "checkpoint" if (i + 1) % checkpoint_every == 0 else "persist")
     # converged: every edge points from a node to its component minimum
-    labels = e.groupBy(*keys, F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    labels = e.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
     roots = labels.select(*keys, F.col("component").alias("node"), "component").distinct()
     out = labels.unionByName(roots)
     if nodes is not None:
@@ -75,4 +76,4 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
                       .join(out.select(*keys, "node"), keys + ["node"], "left_anti")
                       .withColumn("component", F.col("node")))
         out = out.unionByName(alone)
-    return out.distinct()
+    return out

@@ -1,7 +1,4 @@
-"""Exact DBSCAN as DataFrame joins on a grid (G5), optionally per partition key.
-
-The ε-neighbourhood self-join (J3) is an equi-join on neighbouring grid cells
-with a distance residual; it is never a cross product.
+"""Exact DBSCAN on a grid (G5, J3), optionally per partition key.
 
 Semantics (those of the usual library implementation): the ε-neighbourhood
 uses distance ≤ ε and counts the point itself; a core point has at least
@@ -13,92 +10,195 @@ takes the lowest cluster number among them; the rest is noise (−1).
 Plan (after Gunawan 2013 and Gan & Tao 2015, grid DBSCAN):
 
 1. equal points collapse to one weighted point (min row position kept);
-2. *core grid*, side ε/√d: a cell's points are all mutual neighbours, so a
-   cell weighing ≥ min_samples makes all of them core with no distance
-   work; points of lighter cells count their neighbours by an equi-join
-   on neighbouring cells: a cell whose bounding box lies wholly inside the
-   ε-ball adds its weight at once, only straddling cells are opened point
-   by point;
-3. *link grid*, side ε/√(d+3): points of one cell are mutual neighbours
-   and face-adjacent cells are always within ε; every pair of core cells
-   in reach is decided by its core bounding boxes when possible (the
-   farthest box corners within ε: certain edge; nearest beyond ε: none);
-4. connected components over the certain edges; only undecided cell pairs
-   that still join *different* components get an exact point-pair check;
-   components are recomputed with the confirmed edges;
+2. grid of side ε/√d: a cell's points are all mutual neighbours, so a *heavy*
+   cell (weight ≥ min_samples) makes all of them core with no distance work.
+   Heavy cells (one row each) and the fewer than min_samples points of each
+   light cell go to tiles of the grid (``tiles.py``), where light points count
+   their neighbours: a heavy cell whose box lies wholly inside the ε-ball adds
+   its weight; only points still undecided open cells that straddle it;
+3. link grid of side ε/√(d+3), on which face-adjacent cells are always within
+   ε: its core cells are linked in tiles by their core bounding boxes (farthest
+   corners within ε: linked; nearest beyond ε: not). A tile sends one edge a
+   cell and the pairs its own links leave open; components of the edges come
+   from star rounds over all tiles;
+4. open pairs that still join *different* components are decided by a descent
+   on both cells' boxes (``closest_within``): pairs of sub-boxes are dropped by
+   their gap, accepted by their far corners, split otherwise. No pair of whole
+   cells is ever joined point by point;
 5. cluster numbers = rank of each component's lowest row position per key;
-   border points take the minimum over their core neighbours.
+   border points take the minimum over their core neighbours' cells (a cell's
+   core points are one cluster), opening only cells that could lower it.
 
-Every step is a join or aggregation keyed by (partition key, cell); no
-group holds more than one cell's points.
+No group holds more than a tile's cells and light points or one box pair of
+bounded size; a hot cell's points are only ever split or filtered.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillpoint.cluster import tiles
 from tillpoint.cluster.components import connected_components
 from tillpoint.operators.rowindex import with_row_index
 from tillpoint.session import cut_lineage
 
+DIRECT = 4096  # point pairs of two boxes that are compared at once
+
+
+def _dist2(a: list[str], b: list[str]) -> Column:
+    return reduce(Column.__add__, [(F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) for x, y in zip(a, b)])
+
+
+def _gap2(alo, ahi, blo, bhi) -> Column:
+    gaps = [F.greatest(F.col(bl) - F.col(ah), F.col(al) - F.col(bh), F.lit(0.0)) for al, ah, bl, bh in zip(alo, ahi, blo, bhi)]
+    return reduce(Column.__add__, [g * g for g in gaps])
+
+
+def _far2(alo, ahi, blo, bhi) -> Column:
+    fars = [F.greatest(F.col(bh) - F.col(al), F.col(ah) - F.col(bl)) for al, ah, bl, bh in zip(alo, ahi, blo, bhi)]
+    return reduce(Column.__add__, [f * f for f in fars])
+
+
+def _names(prefix: str, d: int) -> list[str]:
+    return [f"{prefix}{i}" for i in range(d)]
+
+
+def _box(d: int, x: str = "x") -> list[Column]:
+    return [F.min(f"{x}{i}").alias(f"lo{i}") for i in range(d)] + [F.max(f"{x}{i}").alias(f"hi{i}") for i in range(d)]
+
 
-def _offsets(d: int, reach: int, side: float, eps: float, exclude_zero: bool = False):
-    """Integer cell offsets whose box can hold a point within ε of the centre cell."""
-    out = []
-    for o in itertools.product(range(-reach, reach + 1), repeat=d):
-        gap = sum(max(abs(k) - 1, 0) ** 2 for k in o) * side * side
-        if gap <= eps * eps * (1 + 1e-12):
-            if exclude_zero and all(k == 0 for k in o):
-                continue
-            out.append(list(o))
-    return out
+def _matrix(table: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([table.column(n).to_numpy() for n in names], axis=1)
 
 
-def _cell(cols: list[str], side: float, prefix: str) -> dict[str, Column]:
-    return {f"{prefix}{i}": F.floor(F.col(c) / F.lit(side)).cast("long") for i, c in enumerate(cols)}
+def _per_tile(rows: DataFrame, keys: list[str], d: int, reach: int, out: str, work) -> DataFrame:
+    """``work(table) -> dict of columns`` on each tile's rows; the keys are put before its columns."""
+    spread = tiles.over_tiles(rows, _names("c", d), reach, tiles.tile_width(d, reach))
+    key_types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keys).schema) if keys else ""
 
+    def run(table: pa.Table) -> pa.Table:
+        columns = work(table)
+        n = len(next(iter(columns.values())))
+        first = {k: pa.array([table.column(k)[0].as_py()] * n, table.schema.field(k).type) for k in keys}
+        return pa.table({**first, **columns})
 
-def _dist2(a: str, b: str, d: int) -> Column:
-    e = None
-    for i in range(d):
-        t = (F.col(f"{a}x{i}") - F.col(f"{b}x{i}")) * (F.col(f"{a}x{i}") - F.col(f"{b}x{i}"))
-        e = t if e is None else e + t
-    return e
+    return spread.groupBy(*keys, *_names("t", d)).applyInArrow(run, key_types + out)
 
 
-def _box_gap_far(d: int, px: str, lo: str, hi: str) -> tuple[Column, Column]:
-    """Squared distance from a point to the nearest and to the farthest corner of a box."""
-    gap = far = None
-    for i in range(d):
-        x = F.col(f"{px}{i}")
-        g = F.greatest(F.col(f"{lo}{i}") - x, x - F.col(f"{hi}{i}"), F.lit(0.0))
-        f = F.greatest(x - F.col(f"{lo}{i}"), F.col(f"{hi}{i}") - x)
-        gap = g * g if gap is None else gap + g * g
-        far = f * f if far is None else far + f * f
-    return gap, far
+def _core_of_light(heavy: DataFrame, light: DataFrame, keys: list[str], d: int, reach: int, eps: float, min_samples: int) -> DataFrame:
+    """``pid, n`` (weight found), ``node`` (a heavy cell to open; null: n is the count's verdict) for light points."""
+    lo, hi, c = _names("lo", d), _names("hi", d), _names("c", d)
+    rows = heavy.select(*keys, F.lit(True).alias("cell"), F.col("node").alias("id"), F.col("w"), *c, *lo, *hi).unionByName(
+        light.select(*keys, F.lit(False).alias("cell"), F.col("pid").alias("id"), "w", *c,
+                     *[F.col(f"x{i}").alias(f"lo{i}") for i in range(d)], *[F.col(f"x{i}").alias(f"hi{i}") for i in range(d)]))
 
+    def work(table):
+        is_cell = table.column("cell").to_numpy(zero_copy_only=False)
+        ids, w, at = table.column("id").to_numpy(), table.column("w").to_numpy(), _matrix(table, c)
+        low, high = _matrix(table, lo), _matrix(table, hi)
+        own = np.flatnonzero(table.column("owner").to_numpy(zero_copy_only=False)[~is_cell])
+        found, q, j = tiles.count_neighbours(at[is_cell], low[is_cell], high[is_cell], w[is_cell], at[~is_cell], low[~is_cell],
+                                             w[~is_cell], own, reach, eps, min_samples)
+        pid, node = ids[~is_cell][own], ids[is_cell]
+        settled = np.ones(len(own), bool)
+        settled[q] = False
+        settled = np.flatnonzero(settled)
+        return {"pid": pa.array(np.concatenate([pid[settled], pid[q]])), "n": pa.array(np.concatenate([found[settled], found[q]])),
+                "node": pa.array(np.concatenate([np.zeros(len(settled), np.int64), node[j]]),
+                                 mask=np.arange(len(settled) + len(q)) < len(settled))}
 
-def _cell_probe(left: DataFrame, cells: DataFrame, keys: list[str], d: int, offsets,
-                eps: float) -> DataFrame:
-    """Left points × occupied neighbour cells, tagged ``whole`` (every point of the
-    cell within ε), ``part`` (cell straddles the ε-ball) or dropped (none within ε).
+    return _per_tile(rows, keys, d, reach, "pid long, n long, node long", work)
 
-    ``left``: ``keys…, apid, ax…, ac…``; ``cells``: ``keys…, bc…, lo…, hi…, …``.
+
+def _linked_cells(cells: DataFrame, keys: list[str], d: int, reach: int, eps: float) -> DataFrame:
+    """``u, v, sure``: links between core cells by their boxes, and open pairs."""
+    lo, hi, c = _names("lo", d), _names("hi", d), _names("c", d)
+
+    def work(table):
+        table = table.sort_by("node")  # least number: least node
+        node = table.column("node").to_numpy()
+        label, a, b = tiles.link_cells(_matrix(table, c), _matrix(table, lo), _matrix(table, hi),
+                                       table.column("owner").to_numpy(zero_copy_only=False), reach, eps)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return {"u": pa.array(np.concatenate([node[moved], node[a]])), "v": pa.array(np.concatenate([node[label[moved]], node[b]])),
+                "sure": pa.array(np.arange(len(moved) + len(a)) < len(moved))}
+
+    return _per_tile(cells.select(*keys, "node", *c, *lo, *hi), keys, d, reach, "u long, v long, sure boolean", work)
+
+
+def _border_labels(cells: DataFrame, points: DataFrame, keys: list[str], d: int, reach: int, eps: float) -> DataFrame:
+    """``pid, cl, node``: the least cluster of cells wholly within ε (node null), and cells to open for a lower one."""
+    lo, hi, c = _names("lo", d), _names("hi", d), _names("c", d)
+    rows = cells.select(*keys, F.lit(True).alias("cell"), F.col("node").alias("id"), F.col("cl").cast("long").alias("cl"), *c, *lo, *hi).unionByName(
+        points.select(*keys, F.lit(False).alias("cell"), F.col("pid").alias("id"), F.lit(0).cast("long").alias("cl"), *c,
+                      *[F.col(f"x{i}").alias(f"lo{i}") for i in range(d)], *[F.col(f"x{i}").alias(f"hi{i}") for i in range(d)]))
+
+    def work(table):
+        is_cell = table.column("cell").to_numpy(zero_copy_only=False)
+        mine = ~is_cell & table.column("owner").to_numpy(zero_copy_only=False)
+        ids, label, at = table.column("id").to_numpy(), table.column("cl").to_numpy(), _matrix(table, c)
+        low, high = _matrix(table, lo), _matrix(table, hi)
+        best, q, j = tiles.least_label(at[is_cell], low[is_cell], high[is_cell], label[is_cell], at[mine], low[mine], reach, eps)
+        pid, has = ids[mine], np.flatnonzero(best < np.iinfo(np.int64).max)
+        return {"pid": pa.array(np.concatenate([pid[has], pid[q]])), "cl": pa.array(np.concatenate([best[has], label[is_cell][j]])),
+                "node": pa.array(np.concatenate([np.zeros(len(has), np.int64), ids[is_cell][j]]), mask=np.arange(len(has) + len(q)) < len(has))}
+
+    return _per_tile(rows, keys, d, reach, "pid long, cl long, node long", work)
+
+
+def closest_within(pairs: DataFrame, points: DataFrame, keys: list[str], d: int, eps: float, direct: int = DIRECT) -> DataFrame:
+    """``a, b`` of those ``pairs`` (keys…, a, b) of groups that have points (keys…, node, pid, x…) within ε of each other.
+
+    Both groups' boxes descend together. A pair of boxes is dropped if its gap is beyond ε, and accepts its groups if
+    its far corners are within ε. Pairs of at most ``direct`` point pairs are compared; others split both boxes (in two
+    along each dimension, in four of one or two dimensions). Each round touches the points of open boxes only.
     """
-    offs = F.array(*[F.array(*[F.lit(k) for k in o]) for o in offsets])
-    probe = left.withColumn("_o", F.explode(offs)).withColumns(
-        {f"_t{i}": F.col(f"ac{i}") + F.col("_o")[i] for i in range(d)}).drop("_o")
-    cond = [probe[k] == cells[k] for k in keys] + \
-           [probe[f"_t{i}"] == cells[f"bc{i}"] for i in range(d)]
-    j = probe.join(cells, cond).drop(*[cells[k] for k in keys])
-    gap, far = _box_gap_far(d, "ax", "lo", "hi")
     e2 = F.lit(eps * eps)
-    return (j.where(gap <= e2)
-             .withColumn("_whole", far <= e2))
+    parts = 4 if d <= 2 else 2
+    xs, lo, hi = _names("x", d), _names("lo", d), _names("hi", d)
+    sides = [(_names(f"{s}lo", d), _names(f"{s}hi", d)) for s in "ab"]
+    needed = pairs.select(*keys, F.col("a").alias("node")).unionByName(pairs.select(*keys, F.col("b").alias("node"))).distinct()
+    pts = cut_lineage(points.select(*keys, "node", "pid", *xs).join(needed, keys + ["node"], "left_semi").withColumn("box", F.col("node")), "checkpoint")
+    frontier = pairs.select(*keys, "a", "b", F.col("a").alias("abox"), F.col("b").alias("bbox"))
+    accepted = None
+    while True:
+        boxes = pts.groupBy(*keys, "box").agg(F.count(F.lit(1)).alias("n"), *_box(d))
+        side = {s: boxes.select(*keys, F.col("box").alias(f"{s}box"), F.col("n").alias(f"{s}n"), *[F.col(l).alias(f"{s}{l}") for l in lo],
+                                *[F.col(h).alias(f"{s}{h}") for h in hi]) for s in "ab"}
+        met = frontier.join(side["a"], keys + ["abox"]).join(side["b"], keys + ["bbox"]) \
+                      .where(_gap2(*sides[0], *sides[1]) <= e2) \
+                      .withColumn("sure", _far2(*sides[0], *sides[1]) <= e2)
+        met = cut_lineage(met, "checkpoint")
+        sure = met.where("sure").select(*keys, "a", "b")
+        left = met.where("not sure")
+        few = left.where(F.col("an") * F.col("bn") <= direct)
+        pa_, pb = (pts.select(*keys, F.col("box").alias(f"{s}box"), *[F.col(x).alias(f"{s}{x}") for x in xs]) for s in "ab")
+        close = few.select(*keys, "a", "b", "abox", "bbox").join(pa_, keys + ["abox"]).join(pb, keys + ["bbox"]) \
+                   .where(_dist2([f"a{x}" for x in xs], [f"b{x}" for x in xs]) <= e2).select(*keys, "a", "b")
+        found = sure.unionByName(close).distinct()
+        accepted = cut_lineage(found if accepted is None else accepted.unionByName(found).distinct(), "checkpoint")
+        left = left.where(F.col("an") * F.col("bn") > direct).join(accepted, keys + ["a", "b"], "left_anti")
+        left = cut_lineage(left.select(*keys, "a", "b", "abox", "bbox"), "checkpoint")
+        if left.isEmpty():
+            return accepted
+        # children: numbered by their least pid, which is one of their box's points and so unique
+        open_ = left.select(*keys, F.col("abox").alias("box")).unionByName(left.select(*keys, F.col("bbox").alias("box"))).distinct()
+        cut = pts.join(boxes.join(open_, keys + ["box"], "left_semi").select(*keys, "box", *lo, *hi), keys + ["box"])
+        part = [F.when(F.col(h) > F.col(l), F.least(F.floor((F.col(x) - F.col(l)) / (F.col(h) - F.col(l)) * parts), F.lit(parts - 1)))
+                 .otherwise(0).cast("int").alias(f"s{i}") for i, (x, l, h) in enumerate(zip(xs, lo, hi))]
+        cut = cut.select(*keys, "node", "pid", *xs, F.col("box").alias("parent"), *part)
+        named = cut.groupBy(*keys, "parent", *_names("s", d)).agg(F.min("pid").alias("box"))
+        pts = cut_lineage(cut.join(named, keys + ["parent", *_names("s", d)]).select(*keys, "node", "pid", *xs, "parent", "box"), "checkpoint")
+        child = pts.select(*keys, "parent", "box").distinct()
+        frontier = left.join(child.select(*keys, F.col("parent").alias("abox"), F.col("box").alias("abox2")), keys + ["abox"]) \
+                       .join(child.select(*keys, F.col("parent").alias("bbox"), F.col("box").alias("bbox2")), keys + ["bbox"]) \
+                       .select(*keys, "a", "b", F.col("abox2").alias("abox"), F.col("bbox2").alias("bbox"))
 
 
 def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples: int = 5,
@@ -111,165 +211,80 @@ def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples
     """
     keys = list(keys or [])
     d = len(feature_cols)
-    spark = df.sparkSession
     # cells a hair smaller than the bound, so floating-point rounding in the
     # cell ids can never put two points more than ε apart in one cell
-    side_core = eps / math.sqrt(d) * (1 - 1e-9)
-    side_link = eps / math.sqrt(d + 3) * (1 - 1e-9)
-
-    # 1. weighted distinct points
-    xs = {f"x{i}": F.col(c).cast("double") for i, c in enumerate(feature_cols)}
-    pts = (df.select(*keys, F.col(id_col).cast("long").alias("_id"), *[v.alias(k) for k, v in xs.items()])
-             .groupBy(*keys, *xs.keys()).agg(F.count(F.lit(1)).alias("w"), F.min("_id").alias("pid")))
-    xcols = [f"x{i}" for i in range(d)]
-    pts = pts.withColumns(_cell(xcols, side_core, "c")).withColumns(_cell(xcols, side_link, "l"))
+    side, link_side = (eps / math.sqrt(n) * (1 - 1e-9) for n in (d, d + 3))
+    reach, link_reach = math.floor(eps / side) + 1, math.floor(eps / link_side) + 1
+    xs, cs, lo, hi = _names("x", d), _names("c", d), _names("lo", d), _names("hi", d)
+
+    # 1. weighted distinct points and their cells; a cell is named by its least pid
+    pts = (df.select(*keys, F.col(id_col).cast("long").alias("_id"), *[F.col(f).cast("double").alias(x) for f, x in zip(feature_cols, xs)])
+             .groupBy(*keys, *xs).agg(F.count(F.lit(1)).alias("w"), F.min("_id").alias("pid"))
+             .withColumns({c: F.floor(F.col(x) / F.lit(side)).cast("long") for c, x in zip(cs, xs)}))
     pts = cut_lineage(pts, "persist")
-
-    # 2. core points
-    cell_w = pts.groupBy(*keys, *[f"c{i}" for i in range(d)]).agg(F.sum("w").alias("cw"))
-    pts = pts.join(cell_w, keys + [f"c{i}" for i in range(d)])
-    dense = pts.where(F.col("cw") >= min_samples).select(*keys, "pid", F.lit(True).alias("core"))
-    light = pts.where(F.col("cw") < min_samples)
-
-    reach_core = math.ceil(eps / side_core)
-    offs_core = _offsets(d, reach_core, side_core, eps)
-    L = light.select(*keys, F.col("pid").alias("apid"),
-                     *[F.col(f"x{i}").alias(f"ax{i}") for i in range(d)],
-                     *[F.col(f"c{i}").alias(f"ac{i}") for i in range(d)])
-    # per occupied core cell: weight and bounding box. A neighbour cell wholly
-    # inside p's ε-ball adds its weight with no point pairs; only cells that
-    # straddle the ball boundary are opened point by point.
-    cstat = pts.groupBy(*keys, *[F.col(f"c{i}").alias(f"bc{i}") for i in range(d)]).agg(
-        F.sum("w").alias("cw"),
-        *[F.min(f"x{i}").alias(f"lo{i}") for i in range(d)],
-        *[F.max(f"x{i}").alias(f"hi{i}") for i in range(d)])
-    tagged = _cell_probe(L, cstat, keys, d, offs_core, eps)
-    whole = tagged.where("_whole").groupBy(*keys, "apid").agg(F.sum("cw").alias("n"))
-    R = pts.select(*keys, F.col("pid").alias("bpid"), F.col("w").alias("bw"),
-                   *[F.col(f"x{i}").alias(f"bx{i}") for i in range(d)],
-                   *[F.col(f"c{i}").alias(f"bc{i}") for i in range(d)])
-    part = tagged.where(~F.col("_whole")).select(
-        *keys, "apid", *[f"ax{i}" for i in range(d)], *[f"bc{i}" for i in range(d)])
-    partial = (part.join(R, keys + [f"bc{i}" for i in range(d)])
-                   .where(_dist2("a", "b", d) <= F.lit(eps * eps))
-                   .groupBy(*keys, "apid").agg(F.sum("bw").alias("n")))
-    counted = whole.unionByName(partial).groupBy(*keys, "apid").agg(F.sum("n").alias("n"))
-    light_core = counted.where(F.col("n") >= min_samples).select(
-        *keys, F.col("apid").alias("pid"), F.lit(True).alias("core"))
-    core_ids = dense.unionByName(light_core)
-    pts = pts.join(core_ids, keys + ["pid"], "left").withColumn("core", F.coalesce("core", F.lit(False)))
-    pts = cut_lineage(pts, "checkpoint")
-
-    core = pts.where("core")
-    lcell = [f"l{i}" for i in range(d)]
-    # link-grid cells holding core points, with their core bounding boxes
-    cells = core.groupBy(*keys, *lcell).agg(
-        F.min("pid").alias("node"),
-        *[F.min(f"x{i}").alias(f"lo{i}") for i in range(d)],
-        *[F.max(f"x{i}").alias(f"hi{i}") for i in range(d)])
+    cells = pts.groupBy(*keys, *cs).agg(F.min("pid").alias("node"), F.sum("w").alias("w"), *_box(d))
     cells = cut_lineage(cells, "persist")
-
-    # 3. candidate cell pairs (each unordered pair once: offsets > 0 lexicographically)
-    reach_link = math.ceil(eps / side_link)
-    offs_link = [o for o in _offsets(d, reach_link, side_link, eps, exclude_zero=True)
-                 if tuple(o) > tuple([0] * d)]
-    A = cells.select(*keys, F.col("node").alias("a"), *[F.col(f"l{i}").alias(f"al{i}") for i in range(d)],
-                     *[F.col(f"lo{i}").alias(f"alo{i}") for i in range(d)],
-                     *[F.col(f"hi{i}").alias(f"ahi{i}") for i in range(d)])
-    B = cells.select(*keys, F.col("node").alias("b"), *[F.col(f"l{i}").alias(f"bl{i}") for i in range(d)],
-                     *[F.col(f"lo{i}").alias(f"blo{i}") for i in range(d)],
-                     *[F.col(f"hi{i}").alias(f"bhi{i}") for i in range(d)])
-    offs = F.array(*[F.array(*[F.lit(k) for k in o]) for o in offs_link])
-    probe = A.withColumn("_o", F.explode(offs)).withColumns(
-        {f"_t{i}": F.col(f"al{i}") + F.col("_o")[i] for i in range(d)})
-    cond = [probe[k] == B[k] for k in keys] + [probe[f"_t{i}"] == B[f"bl{i}"] for i in range(d)]
-    pairs = probe.join(B, cond).drop(*[B[k] for k in keys])
-    gap2 = None
-    far2 = None
-    for i in range(d):
-        g = F.greatest(F.col(f"blo{i}") - F.col(f"ahi{i}"), F.col(f"alo{i}") - F.col(f"bhi{i}"), F.lit(0.0))
-        f = F.greatest(F.col(f"bhi{i}") - F.col(f"alo{i}"), F.col(f"ahi{i}") - F.col(f"blo{i}"))
-        gap2 = g * g if gap2 is None else gap2 + g * g
-        far2 = f * f if far2 is None else far2 + f * f
-    # core bounding boxes decide most pairs (face-adjacent link cells always
-    # fall under the far bound); the rest needs point pairs
-    pairs = pairs.select(*keys, "a", "b",
-                         F.when(far2 <= F.lit(eps * eps), F.lit("yes"))
-                          .when(gap2 > F.lit(eps * eps), F.lit("no"))
-                          .otherwise(F.lit("check")).alias("verdict"))
-    pairs = cut_lineage(pairs.where("verdict <> 'no'"), "checkpoint")
-    sure = pairs.where("verdict = 'yes'").select(*keys, F.col("a").alias("u"), F.col("b").alias("v"))
-    nodes = cells.select(*keys, "node")
-
-    # 4. components over certain edges; exact check only across components
-    comp0 = connected_components(sure, nodes, keys)
-    open_pairs = (pairs.where("verdict = 'check'")
-                  .join(comp0.select(*keys, F.col("node").alias("a"), F.col("component").alias("ca")), keys + ["a"])
-                  .join(comp0.select(*keys, F.col("node").alias("b"), F.col("component").alias("cb")), keys + ["b"])
-                  .where(F.col("ca") != F.col("cb")).select(*keys, "a", "b"))
-    cp = core.select(*keys, "pid", *[f"x{i}" for i in range(d)], *lcell) \
-             .join(cells.select(*keys, *lcell, "node"), keys + lcell)
-    PA = cp.select(*keys, F.col("node").alias("a"), *[F.col(f"x{i}").alias(f"px{i}") for i in range(d)])
-    PB = cp.select(*keys, F.col("node").alias("b"), *[F.col(f"x{i}").alias(f"qx{i}") for i in range(d)])
-    confirmed = (open_pairs.join(PA, keys + ["a"]).join(PB, keys + ["b"])
-                 .where(_dist2("p", "q", d) <= F.lit(eps * eps))
-                 .select(*keys, F.col("a").alias("u"), F.col("b").alias("v")).distinct())
-    confirmed = cut_lineage(confirmed, "persist")
-    if confirmed.limit(1).count() == 0:
-        comp = comp0
-    else:
-        edges = comp0.select(*keys, F.col("node").alias("u"), F.col("component").alias("v")) \
-                     .where(F.col("u") != F.col("v")).unionByName(confirmed)
-        comp = connected_components(edges, nodes, keys)
+    heavy = cells.where(F.col("w") >= min_samples)
+    points = pts.join(cells.select(*keys, *cs, "node", (F.col("w") >= min_samples).alias("heavy")), keys + cs)
+    points = cut_lineage(points, "persist")
+    light = points.where(~F.col("heavy"))
+
+    # 2. core points among the light ones
+    told = cut_lineage(_core_of_light(heavy, light, keys, d, reach, eps, min_samples), "persist")
+    counted = told.where(F.col("node").isNull()).select(*keys, "pid", "n")
+    if not told.where(F.col("node").isNotNull()).isEmpty():
+        opened = told.where(F.col("node").isNotNull()).join(light.select(*keys, "pid", *[F.col(x).alias(f"a{x}") for x in xs]), keys + ["pid"]) \
+                     .join(points.where("heavy").select(*keys, "node", F.col("w").alias("bw"), *[F.col(x).alias(f"b{x}") for x in xs]), keys + ["node"]) \
+                     .withColumn("bw", F.when(_dist2([f"a{x}" for x in xs], [f"b{x}" for x in xs]) <= F.lit(eps * eps), F.col("bw")).otherwise(0)) \
+                     .groupBy(*keys, "pid").agg((F.sum("bw") + F.max("n")).alias("n"))
+        counted = counted.unionByName(opened)
+    light_core = counted.where(F.col("n") >= min_samples).select(*keys, "pid", F.lit(True).alias("core"))
+    light = cut_lineage(light.join(light_core, keys + ["pid"], "left").withColumn("core", F.coalesce("core", F.lit(False))), "checkpoint")
+
+    # 3. links of core cells by their boxes
+    linked = {c: F.floor(F.col(x) / F.lit(link_side)).cast("long") for c, x in zip(cs, xs)}
+    core = points.where("heavy").select(*keys, "pid", *xs).unionByName(light.where("core").select(*keys, "pid", *xs)).withColumns(linked)
+    core_cells = cut_lineage(core.groupBy(*keys, *cs).agg(F.min("pid").alias("node"), *_box(d)), "persist")
+    links = cut_lineage(_linked_cells(core_cells, keys, d, link_reach, eps), "checkpoint")
+    nodes = core_cells.select(*keys, "node")
+    comp = connected_components(links.where("sure").select(*keys, "u", "v"), nodes, keys)
+
+    # 4. open pairs across components, by descent
+    if not links.where("not sure").isEmpty():
+        of = {s: comp.select(*keys, F.col("node").alias(s), F.col("component").alias(f"_{s}")) for s in "uv"}
+        apart = cut_lineage(links.where("not sure").select(*keys, "u", "v").distinct().join(of["u"], keys + ["u"]).join(of["v"], keys + ["v"])
+                                 .where(F.col("_u") != F.col("_v")).select(*keys, F.col("u").alias("a"), F.col("v").alias("b")), "checkpoint")
+        if not apart.isEmpty():
+            joined = closest_within(apart, core.join(core_cells.select(*keys, *cs, "node"), keys + cs), keys, d, eps)
+            stars = comp.select(*keys, F.col("node").alias("u"), F.col("component").alias("v")).where(F.col("u") != F.col("v"))
+            comp = connected_components(stars.unionByName(joined.select(*keys, F.col("a").alias("u"), F.col("b").alias("v"))), nodes, keys)
 
     # 5. cluster numbers by lowest row position per key
-    core_lab = (core.select(*keys, "pid", *lcell)
-                    .join(cells.select(*keys, *lcell, "node"), keys + lcell)
-                    .join(comp, keys + ["node"])
-                    .select(*keys, "pid", "component"))
-    first = core_lab.groupBy(*keys, "component").agg(F.min("pid").alias("first_pid"))
+    cell_comp = core_cells.join(comp, keys + ["node"])
+    first = cell_comp.groupBy(*keys, "component").agg(F.min("node").alias("first_pid"))
     ranked = with_row_index(first, keys + ["first_pid"], col="_g")
-    base = ranked.groupBy(*keys).agg(F.min("_g").alias("_g0")) if keys else None
     if keys:
-        ranked = ranked.join(base, keys).withColumn("cl", F.col("_g") - F.col("_g0"))
-    else:
-        ranked = ranked.withColumn("cl", F.col("_g"))
-    core_cl = core_lab.join(ranked.select(*keys, "component", "cl"), keys + ["component"]) \
-                      .select(*keys, "pid", F.col("cl").cast("int").alias("cl"))
-    core_cl = cut_lineage(core_cl, "persist")
-
-    # border points: minimum cluster over core neighbours (whole cells by their
-    # minimum core label, straddling cells point by point)
-    nonc = pts.where(~F.col("core")).select(
-        *keys, F.col("pid").alias("apid"), *[F.col(f"x{i}").alias(f"ax{i}") for i in range(d)],
-        *[F.col(f"c{i}").alias(f"ac{i}") for i in range(d)])
-    corepts = (pts.where("core").join(core_cl, keys + ["pid"])
-               .select(*keys, F.col("pid").alias("bpid"), F.col("cl").alias("bcl"),
-                       *[F.col(f"x{i}").alias(f"bx{i}") for i in range(d)],
-                       *[F.col(f"c{i}").alias(f"bc{i}") for i in range(d)]))
-    ccstat = corepts.groupBy(*keys, *[f"bc{i}" for i in range(d)]).agg(
-        F.min("bcl").alias("cmin"),
-        *[F.min(f"bx{i}").alias(f"lo{i}") for i in range(d)],
-        *[F.max(f"bx{i}").alias(f"hi{i}") for i in range(d)])
-    btag = _cell_probe(nonc, ccstat, keys, d, offs_core, eps)
-    bwhole = btag.where("_whole").select(*keys, "apid", F.col("cmin").alias("cl"))
-    bpart = (btag.where(~F.col("_whole"))
-                 .select(*keys, "apid", *[f"ax{i}" for i in range(d)], *[f"bc{i}" for i in range(d)])
-                 .join(corepts, keys + [f"bc{i}" for i in range(d)])
-                 .where(_dist2("a", "b", d) <= F.lit(eps * eps))
-                 .select(*keys, "apid", F.col("bcl").alias("cl")))
-    border = (bwhole.unionByName(bpart).groupBy(*keys, "apid").agg(F.min("cl").alias("cl"))
-              .select(*keys, F.col("apid").alias("pid"), "cl"))
-    labels = core_cl.unionByName(border)
+        ranked = ranked.join(ranked.groupBy(*keys).agg(F.min("_g").alias("_g0")), keys).withColumn("_g", F.col("_g") - F.col("_g0"))
+    labelled = cut_lineage(cell_comp.join(ranked.select(*keys, "component", F.col("_g").cast("int").alias("cl")), keys + ["component"])
+                                    .select(*keys, "node", *cs, *lo, *hi, "cl"), "checkpoint")
+    core_points = core.join(labelled.select(*keys, *cs, "node", "cl"), keys + cs).select(*keys, "node", *xs, "cl")
+
+    # border points
+    rest = light.where("not core").select(*keys, "pid", *xs).withColumns(linked)
+    told = cut_lineage(_border_labels(labelled, rest, keys, d, link_reach, eps), "persist")
+    border = told.where(F.col("node").isNull()).select(*keys, "pid", "cl")
+    if not told.where(F.col("node").isNotNull()).isEmpty():
+        opened = told.where(F.col("node").isNotNull()).join(rest.select(*keys, "pid", *[F.col(x).alias(f"a{x}") for x in xs]), keys + ["pid"]) \
+                     .join(core_points.select(*keys, "node", *[F.col(x).alias(f"b{x}") for x in xs]), keys + ["node"]) \
+                     .where(_dist2([f"a{x}" for x in xs], [f"b{x}" for x in xs]) <= F.lit(eps * eps)).select(*keys, "pid", "cl")
+        border = border.unionByName(opened)
+    border = border.groupBy(*keys, "pid").agg(F.min("cl").cast("int").alias("cl"))
+    labels = core_points.select(*keys, *xs, "cl").unionByName(rest.join(border, keys + ["pid"]).select(*keys, *xs, "cl"))
 
     # J1, back to the rows: every row of an equal point shares its label, and
     # every input column is kept (no positional alignment)
-    point_lab = pts.join(labels, keys + ["pid"], "left").select(
-        *[F.col(k).alias(f"_pk_{k}") for k in keys],
-        *[F.col(f"x{i}").alias(f"_px{i}") for i in range(d)], F.col("cl").alias("_cl"))
-    rows = df.withColumns({f"_x{i}": F.col(c).cast("double") for i, c in enumerate(feature_cols)})
-    cond = [F.col(k) == F.col(f"_pk_{k}") for k in keys] + \
-           [F.col(f"_x{i}") == F.col(f"_px{i}") for i in range(d)]
-    out = rows.join(point_lab, cond, "left")
-    return out.select(*[F.col(f"`{c}`") for c in df.columns],
-                      F.coalesce(F.col("_cl"), F.lit(-1)).cast("int").alias(out_col))
+    named = labels.select(*[F.col(k).alias(f"_pk_{k}") for k in keys], *[F.col(x).alias(f"_p{x}") for x in xs], F.col("cl").alias("_cl"))
+    rows = df.withColumns({f"_{x}": F.col(c).cast("double") for c, x in zip(feature_cols, xs)})
+    cond = [F.col(k) == F.col(f"_pk_{k}") for k in keys] + [F.col(f"_{x}") == F.col(f"_p{x}") for x in xs]
+    return rows.join(named, cond, "left").select(*[F.col(f"`{c}`") for c in df.columns],
+                                                 F.coalesce(F.col("_cl"), F.lit(-1)).cast("int").alias(out_col))

@@ -229,12 +229,67 @@ def q_k_distance_curve_101(spark, sf_dir):
     return k_distance_curve(_kdist(spark, sf_dir), points=101)
 
 
-@query("dbscan_type1")
+def _dbscan_type1_sql(eps: float = bt.EPS, min_samples: int = bt.MIN_SAMPLES) -> str:
+    """DuckDB twin of batched DBSCAN type 1. Four scaled dimensions have too many ε-pairs for a band join, so cells of side
+    ε/√4 (mutual neighbours) make full cells core, cells of side ε/√7 link by their boxes (recursive label propagation), and
+    points are paired only where that leaves a question: light points, components that boxes keep apart, border points."""
+    feats = bt.TYPE1_FEATURES
+    d = len(feats)
+    z = ", ".join(f"({c} - min({c}) OVER w) / CASE WHEN max({c}) OVER w = min({c}) OVER w THEN 1 ELSE (max({c}) OVER w - min({c}) OVER w)::DOUBLE "
+                  f"END AS z{i}" for i, c in enumerate(feats))
+    cell = lambda n: ", ".join(f"floor(z{i} / {eps / n ** 0.5 * (1 - 1e-9)!r})::BIGINT" for i in range(d))
+    near = " + ".join(f"(p.z{i} - q.z{i}) * (p.z{i} - q.z{i})" for i in range(d)) + f" <= {eps * eps}"
+    far = " + ".join(f"power(greatest(q.hi{i} - p.lo{i}, p.hi{i} - q.lo{i}), 2)" for i in range(d)) + f" <= {eps * eps}"
+    boxes = ", ".join(f"min(z{i}) AS lo{i}, max(z{i}) AS hi{i}" for i in range(d))
+    head = with_sales(
+        f"ix AS (SELECT *, row_number() OVER (ORDER BY {KEYS_SQL}) - 1 AS row_idx FROM sales)",
+        f"bt AS (SELECT *, CAST(floor(row_idx / {bt.BATCH_SIZE}) + 1 AS INTEGER) AS batch_number FROM ix)",
+        "dd AS (SELECT *, CAST(floor((epoch(InvoiceDate) - epoch(min(InvoiceDate) OVER (PARTITION BY batch_number))) / 86400) AS BIGINT) "
+        "AS DaysSinceFirstPurchase FROM bt)",
+        "nn AS (SELECT * FROM dd WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in feats) + ")",
+        f"p AS MATERIALIZED (SELECT batch_number AS b, row_idx AS id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in feats)}, {z} "
+        "FROM nn WINDOW w AS (PARTITION BY batch_number))",
+        f"w AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY b, {cell(d)}) AS w FROM p)",
+        f"few AS MATERIALIZED (SELECT p.b, p.id, count(*) AS n FROM w p JOIN p q ON p.b = q.b AND {near} WHERE p.w < {min_samples} GROUP BY ALL)",
+        f"core AS MATERIALIZED (SELECT w.*, min(id) OVER (PARTITION BY b, {cell(d + 3)}) AS node FROM w LEFT JOIN few USING (b, id) "
+        f"WHERE w >= {min_samples} OR n >= {min_samples})",
+        f"cells AS MATERIALIZED (SELECT b, node, {boxes} FROM core GROUP BY ALL)",
+        f"sure AS MATERIALIZED (SELECT p.b, p.node AS a, q.node AS c FROM cells p JOIN cells q ON p.b = q.b AND p.node <> q.node AND {far})")
+
+    def spread(name: str, nodes: str, edges: str) -> str:
+        return f""",
+{name}(b, id, l) USING KEY (b, id) AS (
+  {nodes}
+  UNION
+  SELECT e.b, e.c, min(x.l) FROM {name} x JOIN {edges} e ON e.b = x.b AND e.a = x.id JOIN recurring.{name} r ON r.b = e.b AND r.id = e.c
+  GROUP BY e.b, e.c HAVING min(x.l) < min(r.l))"""
+
+    return head.replace("WITH ", "WITH RECURSIVE ", 1) + spread("lab", "SELECT b, node, node FROM cells", "sure") + f""",
+part AS MATERIALIZED (SELECT core.*, lab.l AS part FROM core JOIN lab ON core.b = lab.b AND core.node = lab.id),
+cross_ AS MATERIALIZED (SELECT DISTINCT p.b, p.part AS x, q.part AS y FROM part p JOIN part q ON p.b = q.b AND p.part < q.part AND {near}),
+joined AS MATERIALIZED (SELECT b, x AS a, y AS c FROM cross_ UNION ALL SELECT b, y, x FROM cross_)""" + spread(
+        "whole", "SELECT DISTINCT b, part, part FROM part", "joined") + f""",
+numbered AS MATERIALIZED (SELECT part.*, dense_rank() OVER (PARTITION BY part.b ORDER BY first) - 1 AS k
+  FROM part JOIN (SELECT *, min(id) OVER (PARTITION BY b, l) AS first FROM whole) x ON part.b = x.b AND part.part = x.id),
+border AS (SELECT p.b, p.id, min(q.k) AS k FROM w p JOIN numbered q ON p.b = q.b AND {near}
+  WHERE p.w < {min_samples} AND (p.b, p.id) NOT IN (SELECT b, id FROM core) GROUP BY ALL)
+SELECT p.id AS row_idx, p.b AS batch_number, {', '.join('p.' + c for c in feats)}, CAST(coalesce(numbered.k, border.k, -1) AS INTEGER) AS Cluster
+FROM p LEFT JOIN numbered ON p.b = numbered.b AND p.id = numbered.id LEFT JOIN border ON p.b = border.b AND p.id = border.id
+"""
+
+
+@query("dbscan_type1", _dbscan_type1_sql())
 def q_dbscan_type1(spark, sf_dir):
     """Batched DBSCAN type 1 (min-max, four features, ε 0.5, min 5)."""
     return bt.dbscan_type1(sales_from_tables(spark, sf_dir), ORDER_KEYS)
 
 
+@query("dbscan_type1_fine", _dbscan_type1_sql(0.12))
+def q_dbscan_type1_fine(spark, sf_dir):
+    """G5/G6 in four dimensions with ε 0.12: light cells, border points and noise in every batch."""
+    return bt.dbscan_type1(sales_from_tables(spark, sf_dir), ORDER_KEYS, eps=0.12)
+
+
 @query("dbscan_type2")
 def q_dbscan_type2(spark, sf_dir):
     """Batched DBSCAN type 2 (standardised, three features, ε 0.5, min 5),

@@ -1,102 +1,181 @@
 """Exact k-distance (G4): distance of every point to its k-th nearest point,
 the point itself counted first (query points = fitted points).
 
-Grid search with growing cells, all as DataFrame joins:
-
-* equal points collapse to one weighted point;
-* the first cell side is small enough that the fullest cell holds at most
-  ``MOST_IN_CELL`` points, however far outliers stretch the range: dense
-  regions are settled with small cells;
-* each round joins the unsettled points with the points of the 3^d cells
-  around their own (the cells are keys of an equi-join, only occupied ones
-  meet). The k-th smallest candidate distance is final when it is ≤ the cell
-  side (nothing outside the block can be nearer) or when the block holds
-  every point of the partition key; the other points, which have few points
-  about them, go to the next round with larger cells.
+* Equal points collapse to one weighted point.
+* Points are range-partitioned along a space-filling order, a leaf of about
+  ``LEAF_POINTS`` points each: cells of many sizes, small where points are
+  dense. The order's bits come from approximate quantiles of each coordinate,
+  so neither a far outlier nor a dense spot makes leaves uneven.
+* In its leaf each point finds its k nearest (``runs.py``: boxes over runs of
+  the order, about log n work a point).
+* A point whose ball of that radius reaches the box of another leaf visits it
+  with the radius as bound; the boxes (at most ``MOST_LEAVES`` rows, checked)
+  go to all tasks. The k nearest of all visits are merged by point.
+
+Partition keys lead the order; a leaf may hold many small keys, and distances
+are only taken within a key. Visitors of one leaf are dealt to as many tasks as
+their number asks for.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillpoint.cluster.runs import Runs, interleaved
 from tillpoint.operators.quantiles import exact_quantiles
 from tillpoint.operators.rowindex import with_row_index
 from tillpoint.session import cut_lineage
 
-MOST_IN_CELL = 64
-
-
-def _dist2(d: int) -> Column:
-    e = None
-    for i in range(d):
-        t = (F.col(f"ax{i}") - F.col(f"bx{i}")) * (F.col(f"ax{i}") - F.col(f"bx{i}"))
-        e = t if e is None else e + t
-    return e
-
-
-def _first_cell(pts: DataFrame, xs: list[str], k: int) -> float:
-    """A cell side at which no cell holds over ``MOST_IN_CELL`` distinct points: an eighth, again and again, of an average of about
-    k points a cell until the fullest cell is small enough."""
-    st = pts.agg(F.count(F.lit(1)).alias("n"),
-                 *[(F.max(x) - F.min(x)).alias(f"r{i}") for i, x in enumerate(xs)]).first()
-    ranges = [float(st[f"r{i}"]) for i in range(len(xs)) if st[f"r{i}"]]
-    if not ranges:
-        return 1.0
-    cell = (math.prod(ranges) * k / st["n"]) ** (1.0 / len(ranges))
-    while cell > max(ranges) * 1e-12:
-        grid = pts.groupBy(*[F.floor(F.col(x) / F.lit(cell)) for x in xs]).count()
-        if (grid.agg(F.max("count")).first()[0] or 0) <= MOST_IN_CELL:
-            break
-        cell /= 8
-    return cell
+LEAF_POINTS = 4096
+MOST_LEAVES = 1 << 16  # beyond it leaves grow
+BREAKS = 1023
+VISITORS = 1 << 16  # of a leaf that one task takes
+
+
+def _nearest(runs: Runs, order: np.ndarray, key: np.ndarray, x: np.ndarray, w: np.ndarray, k: int,
+             bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, squared distance, weight) of the fewest nearest points that weigh k or more, by query, and the bounds."""
+    q, i, d2, bound = runs.near(key, x, k, bound)
+    near = np.lexsort((d2, q))
+    q, i, d2 = q[near], i[near], d2[near]
+    weight = w[order][i]
+    if len(q):
+        total = np.cumsum(weight) - weight
+        head = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        needed = total - np.repeat(total[head], np.diff(np.append(head, len(q)))) < k
+        q, d2, weight = q[needed], d2[needed], weight[needed]
+    return q, d2, weight, bound
+
+
+def _sorted_runs(key, code, x, w) -> tuple[Runs, np.ndarray]:
+    order = np.lexsort((code, key))
+    return Runs(key[order], x[order], None, w[order]), order
+
+
+def _matrix(table: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([table.column(n).to_numpy() for n in names], axis=1)
+
+
+def _within_leaves(points: DataFrame, xs: list[str], k: int, breaks: np.ndarray, leaves: int) -> DataFrame:
+    """``points`` (key_no, pid, w, x…) with ``leaf``, ``code``, ``kth2`` (null: the leaf holds too few) and the list ``near``."""
+    def coded(batches):
+        for batch in batches:
+            x = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in xs], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(interleaved(x, breaks))], names=[*batch.schema.names, "code"])
+
+    def search(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        key, code, w, x = (table.column("key_no").to_numpy(), table.column("code").to_numpy(), table.column("w").to_numpy(), _matrix(table, xs))
+        runs, order = _sorted_runs(key, code, x, w)
+        q, d2, weight, bound = _nearest(runs, order, key, x, w, k)
+        near = pa.ListArray.from_arrays(pa.array(np.searchsorted(q, np.arange(len(x) + 1)).astype(np.int32)),
+                                        pa.StructArray.from_arrays([pa.array(d2), pa.array(weight)], ["d2", "w"]))
+        out = table.append_column("leaf", pa.array(np.full(len(x), leaf_number(), np.int64))) \
+                   .append_column("kth2", pa.array(bound, mask=np.isinf(bound))).append_column("near", near)
+        yield from out.to_batches(max_chunksize=1 << 14)
+
+    def leaf_number() -> int:
+        return TaskContext.get().partitionId()
+
+    columns = "key_no long, pid long, w long, " + "".join(f"{x} double, " for x in xs) + "code long"
+    ranged = points.select("key_no", "pid", F.col("w").cast("long"), *xs).mapInArrow(coded, columns) \
+                   .repartitionByRange(leaves, "key_no", "code")
+    # written once: a leaf's number is its partition's
+    return cut_lineage(ranged.mapInArrow(search, columns + ", leaf long, kth2 double, near array<struct<d2:double,w:long>>"), "checkpoint")
+
+
+def _visits(found: DataFrame, xs: list[str], k: int) -> DataFrame | None:
+    """``leaf, key_no, pid, x…, kth2``: points and the other leaves their balls reach; None if there is one leaf."""
+    lo, hi = [F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)], [F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)]
+    boxes = found.groupBy("leaf").agg(F.min("key_no").alias("k0"), F.max("key_no").alias("k1"), F.sum("w").alias("w"), *lo, *hi) \
+                 .orderBy("leaf").collect()  # at most MOST_LEAVES rows
+    if len(boxes) < 2:
+        return None
+    d = len(xs)
+    leaf = np.array([b.leaf for b in boxes])
+    tree = Runs(np.array([[b.k0, b.k1] for b in boxes]), np.array([[b[f"lo{i}"] for i in range(d)] for b in boxes]),
+                np.array([[b[f"hi{i}"] for i in range(d)] for b in boxes]), np.array([b.w for b in boxes]), run=8)
+
+    def route(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            own = table.column("leaf").to_numpy()
+            bound = np.nan_to_num(table.column("kth2").to_numpy(zero_copy_only=False).astype(np.float64), nan=np.inf)
+            q, i, gap, bound = tree.near(table.column("key_no").to_numpy(), _matrix(table, xs), k, bound)
+            away = (leaf[i] != own[q]) & (gap <= bound[q])
+            part = batch.select(["key_no", "pid", *xs]).take(pa.array(q[away]))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[i[away]]), *part.columns, pa.array(bound[q[away]])],
+                                             names=["leaf", "key_no", "pid", *xs, "bound"])
+
+    return found.select("leaf", "key_no", "pid", *xs, "kth2").mapInArrow(
+        route, "leaf long, key_no long, pid long, " + "".join(f"{x} double, " for x in xs) + "bound double")
 
 
 def k_distance(df: DataFrame, feature_cols: list[str], k: int = 5, id_col: str = "row_idx",
-               keys: list[str] | None = None, cell: float | None = None) -> DataFrame:
-    """Per distinct point: ``keys…, pid, x0…, w, kdist`` (``w`` = rows at that point)."""
+               keys: list[str] | None = None, leaf_points: int = LEAF_POINTS, visitors: int = VISITORS) -> DataFrame:
+    """Per distinct point: ``keys…, pid, x0…, w, kdist`` (``w`` = rows at that point).
+
+    ``kdist`` is null where the partition key holds fewer than ``k`` rows.
+    """
     keys = list(keys or [])
-    d = len(feature_cols)
-    xs = [f"x{i}" for i in range(d)]
+    xs = [f"x{i}" for i in range(len(feature_cols))]
     pts = (df.select(*keys, F.col(id_col).cast("long").alias("_id"),
                      *[F.col(c).cast("double").alias(x) for c, x in zip(feature_cols, xs)])
              .groupBy(*keys, *xs).agg(F.count(F.lit(1)).alias("w"), F.min("_id").alias("pid")))
     pts = cut_lineage(pts, "persist")
-    cell = cell or _first_cell(pts, xs, k)
-    total = pts.groupBy(*keys).agg(F.sum("w").alias("_tot"))
-    pts = cut_lineage(pts.join(total, keys) if keys else pts.crossJoin(F.broadcast(total)), "persist")
-    offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in itertools.product((-1, 0, 1), repeat=d)])
-
-    todo, done, growth = pts, None, 1
-    while True:  # until no point is left: at last one block holds them all
-        grid = [F.floor(F.col(x) / F.lit(cell)).cast("long") for x in xs]
-        B = pts.select(*keys, F.col("w").alias("bw"), *[F.col(x).alias(f"b{x}") for x in xs],
-                       *[g.alias(f"bg{i}") for i, g in enumerate(grid)])
-        probe = todo.select(*keys, "pid", "_tot", *[F.col(x).alias(f"a{x}") for x in xs],
-                            *[g.alias(f"ag{i}") for i, g in enumerate(grid)], F.explode(offs).alias("_o")).withColumns(
-            {f"_t{i}": F.col(f"ag{i}") + F.col("_o")[i] for i in range(d)}).drop("_o")
-        cond = [probe[kk] == B[kk] for kk in keys] + [probe[f"_t{i}"] == B[f"bg{i}"] for i in range(d)]
-        cand = probe.join(B, cond).drop(*[B[kk] for kk in keys]) \
-                    .select(*keys, "pid", "_tot", "bw", F.sqrt(_dist2(d)).alias("dist"))
-        w = Window.partitionBy(*keys, "pid").orderBy("dist")
-        cum = cand.withColumn("_cum", F.sum("bw").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        per = cum.groupBy(*keys, "pid").agg(
-            F.min(F.when(F.col("_cum") >= k, F.col("dist"))).alias("kdist"),
-            F.sum("bw").alias("_seen"), F.first("_tot").alias("_tot"))
-        ok = (F.col("kdist").isNotNull() & (F.col("kdist") <= F.lit(cell))) | (F.col("_seen") >= F.col("_tot"))
-        per = cut_lineage(per.withColumn("_ok", ok), "persist")
-        fin = per.where("_ok").select(*keys, "pid", "kdist")
-        done = fin if done is None else done.unionByName(fin)
-        left = per.where(~F.col("_ok")).select(*keys, "pid")
-        if left.limit(1).count() == 0:
-            break
-        todo = pts.join(left, keys + ["pid"], "left_semi")
-        growth *= 2
-        cell *= growth  # few points are left and they are far from others: ever larger steps
-    return pts.select(*keys, "pid", *xs, "w").join(done, keys + ["pid"], "left")
+    if keys:
+        number = with_row_index(pts.select(*keys).distinct(), keys, "key_no")
+        same = None
+        for c in keys:
+            one = F.col(f"_k_{c}").eqNullSafe(F.col(c))
+            same = one if same is None else same & one
+        points = pts.join(number.select("key_no", *[F.col(c).alias(f"_k_{c}") for c in keys]), same).drop(*[f"_k_{c}" for c in keys])
+    else:
+        points = pts.withColumn("key_no", F.lit(0).cast("long"))
+    cuts = [F.percentile_approx(x, [(i + 1) / (BREAKS + 1) for i in range(BREAKS)], 4 * BREAKS).alias(x) for x in xs]
+    row = points.agg(F.count(F.lit(1)).alias("n"), *cuts).first()
+    if not row.n:
+        return pts.withColumn("kdist", F.lit(None).cast("double")).select(*keys, "pid", *xs, "w", "kdist")
+    breaks = [np.unique(np.array(row[x], np.float64)) for x in xs]
+    leaves = max(1, min(MOST_LEAVES, -(-row.n // leaf_points)))
+    found = _within_leaves(points, xs, k, breaks, leaves)
+    result = found.select("key_no", "pid", "kth2")
+
+    visits = _visits(found, xs, k)
+    if visits is not None:
+        visits = cut_lineage(visits, "checkpoint")
+        parts = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / visitors).cast("long").alias("parts"))
+        guests = visits.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("pid", "key_no"), F.col("parts"))).drop("parts")
+        hosts = found.select("leaf", "key_no", "code", "w", *xs).join(parts, "leaf") \
+                     .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+
+        def visit(left: pa.Table, right: pa.Table) -> pa.Table:
+            none = pa.table({"key_no": pa.array([], pa.int64()), "pid": pa.array([], pa.int64()), "d2": pa.array([], pa.float64()), "w": pa.array([], pa.int64())})
+            if not left.num_rows or not right.num_rows:
+                return none
+            w = right.column("w").to_numpy()
+            runs, order = _sorted_runs(right.column("key_no").to_numpy(), right.column("code").to_numpy(), _matrix(right, xs), w)
+            q, d2, weight, _ = _nearest(runs, order, left.column("key_no").to_numpy(), _matrix(left, xs), w, k, left.column("bound").to_numpy())
+            return pa.table({"key_no": left.column("key_no").take(pa.array(q)), "pid": left.column("pid").take(pa.array(q)),
+                             "d2": pa.array(d2), "w": pa.array(weight)})
+
+        seen = guests.groupBy("leaf", "part").cogroup(hosts.groupBy("leaf", "part")).applyInArrow(visit, "key_no long, pid long, d2 double, w long")
+        own = found.join(visits.select("key_no", "pid").distinct(), ["key_no", "pid"], "left_semi") \
+                   .select("key_no", "pid", F.explode("near").alias("n")).select("key_no", "pid", "n.d2", "n.w")
+        step = lambda a, e: F.struct((a["cum"] + e["w"]).alias("cum"), F.when(
+            (a["cum"] < k) & (a["cum"] + e["w"] >= k), e["d2"]).otherwise(a["kth2"]).alias("kth2"))
+        merged = seen.unionByName(own).groupBy("key_no", "pid").agg(F.array_sort(F.collect_list(F.struct("d2", "w"))).alias("near")).select(
+            "key_no", "pid", F.aggregate("near", F.struct(F.lit(0).cast("long").alias("cum"), F.lit(None).cast("double").alias("kth2")), step)["kth2"].alias("best"))
+        result = result.join(merged.select("key_no", "pid", F.struct("best").alias("_m")), ["key_no", "pid"], "left") \
+                       .select("key_no", "pid", F.when(F.col("_m").isNotNull(), F.col("_m.best")).otherwise(F.col("kth2")).alias("kth2"))
+    return points.join(result, ["key_no", "pid"]).select(*keys, "pid", *xs, "w", F.sqrt("kth2").alias("kdist"))
 
 
 def k_distance_rows(df: DataFrame, feature_cols: list[str], k: int = 5,

@@ -16,7 +16,7 @@ from tillpoint.operators.scale import scale
 from tillpoint.plans.cleaning import cleaned_sales
 from tillpoint.plans.common import CLEAN_CTES, KEYS_SQL, r, rounded, with_sales
 from tillpoint.plans.registry import query
-from tillpoint.plans.transforms import standardized_pca_input
+from tillpoint.plans.transforms import _PCA_CTES, standardized_pca_input
 from tillpoint.sources.sales import ORDER_KEYS, sales_from_tables
 
 # Seeding of the exact assignment check: centres at these quantiles of each feature.
@@ -210,17 +210,40 @@ def _kdist(spark, sf_dir):
     return k_distance(scores, ["pc1", "pc2"], k=5)
 
 
-@query("k_distance")
+def _kdist_ctes(k: int = 5) -> str:
+    """DuckDB twin of the k-distance: distances in the space of all principal components are those of the standardised
+    columns. Candidates come from the 3 × 3 cells about a point; points whose k-th one is farther than a cell are compared
+    with all points."""
+    return with_sales(
+        *CLEAN_CTES, *_PCA_CTES,
+        f"zi AS (SELECT z1, z2, row_number() OVER (ORDER BY {KEYS_SQL}) - 1 AS id FROM z)",
+        "pts AS MATERIALIZED (SELECT z1, z2, count(*) AS w, min(id) AS pid FROM zi GROUP BY z1, z2)",
+        "side AS (SELECT sqrt((max(z1) - min(z1)) * (max(z2) - min(z2)) / count(*) * 8) AS s FROM pts)",
+        "cells AS MATERIALIZED (SELECT pts.*, s, floor(z1 / s)::BIGINT AS g1, floor(z2 / s)::BIGINT AS g2 FROM pts, side)",
+        "probe AS (SELECT cells.*, g1 + a AS h1, g2 + b AS h2 FROM cells, (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(b))",
+        "cand AS (SELECT p.pid, p.s, q.w, sqrt((p.z1 - q.z1) * (p.z1 - q.z1) + (p.z2 - q.z2) * (p.z2 - q.z2)) AS d "
+        "FROM probe p JOIN cells q ON p.h1 = q.g1 AND p.h2 = q.g2)",
+        "cum AS (SELECT pid, s, d, sum(w) OVER (PARTITION BY pid ORDER BY d ROWS UNBOUNDED PRECEDING) AS c FROM cand)",
+        f"near AS MATERIALIZED (SELECT pid, min(d) AS kdist FROM cum WHERE c >= {k} GROUP BY pid HAVING min(d) <= min(s))",
+        "far AS (SELECT p.pid, q.w, sqrt((p.z1 - q.z1) * (p.z1 - q.z1) + (p.z2 - q.z2) * (p.z2 - q.z2)) AS d "
+        "FROM pts p, pts q WHERE p.pid NOT IN (SELECT pid FROM near))",
+        "farc AS (SELECT pid, d, sum(w) OVER (PARTITION BY pid ORDER BY d ROWS UNBOUNDED PRECEDING) AS c FROM far)",
+        f"kd AS (SELECT pid, kdist FROM near UNION ALL SELECT pid, min(d) FROM farc WHERE c >= {k} GROUP BY pid)")
+
+
+@query("k_distance", _kdist_ctes() + f"SELECT pid, w, {r('kdist')} AS kdist FROM kd JOIN pts USING (pid)")
 def q_k_distance(spark, sf_dir):
     """Distance to the 5th nearest point (itself first) in PCA space,
     per distinct point with its row weight."""
-    return _kdist(spark, sf_dir).select("pid", "w", "kdist")
+    return rounded(_kdist(spark, sf_dir).select("pid", "w", "kdist"))
 
 
-@query("k_distance_curve")
+@query("k_distance_curve", _kdist_ctes() + f"""
+SELECT row_number() OVER (ORDER BY kdist) - 1 AS rank, {r('kdist')} AS distance
+FROM (SELECT kdist, unnest(range(w)) FROM kd JOIN pts USING (pid))""")
 def q_k_distance_curve(spark, sf_dir):
     """The ascending k-distance curve, every row."""
-    return k_distance_curve(_kdist(spark, sf_dir))
+    return rounded(k_distance_curve(_kdist(spark, sf_dir)))
 
 
 @query("k_distance_curve_101")

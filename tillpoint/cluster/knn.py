@@ -8,8 +8,8 @@ the point itself counted first (query points = fitted points).
   so neither a far outlier nor a dense spot makes leaves uneven.
 * In its leaf each point finds its k nearest (``runs.py``: boxes over runs of
   the order, about log n work a point).
-* A point whose ball of that radius reaches the box of another leaf visits it
-  with the radius as bound; the boxes (at most ``MOST_LEAVES`` rows, checked)
+* A point whose ball of that radius reaches the box of another leaf searches
+  all leaves it reaches, with the radius as bound; the boxes (at most ``MOST_LEAVES`` rows, checked)
   go to all tasks. The k nearest of all visits are merged by point.
 
 Partition keys lead the order; a leaf may hold many small keys, and distances
@@ -61,7 +61,7 @@ def _matrix(table: pa.Table, names: list[str]) -> np.ndarray:
 
 
 def _within_leaves(points: DataFrame, xs: list[str], k: int, breaks: np.ndarray, leaves: int) -> DataFrame:
-    """``points`` (key_no, pid, w, x…) with ``leaf``, ``code``, ``kth2`` (null: the leaf holds too few) and the list ``near``."""
+    """``points`` (key_no, pid, w, x…) with ``leaf``, ``code``, ``kth2`` (null: the leaf holds too few)."""
     def coded(batches):
         for batch in batches:
             x = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in xs], axis=1)
@@ -73,12 +73,10 @@ def _within_leaves(points: DataFrame, xs: list[str], k: int, breaks: np.ndarray,
             return
         table = pa.Table.from_batches(batches)
         key, code, w, x = (table.column("key_no").to_numpy(), table.column("code").to_numpy(), table.column("w").to_numpy(), _matrix(table, xs))
-        runs, order = _sorted_runs(key, code, x, w)
-        q, d2, weight, bound = _nearest(runs, order, key, x, w, k)
-        near = pa.ListArray.from_arrays(pa.array(np.searchsorted(q, np.arange(len(x) + 1)).astype(np.int32)),
-                                        pa.StructArray.from_arrays([pa.array(d2), pa.array(weight)], ["d2", "w"]))
+        runs, _ = _sorted_runs(key, code, x, w)
+        bound = runs.near(key, x, k)[3]
         out = table.append_column("leaf", pa.array(np.full(len(x), leaf_number(), np.int64))) \
-                   .append_column("kth2", pa.array(bound, mask=np.isinf(bound))).append_column("near", near)
+                   .append_column("kth2", pa.array(bound, mask=np.isinf(bound)))
         yield from out.to_batches(max_chunksize=1 << 14)
 
     def leaf_number() -> int:
@@ -88,11 +86,11 @@ def _within_leaves(points: DataFrame, xs: list[str], k: int, breaks: np.ndarray,
     ranged = points.select("key_no", "pid", F.col("w").cast("long"), *xs).mapInArrow(coded, columns) \
                    .repartitionByRange(leaves, "key_no", "code")
     # written once: a leaf's number is its partition's
-    return cut_lineage(ranged.mapInArrow(search, columns + ", leaf long, kth2 double, near array<struct<d2:double,w:long>>"), "checkpoint")
+    return cut_lineage(ranged.mapInArrow(search, columns + ", leaf long, kth2 double"), "checkpoint")
 
 
 def _visits(found: DataFrame, xs: list[str], k: int) -> DataFrame | None:
-    """``leaf, key_no, pid, x…, kth2``: points and the other leaves their balls reach; None if there is one leaf."""
+    """``leaf, key_no, pid, x…, bound``: points whose balls reach other leaves, with all leaves they reach; None if there is one leaf."""
     lo, hi = [F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)], [F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)]
     boxes = found.groupBy("leaf").agg(F.min("key_no").alias("k0"), F.max("key_no").alias("k1"), F.sum("w").alias("w"), *lo, *hi) \
                  .orderBy("leaf").collect()  # at most MOST_LEAVES rows
@@ -108,10 +106,15 @@ def _visits(found: DataFrame, xs: list[str], k: int) -> DataFrame | None:
             table = pa.Table.from_batches([batch])
             own = table.column("leaf").to_numpy()
             bound = np.nan_to_num(table.column("kth2").to_numpy(zero_copy_only=False).astype(np.float64), nan=np.inf)
-            q, i, gap, bound = tree.near(table.column("key_no").to_numpy(), _matrix(table, xs), k, bound)
-            away = (leaf[i] != own[q]) & (gap <= bound[q])
-            part = batch.select(["key_no", "pid", *xs]).take(pa.array(q[away]))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf[i[away]]), *part.columns, pa.array(bound[q[away]])],
+            q, i, gap, least = tree.near(table.column("key_no").to_numpy(), _matrix(table, xs), k, bound)
+            # a point as far as the k-th one of its own leaf changes nothing
+            reached = (gap < least[q]) | ((gap == least[q]) & (least < bound)[q])
+            away = reached & (leaf[i] != own[q])
+            travels = np.zeros(len(own), bool)
+            travels[q[away]] = True
+            go = away | (travels[q] & (leaf[i] == own[q]))
+            part = batch.select(["key_no", "pid", *xs]).take(pa.array(q[go]))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[i[go]]), *part.columns, pa.array(least[q[go]])],
                                              names=["leaf", "key_no", "pid", *xs, "bound"])
 
     return found.select("leaf", "key_no", "pid", *xs, "kth2").mapInArrow(
@@ -146,7 +149,7 @@ def k_distance(df: DataFrame, feature_cols: list[str], k: int = 5, id_col: str =
     breaks = [np.unique(np.array(row[x], np.float64)) for x in xs]
     leaves = max(1, min(MOST_LEAVES, -(-row.n // leaf_points)))
     found = _within_leaves(points, xs, k, breaks, leaves)
-    result = found.select("key_no", "pid", "kth2")
+    result = found.select("key_no", "pid", "w", *xs, "kth2")
 
     visits = _visits(found, xs, k)
     if visits is not None:
@@ -167,15 +170,15 @@ def k_distance(df: DataFrame, feature_cols: list[str], k: int = 5, id_col: str =
                              "d2": pa.array(d2), "w": pa.array(weight)})
 
         seen = guests.groupBy("leaf", "part").cogroup(hosts.groupBy("leaf", "part")).applyInArrow(visit, "key_no long, pid long, d2 double, w long")
-        own = found.join(visits.select("key_no", "pid").distinct(), ["key_no", "pid"], "left_semi") \
-                   .select("key_no", "pid", F.explode("near").alias("n")).select("key_no", "pid", "n.d2", "n.w")
         step = lambda a, e: F.struct((a["cum"] + e["w"]).alias("cum"), F.when(
             (a["cum"] < k) & (a["cum"] + e["w"] >= k), e["d2"]).otherwise(a["kth2"]).alias("kth2"))
-        merged = seen.unionByName(own).groupBy("key_no", "pid").agg(F.array_sort(F.collect_list(F.struct("d2", "w"))).alias("near")).select(
+        merged = seen.groupBy("key_no", "pid").agg(F.array_sort(F.collect_list(F.struct("d2", "w"))).alias("near")).select(
             "key_no", "pid", F.aggregate("near", F.struct(F.lit(0).cast("long").alias("cum"), F.lit(None).cast("double").alias("kth2")), step)["kth2"].alias("best"))
         result = result.join(merged.select("key_no", "pid", F.struct("best").alias("_m")), ["key_no", "pid"], "left") \
-                       .select("key_no", "pid", F.when(F.col("_m").isNotNull(), F.col("_m.best")).otherwise(F.col("kth2")).alias("kth2"))
-    return points.join(result, ["key_no", "pid"]).select(*keys, "pid", *xs, "w", F.sqrt("kth2").alias("kdist"))
+                       .withColumn("kth2", F.when(F.col("_m").isNotNull(), F.col("_m.best")).otherwise(F.col("kth2")))
+    if keys:
+        result = result.join(number, "key_no")
+    return result.select(*keys, "pid", *xs, "w", F.sqrt("kth2").alias("kdist"))
 
 
 def k_distance_rows(df: DataFrame, feature_cols: list[str], k: int = 5,

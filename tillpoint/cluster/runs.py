@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 
-RUN, FAN = 16, 8
+RUN, FAN = 8, 8
 QUERIES = 1024  # that descend together
 
 

@@ -51,7 +51,7 @@ def test_exact_quantiles_match_numpy_with_hot_group_and_weights(spark):
     v = np.round(rng.normal(size=3000), 3)
     df = spark.createDataFrame(pd.DataFrame({"g": g, "v": v, "w": rng.integers(1, 4, 3000)}))
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    q = exact_quantiles(df, ["v"], probs, ["g"], num_partitions=7).toPandas()
+    q = exact_quantiles(df, ["v"], probs, ["g"]).toPandas()
     for key in ("hot", "a", "b"):
         for p in probs:
             got = q[(q.g == key) & (np.isclose(q.prob, p))]["value"].iloc[0]
@@ -60,6 +60,51 @@ def test_exact_quantiles_match_numpy_with_hot_group_and_weights(spark):
     assert math.isclose(qw, np.quantile(np.repeat(v, df.toPandas()["w"]), 0.5), abs_tol=1e-12)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 30, 4])
+def test_brackets_cut_again_and_small_groups(spark, most):
+    rng = np.random.default_rng(5)
+    values = {"hot": np.round(rng.normal(0, 1, 3000), 3), "flat": np.zeros(400), "two": np.array([3.0, 1.0]), "one": np.array([7.0]),
+              None: rng.exponential(1, 90), "ends": np.array([-1e300] + [0.5] * 50 + [1e300] * 2)}
+    rows = [(g, float(x), float(-x)) for g, xs in values.items() for x in xs] + [("one", None, float("nan")), ("empty", None, None)]
+    df = spark.createDataFrame(rows, "g string, v double, u double").repartition(5)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.6180339, 0.75, 0.99, 1.0]
+    got = {(r.g, r.column, r.prob): r.value for r in exact_quantiles(df, ["v", "u"], probs, ["g"], most_values=most).collect()}
+    assert len(got) == 2 * len(values) * len(probs)
+    for g, xs in values.items():
+        for p in probs:
+            assert math.isclose(got[g, "v", p], np.quantile(xs, p), rel_tol=1e-12, abs_tol=1e-12), (g, p)
+            assert math.isclose(got[g, "u", p], np.quantile(-xs, p), rel_tol=1e-12, abs_tol=1e-12), (g, p)
+
+
+@pytest.mark.parametrize("fraction,n", [(0.2, 5000), (0.2, 7), (0.0, 9), (1.0, 9), (0.999, 1000), (0.37, 1)])
+def test_holdout_by_threshold(spark, fraction, n):
+    from tillpoint.forecast.split import random_holdout
+    df = spark.range(n).withColumn("g", F.col("id") % 3)
+    out = random_holdout(df.repartition(6), ["id", "g"], fraction)
+    got = {r.id: r.split for r in out.collect()}
+    hashes = sorted((r.h, r.id) for r in df.select("id", F.xxhash64(F.lit(42), "id", "g").alias("h")).collect())
+    n_val = math.ceil(fraction * n)
+    assert got == {i: "val" if k < n_val else "train" for k, (_, i) in enumerate(hashes)}
+    assert "rangepartitioning" not in out._jdf.queryExecution().toString()
+
+
+def test_holdout_of_repeated_keys_and_no_rows(spark):
+    from tillpoint.forecast.split import random_holdout
+    df = spark.range(600).select((F.col("id") % 4).alias("k"))
+    rows = random_holdout(df, ["k"], 0.3).groupBy("k", "split").count().collect()
+    assert len(rows) == 4 and sum(r["count"] for r in rows if r.split == "val") >= 180
+    assert random_holdout(df.limit(0), ["k"]).collect() == []
+
+
+def test_quantiles_exchange_only_brackets(spark):
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003 / 7).alias("v"))
+    out = exact_quantiles(df, ["v"], [0.25, 0.5, 0.75])
+    assert "rangepartitioning" not in out._jdf.queryExecution().toString()
+    want = df.toPandas()["v"].quantile([0.25, 0.5, 0.75])
+    assert {r.prob: r.value for r in out.collect()} == pytest.approx(want.to_dict(), rel=1e-12)
+    assert exact_quantiles(df.limit(0), ["v"], [0.5]).collect() == []
+
+
 def test_scalers_edge_cases_and_inverse(spark):
     df = spark.createDataFrame(pd.DataFrame({"c": [3.0, 3.0, 3.0], "x": [1.0, 2.0, 4.0]}))
     mm = sc.scale(df, ["c", "x"], "minmax").toPandas()

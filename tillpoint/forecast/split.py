@@ -10,11 +10,9 @@ from __future__ import annotations
 import datetime as _dt
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillpoint.operators.rowindex import with_row_index
-
 
 def _ts(value) -> F.Column:
     return F.lit(value).cast("timestamp_ntz")
@@ -65,16 +63,26 @@ def split_timestamp_ranges(df: DataFrame, ts_col: str, train: tuple[str, str],
 
 def random_holdout(df: DataFrame, key_cols: list[str], fraction: float = 0.2,
                    seed: int = 42, label: str = "val") -> DataFrame:
-    """M8: exactly ceil(fraction·n) rows labelled ``label``, the rest ``train``.
+    """M8: the ceil(fraction·n) rows with the least seeded hashes of their key are ``label``, the rest ``train``.
 
-    Rows are ranked by a seeded hash of their key (distributed row index,
-    no single-partition sort), so the split is reproducible and does not
-    depend on partitioning — unlike ``randomSplit``.
+    The hash that parts them is found by selection: rows below a bracket about its
+    expected place are counted, the bracket's few hashes (about √n) are ordered. Rows are then
+    labelled where they lie, without a sort or a shuffle. The split does not depend on
+    partitioning, unlike ``randomSplit``; rows of equal keys stay together.
     """
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols]).alias("_h")
-    ranked = with_row_index(df.withColumn("_h", h), ["_h", *key_cols], col="_rank")
-    n = ranked.count()
+    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols])
+    n = df.count()
     n_val = int(math.ceil(fraction * n))
-    return (ranked.withColumn("split", F.when(F.col("_rank") < n_val, F.lit(label))
-                              .otherwise(F.lit("train")))
-                  .drop("_h", "_rank"))
+    if not 0 < n_val < n:
+        return df.withColumn("split", F.lit(label if n_val else "train"))
+    hashes = df.select(h.alias("_h"))
+    at, spread = n_val / n, 6 * math.sqrt(n) + 64  # ranks that the place of a uniform hash may be off
+    while True:
+        low, high = (max(-(1 << 63), min((1 << 63) - 1, int((at + side * spread / n) * (1 << 64)) - (1 << 63))) for side in (-1, 1))
+        below, inside = hashes.agg(F.count(F.when(F.col("_h") < low, 1)), F.count(F.when(F.col("_h").between(low, high), 1))).first()
+        if below < n_val <= below + inside:
+            break
+        spread *= 8  # repeated keys
+    last = hashes.where(F.col("_h").between(low, high)).groupBy("_h").count().select(
+        "_h", F.sum("count").over(Window.orderBy("_h")).alias("_n")).where(F.col("_n") >= n_val - below).agg(F.min("_h")).first()[0]
+    return df.withColumn("split", F.when(h <= F.lit(last), F.lit(label)).otherwise(F.lit("train")))

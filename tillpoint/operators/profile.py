@@ -6,12 +6,14 @@ shuffle), returned in long form so several stages can be unioned.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillpoint.operators.cleaning import numeric_columns
 from tillpoint.operators.quantiles import exact_quantiles
+from tillpoint.session import cut_lineage
 
 
 def head(df: DataFrame, order_keys, n: int = 5) -> DataFrame:
@@ -25,22 +27,17 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     Not ``DataFrame.summary()``: its percentiles are approximate.
     """
     cols = cols or numeric_columns(df)
-    items = F.array(*[F.struct(F.lit(c).alias("column"),
-                               F.col(c).cast("double").alias("_v")) for c in cols])
-    long = (df.select(F.explode(items).alias("_s")).select("_s.column", "_s._v")
-              .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    stats = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("_v").alias("mean"),
-        F.stddev_samp("_v").alias("std"), F.min("_v").alias("min"),
-        F.max("_v").alias("max"))
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).groupBy("column").agg(
+    narrow = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols])
+    narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)  # read once for the moments and the quantiles' passes
+    moments = narrow.agg(*[F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"),
+                                    F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")).alias(c) for c in cols])
+    stats = cut_lineage(moments.select(F.explode(F.array(*cols)).alias("_s")).select("_s.*"), "checkpoint")
+    q = exact_quantiles(narrow, cols, [0.25, 0.5, 0.75]).groupBy("column").agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("p25"),
         F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("p50"),
         F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("p75"))
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    return (names.join(stats, "column", "left").join(q, "column", "left")
-                 .select("column", F.coalesce("count", F.lit(0)).alias("count"),
-                         "mean", "std", "min", "p25", "p50", "p75", "max"))
+    narrow.unpersist()
+    return stats.join(q, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -71,12 +68,14 @@ def split_sizes(df: DataFrame, split_col: str = "split") -> DataFrame:
 
 
 def profile_stages(stages: dict[str, DataFrame], cols: list[str] | None = None,
-                   neg_cols=("Quantity", "UnitPrice")) -> dict[str, DataFrame]:
-    """P2–P4 for several stages (e.g. ``raw``/``clean``), each tagged with ``stage``."""
+                   neg_cols=("Quantity", "UnitPrice"), kinds=("describe", "nulls", "negatives")) -> dict[str, DataFrame]:
+    """P2–P4 (those of ``kinds``) for several stages (e.g. ``raw``/``clean``), each tagged with ``stage``."""
     out: dict[str, DataFrame] = {}
     for kind, fn in (("describe", lambda d: describe(d, cols)),
                      ("nulls", lambda d: null_counts(d)),
                      ("negatives", lambda d: negative_count(d, neg_cols))):
+        if kind not in kinds:
+            continue
         parts = [fn(d).withColumn("stage", F.lit(name)) for name, d in stages.items()]
         u = parts[0]
         for p in parts[1:]:

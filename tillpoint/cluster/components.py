@@ -45,6 +45,7 @@ def _small_star(e: DataFrame, keys: list[str]) -> DataFrame:
 
 def _stars(e: DataFrame, keys: list[str]) -> bool:
     """Whether no node has two edges to lower ones, or one while others lead to it."""
+    e = e.distinct()
     ends = e.select(*keys, F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
         e.select(*keys, F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
     node = ends.groupBy(*keys, "n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
@@ -60,15 +61,15 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
     """
     keys = list(keys or [])
     e = edges.select(*keys, F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")) \
-             .where(F.col("u") != F.col("v")).distinct()
-    e = cut_lineage(e, "persist")
+             .where(F.col("u") != F.col("v"))
+    e = cut_lineage(e, "persist")  # as dealt: a shuffle here would leave its many small partitions in the cache
     for i in count():  # until every edge leads from a node to its star's least one
         if _stars(e, keys):
             break
         e = _small_star(_large_star(e, keys), keys)
         e = cut_lineage(e, "checkpoint" if (i + 1) % checkpoint_every == 0 else "persist")
     # converged: every edge points from a node to its component minimum
-    labels = e.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
+    labels = e.select(*keys, F.col("u").alias("node"), F.col("v").alias("component")).distinct()
     roots = labels.select(*keys, F.col("component").alias("node"), "component").distinct()
     out = labels.unionByName(roots)
     if nodes is not None:

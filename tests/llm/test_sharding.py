@@ -59,3 +59,34 @@ def test_growth_moves_slots_only_into_the_new_shard(spark, documents):
     loads = [sum(r.n_bytes for r in rows if r.s2 == s) for s in range(9)]
     mean = sum(loads) / 9
     assert min(loads[:8]) >= mean * 0.999 and 0.8 * mean < loads[8] <= mean
+
+
+def recomputed(rows, shards=8):
+    """Both map versions, folded anew in Python from the rows' slots and sizes."""
+    size = {}
+    for r in rows:
+        size[r.virtual_slot] = size.get(r.virtual_slot, 0) + r["size"]
+    order = sorted(size, key=lambda v: (-size[v], v))
+    loads, first = [0] * shards, {}
+    for v in order:
+        first[v] = loads.index(min(loads))
+        loads[first[v]] += size[v]
+    loads, grown, mean = [*loads, 0], dict(first), sum(loads) / (shards + 1)
+    for v in order:
+        if loads[shards] + size[v] <= mean and loads[first[v]] - size[v] >= mean:
+            grown[v] = shards
+            loads[shards] += size[v]
+            loads[first[v]] -= size[v]
+    return first, grown, loads
+
+
+def test_both_versions_of_the_map_are_the_recomputed_ones(documents, odd, frame):
+    hot = frame([(1, "copy")] * 300 + [(i, f"text {i}" * (i % 7)) for i in range(600)])
+    for df in (documents, odd, hot):
+        rows = H.shard(df).collect()
+        first, grown, _ = recomputed(rows)
+        assert all(r.shard == first[r.virtual_slot] and r.next_shard == grown[r.virtual_slot] for r in rows)
+        assert all(r.next_shard in (r.shard, 8) for r in rows)
+    rows = H.shard(documents).collect()
+    _, _, loads = recomputed(rows)
+    assert loads[8] > 0.8 * sum(loads) / 9

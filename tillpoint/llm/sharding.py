@@ -109,7 +109,8 @@ def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS,
           slots: int = SLOTS) -> DataFrame:
-    """One row per document: its size, checksum, shard, place in the shard and map version."""
+    """One row per document: its size, checksum, shard, place in the shard and map version, and ``next_shard``: its
+    shard by version 2 of the stored map, which is version 1 edited for one more shard."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     records = stored(plain.select(
@@ -118,15 +119,18 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         slot_of("doc_id", "text", slots=slots).alias("virtual_slot"),
         F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part")), "shard-records")
     per_slot = slot_bytes(records, slots)
-    mapping = read_map(spark, store_map(spark, first_map(per_slot, shards), 1), 1)
+    path = store_map(spark, first_map(per_slot, shards), 1)
+    first = read_map(spark, path, 1)
+    grown = read_map(spark, store_map(spark, grown_map(per_slot, first, shards), 2, path), 2)
+    mapping = first.join(F.broadcast(grown.select("virtual_slot", F.col("shard").alias("next_shard"))), "virtual_slot")  # ``slots`` rows each
     # at most SLOTS * PARTS counts, whatever the input
     before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
     start = (records.groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("n"))
                     .join(F.broadcast(mapping), "virtual_slot")
-                    .select("virtual_slot", "part", "shard", "map_version", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_at")))
+                    .select("virtual_slot", "part", "shard", "next_shard", "map_version", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_at")))
     inside = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size")
     return (records.withColumn("_n", F.row_number().over(inside) - 1)
                    .join(F.broadcast(start), ["virtual_slot", "part"])
                    .select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard",
                            (F.col("_at") + F.col("_n")).cast("long").alias("slot"),
-                           F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version"))
+                           F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "next_shard"))

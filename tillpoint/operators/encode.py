@@ -62,6 +62,7 @@ def assemble(df: DataFrame, cols: list[str], out_col: str = "features") -> DataF
     return VectorAssembler(inputCols=cols, outputCol=out_col, handleInvalid="error").transform(df)
 
 
+# Fixed values (the defaults): the columns that the original job drops, codes and scales.
 def kmeans_design(df: DataFrame, categorical: str = "Country", coded: str = "StockCode",
                   drop=("InvoiceNo", "StockCode", "Description", "InvoiceDate", "CustomerID"),
                   numeric=("Quantity", "UnitPrice")) -> tuple[DataFrame, list[str]]:

@@ -12,14 +12,16 @@ from tillpoint.forecast.models import load_model, save_model
 from tillpoint.operators import aggregates as agg
 from tillpoint.operators import charts as ch
 from tillpoint.operators import scale as sc
+from tillpoint.operators.cleaning import ZOOM_PCA, ZOOM_SCALED, drop_missing
+from tillpoint.operators.encode import label_codes
+from tillpoint.operators.encoded_pca import fit_encoded_pca
 from tillpoint.operators.pca import fit_pca
-from tillpoint.operators.cleaning import ZOOM_PCA, ZOOM_SCALED
 from tillpoint.plans import clustering as qc
 from tillpoint.plans.common import CLEAN_CTES, r, rounded, with_sales
 from tillpoint.plans.forecasting import _NAIVE, naive_pairs, scaled_split
 from tillpoint.plans.registry import query
 from tillpoint.plans.transforms import TEST_RANGE
-from tillpoint.session import scratch_path
+from tillpoint.session import cut_lineage, scratch_path
 from tillpoint.sources.sales import read_sales_csv, sales_from_tables, write_csv
 from tillpoint.streaming.batches import run_file_batches
 
@@ -84,6 +86,83 @@ def _register_pca_scatters() -> None:
 _register_pca_scatters()
 
 
+_DESIGN_NUMERIC = ["Quantity", "UnitPrice", "StockCode_encoded", "Cluster"]
+DESIGN_BINS = (25.0, 5.0)       # the first component follows the stock codes, the second the unit price
+
+
+def _design_pca(spark, sf_dir):
+    """The K-Means design with its labels, as the original scatters it, and its two leading components."""
+    lines = label_codes(drop_missing(qc.quantile_seeded(spark, sf_dir)), "StockCode", "StockCode_encoded")
+    design = cut_lineage(lines.select(*_DESIGN_NUMERIC, "Country"))
+    return design, fit_encoded_pca(design, _DESIGN_NUMERIC, ["Country"], 2)
+
+
+def _power_ctes(name: str, source: str, squarings: int = 9) -> list[str]:
+    """Leading eigenvector (``name``: i, w) and value (``name_l``) of the matrix in ``source`` (i, j, v): a high
+    power by repeated squaring, its column with the greatest diagonal entry, the greatest loading positive."""
+    out, prev = [], source
+    for t in range(squarings):
+        out.append(f"{name}_r{t} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {prev} a JOIN {prev} b ON a.j = b.i GROUP BY 1, 2)")
+        out.append(f"{name}_m{t} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {name}_r{t} WHERE i = j) AS v FROM {name}_r{t})")
+        prev = f"{name}_m{t}"
+    return out + [
+        f"{name}_c AS (SELECT i, v FROM {prev} WHERE j = (SELECT arg_max(i, v) FROM {prev} WHERE i = j))",
+        f"{name} AS MATERIALIZED (SELECT i, v / (SELECT sqrt(sum(v * v)) * sign(arg_max(v, abs(v))) FROM {name}_c) AS w FROM {name}_c)",
+        f"{name}_l AS (SELECT sum(a.w * s.v * b.w) AS l FROM {source} s JOIN {name} a ON s.i = a.i JOIN {name} b ON s.j = b.i)"]
+
+
+_DESIGN_CTES = [
+    *qc._ASSIGN_CTES,
+    "cd AS MATERIALIZED (SELECT row_number() OVER () AS rid, Quantity, UnitPrice, Cluster, Country, "
+    "dense_rank() OVER (ORDER BY StockCode) - 1 AS code FROM asg WHERE CustomerID IS NOT NULL)",
+    "mu AS (SELECT avg(Quantity) AS q, avg(UnitPrice) AS p, avg(code) AS c, avg(Cluster) AS k, count(*) AS n FROM cd)",
+    "ft AS (SELECT Country, 3 + row_number() OVER (ORDER BY Country) AS i FROM (SELECT DISTINCT Country FROM cd "
+    "WHERE Country <> (SELECT min(Country) FROM cd)))",
+    "x AS MATERIALIZED (SELECT rid, 0 AS i, Quantity - q AS v FROM cd, mu UNION ALL SELECT rid, 1, UnitPrice - p FROM cd, mu "
+    "UNION ALL SELECT rid, 2, code - c FROM cd, mu UNION ALL SELECT rid, 3, Cluster - k FROM cd, mu "
+    "UNION ALL SELECT rid, ft.i, 1.0 FROM cd JOIN ft USING (Country))",
+    "m AS (SELECT i, sum(v) / (SELECT n FROM mu) AS m FROM x GROUP BY 1)",
+    "g AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM x a JOIN x b USING (rid) GROUP BY 1, 2)",
+    "cov AS MATERIALIZED (SELECT a.i, b.i AS j, (coalesce(g.v, 0) - n * a.m * b.m) / (n - 1) AS v "
+    "FROM mu, m a CROSS JOIN m b LEFT JOIN g ON g.i = a.i AND g.j = b.i)",
+    *_power_ctes("e1", "cov"),
+    "cov2 AS MATERIALIZED (SELECT cov.i, cov.j, cov.v - l * a.w * b.w AS v FROM e1_l, cov JOIN e1 a ON cov.i = a.i JOIN e1 b ON cov.j = b.i)",
+    *_power_ctes("e2", "cov2"),
+    "sc AS (SELECT x.rid, sum(x.v * e1.w) - (SELECT sum(m.m * e1.w) FROM m JOIN e1 USING (i)) AS pc1, "
+    "sum(x.v * e2.w) - (SELECT sum(m.m * e2.w) FROM m JOIN e2 USING (i)) AS pc2 "
+    "FROM x JOIN e1 ON x.i = e1.i JOIN e2 ON x.i = e2.i GROUP BY 1)",
+]
+
+
+@query("pca_scatter_kmeans_design", with_sales(*CLEAN_CTES, *_DESIGN_CTES) + f"""
+SELECT CAST(floor({r('pc1', 4)} / {DESIGN_BINS[0]}) AS BIGINT) AS x_bin, CAST(floor({r('pc2', 4)} / {DESIGN_BINS[1]}) AS BIGINT) AS y_bin,
+  Cluster, count(*) AS count FROM sc JOIN cd USING (rid) GROUP BY 1, 2, 3""")
+def q_pca_scatter_kmeans_design(spark, sf_dir):
+    """C3 + T7: the K-Means scatter in the plane of the encoded matrix's two components (numbers, stock codes,
+    country dummies and, as the original has it, the labels)."""
+    design, fit = _design_pca(spark, sf_dir)
+    return ch.scatter_bins(rounded(fit.transform(design), 4), "pc1", "pc2", *DESIGN_BINS, "Cluster")
+
+
+@query("pca_design_variance", with_sales(*CLEAN_CTES, *_DESIGN_CTES) + f"""
+SELECT 1 AS component, {r('l', 4)} AS variance, {r('l / (SELECT sum(v) FROM cov WHERE i = j)')} AS ratio FROM e1_l
+UNION ALL SELECT 2, {r('l', 4)}, {r('l / (SELECT sum(v) FROM cov WHERE i = j)')} FROM e2_l""")
+def q_pca_design_variance(spark, sf_dir):
+    """T8 on the encoded matrix."""
+    out = _design_pca(spark, sf_dir)[1].variance_frame(spark)
+    return out.select("component", F.round("variance", 4).alias("variance"), F.round("ratio", 6).alias("ratio"))
+
+
+@query("pca_design_loadings", with_sales(*CLEAN_CTES, *_DESIGN_CTES,
+    "nm(i, feature) AS (VALUES (0, 'Quantity'), (1, 'UnitPrice'), (2, 'StockCode_encoded'), (3, 'Cluster'))",
+    "na AS (SELECT * FROM nm UNION ALL SELECT i, 'Country_' || Country FROM ft)")
+    + f"SELECT feature, {r('e1.w', 5)} + 0.0 AS pc1, {r('e2.w', 5)} + 0.0 AS pc2 FROM na JOIN e1 USING (i) JOIN e2 USING (i)")
+def q_pca_design_loadings(spark, sf_dir):
+    """T7 on the encoded matrix: the loading of every encoded column."""
+    out = rounded(_design_pca(spark, sf_dir)[1].loadings_frame(spark), 5)
+    return out.select("feature", *[(F.col(c) + F.lit(0.0)).alias(c) for c in ("pc1", "pc2")])  # no negative zero
+
+
 @query("residuals_naive", _NAIVE + f"""
 SELECT forecast AS predicted, {r('actual - forecast', 2)} AS residual FROM pr""")
 def q_residuals_naive(spark, sf_dir):

@@ -7,7 +7,7 @@ import pandas as pd
 
 from tillpoint.forecast import metrics as mt
 from tillpoint.forecast.additive import additive_forecast
-from tillpoint.forecast.autoregressive import arima_forecast
+from tillpoint.forecast.autoregressive import arima_forecast, difference, numbered
 from tillpoint.forecast.split import random_holdout, split_at_date, split_timestamp_ranges
 from tillpoint.operators.windows import add_position, sliding_sequences
 
@@ -78,3 +78,51 @@ def test_sequences_with_halo(spark):
     seq = sliding_sequences(pos, "Sales", 5, "pos", block=7).toPandas().sort_values("Date")
     assert len(seq) == 45
     assert all(list(r.sequence) == [r.target - 5 + i for i in range(5)] for r in seq.itertuples())
+
+
+def _weekly(seed, n=420, cut=392):
+    """Season of 7, a slow walk and a regressor with coefficient 4."""
+    rng = np.random.default_rng(seed)
+    t = np.arange(n)
+    x = (rng.random(n) < 0.3).astype(float)
+    y = 20 + np.array([0.0, 3, -2, 5, 1, -4, 2])[t % 7] + np.cumsum(rng.normal(0, 0.05, n)) + 4 * x
+    start = dtm.date(2020, 1, 1)
+    return pd.DataFrame({"Date": [start + dtm.timedelta(days=int(i)) for i in t], "Sales": y, "x": x,
+                         "split": np.where(t < cut, "train", "test")})
+
+
+def test_season_and_regressor_recovered_by_key(spark):
+    parts = [_weekly(k).assign(k=k) for k in (1, 2)]
+    both = spark.createDataFrame(pd.concat(parts))
+    fc = arima_forecast(both, keys=["k"], p=2, q=1, season=7, exog=["x"]).toPandas().sort_values(["k", "step"])
+    assert len(fc) == 56 and np.abs(fc["forecast"] - fc["actual"]).max() < 1.0
+    plain = arima_forecast(both, keys=["k"], p=2, q=1).toPandas()
+    assert np.abs(plain["forecast"] - plain["actual"]).mean() > 3 * np.abs(fc["forecast"] - fc["actual"]).mean()
+    one = arima_forecast(spark.createDataFrame(parts[1]), p=2, q=1, season=7, exog=["x"]).toPandas().sort_values("step")
+    assert np.allclose(one["forecast"], fc.loc[fc.k == 2, "forecast"], atol=1e-6)
+
+
+def test_difference_and_numbering(spark):
+    pdf = _weekly(3, 60, 50)
+    rows = numbered(spark.createDataFrame(pdf).repartition(5), "Date", "split", [])
+    got = difference(rows, "Sales", "pos", [], 7, block=13).toPandas().sort_values("Date")
+    y = pdf["Sales"]
+    want = y.diff() - y.shift(7).diff()
+    assert got["pos"].tolist() == list(range(60)) and np.allclose(got["dy"], want, equal_nan=True)
+    assert got["step"].isna().sum() == 50 and got["step"].dropna().tolist() == list(range(10))
+
+
+def test_numbering_keeps_an_overlapping_day_apart(spark):
+    pdf = _weekly(4, 20, 10)
+    again = pdf.iloc[[9]].assign(split="test")
+    got = numbered(spark.createDataFrame(pd.concat([pdf, again])), "Date", "split", []).toPandas()
+    assert sorted(got.loc[got.split == "train", "pos"]) == list(range(10))
+    assert got[got.split == "test"].sort_values("Date")["step"].tolist() == list(range(11))
+
+
+def test_forecast_of_series_too_short_or_without_test(spark):
+    short = _weekly(5, 6, 4).assign(k=1)
+    whole = _weekly(6).assign(k=2)
+    none = _weekly(7, 100, 100).assign(k=3)
+    fc = arima_forecast(spark.createDataFrame(pd.concat([short, whole, none])), keys=["k"], p=2, q=1).toPandas()
+    assert set(fc.k) == {2} and len(fc) == 28

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.forecast import metrics as mt
 from tillpoint.forecast.additive import additive_forecast
-from tillpoint.forecast.autoregressive import arima_forecast
+from tillpoint.forecast.autoregressive import arima_forecast, lag_design, numbered
 from tillpoint.forecast.models import sequence_regression
 from tillpoint.forecast.split import random_holdout, split_at_date, split_timestamp_ranges
 from tillpoint.operators import aggregates as agg
@@ -17,6 +17,7 @@ from tillpoint.plans.cleaning import cleaned_sales
 from tillpoint.plans.common import CLEAN_CTES, r, rounded, with_sales
 from tillpoint.plans.registry import query
 from tillpoint.plans.transforms import SPLIT_DATE, TEST_RANGE, TRAIN_RANGE
+from tillpoint.session import cut_lineage
 from tillpoint.sources.sales import ORDER_KEYS
 
 _DAILY = "d AS (SELECT CAST(InvoiceDate AS DATE) AS Date, round_even(sum(Quantity * UnitPrice), 2) AS Sales FROM clean GROUP BY 1)"
@@ -120,8 +121,8 @@ def q_holdout_sizes(spark, sf_dir):
 
 
 def scaled_split(spark, sf_dir):
-    """Daily series, split, robust scaling fitted on train (B5 fixed)."""
-    s = daily_split(spark, sf_dir)
+    """Daily series, split, robust scaling fitted on train (B5 fixed). The daily rows, read many times, are cut first."""
+    s = cut_lineage(daily_split(spark, sf_dir))
     params = sc.fit_scaler(s.where("split = 'train'"), ["Sales"], "robust")
     return sc.apply_scaler(s, params, ["Sales"])
 
@@ -158,6 +159,55 @@ def q_sarimax_forecast(spark, sf_dir):
     return arima_forecast(scaled_split(spark, sf_dir), "Date", "Sales", "split", p=12, q=12)
 
 
+def _design_sql(season: int) -> str:
+    dy = "v - l1" + (" - ls + lt" if season else "")
+    more = f", lag(Sales, {season}) OVER (ORDER BY Date) AS ls, lag(Sales, {season + 1}) OVER (ORDER BY Date) AS lt" if season else ""
+    return with_sales(*CLEAN_CTES, _DAILY,
+        f"w AS (SELECT Date, row_number() OVER (ORDER BY Date) - 1 AS pos, Sales AS v, lag(Sales, 1) OVER (ORDER BY Date) AS l1{more} "
+        f"FROM d WHERE Date <= DATE '{SPLIT_DATE}')",
+        f"z AS (SELECT Date, CAST(pos AS INTEGER) AS pos, {dy} AS dy FROM w)") + \
+        f"SELECT Date, pos, {r('dy', 2)} + 0.0 AS dy, " + ", ".join(
+            f"{r(f'lag(dy, {i}) OVER (ORDER BY pos)', 2)} + 0.0 AS l_{i}" for i in DESIGN_LAGS) + " FROM z"
+
+
+DESIGN_LAGS = list(range(1, 13))
+
+
+def _lag_design(spark, sf_dir, season: int):
+    rows = numbered(daily_split(spark, sf_dir), "Date", "split", []).where("split = 'train'")
+    out = lag_design(rows.select("Date", "pos", "Sales"), "Sales", "pos", [], DESIGN_LAGS, season)
+    return out.select("Date", "pos", *[(F.round(c, 2) + F.lit(0.0)).alias(c) for c in ["dy"] + [f"l_{i}" for i in DESIGN_LAGS]])
+
+
+@query("arima_design", _design_sql(0))
+def q_arima_design(spark, sf_dir):
+    """M2/W4, exact part: the differenced train series and its 12 lags, the regression's design."""
+    return _lag_design(spark, sf_dir, 0)
+
+
+@query("sarimax_design", _design_sql(SEASON))
+def q_sarimax_design(spark, sf_dir):
+    """M3/W4, exact part: differenced by one and by a season of 7 observations, with 12 lags."""
+    return _lag_design(spark, sf_dir, SEASON)
+
+
+def _sarimax_weekly(spark, sf_dir):
+    s = scaled_split(spark, sf_dir).withColumn("first_week", (F.dayofmonth("Date") <= 7).cast("double"))
+    return arima_forecast(s, "Date", "Sales", "split", p=12, q=12, season=SEASON, exog=["first_week"])
+
+
+@query("sarimax_weekly_forecast")
+def q_sarimax_weekly_forecast(spark, sf_dir):
+    """M3 with its seasonal and exogenous terms: a season of 7 observations, the first week of a month as regressor."""
+    return _sarimax_weekly(spark, sf_dir)
+
+
+@query("sarimax_weekly_metrics")
+def q_sarimax_weekly_metrics(spark, sf_dir):
+    """M3 with its terms + M10."""
+    return mt.rmse_mae_mape(_sarimax_weekly(spark, sf_dir), "actual", "forecast")
+
+
 def _sequences(spark, sf_dir, grain: str = "day", length: int = 30):
     """M4 input: min-max (fitted on train) sales, windows of the ``length`` values before each target.
 
@@ -225,7 +275,6 @@ _T_FEATURES = ["daily_sells", "day_of_week", "daily"]
 def _gbt(spark, sf_dir):
     """Hold-out and search (10 draws × 5 folds) on quantity, then both models with the best draw."""
     from tillpoint.forecast import boosting
-    from tillpoint.session import cut_lineage
     data = cut_lineage(_daily_features(spark, sf_dir), "checkpoint")
     tr = random_holdout(data.where("split = 'train'").drop("split"), ["InvoiceDate"])
     best = boosting.best_params(boosting.search(tr.where("split = 'train'"), _Q_FEATURES, "daily", "InvoiceDate"))

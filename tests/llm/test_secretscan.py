@@ -7,13 +7,17 @@ import hashlib
 import lzma
 import random
 import re
+import subprocess
+import sys
 import urllib.parse
 import zlib
+from pathlib import Path
 
 import pytest
 
 from tillpoint.llm import secretscan as S
 
+ROOT = Path(__file__).parents[2]
 SECRET = 'password = "hunter2hunter"'
 ASSIGN = re.compile("([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
                     "|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -185,3 +189,141 @@ def test_pieces_lose_no_finding_at_their_ends():
         assert "".join(p for p, _ in pieces).encode("latin-1") == raw and len(pieces) > 1
         count = lambda t: sum(1 for _ in S.base_spans(t)) + sum(len(S.find(t)[1]) - len(S.find(t)[0]) for _ in "x")
         assert sum(count(p) for p, _ in pieces) == count(raw.decode("latin-1"))
+
+
+def raw_deflate(x):
+    d = zlib.compressobj(wbits=-15)
+    return d.compress(x) + d.flush()
+
+
+def lines(run, width, feed):
+    return feed.join(run[i:i + width] for i in range(0, len(run), width))
+
+
+PACKS = {"plain": lambda x: x, "gzip": gzip.compress, "zlib": zlib.compress, "xz": lzma.compress, "bz2": bz2.compress}
+FEEDS = {"json": "\\n", "json crlf": "\\r\\n", "blank": " ", "quoted": "\n> ", "continued": "\\\n", "quoted-printable": "=\n",
+         "literals": '"\n    "', "added literals": '" +\n    "', "list": '",\n  "', "lines": "\n", "crlf": "\r\n"}
+
+
+@pytest.mark.parametrize("feed", FEEDS)
+@pytest.mark.parametrize("pack", PACKS)
+@pytest.mark.parametrize("width", [5, 12, 16, 64, 76])
+def test_base64_wrapped_in_every_way(feed, pack, width):
+    rng = random.Random(width)
+    noise = " ".join("".join(rng.choices("ghijklmnop", k=6)) for _ in range(20))
+    for at in range(4):
+        hidden = lines(b64(PACKS[pack]((noise + "." * at + " " + SECRET + " " + noise).encode())), width, FEEDS[feed])
+        for head, end in (("", ""), ('{"key": "', '"}'), ("some words, then ", "; that is all"), ("glued", ".")):
+            text = head + hidden + end
+            every = S.find(text)[1]
+            assert [k for k, _, _ in every] == ["assign"] * len(every) and every, text
+            assert all(len(head) <= a < b <= len(head) + len(hidden) for _, a, b in every), (text, every)
+            assert not S.find(S.redacted(text, every, "[SECRET]"))[1]
+
+
+@pytest.mark.parametrize("glue", ["x", "ab", "key", "path/to/", "id-", "0x", "word_"])
+@pytest.mark.parametrize("pack", [*PACKS, "deflate"])
+def test_runs_glued_to_what_stands_before(glue, pack):
+    raw = f"the {SECRET} of the house, and much more of it".encode()
+    if pack == "deflate" and glue:
+        text = glue + ": " + b64(raw_deflate(raw))
+    else:
+        text = glue + b64(PACKS[pack](raw))
+    every = S.find(text)[1]
+    assert [k for k, _, _ in every] == ["assign"] and every[0][1] >= len(glue)
+
+
+def test_deflate_without_a_header():
+    rng = random.Random(3)
+    for n in range(1, 60, 7):
+        raw = " ".join([*rng.choices(["alpha", "beta", "gamma", "delta"], k=n), SECRET, *rng.choices(["one", "two"], k=n)]).encode()
+        for width in (24, 64, 10_000):
+            hidden = lines(b64(raw_deflate(raw)), width, "\n")
+            text = f"data:\n{hidden}\n-- end"
+            assert [(k, a >= 6, b <= 6 + len(hidden)) for k, a, b in S.find(text)[1]] == [("assign", True, True)], text
+
+
+@pytest.mark.parametrize("pack", ["gzip", "zlib", "bz2", "xz"])
+def test_compressed_bytes_under_escapes(pack):
+    raw = PACKS[pack](f"the {SECRET} of the house, and much more of it".encode())
+    forms = {
+        "percent": "".join(f"%{c:02x}" for c in raw), "url": urllib.parse.quote(raw), "form": urllib.parse.quote_plus(raw),
+        "hex": "".join(f"\\x{c:02x}" for c in raw), "repr": repr(raw), "json": "".join(f"\\u{c:04x}" for c in raw),
+        "entities": "".join(f"&#{c};" for c in raw)}
+    for name, hidden in forms.items():
+        text = f"x {hidden} y"
+        every = S.find(text)[1]
+        assert [k for k, _, _ in every] == ["assign"], name
+        assert 2 <= every[0][1] < every[0][2] <= len(text) - 2
+
+
+def test_javascript_and_form_escapes():
+    hidden = "".join(f"%u{ord(c):04X}" for c in SECRET)
+    assert [(k, a, b) for k, a, b in S.find(f"x {hidden} y")[1]] == [("assign", 2, 2 + 6 * (len(SECRET) - 1))]
+    text = "q=%70assword+%3D+hunter2hunter&b"
+    assert S.find(text)[1] == [("assign", 2, text.index("&"))]
+
+
+def brute_kinds(text, depth=3):
+    """Kinds of findings in any layer, by trying every start: slow and plain."""
+    found, met, work = set(), set(), [(text, depth)]
+    while work:
+        layer, left = work.pop()
+        if layer in met:
+            continue
+        met.add(layer)
+        found |= {k for k, _, _ in brute(layer)}
+        if not left:
+            continue
+        raws = [layer.encode("latin-1", "replace")]
+        for run in re.findall(r"""(?:[A-Za-z0-9+/_-]|\\[nr]|=\n|["'\s>\\,])+""", layer):
+            run = re.sub(r"""\\[nr]|["'\s>\\,=]""", "", run).replace("-", "+").replace("_", "/")
+            if len(run) >= 16:
+                raws += [base64.b64decode(run[i:][:len(run[i:]) // 4 * 4 + (len(run) - i) % 4 - ((len(run) - i) % 4 == 1)]
+                                          + "=" * (-(len(run) - i) % 4 % 3)) for i in range(4)]
+        for raw in raws:
+            plain = raw.decode("latin-1")
+            work += [(plain, left - 1)] if len(re.findall(r"[\x09-\x0d\x20-\x7e\0]{12}", plain)) else []
+            if b"\0" in raw:
+                work.append((plain.replace("\0", ""), left - 1))
+            for i in range(len(raw)):
+                for unpack in (lambda x: zlib.decompressobj(47).decompress(x), bz2.decompress, lzma.decompress):
+                    if raw[i:i + 1] in (b"\x1f", b"\x78", b"B", b"\xfd"):
+                        try:
+                            work.append((unpack(raw[i:]).decode("latin-1"), left - 1))
+                        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+                            pass
+        work.append((re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), layer), left - 1))
+        work.append((re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)), layer), left - 1))
+    return found
+
+
+def test_random_nestings_equal_brute_force():
+    rng = random.Random(11)
+    secrets = [SECRET, "AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "nothing at all of note here", "api_key=ab", "AKIA short"]
+    wraps = [b64, percent, escapes, lambda x: b64(zlib.compress(x.encode())), lambda x: b64(gzip.compress(x.encode())),
+             lambda x: b64(x.encode("utf-16")), lambda x: lines(b64(x), rng.choice([10, 16, 64]), rng.choice(["\n", "\\n", " ", "\n> "]))]
+    hits = 0
+    for _ in range(250):
+        inner = "Some words (" + rng.choice(secrets) + ") and more."
+        for _ in range(rng.randint(0, 2)):
+            inner = rng.choice(wraps)(inner)
+        text = rng.choice(["", "Before it: ", "glued", "é ("]) + inner + rng.choice(["", ".", ") after"])
+        want = brute_kinds(text)
+        assert {k for k, _, _ in S.find(text)[1]} == want, text
+        hits += bool(want)
+    assert 80 < hits < 220
+
+
+def test_memory_of_a_very_long_base64_text():
+    code = ("import resource, base64; from tillpoint.llm import secretscan as S\n"
+            "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+            "raw = b'plain words of a log, line by line.\\n' * 1_050_000\n"
+            "text = base64.b64encode(raw + b'password = \"hunter2hunter\"').decode()\n"
+            "assert len(text) > 50_000_000\n"
+            "del raw\n"
+            "(k, a, b), = S.find(text)[1]\n"
+            "assert k == 'assign' and a > 50_000_000\n"
+            "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)\n")
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, timeout=300)
+    assert got.returncode == 0 and int(got.stdout) < 1000, got

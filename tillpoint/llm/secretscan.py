@@ -1,21 +1,21 @@
 """Secret scans with a recursive decoding worklist.
 
-Each text is layer zero. A layer is scanned, then unwrapped: percent escapes,
-Unicode escapes (``\\uXXXX``, ``\\u{…}``, ``\\UXXXXXXXX``, ``\\xXX``, ``&#…;``), base64
-runs (standard and URL alphabets) and compressed base64 payloads (zlib, gzip,
-bz2, xz) each give further layers, scanned and unwrapped in turn until no new
-layer appears. A layer met before (equal text from an equal place) is not
-visited again, so cycles end. Every layer knows for each of its characters
-the span of the original text it came from, so a finding deep inside maps
-back to the characters that hide it.
-
-Only lines that hold an escape are decoded: no finding crosses a line feed.
-Base64 is read line by line and, where lines of 16 characters or more follow
-each other, over the line breaks too: runs of lines of equal width with a shorter
-last one, with and without the line before them. Every decoded payload
-is scanned, whatever characters it has and whether or not it is UTF-8.
+Each text is layer zero. A layer is scanned, then unwrapped: percent escapes (``%XX``, ``%uXXXX``, with ``+`` as a blank
+too), Unicode and string escapes (``\\uXXXX``, ``\\u{…}``, ``\\UXXXXXXXX``, ``\\xXX``, ``&#…;``, ``\\n`` and its kin beside
+them), base64 runs (standard and URL alphabets) and compressed payloads (zlib, gzip, bz2, xz, wherever their first bytes
+stand in decoded bytes; deflate without a header at the start of a base64 piece of 16 characters or more) each give
+further layers, scanned and unwrapped in turn until no new layer appears. A layer met before (equal text from an equal
+place) is not visited again, so cycles end. A layer maps its characters to those of the layer it came from, by runs of
+equal steps that are worked out only for findings, so a finding deep inside maps back to the characters that hide it.
+
+Base64 may be wrapped at any width: its pieces are joined over blanks, line breaks (plain, escaped as in JSON, continued by
+a backslash, quoted-printable), quotation marks and plus signs of adjacent literals, and the marks of quoted lines.
+Joined runs are decoded at all four places of a group, so words glued to or standing before a payload do not hide it.
+Readable stretches of the decoded bytes are the layers: findings and text wrappings are ASCII, whatever lies
+between them and whether or not it is UTF-8. Where nothing but a blank parts an unpadded payload from the next word, a
+finding at the payload's very end may take in some of that word's letters.
 A compressed payload is inflated in blocks of ``max_layer`` / 8 bytes and scanned
-whole, in pieces that end between words. Only a stretch of more than
+whole, in pieces that end where nothing can go on. Only a stretch of more than
 ``max_layer`` characters without such an end (one huge run) is handed on in
 overlapping pieces, all of them scanned, and counted in ``n_cut``: what is wrapped
 across two such pieces may be missed.
@@ -26,14 +26,19 @@ code points, end exclusive; equal findings of several layers are one span.
 
 from __future__ import annotations
 
-import base64
+import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import cache
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -41,6 +46,7 @@ from pyspark.sql import functions as F
 
 MAX_LAYER = 32 << 20
 OVERLAP = 64 << 10
+FEED = 64 << 10
 KINDS = ("assign", "access", "hex")
 
 # The kinds' patterns and their least lengths.
@@ -48,27 +54,48 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LEAST_VALUE, _LEAST_ACCESS = 6, 20
+LEAST_RUN, LEAST_FINDING = 16, 12  # characters of base64 that hide the shortest finding, and its length
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
-                      r"|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-# The shortest finding has 12 bytes, hence 16 characters of base64.
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_ALPHABETS = ((re.compile(r"[-_]"), re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")),
-              (re.compile(r"[+/]"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")))
+_MAY_HOLD = r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
+_HOLDS = re.compile(_MAY_HOLD.replace("(?i:", "(?ai:"))
+
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+|%u[0-9A-Fa-f]{4}")
+_FORM = re.compile(_PERCENT.pattern + r"|\+")
+_NUMBERED = (r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
+             r"|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+_UNICODE = re.compile(_NUMBERED)
+_STRING = re.compile(_NUMBERED + r"""|\\([abtnvfr0\\'"/])""")
+_NAMED = dict(zip("abtnvfr0", "\a\b\t\n\v\f\r\0"))
+_ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4}|\\[uUx][0-9A-Fa-f{]|&#[0-9xX]")
+
+# Base64 pieces and what may stand between two pieces of one run: blanks, line breaks (plain, escaped, quoted-printable
+# or continued by a backslash), quotation marks, commas and plus signs of adjacent literals, marks of quoted lines.
+_PIECE = rb"[A-Za-z0-9+/_-]++"
+_BETWEEN = rb"""(?:\\[nrt]|=\r?\n|(?<=[\s"'])\+(?=[\s"'])|[\s"'`>|#*\\,])++"""
+_JOINT = re.compile(_BETWEEN)
+_RUN = re.compile(_PIECE + rb"(?:" + _BETWEEN + _PIECE + rb")*+")
+_LONG = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}")
+_SOFT = re.compile(rb"""\\[nrt]|(?<=[\s"'])\+(?=[\s"'])""")
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+_FOREIGN = bytes(c for c in range(256) if not (chr(c).isascii() and chr(c).isalnum()) and c not in b"+/-_")
+
+# Decoded bytes that findings and further text wrappings consist of (NUL: UTF-16, UTF-32).
+_READABLE = bytes([0, *range(9, 14), *range(32, 127)])
+_CLASSES = bytes(1 if c in _READABLE else 0 for c in range(256))
+_SHORTEST = b"\1" * LEAST_FINDING
+_STRETCH = re.compile(rb"[\0\t-\r -~]{%d,}" % LEAST_FINDING)
+_WRAPS = re.compile(_ESCAPED.pattern + r"""|(?:[A-Za-z0-9+/_-][\s"'`>|#*\\,=]*+){16}""", re.A)
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
 # Ends that no finding, escape or base64 run goes over.
-_SAFE = re.compile(r"""[^A-Za-z0-9+/_.=\-"':%\\&#;{}\s]|(?<=[G-Zg-z])\x20(?=[A-Za-z0-9])|(?<=\.)\s""", re.A)
-_PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+_SAFE = re.compile(r"""[^A-Za-z0-9+/_.=\-"'`:%\\&#;{}\s,>|*]|(?<=\.)\s""", re.A)
 
-# The same as filters for whole batches (supersets: matched documents are looked at exactly).
-_MAY_HOLD = (r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-_MAY_WRAP = r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[0-9xX]|[A-Za-z0-9+/_-]{16}"
-_HOLDS = re.compile(_MAY_HOLD.replace("(?i:", "(?ai:"))
-_WRAPS = re.compile(_MAY_WRAP)
+Span = Callable[[int, int], tuple[int, int]]  # the original characters of characters i to j-1 of a layer
 
-Map = list[tuple[int, int]]  # for each character of a layer, its span in the original text
+
+class Layer(NamedTuple):
+    text: str
+    span: Span
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -79,87 +106,72 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _lines(text: str, wanted: re.Pattern) -> Iterator[tuple[int, int]]:
-    """Lines that hold a match."""
-    at = 0
-    while m := wanted.search(text, at):
-        start = text.rfind("\n", 0, m.start()) + 1
-        end = text.find("\n", m.end())
-        end = len(text) if end < 0 else end
-        yield start, end
-        at = end
-
-
-def _identity(start: int, end: int) -> Map:
-    return [(i, i + 1) for i in range(start, end)]
-
-
-def _rewritten(text: str, start: int, end: int, spans: Map, wanted: re.Pattern, decoded) -> tuple[str, Map] | None:
-    """One line with each match replaced by ``decoded(match)``: [(character, from, to)], or None to leave it."""
-    chars: list[str] = []
-    origin: Map = []
-    at, changed = start, False
-    for m in wanted.finditer(text, start, end):
-        got = decoded(m)
-        if got is None:
-            continue
-        chars.append(text[at:m.start()])
-        origin += spans[at - start:m.start() - start]
-        for c, a, b in got:
-            chars.append(c)
-            origin.append((spans[a - start][0], spans[b - 1 - start][1]))
-        at, changed = m.end(), True
-    if not changed:
-        return None
-    chars.append(text[at:end])
-    origin += spans[at - start:end - start]
-    return "".join(chars), origin
-
-
-def _percent(m: re.Match) -> list[tuple[str, int, int]]:
-    raw = bytes.fromhex(m[0].replace("%", ""))
-    try:
-        text, wide = raw.decode(), True
-    except UnicodeDecodeError:
-        text, wide = raw.decode("latin-1"), False
-    out, at = [], m.start()
-    for c in text:
-        n = 3 * (len(c.encode()) if wide else 1)
-        out.append((c, at, at + n))
-        at += n
-    return out
+def _percent(m: re.Match) -> str:
+    if m[0] == "+":
+        return " "
+    return chr(int(m[0][2:], 16)) if m[0][1] in "uU" else bytes.fromhex(m[0].replace("%", "")).decode("latin-1")
 
 
-def _escape(m: re.Match) -> list[tuple[str, int, int]] | None:
+def _escape(m: re.Match) -> str:
+    if m.lastindex == 7:
+        return _NAMED.get(m[7], m[7])
     code = int(m[5]) if m[5] else int(m[1] or m[2] or m[3] or m[4] or m[6], 16)
-    if code > 0x10FFFF or 0xD800 <= code < 0xE000:  # halves of a pair hide no ASCII
-        return None
-    return [(chr(code), m.start(), m.end())]
+    return m[0] if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code)  # halves of a pair hide no ASCII
+
+
+class _Runs:
+    """Places of a rewritten text, as runs of characters that came from ``step`` characters each; others came from one."""
+
+    def __init__(self, text: str, wanted: re.Pattern, decoded: Callable[[re.Match], str]):
+        self.out, self.end, self.src, self.step = (array("q") for _ in range(4))
+        ahead = 0
+        for m in wanted.finditer(text):
+            new, wide = decoded(m), m.end() - m.start()
+            if new == m[0]:
+                continue
+            at, step = m.start() - ahead, wide // len(new)
+            if self.out and self.end[-1] == at and self.step[-1] == step:
+                self.end[-1] += len(new)
+            else:
+                for column, value in zip((self.out, self.end, self.src, self.step), (at, at + len(new), m.start(), step)):
+                    column.append(value)
+            ahead += wide - len(new)
+
+    def place(self, i: int) -> tuple[int, int]:
+        k = bisect_right(self.out, i) - 1
+        if k < 0:
+            return i, i + 1
+        inside = min(i, self.end[k]) - self.out[k]
+        at = self.src[k] + inside * self.step[k] + max(0, i - self.end[k])
+        return at, at + (self.step[k] if i < self.end[k] else 1)
+
+
+def _rewritten(layer: Layer, wanted: re.Pattern, decoded: Callable[[re.Match], str]) -> Layer:
+    """The layer with each match replaced by ``decoded(match)``; the places are worked out when first asked for."""
+    runs = cache(lambda: _Runs(layer.text, wanted, decoded))
+    return Layer(wanted.sub(decoded, layer.text), lambda i, j: layer.span(runs().place(i)[0], runs().place(j - 1)[1]))
 
 
-def _inflated(raw: bytes, size: int) -> Iterator[tuple[bytes, int]]:
-    """Compressed bytes inflated in blocks of at most ``size``: (block, how many bytes were needed up to it)."""
-    data = raw
+def _inflated(raw: bytes, at: int, size: int, bare: bool = False) -> Iterator[tuple[bytes, int]]:
+    """What ``raw`` holds compressed from ``at`` on, in blocks of at most ``size``: (block, end of the bytes read). Members
+    that follow each other are one payload; ``bare``: deflate without a header. What comes before an error is kept."""
     try:
-        while data:
-            before = len(raw) - len(data)
-            if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0):
-                d = zlib.decompressobj(47)
-                while got := d.decompress(data, size):
-                    data = d.unconsumed_tail
-                    yield got, len(raw) - len(d.unused_data)
-            elif data[:3] == b"BZh" or data[:6] == b"\xfd7zXZ\x00":
-                d = bz2.BZ2Decompressor() if data[:3] == b"BZh" else lzma.LZMADecompressor()
-                while got := d.decompress(data, size):
-                    data = b""
-                    yield got, len(raw) - len(d.unused_data)
-                    if d.eof or d.needs_input:
-                        break
-            else:
-                return
-            if not d.eof or len(d.unused_data) >= len(raw) - before:
+        while bare or _MAGIC.match(raw, at):
+            zipped = bare or raw[at] in b"\x1f\x78"
+            d = (zlib.decompressobj(-15 if bare else 47) if zipped else
+                 bz2.BZ2Decompressor() if raw[at] == ord("B") else lzma.LZMADecompressor())
+            while not d.eof:
+                tail = d.unconsumed_tail if zipped else b""
+                if not tail and (zipped or d.needs_input):
+                    tail = raw[at:at + FEED]
+                    at += len(tail)
+                    if not tail:
+                        return
+                if got := d.decompress(tail, size):
+                    yield got, at - len(d.unused_data)
+            at -= len(d.unused_data)
+            if bare:
                 return
-            data = d.unused_data  # a further member may follow
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
         return
 
@@ -183,121 +195,152 @@ def _pieces(blocks: Iterator[bytes], size: int, most: int) -> Iterator[tuple[str
     yield text, False
 
 
-def _readings(raw: bytes) -> Iterator[tuple[str, Map]]:
-    """Decoded bytes as text and the bytes of each character: UTF-8, else latin-1; where there are NUL bytes (UTF-16,
-    UTF-32), also without them. What a reading holds, not how it looks, tells whether it matters."""
-    try:
-        text, wide = raw.decode(), True
-    except UnicodeDecodeError:
-        text, wide = raw.decode("latin-1"), False
-    if not wide or len(text) == len(raw):
-        yield text, _identity(0, len(raw))
-    else:
-        places: Map = []
-        for c in text:
-            at = places[-1][1] if places else 0
-            places.append((at, at + len(c.encode())))
-        yield text, places
-    if b"\0" in raw:
-        yield raw.replace(b"\0", b"").decode("latin-1"), [(i, i + 1) for i, c in enumerate(raw) if c]
-
-
-def _base64_layer(run: str, reach, most: int) -> Iterator[tuple[str, Map | tuple[int, int], bool]]:
-    """(layer, its map or the one span of all its characters, cut) of one base64 run; ``reach(i, j)``: the span in the
-    original text of its characters i to j-1."""
-    body = run.rstrip("=")
-    body = body[:len(body) - (len(body) % 4 == 1)]
-    raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-    used, nul, size = 0, False, max(most // 8, 1)
-    if not raw.isascii() or raw[:3] == b"BZh":
-        for block, used in _inflated(raw, size):
-            nul = nul or b"\0" in block
-    if used:
-        place = reach(0, len(run) if used == len(raw) else -(-used * 4 // 3))  # a word behind it is not part of the payload
-        for piece, was_cut in _pieces((block for block, _ in _inflated(raw, size)), size, most):
-            yield piece, place, was_cut
-        if nul:
-            for piece, was_cut in _pieces((block.replace(b"\0", b"") for block, _ in _inflated(raw, size)), size, most):
-                yield piece, place, was_cut
+def _payload(raw: bytes, at: int, span: Span, most: int, bare: bool = False) -> Iterator[tuple[Layer, bool]]:
+    """Layers of the payload compressed at ``raw[at:]``; all their characters come from all its bytes."""
+    size, end, nul = max(most // 8, 1), at, False
+    for block, end in _inflated(raw, at, size, bare):
+        nul = nul or b"\0" in block
+    if end == at:
         return
-    for inner, places in _readings(raw):
-        # a reading without a finding or a further layer needs no map
-        if _HOLDS.search(inner) or _WRAPS.search(inner):
-            yield inner, [reach(a * 4 // 3, min(len(body), -(-b * 4 // 3))) for a, b in places], False
-
-
-def _wrapped_runs(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Base64 runs that go on over line breaks: the places of their lines."""
-    for m in _WRAPPED.finditer(text):
-        lines = [p.span() for p in _PIECE.finditer(text, m.start(), m.end())]
-        width = [b - a for a, b in lines]
-        i = 0
-        while i < len(lines):
-            j = i + 1
-            while j < len(lines) and width[j] == width[i]:
-                j += 1
-            # the shorter line may be the run's last one or the first word behind it
-            for end in {j, j + (j < len(lines) and width[j] < width[i])} if width[i] >= 16 else ():
-                if end - i > 1:
-                    yield lines[i:end]
-                if i:
-                    yield lines[i - 1:end]
-            i = j
-
-
-def _base64_layers(text: str, spans: Map | tuple[int, int] | None,
-                   most: int) -> Iterator[tuple[str, Map | tuple[int, int], bool]]:
-    """Layers of all base64 runs; where both alphabets mix, each one's runs are tried as well."""
-    span = ((lambda i, j: (i, j)) if spans is None else (lambda i, j: spans) if isinstance(spans, tuple)
-            else (lambda i, j: (spans[i][0], spans[j - 1][1])))
-    for lines in _wrapped_runs(text):
-        place = [i for a, b in lines for i in range(a, b)]
-        run = "".join(text[a:b] for a, b in lines)
-        yield from _base64_layer(run, lambda i, j: span(place[i], place[j - 1] + 1), most)  # noqa: B023
-    for m in _BASE64.finditer(text):
-        yield from _base64_layer(m[0], lambda i, j: span(m.start() + i, m.start() + j), most)  # noqa: B023
-        for foreign, own in _ALPHABETS:
-            if foreign.search(m[0]):
-                for part in own.finditer(m[0]):
-                    at = m.start() + part.start()
-                    yield from _base64_layer(part[0], lambda i, j: span(at + i, at + j), most)  # noqa: B023
-
-
-def _unwrapped(text: str, spans: Map | tuple[int, int] | None, most: int) -> Iterator[tuple[str, Map | tuple[int, int], bool]]:
-    """Layers one step inside a layer; ``spans`` None: the original text, one span: all characters came from there."""
-    flat = isinstance(spans, tuple)
-
-    def at(a: int, b: int) -> Map:
-        return _identity(a, b) if spans is None else [spans] * (b - a) if flat else spans[a:b]
-
-    for signs, wanted, decoded in (("%", _PERCENT, _percent), ("\\&", _UNICODE, _escape)):
-        for a, b in _lines(text, wanted) if any(c in text for c in signs) else ():
-            if (got := _rewritten(text, a, b, at(a, b), wanted, decoded)) is not None:
-                yield got[0], (spans if flat else got[1]), False
-    for inner, origin, was_cut in _base64_layers(text, spans, most):
-        yield inner, (spans if flat else origin), was_cut
-
-
-def find(text: str | None, max_layer: int = MAX_LAYER, may_hold: bool = True,
-         may_wrap: bool = True) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
-    """(plain findings, findings of all layers, pieces cut) of one text; the flags say what a filter has excluded."""
+    whole = span(at, end)
+    for drop in (b"", b"\0") if nul else (b"",):
+        for piece, was_cut in _pieces((b.translate(None, drop) for b, _ in _inflated(raw, at, size, bare)), size, most):
+            yield Layer(piece, lambda i, j: whole), was_cut
+
+
+def _payloads(raw: bytes, span: Span, most: int) -> Iterator[tuple[Layer, bool]]:
+    """Layers of every compressed payload that starts with its format's first bytes."""
+    at = 0
+    while m := _MAGIC.search(raw, at):
+        at = m.end()
+        for _, end in _inflated(raw, m.start(), max(most // 8, 1)):
+            at = max(at, end)
+        if at > m.end():
+            yield from _payload(raw, m.start(), span, most)
+
+
+def _stretches(raw: bytes, span: Span) -> Iterator[tuple[Layer, bool]]:
+    """Readable stretches of decoded bytes that may hold a finding or a further wrapping; where there are NUL bytes (UTF-16,
+    UTF-32), also without them."""
+    for m in _STRETCH.finditer(raw):
+        a, part = m.start(), m[0]
+        text = part.decode("latin-1")
+        if _HOLDS.search(text) or _WRAPS.search(text):
+            yield Layer(text, lambda i, j, a=a: span(a + i, a + j)), False
+        if b"\0" in part:
+            kept = np.flatnonzero(np.frombuffer(part, np.uint8))
+            yield (Layer(part.replace(b"\0", b"").decode("latin-1"),
+                         lambda i, j, a=a, kept=kept: span(a + int(kept[i]), a + int(kept[j - 1]) + 1)), False)
+
+
+def _decoded(stream: bytes, at: int, end: int | None = None) -> bytes:
+    part = stream[at:end]
+    part = part[:len(part) - (len(part) % 4 == 1)]
+    return binascii.a2b_base64(part + b"=" * (-len(part) % 4))
+
+
+def _may_hide(data: bytes) -> bool:
+    """Whether any base64 run may hide something: the runs of the whole layer end to end, at all four places of a group,
+    hold what each of them holds."""
+    if _LONG.search(data):
+        return True
+    stream = (_SOFT.sub(b"", data) if b"\\" in data or b"+" in data else data).translate(_STANDARD, _FOREIGN)
+    return any(_SHORTEST in raw.translate(_CLASSES) or _MAGIC.search(raw)
+               for raw in (_decoded(stream, at) for at in range(4)))
+
+
+def _base64_layers(data: bytes, span: Span, most: int) -> Iterator[tuple[Layer, bool]]:
+    """Layers of all base64 runs, their pieces joined, at all four places of a group: what is glued to a run's beginning
+    shifts it, and does not hide it."""
+    if not _may_hide(data):
+        return
+    for run in _RUN.finditer(data):
+        if run.end() - run.start() < LEAST_RUN:
+            continue
+        stream = _JOINT.sub(b"", run[0]).translate(_STANDARD)
+        if len(stream) < LEAST_RUN:
+            continue
+
+        @cache
+        def pieces(run=run) -> tuple[array, array]:
+            """First characters of the run's pieces: in the stream and in the layer."""
+            at, src = array("q", [0]), array("q", [run.start()])
+            for gap in _JOINT.finditer(run[0]):
+                at.append(at[-1] + run.start() + gap.start() - src[-1])
+                src.append(run.start() + gap.end())
+            return at, src
+
+        def place(i: int, pieces=pieces) -> int:
+            at, src = pieces()
+            k = bisect_right(at, i) - 1
+            return src[k] + i - at[k]
+
+        def of(first: int, place=place, n=len(stream)) -> Span:
+            """Original span of bytes i to j-1 decoded from the stream's character ``first`` on."""
+            return lambda i, j: span(place(first + i * 4 // 3), place(min(n, first - (-j * 4 // 3)) - 1) + 1)
+
+        for first in range(4):
+            raw = _decoded(stream, first)
+            if _SHORTEST in raw.translate(_CLASSES):
+                yield from _stretches(raw, of(first))
+            yield from _payloads(raw, of(first), most)
+        if _LONG.search(run[0]):
+            at, src = pieces()
+            before = 0
+            for k, first in enumerate(at):  # deflate without a header shows itself only by its start: that of a long piece
+                wide = (at[k + 1] if k + 1 < len(at) else len(stream)) - first
+                if wide >= LEAST_RUN and wide != before:
+                    head = _decoded(stream, first, first + 4096)
+                    try:
+                        zlib.decompressobj(-15).decompress(head)
+                    except zlib.error:
+                        pass
+                    else:
+                        raw = head if first + 4096 >= len(stream) else _decoded(stream, first)
+                        yield from _payload(raw, 0, of(first), most, bare=True)
+                before = wide
+
+
+def _unwrapped(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
+    """Layers one step inside a layer."""
+    text = layer.text
+    if "%" in text and _PERCENT.search(text):
+        yield _rewritten(layer, _PERCENT, _percent), False
+        if "+" in text:
+            yield _rewritten(layer, _FORM, _percent), False
+    if ("\\" in text or "&#" in text) and _UNICODE.search(text):
+        yield _rewritten(layer, _UNICODE, _escape), False
+        if "\\" in text:
+            yield _rewritten(layer, _STRING, _escape), False
+    data = text.encode("latin-1", "replace")
+    yield from _payloads(data, layer.span, most)
+    yield from _base64_layers(data, layer.span, most)
+
+
+def find(text: str | None, max_layer: int = MAX_LAYER,
+         may_hold: bool = True) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
+    """(plain findings, findings of all layers, pieces cut) of one text; the flag says what a filter has excluded."""
     base = base_spans(text) if text and may_hold else []
     found, seen, n_cut = set(base), set(), 0
-    work = [_unwrapped(text, None, max_layer)] if text and may_wrap else []  # lazily: a large payload's pieces come one by one
+    # lazily: a large payload's pieces come one by one
+    work = [_unwrapped(Layer(text, lambda i, j: (i, j)), max_layer)] if text else []
     while work:
         if (got := next(work[-1], None)) is None:
             work.pop()
             continue
-        layer, spans, was_cut = got
+        layer, was_cut = got
         n_cut += was_cut
-        place = spans if isinstance(spans, tuple) else (spans[0][0], spans[-1][1]) if spans else (0, 0)
-        key = (hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest(), place)
-        if not layer or key in seen:
+        if len(layer.text) < LEAST_FINDING:
+            continue
+        key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(),
+               layer.span(0, len(layer.text)))
+        if key in seen:
             continue
         seen.add(key)
-        for kind, a, b in base_spans(layer):
-            found.add((kind, *(spans if isinstance(spans, tuple) else (spans[a][0], spans[b - 1][1]))))
-        work.append(_unwrapped(layer, spans, max_layer))
+        if _HOLDS.search(layer.text):
+            for kind, a, b in base_spans(layer.text):
+                found.add((kind, *layer.span(a, b)))
+        work.append(_unwrapped(layer, max_layer))
     return _sorted(base), _sorted(found), n_cut
 
 
@@ -310,11 +353,10 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _findings(column: pa.Array, max_layer: int) -> Iterator[tuple[str | None, tuple]]:
-    """(text, ``find``'s result) of each row; whole batches are filtered first."""
-    hold, wrap = (pc.fill_null(pc.match_substring_regex(column, p), False).to_pylist() for p in (_MAY_HOLD, _MAY_WRAP))
-    for t, h, w in zip(column, hold, wrap):
-        text = t.as_py() if h or w else None
-        yield text, find(text, max_layer, h, w)
+    """(text, ``find``'s result) of each row; whole batches are filtered for plain findings first."""
+    for t, hold in zip(column, pc.fill_null(pc.match_substring_regex(column, _MAY_HOLD), False).to_pylist()):
+        text = t.as_py()
+        yield text, find(text, max_layer, hold)
 
 
 SCHEMA = ("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_decoded long, n_cut long")

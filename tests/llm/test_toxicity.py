@@ -85,3 +85,53 @@ def test_document_frequencies_are_of_all_documents(frame):
     df, n = T.document_frequencies(docs, keys)
     want = {T.SpanHasher(lower=True).of(w): k for w, k in ((b"a", 3), (b"b", 2), (b"z", 0))}
     assert n == 5 and df.tolist() == [want[int(k)] for k in keys]
+
+
+def test_score_equals_the_definition(monkeypatch):
+    """Search, votes and calibration from dense vectors, one text at a time."""
+    rng = np.random.default_rng(7)
+    index, rows = example_index(rng, n=150, terms=20)
+    toxic = np.array([r[1] for r in rows], float)
+    v = np.zeros((150, 20))
+    for i, (_, _, counts) in enumerate(rows):
+        for t, n in counts.items():
+            v[i, index.terms.index(t)] = 1 + np.log(n)
+    has = v > 0
+    v *= np.log(151 / (1 + has.sum(axis=0))) + 1
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    share, in1, in0 = has.mean(axis=0), has[toxic == 1].mean(axis=0), has[toxic == 0].mean(axis=0)
+    n1, n0 = toxic.sum(), 150 - toxic.sum()
+    chi = (in1 - in0) ** 2 / (share * (1 - share) * (1 / n1 + 1 / n0))
+    count = np.where(toxic == 1, 0.2 / toxic.mean(), 0.8 / (1 - toxic.mean()))
+
+    def raw(q, without=None):
+        near = sorted((-round(float(q @ v[i]), 12), i) for i in range(150) if i != without and round(float(q @ v[i]), 12) > 0)[:15]
+        w = [(count[i] * (q * v[i] * chi).sum(), toxic[i]) for _, i in near]
+        return (sum(a * t for a, t in w) + 0.2) / (sum(a for a, _ in w) + 1)
+
+    some = has.any(axis=1)
+    steps = T.isotonic(np.array([raw(v[i], i) for i in range(150) if some[i]]), toxic[some], count[some] + 1e-12)
+    monkeypatch.setattr(T, "AT_ONCE", 100)
+    doc, term = np.nonzero(rng.random((80, 20)) < 0.2)
+    tf = T.Terms(80, doc, term, rng.integers(1, 4, len(doc)).astype(float))
+    q = index.unit_terms(tf)
+    best, _ = index.nearest(q)
+    got = index.calibrated(index.raw(best, index.votes(q, best)), np.bincount(doc, minlength=80) == 0)
+    for d in range(80):
+        dense = np.zeros(20)
+        dense[q.term[q.doc == d]] = q.value[q.doc == d]
+        want = np.interp(raw(dense), *steps) if dense.any() else count[~some] @ toxic[~some] / count[~some].sum()
+        assert abs(got[d] - want) < 1e-6
+
+
+def test_blocks_are_pruned(spark):
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    index = T.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    texts = docs.where("doc_id % 10 = 3").select("text").toArrow().column(0).combine_chunks()
+    index.opened[:] = 0
+    for tf in T.known_terms(texts, T.SpanHasher(lower=True), index.keys):
+        index.nearest(index.unit_terms(tf))
+    opened, blocks = index.opened
+    assert blocks and opened / blocks < 0.6, opened / blocks
+    print("opened share", opened / blocks)

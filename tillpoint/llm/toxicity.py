@@ -2,21 +2,19 @@
 
 Fit, on a bounded sample (``per_class`` labelled documents of each class, by
 hash of their id): every word of the examples is indexed. A word weighs
-(1 + ln tf) * idf * z**2: idf from the document frequencies in all documents
-(one Spark aggregation), z**2 the chi-square of the word and the label in the
-sample (1 for all words where there is one class). Only words that no example
-has, and words equally frequent in both classes, weigh nothing. The unit vectors
-form an inverted index in blocks of ``BLOCK`` examples, with the largest
-weight of each word in each block where it occurs; the few words that most
-examples have are dense rows.
-
-Score: the dense rows are multiplied out, and a block's bound is its largest sum
-of them plus the block maxima of the other words. The ``FIRST`` blocks of highest
-bound are opened, then every block whose bound reaches the k-th similarity, so
-the k nearest are exact. Their votes count by similarity and by the class's
-share in the labels over its share in the sample. Raw votes are calibrated by
-isotonic regression on the sample, each example scored without itself. Ties go
-to the smaller doc_id.
+(1 + ln tf) * idf, idf from the document frequencies in all documents (one Spark
+aggregation); texts are unit vectors. Examples are ordered by repeated halving,
+each time by two means of cosine, and cut into blocks of ``BLOCK`` alike ones; the
+inverted index holds the largest weight of each word in each block where it occurs.
+
+Score: a block's bound is the sum over the text's words of its largest weights.
+The ``FIRST`` blocks of highest bound are opened, then every block whose bound
+reaches the k-th similarity, so the k nearest by cosine are exact. A neighbour votes by
+how near it is in the words that tell the classes apart: its similarity with each word's
+share multiplied by the chi-square of the word and the label in the sample (1 for all
+words where there is one class), and by the class's share in the labels over its share
+in the sample. The label plays no part in the search. Raw votes are calibrated by isotonic
+regression on the sample, each example scored without itself. Ties go to the smaller doc_id.
 
 Texts without a word of any example (null and empty ones too) have no neighbours
 and score the share of toxic documents among such examples. Where an id has
@@ -39,10 +37,11 @@ from tillpoint.llm.scratch import stored
 from tillpoint.llm.text import ALNUM, LOWER, SpanHasher, ranges, slices, spans, texts
 
 PER_CLASS = 2000
-BLOCK = 64
+BLOCK = 16
 FIRST = 8
-DENSE = 512  # words of at least 1/16 of the examples, at most so many
-CHUNK = 256  # queries searched at a time
+ROUNDS = 6  # of two means at each halving
+CHUNK = 256  # queries searched at a time, fewer
+AT_ONCE = 1 << 19  # where they meet more runs or words than so many
 NEIGHBOURS = 15
 PREDICT_FROM = 0.3
 
@@ -67,18 +66,22 @@ class Index:
     ids: np.ndarray  # doc_id of each example, ascending
     toxic: np.ndarray
     weight: np.ndarray  # of each example's vote
-    dense_place: np.ndarray  # of each word, -1 where it has postings
-    dense: np.ndarray  # (dense words, examples)
+    label_weight: np.ndarray  # of each word
+    order: np.ndarray  # example at each place of the blocks
+    own: np.ndarray  # [example]: its first word below
+    own_term: np.ndarray
+    own_value: np.ndarray
     runs: np.ndarray  # [word]: its first run; a run is one word's postings in one block
     run_block: np.ndarray
     run_max: np.ndarray
     run_start: np.ndarray  # [run]: its first posting
-    example: np.ndarray  # [posting]
+    place: np.ndarray  # [posting]: its example's
     value: np.ndarray
     prior: float = 0.0
     empty_score: float = 0.0
     raw_steps: np.ndarray = field(default_factory=lambda: np.zeros(0))
     step_scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    opened: np.ndarray = field(default_factory=lambda: np.zeros(2, np.int64))  # blocks opened so far, and of how many
 
     def nearest(self, q: np.ndarray | Terms, k: int = NEIGHBOURS,
                 without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -92,35 +95,28 @@ class Index:
         best, sims = np.full((q.n, k), -1, np.int64), np.zeros((q.n, k))
         if not len(self.ids):
             return best, sims
-        for a in range(0, q.n, CHUNK):
-            b = min(a + CHUNK, q.n)
+        for a, b in _chunks(np.bincount(q.doc, self.runs[q.term + 1] - self.runs[q.term], q.n), CHUNK):
             i, j = np.searchsorted(q.doc, (a, b))
             best[a:b], sims[a:b] = self._search(Terms(b - a, q.doc[i:j] - a, q.term[i:j], q.value[i:j]), k,
                                                 None if without is None else without[a:b])
         return best, sims
 
     def _search(self, q: Terms, k: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        width = self.dense.shape[1]  # whole blocks
-        blocks = width // BLOCK
-        place = self.dense_place[q.term]
-        on = place >= 0
-        some = np.zeros((q.n, len(self.dense)))
-        some[q.doc[on], place[on]] = q.value[on]
-        score = some @ self.dense
+        blocks = -(-len(self.ids) // BLOCK)
+        width = blocks * BLOCK
+        score = np.zeros((q.n, width))
         if without is not None:
-            score[np.arange(q.n), without] = -np.inf
-        doc, term, value = q.doc[~on], q.term[~on], q.value[~on]
-        count = self.runs[term + 1] - self.runs[term]
-        run, doc, value = ranges(self.runs[term], count), np.repeat(doc, count), np.repeat(value, count)
+            score[np.arange(q.n), np.argsort(self.order)[without]] = -np.inf
+        count = self.runs[q.term + 1] - self.runs[q.term]
+        run, doc, value = ranges(self.runs[q.term], count), np.repeat(q.doc, count), np.repeat(q.value, count)
         block = self.run_block[run]
-        bound = np.maximum(score.reshape(q.n, blocks, BLOCK).max(axis=2), 0)
-        bound += np.bincount(doc * blocks + block, value * self.run_max[run], q.n * blocks).reshape(q.n, blocks)
+        bound = np.bincount(doc * blocks + block, value * self.run_max[run], q.n * blocks).reshape(q.n, blocks)
 
         def open_blocks(wanted: np.ndarray) -> None:
             at = np.flatnonzero(wanted[doc, block])
             size = self.run_start[run[at] + 1] - self.run_start[run[at]]
             post = ranges(self.run_start[run[at]], size)
-            score.reshape(-1)[:] += np.bincount(np.repeat(doc[at] * width, size) + self.example[post],
+            score.reshape(-1)[:] += np.bincount(np.repeat(doc[at] * width, size) + self.place[post],
                                                 np.repeat(value[at], size) * self.value[post], q.n * width)
 
         opened = np.zeros((q.n, blocks), bool)
@@ -129,11 +125,13 @@ class Index:
         most = min(k, width)
         # weights are not negative: sums so far are lower bounds
         least = np.partition(score, width - most, axis=1)[:, [width - most]]
-        open_blocks(~opened & (bound * (1 + 1e-9) + 1e-11 >= least))
+        more = ~opened & (bound > 0) & (bound * (1 + 1e-9) + 1e-11 >= least)
+        open_blocks(more)
+        self.opened += (opened.sum() + more.sum(), opened.size)
         score = np.round(score, 12)
         least = np.partition(score, width - most, axis=1)[:, [width - most]]
-        row, example = np.nonzero((score > 0) & (score >= least))
-        got = score[row, example]
+        row, place = np.nonzero((score > 0) & (score >= least))
+        got, example = score[row, place], self.order[place]
         order = np.lexsort((example, -got, row))
         row, example, got = row[order], example[order], got[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
@@ -141,9 +139,27 @@ class Index:
         best[row[top], rank[top]], sims[row[top], rank[top]] = example[top], got[top]
         return best, sims
 
-    def raw(self, best: np.ndarray, sims: np.ndarray) -> np.ndarray:
-        """Similarity-weighted share of toxic votes, with one vote of the prior."""
-        w = np.where(best >= 0, sims * self.weight[best], 0)
+    def votes(self, q: Terms, best: np.ndarray) -> np.ndarray:
+        """Similarity of each neighbour with its words weighed by how they tell the classes apart."""
+        out, n = np.zeros(best.shape), len(self.label_weight)
+        if not len(q.doc):
+            return out
+        row, rank = np.nonzero(best >= 0)
+        example, key = best[row, rank], q.doc * n + q.term
+        size = self.own[example + 1] - self.own[example]
+        for a, b in _chunks(size, len(size)):
+            at, pair = ranges(self.own[example[a:b]], size[a:b]), np.repeat(np.arange(a, b), size[a:b])
+            wanted = row[pair] * n + self.own_term[at]
+            found = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            hit = key[found] == wanted
+            at, found = at[hit], found[hit]
+            out[row[a:b], rank[a:b]] = np.bincount(
+                pair[hit] - a, q.value[found] * self.own_value[at] * self.label_weight[self.own_term[at]], b - a)
+        return out
+
+    def raw(self, best: np.ndarray, votes: np.ndarray) -> np.ndarray:
+        """Share of toxic votes, with one vote of the prior."""
+        w = np.where(best >= 0, votes * self.weight[best], 0)
         return ((w * self.toxic[best]).sum(axis=1) + self.prior) / (w.sum(axis=1) + 1)
 
     def calibrated(self, raw: np.ndarray, empty: np.ndarray) -> np.ndarray:
@@ -159,6 +175,16 @@ class Index:
         return Terms(tf.n, tf.doc, tf.term, _units(tf, self.term_weight))
 
 
+def _chunks(cost: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of at most ``most`` items that cost ``AT_ONCE`` together, or of one item."""
+    total, a = np.cumsum(cost), 0
+    while a < len(cost):
+        b = int(np.searchsorted(total, (total[a - 1] if a else 0) + AT_ONCE, side="right"))
+        b = min(max(b, a + 1), a + most)
+        yield a, min(b, len(cost))
+        a = b
+
+
 def _units(tf: Terms, term_weight: np.ndarray) -> np.ndarray:
     v = (1 + np.log(tf.value)) * term_weight[tf.term]
     return v / np.maximum(np.sqrt(np.bincount(tf.doc, v * v, tf.n)), 1e-12)[tf.doc]
@@ -180,7 +206,7 @@ def build(rows: list[tuple[int, int, dict[bytes, int]]], terms: list[bytes], pri
     """Index of (doc_id, toxic, term counts) examples over a vocabulary; ``prior``: share of toxic labels."""
     rows = sorted(rows, key=lambda r: r[0])
     place = {t: i for i, t in enumerate(terms)}
-    at = [(i, place[t], n) for i, (_, _, counts) in enumerate(rows) for t, n in counts.items() if t in place]
+    at = sorted((i, place[t], n) for i, (_, _, counts) in enumerate(rows) for t, n in counts.items() if t in place)
     doc, term, n = np.array(at, np.int64).reshape(-1, 3).T
     return _index(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float),
                   Terms(len(rows), doc, term, n.astype(float)), np.bincount(term, minlength=len(terms)), len(rows), prior, terms=terms)
@@ -197,35 +223,56 @@ def label_weight(toxic: np.ndarray, tf: Terms, n_terms: int) -> np.ndarray:
     return (d1 / n1 - d0 / n0) ** 2 / (np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
 
 
+def halved(tf: Terms, v: np.ndarray, n_terms: int) -> np.ndarray:
+    """Rows of unit vectors in an order that puts alike ones into the same block: halves by two means, and so on."""
+    out, work = [], [(np.arange(tf.n), tf.doc, tf.term, v)]
+    while work:
+        rows, doc, term, value = work.pop()
+        n = len(rows)
+        if n <= BLOCK:
+            out.append(rows)
+            continue
+        # from the first row and the one least like it
+        like = np.bincount(doc, value * np.bincount(term[doc == 0], value[doc == 0], n_terms)[term], n)
+        side = np.zeros(n)
+        side[0], side[1 + np.argmin(like[1:])] = 1, -1
+        half = -(-(n // 2) // BLOCK) * BLOCK
+        for _ in range(ROUNDS):
+            lean = np.bincount(doc, value * np.bincount(term, value * side[doc], n_terms)[term], n)
+            order = np.argsort(-lean, kind="stable")
+            side = np.full(n, -1 / max(n - half, 1))
+            side[order[:half]] = 1 / half
+        for mine in (side < 0, side > 0):
+            on, at = mine[doc], np.cumsum(mine) - 1
+            work.append((rows[mine], at[doc[on]], term[on], value[on]))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def _index(ids: np.ndarray, toxic: np.ndarray, tf: Terms, df: np.ndarray, n_docs: int, prior: float,
            keys: np.ndarray | None = None, terms: list[bytes] | None = None) -> Index:
     """Index of examples in the order of their ids; ``df``: of each word, in ``n_docs`` documents."""
     share = toxic.mean() if len(ids) else 0.0
     weight = np.where(toxic == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    term_weight = idf * label_weight(toxic, tf, len(df))
-    v = _units(tf, term_weight)
-    here = np.bincount(tf.term, minlength=len(df))
-    dense_terms = np.argsort(-here, kind="stable")[:DENSE]
-    dense_terms = dense_terms[here[dense_terms] * 16 >= max(len(ids), 1)]
-    place = np.full(len(df), -1)
-    place[dense_terms] = np.arange(len(dense_terms))
-    dense = np.zeros((len(dense_terms), -(-len(ids) // BLOCK) * BLOCK))
-    on = place[tf.term] >= 0
-    dense[place[tf.term[on]], tf.doc[on]] = v[on]
-    order = np.flatnonzero(~on)[np.lexsort((tf.doc[~on], tf.term[~on]))]
-    term, example, value = tf.term[order], tf.doc[order], v[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)
+    v = _units(tf, idf)
+    order = halved(tf, v, len(df))
+    at = np.argsort(order)[tf.doc] if len(tf.doc) else tf.doc
+    sort = np.lexsort((at, tf.term))
+    term, place, value = tf.term[sort], at[sort], v[sort]
+    first = np.ones(len(sort), bool)
+    first[1:] = (term[1:] != term[:-1]) | (place[1:] // BLOCK != place[:-1] // BLOCK)
     start = np.flatnonzero(first)
-    index = Index(terms or [], np.zeros(0, np.uint64) if keys is None else keys, term_weight, ids, toxic, weight, place, dense,
-                  np.searchsorted(term[start], np.arange(len(df) + 1)), example[start] // BLOCK,
-                  np.maximum.reduceat(value, start) if len(start) else value, np.append(start, len(order)), example, value, prior)
+    index = Index(terms or [], np.zeros(0, np.uint64) if keys is None else keys, idf, ids, toxic, weight,
+                  label_weight(toxic, tf, len(df)), order, np.searchsorted(tf.doc, np.arange(len(ids) + 1)), tf.term, v,
+                  np.searchsorted(term[start], np.arange(len(df) + 1)), place[start] // BLOCK,
+                  np.maximum.reduceat(value, start) if len(start) else value, np.append(start, len(sort)), place, value, prior)
     empty = np.bincount(tf.doc, minlength=len(ids)) == 0
     w = weight + 1e-12
     index.empty_score = float((w * toxic)[empty].sum() / w[empty].sum()) if empty.any() else prior
     if len(ids) and not empty.all():
-        raw = index.raw(*index.nearest(Terms(len(ids), tf.doc, tf.term, v), without=np.arange(len(ids))))[~empty]
+        units = Terms(len(ids), tf.doc, tf.term, v)
+        best, _ = index.nearest(units, without=np.arange(len(ids)))
+        raw = index.raw(best, index.votes(units, best))[~empty]
         index.raw_steps, index.step_scores = isotonic(raw, toxic[~empty], w[~empty])
     return index
 
@@ -329,9 +376,10 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             out = [[] for _ in names[1:]]
             for tf in known_terms(batch.column(1), hasher, index.keys):
-                best, sims = index.nearest(index.unit_terms(tf))
+                units = index.unit_terms(tf)
+                best, sims = index.nearest(units)
                 empty = np.bincount(tf.doc, minlength=tf.n) == 0
-                raw = index.raw(best, sims) if len(index.ids) else np.zeros(tf.n)
+                raw = index.raw(best, index.votes(units, best)) if len(index.ids) else np.zeros(tf.n)
                 got = np.clip(index.calibrated(raw, empty), 0, 1)
                 for d, s in enumerate(got.tolist()):
                     ok = best[d] >= 0

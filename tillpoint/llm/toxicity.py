@@ -5,9 +5,11 @@ hash of their id): every word of the examples is indexed. A word weighs
 (1 + ln tf) * idf, idf from the document frequencies in all documents (one Spark
 aggregation); texts are unit vectors. Examples are ordered by repeated halving,
 each time by two means of cosine, and cut into blocks of ``BLOCK`` alike ones; the
-inverted index holds the largest weight of each word in each block where it occurs.
+inverted index holds the largest weight of each word in each block where it occurs. The few
+words that are in most blocks have their postings as whole rows.
 
-Score: a block's bound is the sum over the text's words of its largest weights.
+Score: the whole rows are multiplied out, and a block's bound is its largest sum of them plus
+the largest weights of the text's other words.
 The ``FIRST`` blocks of highest bound are opened, then every block whose bound
 reaches the k-th similarity, so the k nearest by cosine are exact. A neighbour votes by
 how near it is in the words that tell the classes apart: its similarity with each word's
@@ -37,11 +39,12 @@ from tillpoint.llm.scratch import stored
 from tillpoint.llm.text import ALNUM, LOWER, SpanHasher, ranges, slices, spans, texts
 
 PER_CLASS = 2000
-BLOCK = 16
+BLOCK = 32
 FIRST = 8
+DENSE = 512  # words of at least 1/16 of the examples, at most so many
 ROUNDS = 6  # of two means at each halving
 CHUNK = 256  # queries searched at a time, fewer
-AT_ONCE = 1 << 19  # where they meet more runs or words than so many
+AT_ONCE = 1 << 19  # where they meet more runs than so many
 NEIGHBOURS = 15
 PREDICT_FROM = 0.3
 
@@ -68,6 +71,8 @@ class Index:
     weight: np.ndarray  # of each example's vote
     label_weight: np.ndarray  # of each word
     order: np.ndarray  # example at each place of the blocks
+    dense_place: np.ndarray  # of each word, -1 where it has runs
+    dense: np.ndarray  # (words with whole rows, places)
     own: np.ndarray  # [example]: its first word below
     own_term: np.ndarray
     own_value: np.ndarray
@@ -104,13 +109,18 @@ class Index:
     def _search(self, q: Terms, k: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         blocks = -(-len(self.ids) // BLOCK)
         width = blocks * BLOCK
-        score = np.zeros((q.n, width))
+        at = self.dense_place[q.term]
+        on = at >= 0
+        some = np.zeros((q.n, len(self.dense)))
+        some[q.doc[on], at[on]] = q.value[on]
+        score = some @ self.dense
         if without is not None:
             score[np.arange(q.n), np.argsort(self.order)[without]] = -np.inf
         count = self.runs[q.term + 1] - self.runs[q.term]
         run, doc, value = ranges(self.runs[q.term], count), np.repeat(q.doc, count), np.repeat(q.value, count)
         block = self.run_block[run]
-        bound = np.bincount(doc * blocks + block, value * self.run_max[run], q.n * blocks).reshape(q.n, blocks)
+        bound = np.maximum(score.reshape(q.n, blocks, BLOCK).max(axis=2), 0)
+        bound += np.bincount(doc * blocks + block, value * self.run_max[run], q.n * blocks).reshape(q.n, blocks)
 
         def open_blocks(wanted: np.ndarray) -> None:
             at = np.flatnonzero(wanted[doc, block])
@@ -141,20 +151,17 @@ class Index:
 
     def votes(self, q: Terms, best: np.ndarray) -> np.ndarray:
         """Similarity of each neighbour with its words weighed by how they tell the classes apart."""
-        out, n = np.zeros(best.shape), len(self.label_weight)
-        if not len(q.doc):
-            return out
-        row, rank = np.nonzero(best >= 0)
-        example, key = best[row, rank], q.doc * n + q.term
-        size = self.own[example + 1] - self.own[example]
-        for a, b in _chunks(size, len(size)):
-            at, pair = ranges(self.own[example[a:b]], size[a:b]), np.repeat(np.arange(a, b), size[a:b])
-            wanted = row[pair] * n + self.own_term[at]
-            found = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-            hit = key[found] == wanted
-            at, found = at[hit], found[hit]
-            out[row[a:b], rank[a:b]] = np.bincount(
-                pair[hit] - a, q.value[found] * self.own_value[at] * self.label_weight[self.own_term[at]], b - a)
+        out, mine = np.zeros(best.shape), np.zeros(len(self.label_weight))
+        edge = np.searchsorted(q.doc, np.arange(q.n + 1))
+        for d in np.flatnonzero(best[:, 0] >= 0).tolist():
+            near = best[d][best[d] >= 0]
+            term = q.term[edge[d]:edge[d + 1]]
+            mine[term] = q.value[edge[d]:edge[d + 1]] * self.label_weight[term]
+            size = self.own[near + 1] - self.own[near]
+            at = ranges(self.own[near], size)
+            out[d, :len(near)] = np.bincount(np.repeat(np.arange(len(near)), size), mine[self.own_term[at]] * self.own_value[at],
+                                             len(near))
+            mine[term] = 0
         return out
 
     def raw(self, best: np.ndarray, votes: np.ndarray) -> np.ndarray:
@@ -257,13 +264,21 @@ def _index(ids: np.ndarray, toxic: np.ndarray, tf: Terms, df: np.ndarray, n_docs
     v = _units(tf, idf)
     order = halved(tf, v, len(df))
     at = np.argsort(order)[tf.doc] if len(tf.doc) else tf.doc
-    sort = np.lexsort((at, tf.term))
+    here = np.bincount(tf.term, minlength=len(df))
+    rows = np.argsort(-here, kind="stable")[:DENSE]
+    rows = rows[here[rows] * 16 >= max(len(ids), 1)]
+    dense_place = np.full(len(df), -1)
+    dense_place[rows] = np.arange(len(rows))
+    dense = np.zeros((len(rows), -(-len(ids) // BLOCK) * BLOCK))
+    on = dense_place[tf.term] >= 0
+    dense[dense_place[tf.term[on]], at[on]] = v[on]
+    sort = np.flatnonzero(~on)[np.lexsort((at[~on], tf.term[~on]))]
     term, place, value = tf.term[sort], at[sort], v[sort]
     first = np.ones(len(sort), bool)
     first[1:] = (term[1:] != term[:-1]) | (place[1:] // BLOCK != place[:-1] // BLOCK)
     start = np.flatnonzero(first)
     index = Index(terms or [], np.zeros(0, np.uint64) if keys is None else keys, idf, ids, toxic, weight,
-                  label_weight(toxic, tf, len(df)), order, np.searchsorted(tf.doc, np.arange(len(ids) + 1)), tf.term, v,
+                  label_weight(toxic, tf, len(df)), order, dense_place, dense, np.searchsorted(tf.doc, np.arange(len(ids) + 1)), tf.term, v,
                   np.searchsorted(term[start], np.arange(len(df) + 1)), place[start] // BLOCK,
                   np.maximum.reduceat(value, start) if len(start) else value, np.append(start, len(sort)), place, value, prior)
     empty = np.bincount(tf.doc, minlength=len(ids)) == 0

@@ -7,15 +7,16 @@ it, so all batches run in the same Spark jobs, in parallel.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.cluster.dbscan import dbscan
-from tillpoint.functions.dates import days_since_group_min
+from tillpoint.functions.dates import whole_days_between
 from tillpoint.operators import aggregates as agg
 from tillpoint.operators.cleaning import drop_missing
 from tillpoint.operators.rowindex import with_batches, with_row_index
 from tillpoint.operators.scale import scale
+from tillpoint.session import cut_lineage
 
 # The batched jobs' parameters.
 BATCH_SIZE = 50_000
@@ -25,8 +26,8 @@ TYPE1_FEATURES = ["Quantity", "UnitPrice", "CustomerID", "DaysSinceFirstPurchase
 TYPE2_FEATURES = ["Quantity", "UnitPrice", "CustomerID"]
 
 
-def batched(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE) -> DataFrame:
-    return with_batches(with_row_index(df, order_keys), batch_size)
+def batched(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE, keep: list[str] | None = None) -> DataFrame:
+    return with_batches(with_row_index(df, order_keys, keep=keep), batch_size)
 
 
 def dbscan_type1(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE,
@@ -35,9 +36,10 @@ def dbscan_type1(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE,
     four features, rows with a gap dropped, scaling (min-max, or another kind of
     ``scale``), DBSCAN.
     Output: the four unscaled features, ``Cluster``, ``batch_number``, ``row_idx``."""
-    b = batched(df, order_keys, batch_size)
-    b = b.withColumn("DaysSinceFirstPurchase",
-                     days_since_group_min(F.col("InvoiceDate"), Window.partitionBy("batch_number")))
+    b = batched(df, order_keys, batch_size, ["InvoiceDate", *TYPE1_FEATURES[:3]])
+    # one row a batch, measured, instead of a window: the rows stay where they are
+    first = cut_lineage(b.groupBy("batch_number").agg(F.min("InvoiceDate").alias("_first")), "persist")
+    b = b.join(first, "batch_number").withColumn("DaysSinceFirstPurchase", whole_days_between(F.col("_first"), F.col("InvoiceDate")))
     b = drop_missing(b, TYPE1_FEATURES).select(
         "row_idx", "batch_number", *[F.col(c).cast("double").alias(c) for c in TYPE1_FEATURES])
     scaled = scale(b, TYPE1_FEATURES, scaler, keys=["batch_number"], suffix="_s")
@@ -47,11 +49,14 @@ def dbscan_type1(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE,
 
 
 def dbscan_type2(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE,
-                 eps: float = EPS, min_samples: int = MIN_SAMPLES, scaler: str = "standard") -> DataFrame:
+                 eps: float = EPS, min_samples: int = MIN_SAMPLES, scaler: str = "standard",
+                 keep: list[str] | None = None) -> DataFrame:
     """Per batch — rows missing Quantity/UnitPrice/CustomerID dropped,
-    standardisation (or another ``scaler``), DBSCAN; every input column kept, plus ``Cluster`` and
-    ``BatchNumber``."""
-    b = drop_missing(batched(df, order_keys, batch_size), TYPE2_FEATURES)
+    standardisation (or another ``scaler``), DBSCAN; every input column kept (or the features and those of
+    ``keep``), plus ``Cluster`` and ``BatchNumber``."""
+    if keep is not None:
+        keep = TYPE2_FEATURES + [c for c in keep if c not in TYPE2_FEATURES]
+    b = drop_missing(batched(df, order_keys, batch_size, keep), TYPE2_FEATURES)
     scaled = scale(b, TYPE2_FEATURES, scaler, keys=["batch_number"], suffix="_s")
     feats = [f"{c}_s" for c in TYPE2_FEATURES]
     out = dbscan(scaled, feats, eps, min_samples, keys=["batch_number"])

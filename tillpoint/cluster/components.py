@@ -78,3 +78,26 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
                       .withColumn("component", F.col("node")))
         out = out.unionByName(alone)
     return out
+
+
+def components_by_leaves(edges: DataFrame, nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``connected_components`` of graphs whose nodes mostly lead to a lower one and have none leading to them.
+
+    Such leaves take the component of their lowest neighbour: the rounds run over the other nodes alone, with
+    every leaf's neighbours joined to its lowest.
+    """
+    keys = list(keys or [])
+    e = edges.select(*keys, F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")) \
+             .where(F.col("u") != F.col("v"))
+    # checkpoints, not persisted frames: those keep their whole plan, which every later job would go through again
+    e = cut_lineage(e, "checkpoint")
+    least = cut_lineage(e.groupBy(*keys, "u").agg(F.min("v").alias("m")), "checkpoint")
+    inner = cut_lineage(e.select(*keys, F.col("v").alias("u")).distinct(), "checkpoint")
+    moved = e.join(least, keys + ["u"]).where(F.col("v") != F.col("m")).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+    between = moved.unionByName(least.join(inner, keys + ["u"], "left_semi").select(*keys, "u", F.col("m").alias("v"))).distinct()
+    comp = cut_lineage(connected_components(cut_lineage(between, "checkpoint"), inner.select(*keys, F.col("u").alias("node")), keys), "checkpoint")
+    leaves = least.join(inner, keys + ["u"], "left_anti").join(comp.withColumnRenamed("node", "m"), keys + ["m"])
+    out = comp.unionByName(leaves.select(*keys, F.col("u").alias("node"), "component"))
+    alone = (nodes.select(*keys, F.col("node").cast("long")).join(least.select(*keys, F.col("u").alias("node")), keys + ["node"], "left_anti")
+                  .join(inner.select(*keys, F.col("u").alias("node")), keys + ["node"], "left_anti").withColumn("component", F.col("node")))
+    return out.unionByName(alone)

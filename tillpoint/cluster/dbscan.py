@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.cluster import tiles
-from tillpoint.cluster.components import connected_components
+from tillpoint.cluster.components import components_by_leaves
 from tillpoint.operators.rowindex import with_row_index
 from tillpoint.session import cut_lineage
 
@@ -104,7 +104,7 @@ def _core_of_light(heavy: DataFrame, light: DataFrame, keys: list[str], d: int,
         low, high = _matrix(table, lo), _matrix(table, hi)
         own = np.flatnonzero(table.column("owner").to_numpy(zero_copy_only=False)[~is_cell])
         found, q, j = tiles.count_neighbours(at[is_cell], low[is_cell], high[is_cell], w[is_cell], at[~is_cell], low[~is_cell],
-                                             w[~is_cell], own, reach, eps, min_samples)
+                                             w[~is_cell], own, reach, eps, min_samples, d)
         pid, node = ids[~is_cell][own], ids[is_cell]
         settled = np.ones(len(own), bool)
         settled[q] = False
@@ -124,7 +124,7 @@ def _linked_cells(cells: DataFrame, keys: list[str], d: int, reach: int, eps: fl
         table = table.sort_by("node")  # least number: least node
         node = table.column("node").to_numpy()
         label, a, b = tiles.link_cells(_matrix(table, c), _matrix(table, lo), _matrix(table, hi),
-                                       table.column("owner").to_numpy(zero_copy_only=False), reach, eps)
+                                       table.column("owner").to_numpy(zero_copy_only=False), reach, eps, d + 3)
         moved = np.flatnonzero(label != np.arange(len(label)))
         return {"u": pa.array(np.concatenate([node[moved], node[a]])), "v": pa.array(np.concatenate([node[label[moved]], node[b]])),
                 "sure": pa.array(np.arange(len(moved) + len(a)) < len(moved))}
@@ -144,7 +144,7 @@ def _border_labels(cells: DataFrame, points: DataFrame, keys: list[str], d: int,
         mine = ~is_cell & table.column("owner").to_numpy(zero_copy_only=False)
         ids, label, at = table.column("id").to_numpy(), table.column("cl").to_numpy(), _matrix(table, c)
         low, high = _matrix(table, lo), _matrix(table, hi)
-        best, q, j = tiles.least_label(at[is_cell], low[is_cell], high[is_cell], label[is_cell], at[mine], low[mine], reach, eps)
+        best, q, j = tiles.least_label(at[is_cell], low[is_cell], high[is_cell], label[is_cell], at[mine], low[mine], reach, eps, d + 3)
         pid, has = ids[mine], np.flatnonzero(best < np.iinfo(np.int64).max)
         return {"pid": pa.array(np.concatenate([pid[has], pid[q]])), "cl": pa.array(np.concatenate([best[has], label[is_cell][j]])),
                 "node": pa.array(np.concatenate([np.zeros(len(has), np.int64), ids[is_cell][j]]), mask=np.arange(len(has) + len(q)) < len(has))}
@@ -217,24 +217,31 @@ def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples
     reach, link_reach = math.floor(eps / side) + 1, math.floor(eps / link_side) + 1
     xs, cs, lo, hi = _names("x", d), _names("c", d), _names("lo", d), _names("hi", d)
 
+    # the rows go to their cells once: points, cells and the way back to the rows share this exchange
+    features, at = [f"_{x}" for x in xs], [f"_{c}" for c in cs]
+    rows = df.withColumns({f: F.col(c).cast("double") for c, f in zip(feature_cols, features)})
+    rows = rows.withColumns({c: F.floor(F.col(f) / F.lit(side)).cast("long") for c, f in zip(at, features)})
+    rows = cut_lineage(rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, *at), "persist")
+
     # 1. weighted distinct points and their cells; a cell is named by its least pid
-    pts = (df.select(*keys, F.col(id_col).cast("long").alias("_id"), *[F.col(f).cast("double").alias(x) for f, x in zip(feature_cols, xs)])
-             .groupBy(*keys, *xs).agg(F.count(F.lit(1)).alias("w"), F.min("_id").alias("pid"))
-             .withColumns({c: F.floor(F.col(x) / F.lit(side)).cast("long") for c, x in zip(cs, xs)}))
-    pts = cut_lineage(pts, "persist")
+    pts = (rows.select(*keys, F.col(id_col).cast("long").alias("_id"), *[F.col(f).alias(x) for f, x in zip(features, xs)],
+                       *[F.col(c).alias(n) for c, n in zip(at, cs)])
+               .groupBy(*keys, *cs, *xs).agg(F.count(F.lit(1)).alias("w"), F.min("_id").alias("pid")))
     cells = pts.groupBy(*keys, *cs).agg(F.min("pid").alias("node"), F.sum("w").alias("w"), *_box(d))
-    cells = cut_lineage(cells, "persist")
+    cells = cut_lineage(cells, "checkpoint")
     heavy = cells.where(F.col("w") >= min_samples)
     points = pts.join(cells.select(*keys, *cs, "node", (F.col("w") >= min_samples).alias("heavy")), keys + cs)
     points = cut_lineage(points, "persist")
     light = points.where(~F.col("heavy"))
 
     # 2. core points among the light ones
-    told = cut_lineage(_core_of_light(heavy, light, keys, d, reach, eps, min_samples), "persist")
+    told = cut_lineage(_core_of_light(heavy, light, keys, d, reach, eps, min_samples), "checkpoint")
     counted = told.where(F.col("node").isNull()).select(*keys, "pid", "n")
     if not told.where(F.col("node").isNotNull()).isEmpty():
+        wanted = cells.select(*keys, *cs, "node").join(told.where(F.col("node").isNotNull()).select(*keys, "node").distinct(), keys + ["node"], "left_semi")
+        held = points.where("heavy").join(wanted.select(*keys, *cs), keys + cs, "left_semi")
         opened = told.where(F.col("node").isNotNull()).join(light.select(*keys, "pid", *[F.col(x).alias(f"a{x}") for x in xs]), keys + ["pid"]) \
-                     .join(points.where("heavy").select(*keys, "node", F.col("w").alias("bw"), *[F.col(x).alias(f"b{x}") for x in xs]), keys + ["node"]) \
+                     .join(held.select(*keys, "node", F.col("w").alias("bw"), *[F.col(x).alias(f"b{x}") for x in xs]), keys + ["node"]) \
                      .withColumn("bw", F.when(_dist2([f"a{x}" for x in xs], [f"b{x}" for x in xs]) <= F.lit(eps * eps), F.col("bw")).otherwise(0)) \
                      .groupBy(*keys, "pid").agg((F.sum("bw") + F.max("n")).alias("n"))
         counted = counted.unionByName(opened)
@@ -244,10 +251,15 @@ def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples
     # 3. links of core cells by their boxes
     linked = {c: F.floor(F.col(x) / F.lit(link_side)).cast("long") for c, x in zip(cs, xs)}
     core = points.where("heavy").select(*keys, "pid", *xs).unionByName(light.where("core").select(*keys, "pid", *xs)).withColumns(linked)
-    core_cells = cut_lineage(core.groupBy(*keys, *cs).agg(F.min("pid").alias("node"), *_box(d)), "persist")
+    core_cells = cut_lineage(core.groupBy(*keys, *cs).agg(F.min("pid").alias("node"), *_box(d)), "checkpoint")
     links = cut_lineage(_linked_cells(core_cells, keys, d, link_reach, eps), "checkpoint")
     nodes = core_cells.select(*keys, "node")
-    comp = connected_components(links.where("sure").select(*keys, "u", "v"), nodes, keys)
+    comp = cut_lineage(components_by_leaves(links.where("sure").select(*keys, "u", "v"), nodes, keys), "checkpoint")
+
+    def core_in(wanted: DataFrame) -> DataFrame:
+        """Core points (with their cell's node) of the wanted core cells only."""
+        found = core_cells.select(*keys, *cs, "node").join(wanted.select(*keys, "node").distinct(), keys + ["node"], "left_semi")
+        return core.join(cut_lineage(found, "persist"), keys + cs)
 
     # 4. open pairs across components, by descent
     if not links.where("not sure").isEmpty():
@@ -255,9 +267,10 @@ def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples
         apart = cut_lineage(links.where("not sure").select(*keys, "u", "v").distinct().join(of["u"], keys + ["u"]).join(of["v"], keys + ["v"])
                                  .where(F.col("_u") != F.col("_v")).select(*keys, F.col("u").alias("a"), F.col("v").alias("b")), "checkpoint")
         if not apart.isEmpty():
-            joined = closest_within(apart, core.join(core_cells.select(*keys, *cs, "node"), keys + cs), keys, d, eps)
+            ends = apart.select(*keys, F.col("a").alias("node")).unionByName(apart.select(*keys, F.col("b").alias("node")))
+            joined = closest_within(apart, core_in(ends), keys, d, eps)
             stars = comp.select(*keys, F.col("node").alias("u"), F.col("component").alias("v")).where(F.col("u") != F.col("v"))
-            comp = connected_components(stars.unionByName(joined.select(*keys, F.col("a").alias("u"), F.col("b").alias("v"))), nodes, keys)
+            comp = cut_lineage(components_by_leaves(stars.unionByName(joined.select(*keys, F.col("a").alias("u"), F.col("b").alias("v"))), nodes, keys), "checkpoint")
 
     # 5. cluster numbers by lowest row position per key
     cell_comp = core_cells.join(comp, keys + ["node"])
@@ -267,24 +280,29 @@ def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples
         ranked = ranked.join(ranked.groupBy(*keys).agg(F.min("_g").alias("_g0")), keys).withColumn("_g", F.col("_g") - F.col("_g0"))
     labelled = cut_lineage(cell_comp.join(ranked.select(*keys, "component", F.col("_g").cast("int").alias("cl")), keys + ["component"])
                                     .select(*keys, "node", *cs, *lo, *hi, "cl"), "checkpoint")
-    core_points = core.join(labelled.select(*keys, *cs, "node", "cl"), keys + cs).select(*keys, "node", *xs, "cl")
 
     # border points
-    rest = light.where("not core").select(*keys, "pid", *xs).withColumns(linked)
-    told = cut_lineage(_border_labels(labelled, rest, keys, d, link_reach, eps), "persist")
+    rest = light.where("not core").select(*keys, "pid", *xs, *[F.col(c).alias(f"_{c}") for c in cs]).withColumns(linked)
+    told = cut_lineage(_border_labels(labelled, rest, keys, d, link_reach, eps), "checkpoint")
     border = told.where(F.col("node").isNull()).select(*keys, "pid", "cl")
     if not told.where(F.col("node").isNotNull()).isEmpty():
+        held = core_in(told.where(F.col("node").isNotNull()))
         opened = told.where(F.col("node").isNotNull()).join(rest.select(*keys, "pid", *[F.col(x).alias(f"a{x}") for x in xs]), keys + ["pid"]) \
-                     .join(core_points.select(*keys, "node", *[F.col(x).alias(f"b{x}") for x in xs]), keys + ["node"]) \
+                     .join(held.select(*keys, "node", *[F.col(x).alias(f"b{x}") for x in xs]), keys + ["node"]) \
                      .where(_dist2([f"a{x}" for x in xs], [f"b{x}" for x in xs]) <= F.lit(eps * eps)).select(*keys, "pid", "cl")
         border = border.unionByName(opened)
     border = border.groupBy(*keys, "pid").agg(F.min("cl").cast("int").alias("cl"))
-    labels = core_points.select(*keys, *xs, "cl").unionByName(rest.join(border, keys + ["pid"]).select(*keys, *xs, "cl"))
-
-    # J1, back to the rows: every row of an equal point shares its label, and
-    # every input column is kept (no positional alignment)
-    named = labels.select(*[F.col(k).alias(f"_pk_{k}") for k in keys], *[F.col(x).alias(f"_p{x}") for x in xs], F.col("cl").alias("_cl"))
-    rows = df.withColumns({f"_{x}": F.col(c).cast("double") for c, x in zip(feature_cols, xs)})
-    cond = [F.col(k) == F.col(f"_pk_{k}") for k in keys] + [F.col(f"_{x}") == F.col(f"_p{x}") for x in xs]
-    return rows.join(named, cond, "left").select(*[F.col(f"`{c}`") for c in df.columns],
-                                                 F.coalesce(F.col("_cl"), F.lit(-1)).cast("int").alias(out_col))
+
+    # J1, back to the rows: the points of a heavy cell are one cluster, those of a light cell are listed (fewer than
+    # min_samples); every input column is kept (no positional alignment)
+    of_cell = labelled.select(*keys, *cs, "cl")
+    whole = points.where("heavy and pid = node").select(*keys, *[F.col(c).alias(f"_{c}") for c in cs], *xs).withColumns(linked) \
+                  .join(of_cell, keys + cs).select(*keys, *at, F.col("cl").alias("_cl"), F.lit(None).alias("_of"))
+    single = light.where("core").select(*keys, *[F.col(c).alias(f"_{c}") for c in cs], *xs).withColumns(linked) \
+                  .join(of_cell, keys + cs).select(*keys, *at, *xs, "cl") \
+                  .unionByName(rest.join(border, keys + ["pid"]).select(*keys, *at, *xs, "cl"))
+    listed = single.groupBy(*keys, *at).agg(F.collect_list(F.struct(*xs, "cl")).alias("_of")).select(*keys, *at, F.lit(None).cast("int").alias("_cl"), "_of")
+    named = listed.unionByName(whole.withColumn("_of", F.col("_of").cast(listed.schema["_of"].dataType)))
+    same = lambda p: reduce(Column.__and__, [p[x] == F.col(f) for x, f in zip(xs, features)])
+    cluster = F.coalesce(F.col("_cl"), F.get(F.filter("_of", same), F.lit(0))["cl"], F.lit(-1))
+    return rows.join(named, keys + at, "left").select(*[F.col(f"`{c}`") for c in df.columns], cluster.cast("int").alias(out_col))

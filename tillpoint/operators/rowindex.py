@@ -35,17 +35,19 @@ def _key_columns(keys) -> list[Column]:
 
 def with_row_index(df: DataFrame, order_keys, col: str = "row_idx",
                    num_partitions: int | None = None,
-                   materialize: str = "persist") -> DataFrame:
+                   materialize: str = "persist", keep: list[str] | None = None) -> DataFrame:
     """Add ``col`` = 0-based position of each row in ``order_keys`` order.
 
     ``order_keys`` must be unique per row for the index to be deterministic.
+    ``keep`` (default: all) names the columns that are exchanged beside the keys and kept beside ``col``.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _key_columns(order_keys)
-    ranged = (df.repartitionByRange(n, *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn("_tp_mid", F.monotonically_increasing_id()))
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    if keep is not None:
+        ranged = ranged.select(*keep)
+    ranged = ranged.withColumn("_tp_mid", F.monotonically_increasing_id())
     ranged = cut_lineage(ranged, materialize)
 
     part = F.shiftright(F.col("_tp_mid"), _LOCAL_BITS)

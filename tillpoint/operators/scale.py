@@ -7,8 +7,9 @@ computed with plain aggregates:
 
 * fitted parameters are a small DataFrame — one row, or one row per group;
 * applying them is a join (one-row parameters: broadcast cross join whose
-  size is fixed; per-group parameters: an equi-join left to AQE) followed
-  by column arithmetic, all inside whole-stage codegen.
+  size is fixed; per-group parameters: materialised, so that their measured
+  size tells whether they can be broadcast and the rows stay where they are)
+  followed by column arithmetic, all inside whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.operators.quantiles import exact_quantiles
+from tillpoint.session import cut_lineage
 
 KINDS = ("standard", "minmax", "robust")
 
@@ -82,4 +84,6 @@ def scale(df: DataFrame, cols: list[str], kind: str = "standard",
           suffix: str = "") -> DataFrame:
     """Fit on ``fit_on`` (default: ``df`` itself) and apply to ``df``."""
     params = fit_scaler(fit_on if fit_on is not None else df, cols, kind, keys)
+    if keys:
+        params = cut_lineage(params, "persist")
     return apply_scaler(df, params, cols, keys, suffix)

@@ -163,6 +163,7 @@ def q_elbow_k1(spark, sf_dir):
 def q_kmeans_labels(spark, sf_dir):
     """G1: K-Means (k = 3, seed 42) on the unscaled design (B11); one label per row."""
     design, feats = _design(spark, sf_dir)
+    design = design.select(*[c for c in ORDER_KEYS if c in design.columns], *feats)
     _, out, _ = fit_kmeans(design, feats, 3, seed=42)
     return out.select(*[c for c in ORDER_KEYS if c in out.columns], "Cluster")
 
@@ -369,14 +370,14 @@ def _dbscan_sql(eps: float, min_samples: int) -> str:
 def q_dbscan_type2_labels(spark, sf_dir):
     """G5/G7 exact check: batched DBSCAN type 2 labels (ε 0.5, min 5) per
     (batch, row) over the whole table."""
-    return bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS).select(
+    return bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS, keep=[]).select(
         "batch_number", "row_idx", "Cluster")
 
 
 @query("dbscan_type2_fine_labels", _dbscan_sql(0.1, bt.MIN_SAMPLES))
 def q_dbscan_type2_fine_labels(spark, sf_dir):
     """G5 with ε 0.1: hundreds of clusters, border points and noise per batch."""
-    return bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS, eps=0.1).select(
+    return bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS, eps=0.1, keep=[]).select(
         "batch_number", "row_idx", "Cluster")
 
 
@@ -386,7 +387,7 @@ def q_bisecting_kmeans_sizes(spark, sf_dir):
     Quantity/UnitPrice; cluster sizes."""
     from tillpoint.cluster.mixture import fit_bisecting
     z = scale(cleaned_sales(spark, sf_dir), _FEATS, "standard", suffix="_z")
-    _, out = fit_bisecting(z, ["Quantity_z", "UnitPrice_z"], 3)
+    _, out = fit_bisecting(z.select("Quantity_z", "UnitPrice_z"), ["Quantity_z", "UnitPrice_z"], 3)
     return agg.cluster_sizes(out, "Cluster")
 
 
@@ -399,7 +400,7 @@ SELECT BatchNumber, Cluster, {r('avg(Quantity)')} AS Quantity_mean, min(Quantity
 FROM rep WHERE Cluster <> -1 GROUP BY 1, 2""")
 def q_dbscan_report_summary(spark, sf_dir):
     """Per (batch, cluster) summary without noise."""
-    return rounded(bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS))["summary"])
+    return rounded(bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS, keep=[]))["summary"])
 
 
 @query("dbscan_report_counts", _dbscan_ctes(bt.EPS, bt.MIN_SAMPLES) + """
@@ -408,14 +409,14 @@ SELECT BatchNumber, count(DISTINCT CASE WHEN Cluster <> -1 THEN Cluster END) AS
 FROM rep GROUP BY 1""")
 def q_dbscan_report_counts(spark, sf_dir):
     """Clusters and noise rows per batch."""
-    return bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS))["counts"]
+    return bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS, keep=[]))["counts"]
 
 
 @query("dbscan_report_country", _dbscan_ctes(bt.EPS, bt.MIN_SAMPLES)
        + "SELECT Country, BatchNumber, Cluster, count(*) AS count FROM rep GROUP BY 1, 2, 3")
 def q_dbscan_report_country(spark, sf_dir):
     """Country × (batch, cluster) counts of the type-2 results."""
-    return bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS))["country"]
+    return bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS, keep=["Country"]))["country"]
 
 
 @query("dbscan_report_country_filled", _dbscan_ctes(bt.EPS, bt.MIN_SAMPLES) + """
@@ -424,7 +425,7 @@ FROM (SELECT DISTINCT Country, BatchNumber FROM rep) c JOIN (SELECT DISTINCT Bat
 LEFT JOIN rep ON rep.Country = c.Country AND rep.BatchNumber = c.BatchNumber AND rep.Cluster = k.Cluster GROUP BY 1, 2, 3""")
 def q_dbscan_report_country_filled(spark, sf_dir):
     """The same with the zero cells of each batch's table."""
-    return bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS))["country_filled"]
+    return bt.cluster_report(bt.dbscan_type2(sales_from_tables(spark, sf_dir), ORDER_KEYS, keep=["Country"]))["country_filled"]
 
 
 @query("dbscan_type1_scatter")

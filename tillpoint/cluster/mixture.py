@@ -8,6 +8,8 @@ index on ties.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.operators.encode import assemble
 from tillpoint.operators.scale import scale as scale_cols
+from tillpoint.session import cut_lineage
 
 
 def nearest_centre(cols: list[str], centres: list[list[float]]) -> Column:
@@ -60,23 +63,34 @@ def fit_kmeans(df: DataFrame, feature_cols: list[str], k: int, seed: int = 42,
     return model, out, [list(map(float, c)) for c in model.clusterCenters()]
 
 
-def inertia_k1(df: DataFrame, feature_cols: list[str]) -> DataFrame:
-    """Inertia for one cluster: Σ squared deviation from the mean (MLlib rejects k = 1)."""
+def _deviation(vec: DataFrame) -> DataFrame:
+    """``k`` = 1 and Σ squared deviation of ``_features`` from their mean."""
     stats = Summarizer.metrics("count", "variance").summary(F.col("_features"))
-    one = assemble(df, feature_cols, "_features").agg(stats.alias("s"))  # sample variances, of vector columns too
+    one = vec.agg(stats.alias("s"))  # sample variances, of vector columns too
     squares = F.aggregate(vector_to_array("s.variance"), F.lit(0.0), lambda a, v: a + v)
     return one.select(F.lit(1).alias("k"), (squares * (F.col("s.count") - 1)).alias("inertia"))
 
 
+def inertia_k1(df: DataFrame, feature_cols: list[str]) -> DataFrame:
+    """Inertia for one cluster: Σ squared deviation from the mean (MLlib rejects k = 1)."""
+    return _deviation(assemble(df, feature_cols, "_features"))
+
+
 def elbow(df: DataFrame, feature_cols: list[str], max_k: int = 10, seed: int = 42,
           max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
-    """``k, inertia`` for k = 1 … max_k − 1 on one cached vector frame, fitted as G1 fits."""
+    """``k, inertia`` for k = 1 … max_k − 1 on one cached vector frame, fitted as G1 fits.
+
+    The fits are submitted together: each is hundreds of short jobs, one after the other, that leave cores idle.
+    """
     spark = df.sparkSession
-    vec = assemble(df, feature_cols, "_features").select("_features").persist(StorageLevel.MEMORY_AND_DISK)
-    rows = [(1, float(inertia_k1(df, feature_cols).first()["inertia"]))]
-    for k in range(2, max_k):
-        m = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_features").fit(vec)
-        rows.append((k, float(m.summary.trainingCost)))
+    vec = cut_lineage(assemble(df, feature_cols, "_features").select("_features"), "persist")
+
+    def cost(k: int) -> float:
+        return float(KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_features").fit(vec).summary.trainingCost)
+
+    ks = range(2, max_k)
+    with ThreadPoolExecutor(max(1, len(ks))) as pool:
+        rows = [(1, float(_deviation(vec).first()["inertia"]))] + list(zip(ks, pool.map(cost, ks)))
     vec.unpersist()
     return spark.createDataFrame(rows, "k int, inertia double")
 

@@ -116,7 +116,7 @@ FROM bt GROUP BY 1"""))
 def q_batch_summary(spark, sf_dir):
     """The batches the chunked reader would produce, one row each."""
     s = sales_from_tables(spark, sf_dir)
-    b = with_batches(with_row_index(s, ORDER_KEYS), BATCH_SIZE)
+    b = with_batches(with_row_index(s, ORDER_KEYS, keep=["CustomerID", "InvoiceDate"]), BATCH_SIZE)
     return b.groupBy("batch_number").agg(
         F.count(F.lit(1)).alias("rows"), F.min("row_idx").alias("first_row"),
         F.max("row_idx").alias("last_row"), F.count("CustomerID").alias("with_customer"),

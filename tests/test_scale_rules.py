@@ -1,5 +1,7 @@
 """Results that must not depend on plans, partitions or outliers; operators without caps."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -18,7 +20,7 @@ from tillpoint.operators.quantiles import exact_quantiles
 from tillpoint.operators.rowindex import with_row_index
 from tillpoint.operators.windows import add_position
 from tillpoint.session import ensure_checkpoint_dir
-from tillpoint.sources.sales import read_sales_csv, sales_from_tables
+from tillpoint.sources.sales import ORDER_KEYS, SHORT_KEYS, read_sales_csv, sales_from_tables, sales_lines
 
 
 @pytest.mark.parametrize("partitions, adaptive, reuse", [
@@ -209,3 +211,66 @@ def test_the_registered_k_distance_curve_has_every_row(spark):
     assert curve["rank"].tolist() == list(range(int(kd.w.sum())))
     assert np.allclose(curve.distance, np.sort(np.repeat(kd.kdist, kd.w.astype(int))))
     assert len(E.queries()["k_distance_curve_101"](spark, SMALL).collect()) == 101
+
+
+def _sales_tables(spark, path):
+    """Small tables with repeated orders and lines, missing keys and values."""
+    day = lambda n: f"2000-01-{n:02d} 00:00:00"
+    lines = [(o, p, 1, n, q, 10.0 * n, f, day(n)) for o, p, n, q, f in [
+        (7, 1, 1, 5.0, "R"), (7, 2, 2, 3.0, "N"), (7, 2, 2, 3.0, "N"), (3, 1, 1, 4.0, "N"), (3, 9, 2, 1.0, "N"),
+        (5, 2, 3, None, "N"), (None, 1, 1, 2.0, "N"), (8, 1, 1, 2.0, None)]]
+    frames = {
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                            "l_extendedprice double, l_returnflag string, l_shipdate string"),
+        "orders": ([(7, 11, day(2)), (3, 12, day(1)), (3, 11, day(1)), (5, 13, day(3)), (8, None, day(4)), (None, 11, day(5))],
+                   "o_orderkey long, o_custkey long, o_orderdate string"),
+        "part": ([(1, "ring", 2.5), (2, None, 1.5), (None, "x", 1.0)], "p_partkey long, p_name string, p_retailprice double"),
+        "customer": ([(11, 1), (12, 1), (13, 2), (None, 1)], "c_custkey long, c_nationkey int"),
+        "nation": ([(1, "A"), (2, None)], "n_nationkey int, n_name string")}
+    for name, (rows, schema) in frames.items():
+        df = spark.createDataFrame(rows, schema)
+        for c in ("l_shipdate", "o_orderdate"):
+            if c in df.columns:
+                df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+        df.coalesce(1).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_narrow_sales_lines_are_the_rows_of_the_sales_view(spark, tmp_path):
+    d = _sales_tables(spark, tmp_path)
+    key = lambda rows: sorted(map(str, rows))
+    wide = sales_from_tables(spark, d)
+    assert sales_lines(spark, d).schema.simpleString() == wide.schema.simpleString() and wide.count() == 6
+    assert key(sales_lines(spark, d).collect()) == key(wide.collect())
+    short = sales_lines(spark, d, [*SHORT_KEYS, "l_partkey"]).orderBy(*SHORT_KEYS).collect()
+    assert [r.l_partkey for r in short] == [r.l_partkey for r in wide.orderBy(*ORDER_KEYS).collect()]
+
+
+def test_sales_lines_are_exchanged_twice_and_numbered_on_the_way(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sales_lines(spark, SMALL, [*SHORT_KEYS, "Quantity", "UnitPrice", "CustomerID"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    by = [re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\(([^,]*)", plan)]
+    assert sorted(x for x in by if x.startswith("l_")) == ["l_orderkey", "l_partkey"]
+
+
+def test_dbscan_rows_are_exchanged_without_their_scaled_values(spark, monkeypatch):
+    from tillpoint.cluster import batched, dbscan
+
+    seen = []
+    cut = dbscan.cut_lineage
+    monkeypatch.setattr(dbscan, "cut_lineage", lambda df, how="checkpoint": (
+        seen.append((df, df._jdf.queryExecution().optimizedPlan().toString())), cut(df, how))[1])
+    rows = spark.range(400).select((F.col("id") % 7).cast("int").alias("Quantity"), (F.col("id") % 11 * 0.5).alias("UnitPrice"),
+                                   (F.col("id") % 13).alias("CustomerID"), "id")
+    out = batched.dbscan_type2(rows, ["id"], batch_size=100)
+    assert out.columns == ["batch_number", "Quantity", "UnitPrice", "CustomerID", "id", "row_idx", "Cluster", "BatchNumber"]
+    rows, plan = seen[0]
+    above, below = plan.split("RepartitionByExpression", 1)
+    assert " AS _x0" in above and " AS _x0" not in below and "Quantity_s#" not in below
+    # grouping by cells needs no further exchange
+    cells = rows.groupBy("batch_number", "_c0", "_c1", "_c2").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in cells.split("InMemoryTableScan")[0]

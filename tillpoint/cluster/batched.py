@@ -15,7 +15,7 @@ from tillpoint.functions.dates import whole_days_between
 from tillpoint.operators import aggregates as agg
 from tillpoint.operators.cleaning import drop_missing
 from tillpoint.operators.rowindex import with_batches, with_row_index
-from tillpoint.operators.scale import scale
+from tillpoint.operators.scale import scaled_value, with_parameters
 from tillpoint.session import cut_lineage
 
 # The batched jobs' parameters.
@@ -42,10 +42,8 @@ def dbscan_type1(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE,
     b = b.join(first, "batch_number").withColumn("DaysSinceFirstPurchase", whole_days_between(F.col("_first"), F.col("InvoiceDate")))
     b = drop_missing(b, TYPE1_FEATURES).select(
         "row_idx", "batch_number", *[F.col(c).cast("double").alias(c) for c in TYPE1_FEATURES])
-    scaled = scale(b, TYPE1_FEATURES, scaler, keys=["batch_number"], suffix="_s")
-    feats = [f"{c}_s" for c in TYPE1_FEATURES]
-    out = dbscan(scaled, feats, eps, min_samples, keys=["batch_number"])
-    return out.drop(*feats)
+    b, params = with_parameters(b, TYPE1_FEATURES, scaler, ["batch_number"])
+    return dbscan(b, [scaled_value(c) for c in TYPE1_FEATURES], eps, min_samples, keys=["batch_number"], drop=params)
 
 
 def dbscan_type2(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE,
@@ -57,10 +55,9 @@ def dbscan_type2(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE,
     if keep is not None:
         keep = TYPE2_FEATURES + [c for c in keep if c not in TYPE2_FEATURES]
     b = drop_missing(batched(df, order_keys, batch_size, keep), TYPE2_FEATURES)
-    scaled = scale(b, TYPE2_FEATURES, scaler, keys=["batch_number"], suffix="_s")
-    feats = [f"{c}_s" for c in TYPE2_FEATURES]
-    out = dbscan(scaled, feats, eps, min_samples, keys=["batch_number"])
-    return out.drop(*feats).withColumn("BatchNumber", F.col("batch_number"))
+    b, params = with_parameters(b, TYPE2_FEATURES, scaler, ["batch_number"])
+    out = dbscan(b, [scaled_value(c) for c in TYPE2_FEATURES], eps, min_samples, keys=["batch_number"], drop=params)
+    return out.withColumn("BatchNumber", F.col("batch_number"))
 
 
 def cluster_report(results: DataFrame, merge_batches: bool = False) -> dict[str, DataFrame]:

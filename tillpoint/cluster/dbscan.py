@@ -201,13 +201,14 @@ def closest_within(pairs: DataFrame, points: DataFrame, keys: list[str], d: int,
                        .select(*keys, "a", "b", F.col("abox2").alias("abox"), F.col("bbox2").alias("bbox"))
 
 
-def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples: int = 5,
+def dbscan(df: DataFrame, feature_cols: list[str | Column], eps: float = 0.5, min_samples: int = 5,
            id_col: str = "row_idx", keys: list[str] | None = None,
-           out_col: str = "Cluster") -> DataFrame:
-    """Label every row of ``df`` (all columns kept) with ``out_col``.
+           out_col: str = "Cluster", drop: list[str] | None = None) -> DataFrame:
+    """Label every row of ``df`` (all columns but those of ``drop`` kept) with ``out_col``.
 
     ``id_col`` gives the row position used for numbering; it must be unique
-    within each key. Feature columns must be non-null.
+    within each key. Features are columns or expressions, non-null; expressions are computed
+    on both sides of the rows' exchange, so that it carries only their inputs (``drop`` names those of no further use).
     """
     keys = list(keys or [])
     d = len(feature_cols)
@@ -219,9 +220,10 @@ def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples
 
     # the rows go to their cells once: points, cells and the way back to the rows share this exchange
     features, at = [f"_{x}" for x in xs], [f"_{c}" for c in cs]
-    rows = df.withColumns({f: F.col(c).cast("double") for c, f in zip(feature_cols, features)})
-    rows = rows.withColumns({c: F.floor(F.col(f) / F.lit(side)).cast("long") for c, f in zip(at, features)})
-    rows = cut_lineage(rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, *at), "persist")
+    value = {f: (F.col(c) if isinstance(c, str) else c).cast("double") for c, f in zip(feature_cols, features)}
+    place = {c: F.floor(value[f] / F.lit(side)).cast("long") for c, f in zip(at, features)}
+    rows = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, *place.values())
+    rows = cut_lineage(rows.withColumns(value | place).drop(*(drop or [])), "persist")
 
     # 1. weighted distinct points and their cells; a cell is named by its least pid
     pts = (rows.select(*keys, F.col(id_col).cast("long").alias("_id"), *[F.col(f).alias(x) for f, x in zip(features, xs)],
@@ -305,4 +307,4 @@ def dbscan(df: DataFrame, feature_cols: list[str], eps: float = 0.5, min_samples
     named = listed.unionByName(whole.withColumn("_of", F.col("_of").cast(listed.schema["_of"].dataType)))
     same = lambda p: reduce(Column.__and__, [p[x] == F.col(f) for x, f in zip(xs, features)])
     cluster = F.coalesce(F.col("_cl"), F.get(F.filter("_of", same), F.lit(0))["cl"], F.lit(-1))
-    return rows.join(named, keys + at, "left").select(*[F.col(f"`{c}`") for c in df.columns], cluster.cast("int").alias(out_col))
+    return rows.join(named, keys + at, "left").select(*[F.col(f"`{c}`") for c in df.columns if c not in (drop or [])], cluster.cast("int").alias(out_col))

@@ -14,7 +14,7 @@ computed with plain aggregates:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.operators.quantiles import exact_quantiles
@@ -53,6 +53,11 @@ def fit_scaler(df: DataFrame, cols: list[str], kind: str = "standard",
     raise ValueError(f"kind must be one of {KINDS}")
 
 
+def scaled_value(c: str) -> Column:
+    """(x − center) / scale of a row that the parameters are joined to."""
+    return (F.col(c) - F.col(f"{c}_center")) / F.col(f"{c}_scale")
+
+
 def _join(df: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     if keys:
         return df.join(params, keys, "left")
@@ -64,8 +69,7 @@ def apply_scaler(df: DataFrame, params: DataFrame, cols: list[str],
     """(x − center) / scale; ``suffix=''`` replaces the columns in place."""
     keys = list(keys or [])
     j = _join(df, params, keys)
-    j = j.withColumns({f"{c}{suffix}": (F.col(c) - F.col(f"{c}_center")) / F.col(f"{c}_scale")
-                       for c in cols})
+    j = j.withColumns({f"{c}{suffix}": scaled_value(c) for c in cols})
     return j.drop(*[f"{c}_{p}" for c in cols for p in ("center", "scale")])
 
 
@@ -79,6 +83,13 @@ def inverse_scaler(df: DataFrame, params: DataFrame, cols: list[str],
     return j.drop(*[f"{c}_{p}" for c in cols for p in ("center", "scale")])
 
 
+def with_parameters(df: DataFrame, cols: list[str], kind: str, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with the parameters of its own fit per ``keys`` beside each row, and their columns' names: ``scaled_value``
+    is computed from them where it is needed."""
+    params = cut_lineage(fit_scaler(df, cols, kind, keys), "persist")
+    return _join(df, params, keys), [c for c in params.columns if c not in keys]
+
+
 def scale(df: DataFrame, cols: list[str], kind: str = "standard",
           keys: list[str] | None = None, fit_on: DataFrame | None = None,
           suffix: str = "") -> DataFrame:

@@ -274,3 +274,14 @@ def test_dbscan_rows_are_exchanged_without_their_scaled_values(spark, monkeypatc
     # grouping by cells needs no further exchange
     cells = rows.groupBy("batch_number", "_c0", "_c1", "_c2").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in cells.split("InMemoryTableScan")[0]
+
+
+
+
+def test_cluster_summary_counts_customers_of_missing_batches(spark):
+    from tillpoint.operators.aggregates import cluster_summary
+
+    df = spark.createDataFrame([(1, 0, 2, 1.0, 5), (1, 0, 3, 2.0, 5), (1, 0, 4, 3.0, None), (None, 0, 1, 1.0, 6), (None, 0, 1, 1.0, 7),
+                                (2, 1, 1, 1.0, None), (2, -1, 1, 1.0, 9)], "b int, Cluster int, Quantity int, UnitPrice double, CustomerID long")
+    got = {(r.b, r.Cluster): (r.Quantity_count, r.Quantity_mean, r.CustomerID_nunique) for r in cluster_summary(df, keys=["b"]).collect()}
+    assert got == {(1, 0): (3, 3.0, 1), (None, 0): (2, 1.0, 2), (2, 1): (1, 1.0, 0)}

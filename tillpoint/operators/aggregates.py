@@ -8,7 +8,9 @@ Spark as an aggregation on (key, value) first, which also splits hot keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.functions.dates import weekday_monday0
@@ -85,17 +87,20 @@ def cluster_summary(df: DataFrame, cluster_col: str = "Cluster",
     """Per cluster without noise — Quantity mean/min/max/count, UnitPrice
     mean/min/max, distinct customers. ``keys`` (e.g. ``batch_number``) keeps
     batch-local labels apart (B9)."""
-    keys = list(keys or [])
-    return (df.where(F.col(cluster_col) != -1)
-              .groupBy(*keys, cluster_col)
-              .agg(F.avg("Quantity").alias("Quantity_mean"),
-                   F.min("Quantity").alias("Quantity_min"),
-                   F.max("Quantity").alias("Quantity_max"),
-                   F.count("Quantity").alias("Quantity_count"),
-                   F.avg("UnitPrice").alias("UnitPrice_mean"),
-                   F.min("UnitPrice").alias("UnitPrice_min"),
-                   F.max("UnitPrice").alias("UnitPrice_max"),
-                   F.count_distinct("CustomerID").alias("CustomerID_nunique")))
+    by = [*(keys or []), cluster_col]
+    kept = df.where(F.col(cluster_col) != -1)
+    out = kept.groupBy(*by).agg(F.avg("Quantity").alias("Quantity_mean"),
+                                F.min("Quantity").alias("Quantity_min"),
+                                F.max("Quantity").alias("Quantity_max"),
+                                F.count("Quantity").alias("Quantity_count"),
+                                F.avg("UnitPrice").alias("UnitPrice_mean"),
+                                F.min("UnitPrice").alias("UnitPrice_min"),
+                                F.max("UnitPrice").alias("UnitPrice_max"))
+    # counted apart: beside the others, every (cluster, customer) would be exchanged with all their partial sums
+    seen = kept.where(F.col("CustomerID").isNotNull()).select(*[F.col(c).alias(f"_{c}") for c in by], "CustomerID").distinct() \
+               .groupBy(*[f"_{c}" for c in by]).agg(F.count(F.lit(1)).alias("_n"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return out.join(seen, same, "left").select(*out.columns, F.coalesce("_n", F.lit(0)).alias("CustomerID_nunique"))
 
 
 def country_cluster_counts(df: DataFrame, cluster_col: str = "Cluster",

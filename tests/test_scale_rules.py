@@ -19,6 +19,8 @@ from tillpoint.operators.encode import kmeans_design, one_hot_vector
 from tillpoint.operators.quantiles import exact_quantiles
 from tillpoint.operators.rowindex import with_row_index
 from tillpoint.operators.windows import add_position
+from tillpoint.plans.cleaning import cleaned_lines
+from tillpoint.plans.forecasting import daily_split
 from tillpoint.session import ensure_checkpoint_dir
 from tillpoint.sources.sales import ORDER_KEYS, SHORT_KEYS, read_sales_csv, sales_from_tables, sales_lines
 
@@ -276,6 +278,20 @@ def test_dbscan_rows_are_exchanged_without_their_scaled_values(spark, monkeypatc
     assert "Exchange" not in cells.split("InMemoryTableScan")[0]
 
 
+def test_daily_split_reads_the_lines_once_and_caches_only_what_it_sums(spark):
+    spark.catalog.clearCache()
+    plan = daily_split(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and "Aggregate" not in plan
+    lines = cleaned_lines(spark, SMALL, ["InvoiceDate", "Quantity", "UnitPrice"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Description" not in re.search(r"InMemoryRelation \[([^\]]*)\]", lines)[1]
+
+
+def test_arima_stages_do_not_carry_earlier_plans(spark):
+    days = pd.date_range("2020-01-01", periods=120)
+    df = spark.createDataFrame(pd.DataFrame({"Date": days.date, "Sales": np.sin(np.arange(120) / 3),
+                                             "split": np.where(np.arange(120) < 100, "train", "test")}))
+    plan = arima_forecast(df, p=2, q=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "InMemoryRelation" not in plan
 
 
 def test_cluster_summary_counts_customers_of_missing_batches(spark):

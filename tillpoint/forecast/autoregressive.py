@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,9 +95,10 @@ def arima_forecast(df: DataFrame, date_col: str = "Date", value_col: str = "Sale
     ar, ma = sorted({*range(1, p + 1), *seasonal}), sorted({*range(1, q + 1), *seasonal})
     m = long_ar or max([*ar, *ma, 1]) * 2
     m = max([m, *ar])
-    # the aggregated series is small (days × series) and used several times
+    # the aggregated series is small (days × series) and used several times; what each stage makes of it is checkpointed,
+    # so that no later job goes through the plans of the earlier ones again
     rows = cut_lineage(numbered(df.select(*keys, date_col, split_col, value_col, *exog), date_col, split_col, keys),
-                       "persist")
+                       "checkpoint")
     train, test = rows.where(F.col("step").isNull()), rows.where(F.col("step").isNotNull())
     train = train.withColumn("_noise", F.col(value_col).cast("double"))
     test = test.withColumn("_part", F.lit(0.0))
@@ -107,7 +107,7 @@ def arima_forecast(df: DataFrame, date_col: str = "Date", value_col: str = "Sale
         for i, x in enumerate(exog):
             moved = difference(moved, x, "pos", keys, season, f"_dx{i}")
         beta = cut_lineage(fit_least_squares(moved, [f"_dx{i}" for i in range(len(exog))], "_dv", keys, ridge=1e-9)
-                           .select(*keys, F.col("coef").alias("_beta")), "persist")
+                           .select(*keys, F.col("coef").alias("_beta")), "checkpoint")
         part = sum((F.col("_beta")[i + 1] * F.col(x) for i, x in enumerate(exog)), F.lit(0.0))
 
         def with_beta(d: DataFrame) -> DataFrame:
@@ -115,13 +115,13 @@ def arima_forecast(df: DataFrame, date_col: str = "Date", value_col: str = "Sale
         train = with_beta(train).withColumn("_noise", F.col(value_col) - part).drop("_beta")
         test = with_beta(test).withColumn("_part", part).drop("_beta")
     train = train.select(*keys, "pos", "_noise")
-    lagged = lag_design(train, "_noise", "pos", keys, list(range(1, m + 1)), season).persist(StorageLevel.MEMORY_AND_DISK)
+    lagged = cut_lineage(lag_design(train, "_noise", "pos", keys, list(range(1, m + 1)), season), "checkpoint")
     ar_feats = [f"l_{i}" for i in range(1, m + 1)]
-    c1 = fit_least_squares(lagged, ar_feats, "dy", keys, ridge=ridge)
+    c1 = cut_lineage(fit_least_squares(lagged, ar_feats, "dy", keys, ridge=ridge), "checkpoint")
     res = predict(lagged, c1, ar_feats, keys, "_fit").withColumn("e", F.col("dy") - F.col("_fit")).drop("_fit")
     feats2 = [f"l_{i}" for i in ar] + [f"el_{j}" for j in ma]
-    res = lag_columns(res, "e", ma, "pos", keys, diff=False, prefix="el").persist(StorageLevel.MEMORY_AND_DISK)
-    c2 = fit_least_squares(res, feats2, "dy", keys, ridge=ridge)
+    res = cut_lineage(lag_columns(res, "e", ma, "pos", keys, diff=False, prefix="el"), "checkpoint")
+    c2 = cut_lineage(fit_least_squares(res, feats2, "dy", keys, ridge=ridge), "checkpoint")
 
     # tails: last observations per series, for the recursion
     tail_n = max([*ar, *ma, m, season]) + 1

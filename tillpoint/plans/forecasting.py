@@ -13,7 +13,7 @@ from tillpoint.operators import aggregates as agg
 from tillpoint.operators import scale as sc
 from tillpoint.operators import windows as win
 from tillpoint.operators.rowindex import with_row_index
-from tillpoint.plans.cleaning import cleaned_sales
+from tillpoint.plans.cleaning import cleaned_lines, cleaned_sales, daily_cleaned
 from tillpoint.plans.common import CLEAN_CTES, r, rounded, with_sales
 from tillpoint.plans.registry import query
 from tillpoint.plans.transforms import SPLIT_DATE, TEST_RANGE, TRAIN_RANGE
@@ -25,7 +25,8 @@ SEASON = 7
 
 
 def daily_split(spark, sf_dir, overlap: bool = False):
-    return split_at_date(agg.daily_sales(cleaned_sales(spark, sf_dir)), "Date", SPLIT_DATE, overlap)
+    """The daily series, summed once: both sides of the split, and whatever reads them, take the few summed rows."""
+    return split_at_date(cut_lineage(daily_cleaned(spark, sf_dir)), "Date", SPLIT_DATE, overlap)
 
 
 @query("split_series", with_sales(*CLEAN_CTES, _DAILY) + f"""
@@ -113,7 +114,7 @@ SELECT 'train', count(*) - CAST(ceil(0.2 * count(*)) AS BIGINT) FROM clean
 def q_holdout_sizes(spark, sf_dir):
     """M8 + P5: seeded 80/20 hold-out of the training lines — exactly
     ceil(20 %) rows go to validation, independent of partitioning."""
-    clean = cleaned_sales(spark, sf_dir)
+    clean = cleaned_lines(spark, sf_dir, ["InvoiceNo", *ORDER_KEYS])
     tr = split_timestamp_ranges(clean, "InvoiceDate", TRAIN_RANGE, TEST_RANGE).where("split = 'train'")
     h = random_holdout(tr.drop("split"), ["InvoiceNo", "l_partkey", "l_suppkey", "l_linenumber",
                                           "l_extendedprice", "l_shipdate"])
@@ -215,11 +216,11 @@ def _sequences(spark, sf_dir, grain: str = "day", length: int = 30):
     keys. The first test targets have the train tail as context.
     """
     from tillpoint.forecast.split import split_date_ranges
-    clean = cleaned_sales(spark, sf_dir)
     if grain == "day":
-        series = agg.daily_sales(clean)
+        series = daily_cleaned(spark, sf_dir)
         placed = win.add_position(series, "Date", [], "pos")
     elif grain == "line":
+        clean = cleaned_lines(spark, sf_dir, [*ORDER_KEYS, "Quantity", "UnitPrice"])
         series = clean.select(*ORDER_KEYS, F.to_date("InvoiceDate").alias("Date"),
                               (F.col("Quantity") * F.col("UnitPrice")).alias("Sales"))
         placed = with_row_index(series, ORDER_KEYS, col="pos")

@@ -301,3 +301,11 @@ def test_cluster_summary_counts_customers_of_missing_batches(spark):
                                 (2, 1, 1, 1.0, None), (2, -1, 1, 1.0, 9)], "b int, Cluster int, Quantity int, UnitPrice double, CustomerID long")
     got = {(r.b, r.Cluster): (r.Quantity_count, r.Quantity_mean, r.CustomerID_nunique) for r in cluster_summary(df, keys=["b"]).collect()}
     assert got == {(1, 0): (3, 3.0, 1), (None, 0): (2, 1.0, 2), (2, 1): (1, 1.0, 0)}
+
+
+def test_split_sizes_reads_the_cached_lines_for_the_ranges_alone(spark):
+    from tillpoint.plans.transforms import q_split_sizes
+
+    out = q_split_sizes(spark, SMALL)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") <= 2
+    assert out.count() == 8

@@ -9,7 +9,7 @@ from tillpoint.functions import dates as dt
 from tillpoint.operators import aggregates as agg
 from tillpoint.operators import windows as win
 from tillpoint.operators.rowindex import with_batches, with_row_index
-from tillpoint.plans.cleaning import cleaned_sales
+from tillpoint.plans.cleaning import cleaned_lines, daily_cleaned
 from tillpoint.plans.common import CLEAN_CTES, KEYS_SQL, r, rounded, with_sales
 from tillpoint.plans.registry import query
 from tillpoint.sources.sales import ORDER_KEYS, sales_from_tables
@@ -18,6 +18,7 @@ from tillpoint.sources.sales import ORDER_KEYS, sales_from_tables
 BATCH_SIZE = 50_000
 SEQ_LEN = 30
 LAGS = list(range(1, 13))
+_FEATURE_COLS = ["InvoiceDate", "InvoiceNo", "Quantity", "UnitPrice"]
 
 
 @query("dates_parsed", with_sales() + f"""
@@ -55,13 +56,13 @@ FROM clean GROUP BY 1"""
 @query("daily_features_timestamp", _features_sql("InvoiceDate"))
 def q_daily_features_timestamp(spark, sf_dir):
     """A2–A5 per full timestamp (the original grain, B6)."""
-    return rounded(agg.daily_features(cleaned_sales(spark, sf_dir), grain="timestamp"), 4)
+    return rounded(agg.daily_features(cleaned_lines(spark, sf_dir, _FEATURE_COLS), grain="timestamp"), 4)
 
 
 @query("daily_features_day", _features_sql("CAST(CAST(InvoiceDate AS DATE) AS TIMESTAMP)"))
 def q_daily_features_day(spark, sf_dir):
     """A2–A5 per calendar day (default grain)."""
-    return rounded(agg.daily_features(cleaned_sales(spark, sf_dir), grain="day"), 4)
+    return rounded(agg.daily_features(cleaned_lines(spark, sf_dir, _FEATURE_COLS), grain="day"), 4)
 
 
 @query("daily_sales_filled", with_sales(*CLEAN_CTES,
@@ -70,7 +71,7 @@ def q_daily_features_day(spark, sf_dir):
     + "SELECT g.Date, coalesce(d.Sales, 0.0) AS Sales FROM g LEFT JOIN d USING (Date)")
 def q_daily_sales_filled(spark, sf_dir):
     """A1 with ``fill_days=True`` (B18): days without sales appear with 0."""
-    return agg.daily_sales(cleaned_sales(spark, sf_dir), fill_days=True)
+    return daily_cleaned(spark, sf_dir, fill_days=True)
 
 
 @query("daily_sales_by_country", with_sales(*CLEAN_CTES) + """
@@ -78,7 +79,7 @@ SELECT Country, CAST(InvoiceDate AS DATE) AS Date, round_even(sum(Quantity * Uni
 FROM clean GROUP BY 1, 2""")
 def q_daily_sales_by_country(spark, sf_dir):
     """A1 with a series key: one daily series per country."""
-    return agg.daily_sales(cleaned_sales(spark, sf_dir), keys=["Country"])
+    return daily_cleaned(spark, sf_dir, keys=["Country"])
 
 
 @query("row_index", with_sales() + f"""
@@ -124,7 +125,7 @@ def q_batch_summary(spark, sf_dir):
 
 
 def daily_clean_indexed(spark, sf_dir):
-    daily = agg.daily_sales(cleaned_sales(spark, sf_dir))
+    daily = daily_cleaned(spark, sf_dir)
     return win.add_position(daily, "Date", [], "pos")
 
 

@@ -8,20 +8,24 @@ index on ties.
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillpoint.cluster.lloyd import Leaves, lloyd
 from tillpoint.operators.encode import assemble
 from tillpoint.operators.scale import scale as scale_cols
 from tillpoint.session import cut_lineage
 
+FEW_ROWS = 1 << 18  # K-Means rounds over fewer are left to MLlib
+
 
 def nearest_centre(cols: list[str], centres: list[list[float]]) -> Column:
     """Index of the closest centre (squared distance, first on ties)."""
@@ -56,13 +60,48 @@ def fit_kmeans(df: DataFrame, feature_cols: list[str], k: int, seed: int = 42,
     """G1: fit K-Means on the (unscaled by default, B11) features and label
     every row; returns (model, labelled DataFrame, centres)."""
     data = scale_cols(df, feature_cols, "standard") if scale else df
-    vec = assemble(data, feature_cols, "_features").persist(StorageLevel.MEMORY_AND_DISK)
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_features",
-                   predictionCol=out_col).fit(vec)
-    out = model.transform(vec).drop("_features")
+    rows = assemble(data, feature_cols, "_features")
+    vec = cut_lineage(rows.select("_features"), "persist")  # the rounds need no other column
+    (model, _), = _fitted(vec, [k], seed, max_iter, tol, out_col)
+    vec.unpersist()
+    out = model.transform(rows).drop("_features")
     return model, out, [list(map(float, c)) for c in model.clusterCenters()]
 
 
+def _fitted(vec: DataFrame, ks: list[int], seed: int, max_iter: int, tol: float, out_col: str = "prediction") -> list[tuple[KMeansModel, float]]:
+    """MLlib's K-Means model and inertia for each of ``ks`` over the cached ``_features`` of ``vec``.
+
+    MLlib chooses the first centres (k-means||, seeded) at all sizes. Over few rows it also runs the rounds; over many the
+    fits go on together on leaves (``lloyd.py``), which gives the same rounds without reading every row in each.
+    """
+    def fit(k: int, rounds: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed, maxIter=rounds, tol=tol, featuresCol="_features", predictionCol=out_col).fit(vec)
+
+    def whole(k: int) -> tuple[KMeansModel, float]:
+        model = fit(k, max_iter)
+        return model, float(model.summary.trainingCost)
+
+    with ThreadPoolExecutor(max(1, len(ks))) as pool:  # each is many short jobs that leave cores idle
+        if not ks or vec.count() < FEW_ROWS or max_iter < 1:
+            return list(pool.map(whole, ks))
+        starts = list(pool.map(lambda k: np.array(fit(k, 0).clusterCenters()), ks))
+        leaves = Leaves(vec)
+        ends = lloyd(leaves, starts, max_iter, tol)
+        leaves.close()
+        return list(pool.map(lambda k, end: whole(k) if end is None else (_model(vec, end[0], out_col), end[1]), ks, ends))
+
+
+def _model(vec: DataFrame, centres: np.ndarray, out_col: str) -> KMeansModel:
+    """MLlib's model with these centres."""
+    sc = vec.sparkSession.sparkContext
+    rows = sc._jvm.java.util.ArrayList()
+    for c in centres:
+        rows.add(sc._jvm.org.apache.spark.mllib.linalg.Vectors.dense(float(c[0]), sc._jvm.PythonUtils.toSeq([float(v) for v in c[1:]])))
+    parent = sc._jvm.org.apache.spark.mllib.clustering.KMeansModel(rows)
+    model = KMeansModel(sc._jvm.org.apache.spark.ml.clustering.KMeansModel(f"KMeans_{uuid.uuid4().hex[:12]}", parent))
+    return model.setFeaturesCol("_features").setPredictionCol(out_col)
+
+
 def _deviation(vec: DataFrame) -> DataFrame:
     """``k`` = 1 and Σ squared deviation of ``_features`` from their mean."""
     stats = Summarizer.metrics("count", "variance").summary(F.col("_features"))
@@ -80,17 +119,13 @@ def elbow(df: DataFrame, feature_cols: list[str], max_k: int = 10, seed: int = 4
           max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
     """``k, inertia`` for k = 1 … max_k − 1 on one cached vector frame, fitted as G1 fits.
 
-    The fits are submitted together: each is hundreds of short jobs, one after the other, that leave cores idle.
+    The fits go on together (``_fitted``).
     """
     spark = df.sparkSession
     vec = cut_lineage(assemble(df, feature_cols, "_features").select("_features"), "persist")
-
-    def cost(k: int) -> float:
-        return float(KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_features").fit(vec).summary.trainingCost)
-
-    ks = range(2, max_k)
-    with ThreadPoolExecutor(max(1, len(ks))) as pool:
-        rows = [(1, float(_deviation(vec).first()["inertia"]))] + list(zip(ks, pool.map(cost, ks)))
+    ks = list(range(2, max_k))
+    costs = [cost for _, cost in _fitted(vec, ks, seed, max_iter, tol)]
+    rows = [(1, float(_deviation(vec).first()["inertia"]))] + list(zip(ks, costs))
     vec.unpersist()
     return spark.createDataFrame(rows, "k int, inertia double")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tillpoint.cluster import batched as bt
@@ -13,11 +16,11 @@ from tillpoint.operators.encode import kmeans_design
 from tillpoint.operators.pca import fit_pca
 from tillpoint.operators.quantiles import exact_quantiles
 from tillpoint.operators.scale import scale
-from tillpoint.plans.cleaning import cleaned_sales
+from tillpoint.plans.cleaning import cleaned, cleaned_sales
 from tillpoint.plans.common import CLEAN_CTES, KEYS_SQL, r, rounded, with_sales
 from tillpoint.plans.registry import query
 from tillpoint.plans.transforms import _PCA_CTES, standardized_pca_input
-from tillpoint.sources.sales import EXTRA_KEYS, ORDER_KEYS, SALES_COLUMNS, SHORT_KEYS, sales_lines
+from tillpoint.sources.sales import EXTRA_KEYS, ORDER_KEYS, SALES_COLUMNS, SHORT_KEYS, sales_from_tables, sales_lines
 
 # Seeding of the exact assignment check: centres at these quantiles of each feature.
 SEED_PROBS = [1 / 6, 1 / 2, 5 / 6]
@@ -140,9 +143,13 @@ def q_assigned_cluster_counts(spark, sf_dir):
     return agg.cluster_counts(quantile_seeded(spark, sf_dir), "Cluster")
 
 
-def _design(spark, sf_dir):
-    df = cl.drop_missing(cleaned_sales(spark, sf_dir))
-    return kmeans_design(df)
+def _design(spark, sf_dir, keys=()):
+    """The K-Means design of the cleaned rows without gaps, with ``keys`` beside it. What a row has besides is only asked for gaps."""
+    sales = sales_from_tables(spark, sf_dir)
+    columns = list(dict.fromkeys([*_FEATS, "StockCode", "Country", *keys]))
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in sales.columns if c not in columns], F.lit(True))
+    df = cl.drop_missing(cleaned(sales.select(*columns, F.when(whole, True).alias("_whole"))))
+    return kmeans_design(df.drop("_whole"))
 
 
 @query("elbow_k1", with_sales(*CLEAN_CTES,
@@ -162,7 +169,7 @@ def q_elbow_k1(spark, sf_dir):
 @query("kmeans_labels")
 def q_kmeans_labels(spark, sf_dir):
     """G1: K-Means (k = 3, seed 42) on the unscaled design (B11); one label per row."""
-    design, feats = _design(spark, sf_dir)
+    design, feats = _design(spark, sf_dir, EXTRA_KEYS)
     design = design.select(*[c for c in ORDER_KEYS if c in design.columns], *feats)
     _, out, _ = fit_kmeans(design, feats, 3, seed=42)
     return out.select(*[c for c in ORDER_KEYS if c in out.columns], "Cluster")

@@ -15,8 +15,8 @@ from tillpoint.operators import profile as pf
 from tillpoint.plans.common import (CLEAN_CTES, EXTRA_KEYS_SQL, IQR_FACTOR, KEYS_SQL, OUTLIER_COLS,
                                     THRESHOLD_T, r, rounded, with_sales)
 from tillpoint.plans.registry import query
-from tillpoint.session import scratch_path
-from tillpoint.sources.sales import (EXTRA_KEYS, ORDER_KEYS, SALES_COLUMNS, SALES_SCHEMA,
+from tillpoint.session import scratch_path, shuffles_released
+from tillpoint.sources.sales import (EXTRA_KEYS, ORDER_KEYS, SALES_COLUMNS, SALES_SCHEMA, SHARES,
                                      read_sales_csv, sales_from_tables, sales_lines, write_csv)
 
 
@@ -77,11 +77,14 @@ def q_sales_csv_roundtrip(spark, sf_dir):
 
 @query("sales_csv_float_ids", with_sales() + f"SELECT {_BUSINESS_SQL}, {EXTRA_KEYS_SQL}, 0::BIGINT AS n_malformed FROM sales")
 def q_sales_csv_float_ids(spark, sf_dir):
-    """Customer ids with gaps, written as floats (``17850.0``) and quoted line feeds allowed, come back whole."""
+    """Customer ids with gaps, written as floats (``17850.0``) and quoted line feeds allowed, come back whole.
+    A file is read by one task in any case, so it is compressed."""
     path = scratch_path(spark, f"sales_csv_{uuid.uuid4().hex}")
-    sales = sales_from_tables(spark, sf_dir)
-    write_csv(sales.withColumns({"CustomerID": F.col("CustomerID").cast("double"),
-                                 "InvoiceDate": F.date_format("InvoiceDate", "M/d/yyyy H:mm")}), path)
+    for share in range(SHARES):
+        sales = sales_lines(spark, sf_dir, share=share)
+        with shuffles_released(spark):
+            write_csv(sales.withColumns({"CustomerID": F.col("CustomerID").cast("double"),
+                                         "InvoiceDate": F.date_format("InvoiceDate", "M/d/yyyy H:mm")}), path, "append", "gzip")
     key_fields = [T.StructField(k, sales.schema[k].dataType, True) for k in EXTRA_KEYS]
     back = read_sales_csv(spark, path, schema=T.StructType(SALES_SCHEMA.fields + key_fields), multi_line=True, malformed="_bad")
     return back.withColumn("n_malformed", F.size("_bad").cast("long")).drop("_bad")

@@ -31,6 +31,8 @@ EXTRA_KEYS = ORDER_KEYS[1:]
 # The same order for ``sales_lines``, which can number the lines of an order key.
 LINE = "_line"
 SHORT_KEYS = ["InvoiceDate", "l_orderkey", LINE]
+# Shares of the order keys that are joined one after the other where the exchanges of all would not fit the disk.
+SHARES = 4
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -81,7 +83,7 @@ def sales_from_tables(spark: SparkSession, sf_dir: str, with_keys: bool = True)
     return joined.select(*cols)
 
 
-def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, share: int | None = None) -> DataFrame:
     """The rows of ``sales_from_tables`` with ``columns`` (default: all), with two exchanges of the lines instead of three.
 
     Orders meet customers and nations before the lines do, and what a line alone decides is computed where it is read,
@@ -89,6 +91,8 @@ def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
     ``columns`` may name ``LINE``, the line's number by the other order keys among the lines of its order key
     (``SHORT_KEYS`` give the order of ``ORDER_KEYS``): the lines are numbered where they wait for their order, and the
     keys it stands for go no further.
+    ``share`` (0 … ``SHARES`` − 1) leaves only the lines of that share of the order keys: written one after the other,
+    the shares need a share of the exchanges' disk.
     """
     wanted = SALES_COLUMNS + EXTRA_KEYS if columns is None else columns
     qty = F.col("l_quantity").cast("int")
@@ -103,6 +107,9 @@ def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
     if LINE in wanted:
         rest = Window.partitionBy("l_orderkey").orderBy(*[k for k in EXTRA_KEYS if k != "l_orderkey"])
         lines = lines.where(F.col("l_orderkey").isNotNull()).withColumn(LINE, F.row_number().over(rest))
+    if share is not None:
+        own = lambda key: F.pmod(F.xxhash64(key), F.lit(SHARES)) == share
+        lines, orders = lines.where(own("l_orderkey")), orders.where(own("o_orderkey"))
     cu = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     na = read_table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("Country"))
 
@@ -191,6 +198,6 @@ def read_sales_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
     return nan_to_null(raw.select(*out))
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> None:
     """Headered CSV, no index column. Spark writes one part file per partition."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    df.write.mode(mode).option("header", True).option("escape", '"').option("compression", compression).csv(path)

@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.cluster.dbscan import dbscan
+from tillpoint.cluster.dbscan import GROUP_ROWS, dbscan
 from tillpoint.functions.dates import whole_days_between
 from tillpoint.operators import aggregates as agg
 from tillpoint.operators.cleaning import drop_missing
 from tillpoint.operators.rowindex import with_batches, with_row_index
 from tillpoint.operators.scale import scaled_value, with_parameters
-from tillpoint.session import cut_lineage
+from tillpoint.session import cut_lineage, discard
 
 # The batched jobs' parameters.
 BATCH_SIZE = 50_000
@@ -27,36 +27,50 @@ TYPE2_FEATURES = ["Quantity", "UnitPrice", "CustomerID"]
 
 
 def batched(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE, keep: list[str] | None = None) -> DataFrame:
-    return with_batches(with_row_index(df, order_keys, keep=keep), batch_size)
+    """Rows numbered in a stored table, and their batches."""
+    return with_batches(with_row_index(df, order_keys, keep=keep, materialize="table"), batch_size)
+
+
+def _labelled(b: DataFrame, numbered: DataFrame, features: list[str], params: list[str], eps: float, min_samples: int, batch_size: int) -> DataFrame:
+    out = dbscan(b, [scaled_value(c) for c in features], eps, min_samples, keys=["batch_number"], drop=params, most_rows=batch_size)
+    if batch_size <= GROUP_ROWS:  # the labelled rows are stored and read nothing else
+        discard(numbered)
+    return out
 
 
 def dbscan_type1(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE,
-                 eps: float = EPS, min_samples: int = MIN_SAMPLES, scaler: str = "minmax") -> DataFrame:
+                 eps: float = EPS, min_samples: int = MIN_SAMPLES, scaler: str = "minmax",
+                 owned: bool = False) -> DataFrame:
     """Per batch — days since the batch's first (parsable) timestamp, the
     four features, rows with a gap dropped, scaling (min-max, or another kind of
     ``scale``), DBSCAN.
-    Output: the four unscaled features, ``Cluster``, ``batch_number``, ``row_idx``."""
-    b = batched(df, order_keys, batch_size, ["InvoiceDate", *TYPE1_FEATURES[:3]])
+    Output: the four unscaled features, ``Cluster``, ``batch_number``, ``row_idx``.
+    ``owned``: ``df`` is a stored table that nothing else reads; it goes once its rows are numbered."""
+    numbered = b = batched(df, order_keys, batch_size, ["InvoiceDate", *TYPE1_FEATURES[:3]])
+    if owned:
+        discard(df)
     # one row a batch, measured, instead of a window: the rows stay where they are
     first = cut_lineage(b.groupBy("batch_number").agg(F.min("InvoiceDate").alias("_first")), "persist")
     b = b.join(first, "batch_number").withColumn("DaysSinceFirstPurchase", whole_days_between(F.col("_first"), F.col("InvoiceDate")))
     b = drop_missing(b, TYPE1_FEATURES).select(
         "row_idx", "batch_number", *[F.col(c).cast("double").alias(c) for c in TYPE1_FEATURES])
     b, params = with_parameters(b, TYPE1_FEATURES, scaler, ["batch_number"])
-    return dbscan(b, [scaled_value(c) for c in TYPE1_FEATURES], eps, min_samples, keys=["batch_number"], drop=params)
+    return _labelled(b, numbered, TYPE1_FEATURES, params, eps, min_samples, batch_size)
 
 
 def dbscan_type2(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE,
                  eps: float = EPS, min_samples: int = MIN_SAMPLES, scaler: str = "standard",
-                 keep: list[str] | None = None) -> DataFrame:
+                 keep: list[str] | None = None, owned: bool = False) -> DataFrame:
     """Per batch — rows missing Quantity/UnitPrice/CustomerID dropped,
     standardisation (or another ``scaler``), DBSCAN; every input column kept (or the features and those of
-    ``keep``), plus ``Cluster`` and ``BatchNumber``."""
+    ``keep``), plus ``Cluster`` and ``BatchNumber``. ``owned`` as in ``dbscan_type1``."""
     if keep is not None:
         keep = TYPE2_FEATURES + [c for c in keep if c not in TYPE2_FEATURES]
-    b = drop_missing(batched(df, order_keys, batch_size, keep), TYPE2_FEATURES)
-    b, params = with_parameters(b, TYPE2_FEATURES, scaler, ["batch_number"])
-    out = dbscan(b, [scaled_value(c) for c in TYPE2_FEATURES], eps, min_samples, keys=["batch_number"], drop=params)
+    numbered = batched(df, order_keys, batch_size, keep)
+    if owned:
+        discard(df)
+    b, params = with_parameters(drop_missing(numbered, TYPE2_FEATURES), TYPE2_FEATURES, scaler, ["batch_number"])
+    out = _labelled(b, numbered, TYPE2_FEATURES, params, eps, min_samples, batch_size)
     return out.withColumn("BatchNumber", F.col("batch_number"))
 
 

@@ -42,13 +42,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillpoint.cluster import tiles
 from tillpoint.cluster.components import components_by_leaves
+from tillpoint.cluster.local import dbscan_group
 from tillpoint.operators.rowindex import with_row_index
 from tillpoint.session import cut_lineage
 
 DIRECT = 4096  # point pairs of two boxes that are compared at once
+GROUP_ROWS = 1 << 17  # rows of a key that one task labels by itself
 
 
 def _dist2(a: list[str], b: list[str]) -> Column:
@@ -201,17 +204,37 @@ def closest_within(pairs: DataFrame, points: DataFrame, keys: list[str], d: int,
                        .select(*keys, "a", "b", F.col("abox2").alias("abox"), F.col("bbox2").alias("bbox"))
 
 
+def _by_group(df: DataFrame, feature_cols: list[str | Column], eps: float, min_samples: int, id_col: str,
+              keys: list[str], out_col: str, drop: list[str]) -> DataFrame:
+    """``dbscan`` with all rows of a key in one task, stored."""
+    features = _names("_x", len(feature_cols))
+    rows = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    rows = rows.withColumns({f: (F.col(c) if isinstance(c, str) else c).cast("double") for c, f in zip(feature_cols, features)}).drop(*drop)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        label = dbscan_group(_matrix(table, features), table.column(id_col).to_numpy(), eps, min_samples)
+        return table.drop_columns(features).append_column(out_col, pa.array(label, pa.int32()))
+
+    kept = df.drop(*drop).schema
+    return cut_lineage(rows.groupBy(*keys).applyInArrow(run, T.StructType([*kept.fields, T.StructField(out_col, T.IntegerType())])), "table")
+
+
 def dbscan(df: DataFrame, feature_cols: list[str | Column], eps: float = 0.5, min_samples: int = 5,
            id_col: str = "row_idx", keys: list[str] | None = None,
-           out_col: str = "Cluster", drop: list[str] | None = None) -> DataFrame:
+           out_col: str = "Cluster", drop: list[str] | None = None, most_rows: int | None = None) -> DataFrame:
     """Label every row of ``df`` (all columns but those of ``drop`` kept) with ``out_col``.
 
     ``id_col`` gives the row position used for numbering; it must be unique
     within each key. Features are columns or expressions, non-null; expressions are computed
     on both sides of the rows' exchange, so that it carries only their inputs (``drop`` names those of no further use).
+    ``most_rows`` says how many rows a key has at most: keys of up to ``GROUP_ROWS`` are labelled in one task each
+    (``local.py``), after one exchange and with no tables in between.
     """
     keys = list(keys or [])
     d = len(feature_cols)
+    if keys and most_rows is not None and most_rows <= GROUP_ROWS:
+        return _by_group(df, feature_cols, eps, min_samples, id_col, keys, out_col, drop or [])
     # cells a hair smaller than the bound, so floating-point rounding in the
     # cell ids can never put two points more than ε apart in one cell
     side, link_side = (eps / math.sqrt(n) * (1 - 1e-9) for n in (d, d + 3))

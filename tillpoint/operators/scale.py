@@ -87,7 +87,8 @@ def with_parameters(df: DataFrame, cols: list[str], kind: str, keys: list[str])
     """``df`` with the parameters of its own fit per ``keys`` beside each row, and their columns' names: ``scaled_value``
     is computed from them where it is needed."""
     params = cut_lineage(fit_scaler(df, cols, kind, keys), "persist")
-    return _join(df, params, keys), [c for c in params.columns if c not in keys]
+    # one row for many of ``df``: sent to its rows also where it is a little over the threshold, which would move all rows
+    return _join(df, F.broadcast(params), keys), [c for c in params.columns if c not in keys]
 
 
 def scale(df: DataFrame, cols: list[str], kind: str = "standard",

@@ -7,10 +7,16 @@ carries the row-order keys along, because Parquet has no row order.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillpoint.session import scratch_path, shuffles_released
+
 # The invoice-line schema the reference's CSV files carry.
 SALES_SCHEMA = T.StructType([
     T.StructField("InvoiceNo", T.StringType(), True),
@@ -31,6 +37,10 @@ EXTRA_KEYS = ORDER_KEYS[1:]
 # The same order for ``sales_lines``, which can number the lines of an order key.
 LINE = "_line"
 SHORT_KEYS = ["InvoiceDate", "l_orderkey", LINE]
+# With these, ``LINE`` names a row of the view also where keys of orders, customers or parts repeat: the number of its
+# order's row among those of the order key, and of its part's row among those of the part key.
+COPIES = ["_order", "_part"]
+ROW_NAME = ["l_orderkey", LINE, *COPIES]
 # Shares of the order keys that are joined one after the other where the exchanges of all would not fit the disk.
 SHARES = 4
 
@@ -83,7 +93,8 @@ def sales_from_tables(spark: SparkSession, sf_dir: str, with_keys: bool = True)
     return joined.select(*cols)
 
 
-def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, share: int | None = None) -> DataFrame:
+def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, share: int | None = None,
+                beside: DataFrame | None = None) -> DataFrame:
     """The rows of ``sales_from_tables`` with ``columns`` (default: all), with two exchanges of the lines instead of three.
 
     Orders meet customers and nations before the lines do, and what a line alone decides is computed where it is read,
@@ -93,8 +104,12 @@ def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
     keys it stands for go no further.
     ``share`` (0 … ``SHARES`` − 1) leaves only the lines of that share of the order keys: written one after the other,
     the shares need a share of the exchanges' disk.
+    ``columns`` may name ``COPIES`` too. ``beside`` holds further columns by ``ROW_NAME``: they are put beside its rows,
+    and the others are left out (where the order keys meet, so what they bring crosses no exchange of its own
+    under ``joined_by_order``).
     """
     wanted = SALES_COLUMNS + EXTRA_KEYS if columns is None else columns
+    named_rows = beside is not None or any(c in wanted for c in COPIES)
     qty = F.col("l_quantity").cast("int")
     lines = read_table(spark, sf_dir, "lineitem").select(
         *EXTRA_KEYS, F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1), -qty).otherwise(qty).alias("Quantity"))
@@ -104,8 +119,8 @@ def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
         "o_orderkey", "o_custkey",
         F.timestamp_add("MINUTE", (F.col("o_orderkey") % 1440).cast("int"), F.col("o_orderdate")).alias("InvoiceDate"),
         F.when(F.col("o_custkey") % 4 == 0, F.lit(None).cast("bigint")).otherwise(F.col("o_custkey")).alias("CustomerID"))
-    if LINE in wanted:
-        rest = Window.partitionBy("l_orderkey").orderBy(*[k for k in EXTRA_KEYS if k != "l_orderkey"])
+    if LINE in wanted or beside is not None:
+        rest = Window.partitionBy("l_orderkey").orderBy(*[k for k in EXTRA_KEYS if k != "l_orderkey"], "Quantity")
         lines = lines.where(F.col("l_orderkey").isNotNull()).withColumn(LINE, F.row_number().over(rest))
     if share is not None:
         own = lambda key: F.pmod(F.xxhash64(key), F.lit(SHARES)) == share
@@ -114,12 +129,47 @@ def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
     na = read_table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("Country"))
 
     orders = orders.join(cu.join(na, cu.c_nationkey == na.n_nationkey), orders.o_custkey == cu.c_custkey)
-    joined = (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-                   .join(part, lines.l_partkey == part.p_partkey))
+    of_order, of_part = lines.l_orderkey == orders.o_orderkey, lines.l_partkey == part.p_partkey
+    if named_rows:
+        one = lambda key, *by: F.row_number().over(Window.partitionBy(key).orderBy(*by))
+        orders = orders.withColumn("_order", one("o_orderkey", "InvoiceDate", "o_custkey", "Country"))
+        part = part.withColumn("_part", one("p_partkey", "Description", "UnitPrice"))
+    if beside is not None:
+        names = {c: f"_b{c}" for c in ROW_NAME}
+        if share is not None:
+            beside = beside.where(own("l_orderkey"))
+        beside = beside.withColumnsRenamed(names)
+        lines = lines.join(beside, (F.col("l_orderkey") == F.col(names["l_orderkey"])) & (F.col(LINE) == F.col(names[LINE])))
+        of_order &= F.col(names["_order"]) == F.col("_order")
+        of_part &= F.col(names["_part"]) == F.col("_part")
+        wanted = [*wanted, *[c for c in beside.columns if c not in names.values()]]
+    joined = lines.join(orders, of_order).join(part, of_part)
     named = joined.withColumns({"InvoiceNo": F.col("l_orderkey").cast("string"), "StockCode": F.col("l_partkey").cast("string")})
     return named.select(*wanted)
 
 
+def stored_lines(spark: SparkSession, sf_dir: str, columns: list[str], beside: DataFrame | None = None) -> DataFrame:
+    """``sales_lines`` as a compressed table of the shared folder, written share by share."""
+    path = scratch_path(spark, f"lines_{uuid.uuid4().hex}")
+    for share in range(SHARES):
+        lines = sales_lines(spark, sf_dir, columns, share, beside)
+        with shuffles_released(spark), joined_by_order(spark):
+            lines.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(lines.schema).parquet(path)
+
+
+@contextmanager
+def joined_by_order(spark: SparkSession) -> Iterator[None]:
+    """Rows that lie together by one key of a join are not exchanged again for the others."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # DuckDB twin of ``sales_from_tables`` for oracle queries.
 SALES_SQL = """
 SELECT cast(l_orderkey AS varchar) AS InvoiceNo,

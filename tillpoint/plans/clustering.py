@@ -20,7 +20,8 @@ from tillpoint.plans.cleaning import cleaned, cleaned_sales
 from tillpoint.plans.common import CLEAN_CTES, KEYS_SQL, r, rounded, with_sales
 from tillpoint.plans.registry import query
 from tillpoint.plans.transforms import _PCA_CTES, standardized_pca_input
-from tillpoint.sources.sales import EXTRA_KEYS, ORDER_KEYS, SALES_COLUMNS, SHORT_KEYS, sales_from_tables, sales_lines, stored_lines
+from tillpoint.session import discard
+from tillpoint.sources.sales import COPIES, EXTRA_KEYS, ORDER_KEYS, ROW_NAME, SALES_COLUMNS, SHORT_KEYS, sales_from_tables, stored_lines
 
 # Seeding of the exact assignment check: centres at these quantiles of each feature.
 SEED_PROBS = [1 / 6, 1 / 2, 5 / 6]
@@ -330,10 +331,15 @@ def q_dbscan_type2(spark, sf_dir):
     """Batched DBSCAN type 2 (standardised, three features, ε 0.5, min 5),
     all columns kept, plus Cluster and BatchNumber. Texts made of the order keys are made again at the end."""
     made = {"InvoiceNo": "l_orderkey", "StockCode": "l_partkey"}
-    lines = sales_lines(spark, sf_dir, [c for c in SALES_COLUMNS + EXTRA_KEYS if c not in made])
-    out = bt.dbscan_type2(lines, ORDER_KEYS)
-    first, *rest = [c for c in out.columns if c not in SALES_COLUMNS + EXTRA_KEYS]
-    return out.withColumns({c: F.col(k).cast("string") for c, k in made.items()}).select(first, *SALES_COLUMNS, *EXTRA_KEYS, *rest)
+    # labelled by the columns that decide the labels; the others meet their labels where the lines meet their orders
+    out = bt.dbscan_type2(_dbscan_lines(spark, sf_dir, *COPIES), SHORT_KEYS, keep=ROW_NAME, owned=True)
+    found = [c for c in out.columns if c not in [*ROW_NAME, *bt.TYPE2_FEATURES]]
+    wide = stored_lines(spark, sf_dir, [c for c in SALES_COLUMNS + EXTRA_KEYS if c not in made],
+                        out.select(*ROW_NAME, "row_idx", "batch_number", "Cluster"))
+    discard(out)
+    first, *rest = found
+    return wide.withColumn("BatchNumber", F.col("batch_number")).withColumns({c: F.col(k).cast("string") for c, k in made.items()}) \
+               .select(first, *SALES_COLUMNS, *EXTRA_KEYS, *rest)
 
 
 def _dbscan_ctes(eps: float, min_samples: int) -> str:

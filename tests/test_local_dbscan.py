@@ -52,10 +52,8 @@ def test_batches_in_tasks_are_the_grid_over_all(spark, monkeypatch):
     seen = []
     cut = module.cut_lineage
     monkeypatch.setattr(module, "cut_lineage", lambda df, how="checkpoint": (seen.append(how), cut(df, how))[1])
-    told = [batched.dbscan_type2(rows, ["id"], batch_size=200, eps=e).toPandas() for e in (0.3, 0.6)]
+    told = [batched.dbscan_type2(rows, ["id"], batch_size=200, eps=e, whole_batches=True).toPandas() for e in (0.3, 0.6)]
     assert seen == ["table", "table"]  # one stored result each, nothing checkpointed or cached between its steps
-    monkeypatch.setattr(module, "GROUP_ROWS", 0)
-    monkeypatch.setattr(batched, "GROUP_ROWS", 0)
     for e, got in zip((0.3, 0.6), told):
         want = batched.dbscan_type2(rows, ["id"], batch_size=200, eps=e).toPandas()
         assert list(got.columns) == list(want.columns)

@@ -31,21 +31,23 @@ def batched(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE, keep: list[
     return with_batches(with_row_index(df, order_keys, keep=keep, materialize="table"), batch_size)
 
 
-def _labelled(b: DataFrame, numbered: DataFrame, features: list[str], params: list[str], eps: float, min_samples: int, batch_size: int) -> DataFrame:
-    out = dbscan(b, [scaled_value(c) for c in features], eps, min_samples, keys=["batch_number"], drop=params, most_rows=batch_size)
-    if batch_size <= GROUP_ROWS:  # the labelled rows are stored and read nothing else
+def _labelled(b: DataFrame, numbered: DataFrame, features: list[str], params: list[str], eps: float, min_samples: int,
+              most_rows: int | None) -> DataFrame:
+    out = dbscan(b, [scaled_value(c) for c in features], eps, min_samples, keys=["batch_number"], drop=params, most_rows=most_rows)
+    if most_rows is not None and most_rows <= GROUP_ROWS:  # the labelled rows are stored and read nothing else
         discard(numbered)
     return out
 
 
 def dbscan_type1(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE,
                  eps: float = EPS, min_samples: int = MIN_SAMPLES, scaler: str = "minmax",
-                 owned: bool = False) -> DataFrame:
+                 owned: bool = False, whole_batches: bool = False) -> DataFrame:
     """Per batch — days since the batch's first (parsable) timestamp, the
     four features, rows with a gap dropped, scaling (min-max, or another kind of
     ``scale``), DBSCAN.
     Output: the four unscaled features, ``Cluster``, ``batch_number``, ``row_idx``.
-    ``owned``: ``df`` is a stored table that nothing else reads; it goes once its rows are numbered."""
+    ``owned``: ``df`` is a stored table that nothing else reads; it goes once its rows are numbered.
+    ``whole_batches``: a batch of at most ``GROUP_ROWS`` rows is labelled by one task."""
     numbered = b = batched(df, order_keys, batch_size, ["InvoiceDate", *TYPE1_FEATURES[:3]])
     if owned:
         discard(df)
@@ -55,22 +57,22 @@ def dbscan_type1(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE,
     b = drop_missing(b, TYPE1_FEATURES).select(
         "row_idx", "batch_number", *[F.col(c).cast("double").alias(c) for c in TYPE1_FEATURES])
     b, params = with_parameters(b, TYPE1_FEATURES, scaler, ["batch_number"])
-    return _labelled(b, numbered, TYPE1_FEATURES, params, eps, min_samples, batch_size)
+    return _labelled(b, numbered, TYPE1_FEATURES, params, eps, min_samples, batch_size if whole_batches else None)
 
 
 def dbscan_type2(df: DataFrame, order_keys, batch_size: int = BATCH_SIZE,
                  eps: float = EPS, min_samples: int = MIN_SAMPLES, scaler: str = "standard",
-                 keep: list[str] | None = None, owned: bool = False) -> DataFrame:
+                 keep: list[str] | None = None, owned: bool = False, whole_batches: bool = False) -> DataFrame:
     """Per batch — rows missing Quantity/UnitPrice/CustomerID dropped,
     standardisation (or another ``scaler``), DBSCAN; every input column kept (or the features and those of
-    ``keep``), plus ``Cluster`` and ``BatchNumber``. ``owned`` as in ``dbscan_type1``."""
+    ``keep``), plus ``Cluster`` and ``BatchNumber``. ``owned`` and ``whole_batches`` as in ``dbscan_type1``."""
     if keep is not None:
         keep = TYPE2_FEATURES + [c for c in keep if c not in TYPE2_FEATURES]
     numbered = batched(df, order_keys, batch_size, keep)
     if owned:
         discard(df)
     b, params = with_parameters(drop_missing(numbered, TYPE2_FEATURES), TYPE2_FEATURES, scaler, ["batch_number"])
-    out = _labelled(b, numbered, TYPE2_FEATURES, params, eps, min_samples, batch_size)
+    out = _labelled(b, numbered, TYPE2_FEATURES, params, eps, min_samples, batch_size if whole_batches else None)
     return out.withColumn("BatchNumber", F.col("batch_number"))
 
 

@@ -317,13 +317,13 @@ def _dbscan_lines(spark, sf_dir, *more):
 @query("dbscan_type1", _dbscan_type1_sql())
 def q_dbscan_type1(spark, sf_dir):
     """Batched DBSCAN type 1 (min-max, four features, ε 0.5, min 5)."""
-    return bt.dbscan_type1(_dbscan_lines(spark, sf_dir), SHORT_KEYS, owned=True)
+    return bt.dbscan_type1(_dbscan_lines(spark, sf_dir), SHORT_KEYS, owned=True, whole_batches=True)
 
 
 @query("dbscan_type1_fine", _dbscan_type1_sql(0.12))
 def q_dbscan_type1_fine(spark, sf_dir):
     """G5/G6 in four dimensions with ε 0.12: light cells, border points and noise in every batch."""
-    return bt.dbscan_type1(_dbscan_lines(spark, sf_dir), SHORT_KEYS, owned=True, eps=0.12)
+    return bt.dbscan_type1(_dbscan_lines(spark, sf_dir), SHORT_KEYS, owned=True, whole_batches=True, eps=0.12)
 
 
 @query("dbscan_type2")
@@ -332,7 +332,7 @@ def q_dbscan_type2(spark, sf_dir):
     all columns kept, plus Cluster and BatchNumber. Texts made of the order keys are made again at the end."""
     made = {"InvoiceNo": "l_orderkey", "StockCode": "l_partkey"}
     # labelled by the columns that decide the labels; the others meet their labels where the lines meet their orders
-    out = bt.dbscan_type2(_dbscan_lines(spark, sf_dir, *COPIES), SHORT_KEYS, keep=ROW_NAME, owned=True)
+    out = bt.dbscan_type2(_dbscan_lines(spark, sf_dir, *COPIES), SHORT_KEYS, keep=ROW_NAME, owned=True, whole_batches=True)
     found = [c for c in out.columns if c not in [*ROW_NAME, *bt.TYPE2_FEATURES]]
     wide = stored_lines(spark, sf_dir, [c for c in SALES_COLUMNS + EXTRA_KEYS if c not in made],
                         out.select(*ROW_NAME, "row_idx", "batch_number", "Cluster"))
@@ -389,14 +389,14 @@ def _dbscan_sql(eps: float, min_samples: int) -> str:
 def q_dbscan_type2_labels(spark, sf_dir):
     """G5/G7 exact check: batched DBSCAN type 2 labels (ε 0.5, min 5) per
     (batch, row) over the whole table."""
-    return bt.dbscan_type2(_dbscan_lines(spark, sf_dir), SHORT_KEYS, owned=True, keep=[]).select(
+    return bt.dbscan_type2(_dbscan_lines(spark, sf_dir), SHORT_KEYS, owned=True, whole_batches=True, keep=[]).select(
         "batch_number", "row_idx", "Cluster")
 
 
 @query("dbscan_type2_fine_labels", _dbscan_sql(0.1, bt.MIN_SAMPLES))
 def q_dbscan_type2_fine_labels(spark, sf_dir):
     """G5 with ε 0.1: hundreds of clusters, border points and noise per batch."""
-    return bt.dbscan_type2(_dbscan_lines(spark, sf_dir), SHORT_KEYS, owned=True, eps=0.1, keep=[]).select(
+    return bt.dbscan_type2(_dbscan_lines(spark, sf_dir), SHORT_KEYS, owned=True, whole_batches=True, eps=0.1, keep=[]).select(
         "batch_number", "row_idx", "Cluster")
 
 
@@ -419,7 +419,7 @@ SELECT BatchNumber, Cluster, {r('avg(Quantity)')} AS Quantity_mean, min(Quantity
 FROM rep WHERE Cluster <> -1 GROUP BY 1, 2""")
 def q_dbscan_report_summary(spark, sf_dir):
     """Per (batch, cluster) summary without noise."""
-    return rounded(bt.cluster_report(bt.dbscan_type2(_dbscan_lines(spark, sf_dir), SHORT_KEYS, owned=True, keep=[]))["summary"])
+    return rounded(bt.cluster_report(bt.dbscan_type2(_dbscan_lines(spark, sf_dir), SHORT_KEYS, owned=True, whole_batches=True, keep=[]))["summary"])
 
 
 @query("dbscan_report_counts", _dbscan_ctes(bt.EPS, bt.MIN_SAMPLES) + """
@@ -428,14 +428,14 @@ SELECT BatchNumber, count(DISTINCT CASE WHEN Cluster <> -1 THEN Cluster END) AS
 FROM rep GROUP BY 1""")
 def q_dbscan_report_counts(spark, sf_dir):
     """Clusters and noise rows per batch."""
-    return bt.cluster_report(bt.dbscan_type2(_dbscan_lines(spark, sf_dir), SHORT_KEYS, owned=True, keep=[]))["counts"]
+    return bt.cluster_report(bt.dbscan_type2(_dbscan_lines(spark, sf_dir), SHORT_KEYS, owned=True, whole_batches=True, keep=[]))["counts"]
 
 
 @query("dbscan_report_country", _dbscan_ctes(bt.EPS, bt.MIN_SAMPLES)
        + "SELECT Country, BatchNumber, Cluster, count(*) AS count FROM rep GROUP BY 1, 2, 3")
 def q_dbscan_report_country(spark, sf_dir):
     """Country × (batch, cluster) counts of the type-2 results."""
-    return bt.cluster_report(bt.dbscan_type2(_dbscan_lines(spark, sf_dir, "Country"), SHORT_KEYS, owned=True, keep=["Country"]))["country"]
+    return bt.cluster_report(bt.dbscan_type2(_dbscan_lines(spark, sf_dir, "Country"), SHORT_KEYS, owned=True, whole_batches=True, keep=["Country"]))["country"]
 
 
 @query("dbscan_report_country_filled", _dbscan_ctes(bt.EPS, bt.MIN_SAMPLES) + """
@@ -444,13 +444,13 @@ FROM (SELECT DISTINCT Country, BatchNumber FROM rep) c JOIN (SELECT DISTINCT Bat
 LEFT JOIN rep ON rep.Country = c.Country AND rep.BatchNumber = c.BatchNumber AND rep.Cluster = k.Cluster GROUP BY 1, 2, 3""")
 def q_dbscan_report_country_filled(spark, sf_dir):
     """The same with the zero cells of each batch's table."""
-    return bt.cluster_report(bt.dbscan_type2(_dbscan_lines(spark, sf_dir, "Country"), SHORT_KEYS, owned=True, keep=["Country"]))["country_filled"]
+    return bt.cluster_report(bt.dbscan_type2(_dbscan_lines(spark, sf_dir, "Country"), SHORT_KEYS, owned=True, whole_batches=True, keep=["Country"]))["country_filled"]
 
 
 @query("dbscan_type1_scatter")
 def q_dbscan_type1_scatter(spark, sf_dir):
     """C3 for the type-1 results: Quantity × UnitPrice bin counts per (batch, cluster)."""
     from tillpoint.operators.charts import scatter_bins
-    out = bt.dbscan_type1(_dbscan_lines(spark, sf_dir), SHORT_KEYS, owned=True)
+    out = bt.dbscan_type1(_dbscan_lines(spark, sf_dir), SHORT_KEYS, owned=True, whole_batches=True)
     return scatter_bins(out.withColumn("Cluster", F.concat_ws(":", "batch_number", "Cluster")),
                         "Quantity", "UnitPrice", 5.0, 10.0, "Cluster")
